@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, mixing, oracles, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = r"\### Assistant: </turn> ok"
+    rows = [(-7, 0, "user", same), (-7, 1, "assistant", same)]
+    talk = talk.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.windows(talk))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_chat": op3_chat,
+    "op8_mixing": op8_mixing,
+}
+ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op8_mixing": oracles.MIXING}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, oracles, simhash
+from . import chat, mixing, oracles, pieces, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode_table(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(said.cast("binary"), 256).alias("ids_sha256"), "decoded_ok")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_chat": op3_chat,
     "op8_mixing": op8_mixing,
+    "op9_pieces": op9_pieces,
 }
 ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op8_mixing": oracles.MIXING}

@@ -88,3 +88,26 @@ SELECT g.c AS conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256, lengt
   sha256(learnt) AS loss_sha256, (g.chars + coalesce(extra.chars, 0) + coalesce(heads.chars, 0))::BIGINT AS formatted_chars
 FROM g LEFT JOIN extra ON g.c IS NOT DISTINCT FROM extra.c LEFT JOIN heads ON g.c IS NOT DISTINCT FROM heads.c
 """
+
+EMBEDDINGS = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), u AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e
+  WHERE label IS NOT NULL AND v IS NOT NULL AND list_count(v) = len(v)
+    AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98::DOUBLE
+), r AS (
+  SELECT vec_id AS id, vec_id AS low FROM e
+  UNION
+  SELECT p.b, r.low FROM r JOIN p ON r.id = p.a WHERE r.low < p.b
+), c AS (
+  SELECT id, min(low) AS component_id FROM r GROUP BY id
+), k AS (
+  SELECT a, count(*) AS n FROM p GROUP BY a
+)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id::BIGINT AS component_id, e.vec_id = c.component_id AS kept
+FROM e JOIN c ON e.vec_id = c.id LEFT JOIN k ON e.vec_id = k.a
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, oracles, pieces, simhash
+from . import chat, embeddings, mixing, oracles, pieces, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(talk))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -37,7 +41,8 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_chat": op3_chat,
+    "op5_embeddings": op5_embeddings,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
 }
-ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op8_mixing": oracles.MIXING}
+ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op5_embeddings": oracles.EMBEDDINGS, "op8_mixing": oracles.MIXING}

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,3 +73,47 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
+
+
+#: Characters of text that map_text works on at once.
+BLOCK_CHARS = 1 << 21
+
+
+def map_text(df: DataFrame, text_col: str, compute: Callable[[list[str]], list[np.ndarray]], fields: str, keep_text: bool = False) -> DataFrame:
+    """`df` with columns computed from whole texts in blocks; null texts count as empty.
+
+    compute gets the texts of a block and returns an array for each of `fields` (a DDL string). The
+    rows' other columns are passed on, the text only if keep_text.
+    """
+    schema = T.StructType.fromDDL(fields)
+    source = df.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    kept = [c for c in df.columns if keep_text or c != text_col]
+    clash = set(kept) & set(schema.names)
+    if clash:
+        raise ValueError(f"columns in the way of the results: {sorted(clash)}")
+    source = source.select(*[F.col(f"`{c}`") for c in kept], *([] if keep_text else [F.col(f"`{text_col}`")]))
+    at = source.columns.index(text_col)
+    types = [pa.string() if f.dataType == T.StringType() else None for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+            k, before = 0, 0
+            while k < len(column):
+                to = max(k + 1, int(np.searchsorted(ends, before + BLOCK_CHARS, "right")))
+                got = compute(column.slice(k, to - k).fill_null("").to_pylist())
+                columns = [batch.column(i).slice(k, to - k) for i in range(len(kept))]
+                columns += [pa.array(x, t) for x, t in zip(got, types)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *schema.names])
+                k, before = to, int(ends[to - 1])
+
+    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in kept], *schema.fields]))
+
+
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, most: int, where: Column | None = None) -> DataFrame:
+    """At most `most` labelled ids, chosen by a hash of the id: (id_, label). Small enough to broadcast by that bound."""
+    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows if where is None else rows.where(where)
+    rows = rows.groupBy(F.col(id_col).alias("id_")).agg(F.max(label_col).cast("int").alias("label"))
+    return F.broadcast(cut(rows.orderBy(F.xxhash64("id_"), "id_").limit(most)))

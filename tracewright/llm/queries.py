@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, mixing, oracles, pieces, quality, simhash, toxicity
+from . import chat, embeddings, html, mixing, oracles, pieces, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(said.cast("binary"), 256).alias("ids_sha256"), "decoded_ok")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -58,5 +63,6 @@ QUERIES = {
     "op5_embeddings": op5_embeddings,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
+    "op10_html": op10_html,
 }
 ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op5_embeddings": oracles.EMBEDDINGS, "op8_mixing": oracles.MIXING}

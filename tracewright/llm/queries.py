@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edits, embeddings, html, mixing, oracles, pieces, quality, simhash, toxicity
+from . import chat, edits, embeddings, html, mixing, oracles, pieces, quality, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.fingerprint_table(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
     "op5_embeddings": op5_embeddings,
+    "op6_tokens": op6_tokens,
     "op7_edits": op7_edits,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,

@@ -151,18 +151,18 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         k = to
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): one row per row of `df`."""
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["id"].dataType
+def fingerprints(df: DataFrame, text_col: str = "text", keep_text: bool = False, name: str = "fp") -> DataFrame:
+    """`df` with the fingerprint as a long, without its text unless keep_text."""
+    kept = [c for c in df.columns if keep_text or c != text_col]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [simhash_block(*x) for x in text_blocks(batch.column(1))]
+            fp = [simhash_block(*x) for x in text_blocks(batch.column(len(kept)))]
             fp = np.concatenate(fp) if fp else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fp, pa.int64())], [*kept, name])
 
-    return source.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in kept], T.StructField(name, T.LongType())]))
 
 
 def ball(fp: F.Column, half: int) -> F.Column:
@@ -185,13 +185,32 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of `df`: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    fps = cut(fingerprints(df, id_col, text_col))
+    """One row per row of `df`: id, fingerprint (16 hex digits), component_id (smallest id reachable), group
+    (a fingerprint of the component, also where all of its ids are null)."""
+    fps = cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("low")))
     comp = components(fingerprint_links(nodes.select("fp"), radius), "fp", "hub")
     reach = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     reach = cut(reach)
     least = reach.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = reach.join(least, "component").select(F.col("fp").alias("fp_"), "component_id")
+    named = reach.join(least, "component").select(F.col("fp").alias("fp_"), "component_id", "component")
     out = fps.join(named, fps.fp == named.fp_)
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias(id_col), digits("fp").alias("fingerprint"), "component_id", digits("component").alias("group"))
+
+
+def digits(column: str) -> F.Column:
+    return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of `df` with the smallest id of their group: one row for each group."""
+    found = cut(near_duplicates(df, id_col, text_col, radius))
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
+    if keep.where("n > 1").isEmpty():
+        return df.join(keep, F.col(id_col).eqNullSafe(F.col("kept")), "left_semi")
+    # Ids that repeat, null ones included, don't tell rows apart: their groups do.
+    groups = found.groupBy("fingerprint").agg(F.first("component_id").alias("component_id"), F.first("group").alias("group"))
+    rows = fingerprints(df, text_col, keep_text=True, name="__fp").withColumn("__fp", digits("__fp"))
+    rows = rows.join(groups.select(F.col("fingerprint").alias("__of"), F.col("component_id").alias("__first"), F.col("group").alias("__group")), F.col("__fp") == F.col("__of"))
+    rows = rows.where(F.col(id_col).eqNullSafe(F.col("__first"))).dropDuplicates(["__group"])
+    return rows.select(df.columns)

@@ -1,4 +1,484 @@
-"""Registered queries of the engine's own operators and their DuckDB equivalents."""
+"""Registered queries of the engine's own operators. Each runs over whole tables.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+Traces are `documents` (source as channel), trace vectors are `embeddings` (label as group; label 0 is gold),
+approvals are `labels`, cue signals are `events`. Cues are the vectors whose id is divisible by 50,
+against all vectors.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scoring, text
+from ..functions.vectors import as_double, norm
+from ..operators import boundary, calibration, encode, learn, retrieval, themes, verdicts
+from ..sources import markdown, registry, rubric
+from . import fixtures, loop
+from .oracles import ORACLES
+
+BETA = 12.0
+LONG = "long"
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", "text", "source")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), as_double(F.col("embedding")).alias("v"), "label")
+
+
+def _cues(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).where("id % 50 = 0").select(F.col("id").alias("cue_id"), F.col("v").alias("q"))
+
+
+def _r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def _length(c: str) -> Column:
+    return F.length(c).cast(LONG)
+
+
+# ---------------------------------------------------------------- traces and text
+
+
+def channel_counts(spark, sf):
+    return registry.channel_counts(_docs(spark, sf).withColumnRenamed("source", "channel"))
+
+
+def min_body_filter(spark, sf):
+    return _docs(spark, sf).where(text.long_enough(F.col("text"))).select("doc_id", F.length(text.trim_u(F.col("text"))).cast(LONG).alias("n"))
+
+
+def cap_body(spark, sf):
+    body = text.cap_body(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.length(body).cast(LONG).alias("n"), text.body_full(F.col("text")).isNotNull().alias("capped"), text.text_key(body).alias("body_sha1"))
+
+
+def registry_load(spark, sf):
+    """Two channels over documents, one parked."""
+    docs = _docs(spark, sf).withColumnRenamed("text", "body").withColumnRenamed("source", "channel")
+    channels = [
+        registry.Channel("writing", lambda s: docs, registry.WEIGHTS["writing"]),
+        registry.Channel("notes", lambda s: docs, registry.WEIGHTS["notes"], enabled=False),
+        registry.Channel("idea", lambda s: _t(s, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("body")), registry.WEIGHTS["idea"]),
+        registry.Channel("report", lambda s: s.read.parquet(f"{sf}/no_such_table.parquet")),
+    ]
+    rows = registry.load_all(spark, channels, log=lambda _: None)
+    return rows.select("doc_id", "channel", F.coalesce("subchannel", F.lit("")).alias("subchannel"), "channel_weight", _length("body").alias("n"))
+
+
+def body_stats(spark, sf):
+    n = F.length("text")
+    return _docs(spark, sf).agg(F.min(n).cast(LONG).alias("least"), F.round(F.percentile(n, 0.5), 3).alias("median"), F.max(n).cast(LONG).alias("most"))
+
+
+def dedup_first(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", "source", text.text_key(F.lower(text.trim_u(F.col("text")))).alias("k"))
+    return markdown.dedup_first(rows, [F.col("k")], [F.col("doc_id")]).select("doc_id", "source")
+
+
+def text_sha1(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.text_key(F.col("text")).alias("sha"))
+
+
+def cache_misses(spark, sf):
+    """Labelled documents are what the cache holds."""
+    docs = _docs(spark, sf)
+    held = docs.join(_t(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    cache = held.select(F.lit("m").alias("model"), text.text_key(F.col("text")).alias("text_sha1"))
+    return encode.misses(docs, cache, "m").select("text_sha1")
+
+
+def infer_title(spark, sf):
+    return _docs(spark, sf).select("doc_id", text.infer_title(F.col("text")).alias("title"))
+
+
+def sanitize(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", "text").unionByName(fixtures.frame(spark, "sanitize"))
+    clean = text.sanitize(F.col("text"))
+    return docs.select("doc_id", F.length(clean).cast(LONG).alias("n"), F.sha1(clean.cast("binary")).alias("sha"))
+
+
+def substance_prior(spark, sf):
+    return _docs(spark, sf).select("doc_id", _r(scoring.substance_prior(F.col("text")), 3).alias("prior"))
+
+
+def salience(spark, sf):
+    """a labelled document has two items, quality and absence of toxicity."""
+    docs = _docs(spark, sf).join(_t(spark, sf, "labels"), "doc_id", "left")
+    items = F.when(F.col("quality").isNotNull(), 2)
+    passed = F.col("quality") + (F.lit(1) - F.col("toxic"))
+    score = scoring.salience(F.col("text"), passed, items, F.col("quality") == 1, F.lit(False))
+    return docs.select("doc_id", score.alias("salience"), scoring.pass_summary(passed, items).alias("law_pass"))
+
+
+def sentence_split(spark, sf):
+    s = text.sentences(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.size(s).cast(LONG).alias("n"), F.sha1(F.array_join(s, "|").cast("binary")).alias("sha"))
+
+
+def structural_flags(spark, sf):
+    docs = _docs(spark, sf).select("doc_id", "text").unionByName(fixtures.frame(spark, "boundary"))
+    rows = docs.select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s")).withColumn("why", F.coalesce(scoring.structural_hit(F.col("s")), F.lit("none")))
+    return rows.groupBy("doc_id", "why").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trace_sensitivity(spark, sf):
+    docs = _docs(spark, sf).unionByName(fixtures.frame(spark, "boundary").withColumn("source", F.when(F.col("doc_id") == -8, "notes").otherwise("x")))
+    return docs.select("doc_id", scoring.trace_sensitive(F.lit(None).cast("boolean"), F.col("source"), F.col("text")).alias("sensitive"))
+
+
+def output_screen(spark, sf):
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text").unionByName(fixtures.frame(spark, "boundary").withColumnRenamed("doc_id", "id"))
+    out = boundary.screen(docs)
+    return out.select("id", "safe", F.size("flagged").cast(LONG).alias("n_flagged"), F.array_join("reasons", ",").alias("reasons"), F.sha1(F.col("redacted").cast("binary")).alias("sha"))
+
+
+def hash_encoder(spark, sf):
+    v = encode.hash_encoder(text.cap_body(F.col("text")))
+    return _docs(spark, sf).select("doc_id", as_double(v).alias("v")).select("doc_id", F.size("v").cast(LONG).alias("dims"), _r(norm(F.col("v")), 3).alias("norm"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _sims(spark, sf):
+    return retrieval.cosine(_vectors(spark, sf), _cues(spark, sf))
+
+
+def cosine_to_cue(spark, sf):
+    return _sims(spark, sf).select("cue_id", "id", _r("sim").alias("sim"))
+
+
+def topk_similar(spark, sf):
+    return retrieval.top_k(_sims(spark, sf), 4, "cue_id").select("cue_id", "id", _r("sim").alias("sim"))
+
+
+def _weighed(spark, sf, alpha):
+    return retrieval.entmax(_sims(spark, sf).withColumn("s", F.col("sim") * BETA), alpha)
+
+
+def softmax_weights(spark, sf):
+    return _weighed(spark, sf, 1).select("cue_id", "id", _r("w").alias("w"))
+
+
+def entmax15_weights(spark, sf):
+    return _weighed(spark, sf, 1.5).select("cue_id", "id", _r("w").alias("w"))
+
+
+def sparsemax_weights(spark, sf):
+    return _weighed(spark, sf, 2).select("cue_id", "id", _r("w").alias("w"))
+
+
+def entmax_general(spark, sf):
+    return _weighed(spark, sf, 1.3).select("cue_id", "id", _r("w").alias("w"))
+
+
+def _memory(spark, sf):
+    """Vectors with what the priors need: dates and salience follow from the id, weights from the label."""
+    rows = _vectors(spark, sf)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 365).cast("int"))
+    return rows.select(
+        "id", "v", "label", F.date_format(day, "dd.MM.yyyy").alias("date"), (F.col("id") % 11).cast("double").alias("salience"), (F.lit(0.8) + F.col("label") * 0.05).alias("channel_weight")
+    )
+
+
+def recall_base_score(spark, sf):
+    rows = retrieval.priors(_memory(spark, sf)).select("id", "v", "recency", "salience_prior", "channel_prior")
+    w = retrieval.entmax(retrieval.cosine(rows, _cues(spark, sf)).withColumn("s", F.col("sim") * BETA), 1.5)
+    return w.select("cue_id", "id", _r(retrieval.base_score()).alias("base"), _r("recency").alias("recency"), _r("channel_prior").alias("channel_prior"))
+
+
+def active_traces(spark, sf):
+    """Traces with more than a thousandth of the weight."""
+    w = _weighed(spark, sf, 1.5)
+    return w.groupBy("cue_id").agg(F.count_if(F.col("w") > retrieval.ACTIVE).alias("active"))
+
+
+def recall_topk(spark, sf):
+    return retrieval.recall(_memory(spark, sf), _cues(spark, sf), 3, BETA).select("cue_id", "pos", "id", _r("w").alias("w"), _r("sim").alias("sim"), _r("score").alias("score"), "active")
+
+
+def mmr_k3(spark, sf):
+    """R6 with the similarity as base score."""
+    scored = _sims(spark, sf).withColumnRenamed("sim", "base").join(_vectors(spark, sf).select("id", "v"), "id")
+    return retrieval.mmr_select(scored, 3).select("cue_id", "pos", "id", _r("base").alias("base"))
+
+
+def beta_calibration(spark, sf):
+    return retrieval.mean_gap(_vectors(spark, sf)).select("n", _r("gap").alias("gap"), _r(retrieval.beta_of(F.col("gap"), F.col("n"))).alias("beta"))
+
+
+def dynamic_alpha(spark, sf):
+    return retrieval.mean_gap(_vectors(spark, sf)).select(_r(retrieval.alpha_of(F.col("gap"), F.col("n"))).alias("alpha"))
+
+
+def separability(spark, sf):
+    return retrieval.separability(_vectors(spark, sf), BETA).select("id", _r("top").alias("top"), F.col("active").cast(LONG).alias("active"))
+
+
+def separability_report(spark, sf):
+    out = retrieval.separability_report(retrieval.separability(_vectors(spark, sf), BETA))
+    return out.select(_r("mean_top_mass").alias("mean_top_mass"), _r("mean_active").alias("mean_active"), "collisions")
+
+
+def hopfield_energy(spark, sf):
+    sims = retrieval.cosine(_vectors(spark, sf), _cues(spark, sf).withColumn("half", norm(F.col("q")) * norm(F.col("q")) / 2))
+    return retrieval.energy_terms(sims, BETA, F.col("half")).select("cue_id", _r("energy").alias("energy"))
+
+
+def iterative_recall(spark, sf):
+    got = retrieval.iterative_recall(_vectors(spark, sf), _cues(spark, sf), 40.0)
+    return got.select("cue_id", "iterations", "converged", "lyapunov_ok", "spurious_step", _r("final_top_mass").alias("final_top_mass"), _r("energy_drop").alias("energy_drop"))
+
+
+def stability_report(spark, sf):
+    return retrieval.stability_report(_vectors(spark, sf), 40.0)
+
+
+# ---------------------------------------------------------------- statistics
+
+
+def pair_auc(spark, sf):
+    return calibration.pair_auc(calibration.label_pairs(_vectors(spark, sf))).select(_r("auc").alias("auc"))
+
+
+def centroid(spark, sf):
+    c = calibration.centroid(_vectors(spark, sf).where("label = 0"))
+    return c.select(F.posexplode("c").alias("pos", "x")).select(F.col("pos").cast(LONG).alias("pos"), _r("x").alias("x"))
+
+
+def _identity(spark, sf, eps):
+    rows = _vectors(spark, sf)
+    center, scores, model = calibration.build_identity(rows.where("label = 0"), eps)
+    return rows, center, scores, model
+
+
+def conformal_quantile(spark, sf):
+    return _identity(spark, sf, 0.1)[3].select("n", _r("q").alias("q"), _r("coverage").alias("coverage"))
+
+
+def conformal_pvalue(spark, sf):
+    rows, center, scores, model = _identity(spark, sf, 0.1)
+    tests = calibration.score_text(rows.where("label <> 0"), center)
+    return calibration.conformal_test(tests.select("id", "s"), scores, model).select("id", _r("s").alias("s"), "inside", _r("p").alias("p"))
+
+
+def group_ids(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", "source", "lang")
+    return calibration.group_ids(rows, ["source", "lang"]).select("doc_id", F.col("gid").cast(LONG).alias("gid"), "members")
+
+
+def split_train_test(spark, sf):
+    return _docs(spark, sf).select("doc_id", calibration.hash_split(F.col("doc_id")).alias("test"))
+
+
+# ---------------------------------------------------------------- consolidation
+
+
+def knn_loo(spark, sf):
+    return themes.knn_proximity(_vectors(spark, sf).select("id", "v")).select("id", _r("proximity").alias("proximity"))
+
+
+COSTS = ("cheap to revert", "high", "slow and costly", "kolay")
+
+
+def _decisions(spark, sf):
+    costs = F.array(*[F.lit(c) for c in COSTS])
+    return _vectors(spark, sf).select("id", "v", F.concat(F.lit("decision "), F.col("id")).alias("title"), F.lit("x").alias("choice"), F.element_at(costs, (F.col("id") % 4 + 1).cast("int")).alias("cost"))
+
+
+def precedent_counts(spark, sf):
+    near = retrieval.top_k(retrieval.cosine(_decisions(spark, sf), _cues(spark, sf)), 4, "cue_id").where("sim >= 0.25")
+    return near.groupBy("cue_id").agg(F.count(F.lit(1)).alias("n_comparable"), F.count_if(scoring.is_reversible(F.col("cost"))).alias("n_reversible"))
+
+
+def world_model(spark, sf):
+    out = themes.WorldModel(_decisions(spark, sf)).reflect(_cues(spark, sf))
+    return out.select("cue_id", _r("proximity").alias("proximity"), "inside", _r("p").alias("p"), "n_comparable", "n_reversible", "abstains")
+
+
+def _writing(spark, sf):
+    return _vectors(spark, sf).select("id", "v", "label", F.lit("writing").alias("channel"), (F.lit(150) + F.col("id")).alias("len"), (F.col("id") % 10).cast("double").alias("salience"), F.concat(F.lit("t"), F.col("id")).alias("title"))
+
+
+def candidate_ranking(spark, sf):
+    rows = _writing(spark, sf)
+    out = themes.rank_candidates(rows.where("label <> 0").drop("label"), rows.where("label = 0"))
+    return out.select("id", _r("prox").alias("prox"), _r("score").alias("score"))
+
+
+def greedy_clusters(spark, sf):
+    rows = _writing(spark, sf).withColumnRenamed("label", "grp")
+    got = themes.find_patterns(rows.select("grp", "id", "v", "len", "title"), threshold=0.25)
+    return got.select("grp", "cluster", "size", _r("cohesion").alias("cohesion"), "exemplar")
+
+
+def cluster_channels(spark, sf):
+    rows = _writing(spark, sf).withColumn("grp", F.lit(0)).withColumn("channel", F.concat(F.lit("c"), F.col("label")))
+    got = themes.find_patterns(rows.select("grp", "id", "v", "len", "title"), threshold=0.25)
+    out = themes.cluster_channels(got, rows)
+    return out.select("cluster", F.to_json("channels").alias("channels"))
+
+
+def sleep_report(spark, sf):
+    """Themes by group and candidates near gold, in one report."""
+    rows = _writing(spark, sf)
+    found = themes.find_patterns(rows.withColumnRenamed("label", "grp").select("grp", "id", "v", "len", "title"), threshold=0.25)
+    ranked = themes.rank_candidates(rows.where("label <> 0").drop("label"), rows.where("label = 0"))
+    a = found.select(F.lit("theme").alias("kind"), F.col("exemplar").alias("title"), F.col("size").cast("double").alias("value"))
+    return a.unionByName(ranked.select(F.lit("candidate").alias("kind"), "title", _r("score").alias("value")))
+
+
+# ---------------------------------------------------------------- verdicts, routing, confidence
+
+
+def _items(spark, sf):
+    marks = _t(spark, sf, "labels")
+    return marks.select(F.col("doc_id").alias("draft_id"), F.explode(F.array(
+        F.struct(F.lit("quality").alias("key"), (F.col("quality") == 1).alias("pass")), F.struct(F.lit("clean").alias("key"), (F.col("toxic") == 0).alias("pass")),
+        F.struct(F.lit("even").alias("key"), (F.col("doc_id") % 2 == 0).alias("pass")),
+    )).alias("i")).select("draft_id", "i.*")
+
+
+def weighted_pass_rate(spark, sf):
+    weights = spark.createDataFrame([("quality", 3.0), ("clean", 2.0)], "key string, weight double")
+    out = verdicts.weighted_rate(_items(spark, sf), F.broadcast(weights))
+    return out.select("draft_id", _r("pass_rate").alias("pass_rate"), "n_fail", _r("weighted_fail").alias("weighted_fail"))
+
+
+def verdict_coerce(spark, sf):
+    got = verdicts.parsed(fixtures.frame(spark, "judge"))
+    return verdicts.coerced(got, fixtures.frame(spark, "rubric")).select("draft_id", "key", "pass", "parsed")
+
+
+def verdict_summary(spark, sf):
+    got = verdicts.parsed(fixtures.frame(spark, "judge"))
+    return verdicts.judged(got, fixtures.frame(spark, "rubric")).select("draft_id", "items", "passed", "n_fail", _r("weighted_fail").alias("weighted_fail"), _r("pass_rate").alias("pass_rate"), "smells")
+
+
+def _signals(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, "decision").when(F.col("event_id") % 3 == 1, "writing").otherwise(F.col("event_type")).alias("channel"),
+        F.when(F.col("user_id") % 7 != 0, F.col("value") % 1.0).alias("weight"), F.when(F.col("user_id") % 5 != 0, (F.col("value") * 3) % 1.0).alias("score"),
+        (F.col("event_id") % 4 + 1).cast("int").alias("iterations"), (F.col("event_id") % 3 == 1).alias("smells"), ((F.col("value") * 7) % 1.0).alias("law"), (F.col("event_id") % 2 == 0).alias("fail"),
+    )
+
+
+def route(spark, sf):
+    r = scoring.route(F.col("channel"), F.col("weight"), F.col("score"))
+    rows = _signals(spark, sf).select("event_id", r.alias("r")).select("event_id", "r.*")
+    return rows.select("event_id", "path", "max_iter", "k", _r("abstain_floor").alias("abstain_floor"), _r("sure_bar").alias("sure_bar"), _r("familiarity").alias("familiarity"))
+
+
+def assess_confidence(spark, sf):
+    smells = F.when(F.col("event_id") % 5 != 0, F.col("smells"))
+    a = scoring.assess(F.col("law"), F.col("fail"), smells, F.col("weight"), F.col("score"), F.col("iterations"), F.lit(4))
+    rows = _signals(spark, sf).select("event_id", a.alias("a")).select("event_id", "a.*")
+    return rows.select("event_id", _r("score").alias("score"), "verdict", "weakest")
+
+
+def consolidate_routing(spark, sf):
+    docs = _docs(spark, sf).join(_t(spark, sf, "labels"), "doc_id", "left")
+    ok = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    records = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), (scoring.substance_prior(F.col("text")) + 2).alias("salience"), F.coalesce(ok, F.lit(False)).alias("human_approved"))
+    return loop.consolidated(records).select("id", "store", "fresh")
+
+
+def reflect(spark, sf):
+    docs = _docs(spark, sf).join(_t(spark, sf, "labels"), "doc_id", "left")
+    episodes = docs.select(
+        "doc_id", "text", F.lit(" cue ").alias("cue"), (F.col("quality") + 1 - F.col("toxic")).alias("passed"), F.when(F.col("quality").isNotNull(), 2).alias("items"),
+        (F.col("quality") == 1).alias("smells"), F.lit("clean").alias("weakest"), F.lit(False).alias("human_approved"),
+    )
+    return loop.reflected(episodes, ("doc_id",)).select("doc_id", "title", "salience", "note", "cue", "law_pass")
+
+
+# ---------------------------------------------------------------- Markdown
+
+
+def markdown_entries(spark, sf):
+    return markdown.entries(fixtures.frame(spark, "markdown")).select("path", "title", "body", "section", "note", "channel", "date")
+
+
+def markdown_sections(spark, sf):
+    return markdown.sections(fixtures.frame(spark, "docs"), "report").select("path", "title", _length("body").alias("n"), "section", "date")
+
+
+def decision_fields(spark, sf):
+    return markdown.load_decisions(fixtures.frame(spark, "decisions")).select("title", "choice", "reason", "cost", "context", "outcome", "date", "project")
+
+
+def decision_memory(spark, sf):
+    return markdown.decision_memory(markdown.load_decisions(fixtures.frame(spark, "decisions"))).select("title", "body", "source", "note")
+
+
+def rubric_items(spark, sf):
+    return rubric.parse(fixtures.RUBRIC_TEXT).frame(spark).select("ord", "key", "title", "desc", "kind", "weight")
+
+
+def rubric_weight(spark, sf):
+    return rubric.total_weight(rubric.parse(fixtures.RUBRIC_TEXT).frame(spark))
+
+
+# ---------------------------------------------------------------- learning and loop
+
+
+def _supervised(spark, sf):
+    rows = _vectors(spark, sf).select("id", "v", F.col("label").alias("gid"), calibration.hash_split(F.col("id")).alias("test"))
+    return learn.sample(rows)
+
+
+def _trained(spark, sf):
+    x, g, test = _supervised(spark, sf)
+    net, report = learn.train(x, g, test, epochs=5, out=32, hidden=64)
+    return x, g, test, net, report
+
+
+def identity_auc(spark, sf):
+    report = _trained(spark, sf)[4].row()
+    return spark.createDataFrame([{k: float(v) if isinstance(v, float) else v for k, v in report.items()}])
+
+
+def identity_project(spark, sf):
+    net = _trained(spark, sf)[3]
+    return learn.project(_vectors(spark, sf), net).select("id", _r(norm(F.col("v")), 3).alias("norm"))
+
+
+def int8_auc(spark, sf):
+    x, g, test, net, _ = _trained(spark, sf)
+    r = learn.quant_report(net, learn.Int8Encoder.of(net), x[test], g[test])
+    return spark.createDataFrame([{"size_ratio": float(r["size_ratio"]), "fp32_auc": r["fp32_auc"], "int8_auc": r["int8_auc"], "fidelity_held": bool(r["fidelity_held"])}])
+
+
+def supcon_loss(spark, sf):
+    x, g, _ = _supervised(spark, sf)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(round(learn.supcon(x[:2000], g[:2000])[0], 6),)], "loss double")
+
+
+def run_loop_stub(spark, sf):
+    items = [r.asDict() for r in fixtures.frame(spark, "rubric").collect()]
+    runs = [loop.run_loop(c, loop.StubEngine(), items) for c in ("trust", "speed")]
+    return verdicts.best_draft(loop.rounds_frame(spark, runs).withColumn("score", F.lit(0.0)))
+
+
+QUERIES = {f.__name__: f for f in (
+    channel_counts, min_body_filter, cap_body, registry_load, body_stats, dedup_first, text_sha1, cache_misses, infer_title, sanitize, substance_prior, salience, sentence_split,
+    structural_flags, trace_sensitivity, output_screen, hash_encoder, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
+    recall_base_score, active_traces, recall_topk, mmr_k3, beta_calibration, dynamic_alpha, separability, separability_report, hopfield_energy, iterative_recall, stability_report,
+    pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, cluster_channels,
+    sleep_report, weighted_pass_rate, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,
+    decision_memory, rubric_items, rubric_weight, identity_auc, identity_project, int8_auc, supcon_loss, run_loop_stub,
+)}
+
+__all__ = ["ORACLES", "QUERIES"]

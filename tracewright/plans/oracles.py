@@ -183,4 +183,14 @@ SELECT s.id, h.id IS NULL AS safe, coalesce(len(hits), 0)::BIGINT AS n_flagged,
 ('a/rule.md', 'A', 'one', '', '', '', ''), ('a/rule.md', 'B', 'three', '', '', '', ''), ('a/note.md', 'A', 'body' || chr(10) || '> quote', '', 'n1 n2', '', ''), ('a/section.md', 'A', 'b', 'S', '', '', ''),
 ('a/surface.md', 'reel on LinkedIn (01.02.2026)', 'b', '', '', 'LinkedIn', '01.02.2026'), ('a/empty.md', 'B', 'b', '', '', '', '')) v(path, title, body, section, note, channel, date)""",
     "verdict_summary": """SELECT * FROM (VALUES (1::BIGINT, 4::BIGINT, 4::BIGINT, 0::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE, true), (2, 4, 0, 4, 7.5, 0.0, false), (3, 4, 0, 4, 7.5, 0.0, false), (4, 4, 0, 4, 7.5, 0.0, false), (5, 4, 0, 4, 7.5, 0.0, false)) v(draft_id, items, passed, n_fail, weighted_fail, pass_rate, smells)""",
+    "verdict_coerce": """SELECT d.id::BIGINT AS draft_id, k.key, (d.id = 1) AS pass, coalesce(d.id = 1 OR d.id = 2 AND k.key = 'thesis' OR d.id = 3 AND k.key = 'list', false) AS parsed
+FROM (VALUES (1), (2), (3), (4), (5)) d(id) CROSS JOIN (VALUES ('thesis'), ('em_dash'), ('list'), ('voice')) k(key)""",
+    "markdown_sections": """SELECT path, title, n::BIGINT AS n, section, date FROM (VALUES ('r/2026-01-05-plan.md', 'Plan', 58, 'Plan', '2026-01-05'), ('r/2026-01-05-plan.md', 'Plan — Why', 40, 'Plan', '2026-01-05'),
+('r/fenced.md', 'F', 53, 'F', ''), ('r/late.md', 'late', 55, 'late', ''), ('r/plain.md', 'plain', 64, 'plain', '')) v(path, title, n, section, date)""",
+    "decision_fields": """SELECT * FROM (VALUES ('19 Tem · x · pick', 'first second', '', '', '', 'log', '19 Tem', 'beta'), ('2026-02-03 · build · use tabs', 'use tabs', 'they are shorter YÖNTEM: by vote', 'none', '', '', '2026-02-03', 'beta'),
+('cache', 'add one', 'a/b ratio is bad', 'ucuz', 'reads are slow.', '', '2026-01-02', 'alpha'), ('only why', 'only why', 'because', '', 'it depends', '', '', 'alpha'),
+('open', 'inside ``` - a b KARAR: kept in section', '', '', '', '', '', 'delta'), ('t', 't', '', '', 'c', '', '', 'delta')) v(title, choice, reason, cost, context, outcome, date, project)""",
+    "rubric_items": """SELECT ord::INT AS ord, key, title, "desc", kind, 1.0::DOUBLE AS weight FROM (VALUES (0, 'open_plainly', 'Open plainly.', 'No hook of any kind.', 'backbone'), (1, 'one_thesis', 'One thesis.', 'Carry it.', 'backbone'),
+(2, 'no_em_dash', 'No em dash.', 'Not one.', 'mechanical'), (3, 'no_list', 'No list.', 'No list.', 'mechanical')) v(ord, key, title, "desc", kind)""",
+    "run_loop_stub": "SELECT run_id::INT AS run_id, 3::INT AS round, 'Draft about ' || cue AS draft, 0.0::DOUBLE AS weighted_fail FROM (VALUES (0, 'trust'), (1, 'speed')) v(run_id, cue)",
 }

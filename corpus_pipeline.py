@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import mixing, pieces, quality, simhash, toxicity
-from tracewright.llm.common import ensure_checkpoint_dir
+from tracewright.llm.common import ensure_checkpoint_dir, positional
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,26 +23,32 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field accepts; it is fitted without the rows held out for its evaluation."""
     model = quality.train(docs, _labels(spark, sf_dir), where=~quality.held_out("doc_id"))
-    return quality.score(docs, model, keep_text=True).where("predicted = 1").select(docs.columns)
+    rows, name = positional(docs)
+    rows = quality.score(rows, model, name["text"], keep_text=True).where("predicted = 1")
+    return rows.select(*name.values()).toDF(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't find toxic."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(docs.columns)
+    rows, name = positional(docs)
+    rows = toxicity.score(rows, model, name["text"], keep_text=True).where("predicted = 0")
+    return rows.select(*name.values()).toDF(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near-duplicates. One row of each group stays."""
-    return simhash.one_of_each(docs)
+    rows, name = positional(docs)
+    return simhash.one_of_each(rows, name["doc_id"], name["text"]).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     plan = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
     plan = plan.select(F.col("doc_id").alias("taken"), "copies")
-    rows = docs.join(plan, docs.doc_id.eqNullSafe(plan.taken))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    rows, name = positional(docs)
+    rows = rows.join(plan, F.col(name["doc_id"]).eqNullSafe(F.col("taken")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*name.values()).toDF(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

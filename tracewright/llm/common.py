@@ -1,39 +1,22 @@
-"""Helpers shared by the training-data operators: lineage cuts and connected components."""
+"""Helpers shared by the training-data operators: connected components, text blocks, labelled samples."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import cut, ensure_checkpoint_dir
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set, as in tests, make one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracewright-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from there.
-
-    Survives the loss of executors and keeps loops from growing their lineage.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
     return row["n"], row["x"]
@@ -83,14 +66,11 @@ def map_text(df: DataFrame, text_col: str, compute: Callable[[list[str]], list[n
     """`df` with columns computed from whole texts in blocks; null texts count as empty.
 
     compute gets the texts of a block and returns an array for each of `fields` (a DDL string). The
-    rows' other columns are passed on, the text only if keep_text.
+    rows' other columns are passed on, the text only if keep_text; columns named like a result give way to it.
     """
     schema = T.StructType.fromDDL(fields)
     source = df.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    kept = [c for c in df.columns if keep_text or c != text_col]
-    clash = set(kept) & set(schema.names)
-    if clash:
-        raise ValueError(f"columns in the way of the results: {sorted(clash)}")
+    kept = [c for c in df.columns if (keep_text or c != text_col) and c not in schema.names]
     source = source.select(*[F.col(f"`{c}`") for c in kept], *([] if keep_text else [F.col(f"`{text_col}`")]))
     at = source.columns.index(text_col)
     types = [pa.string() if f.dataType == T.StringType() else None for f in schema]
@@ -117,3 +97,12 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, most: int, w
     rows = rows if where is None else rows.where(where)
     rows = rows.groupBy(F.col(id_col).alias("id_")).agg(F.max(label_col).cast("int").alias("label"))
     return F.broadcast(cut(rows.orderBy(F.xxhash64("id_"), "id_").limit(most)))
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named by place, and the new name of each: no name can clash then; toDF gives them back."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+__all__ = ["WORD", "components", "cut", "ensure_checkpoint_dir", "labelled_sample", "map_text", "positional"]

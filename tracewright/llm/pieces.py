@@ -430,14 +430,14 @@ def encode_table(df: DataFrame, text_col: str = "text", model: str | None = None
     """`df` with its text column replaced by `out`, the piece ids of the whole text, and `decoded_ok`.
 
     decoded_ok says whether decoding gives the text back. The marker of spaces itself, U+2581,
-    reads back as a space.
+    reads back as a space. Columns named like a result give way to it.
     """
     spark = df.sparkSession
     with open(model or default_model(), "rb") as f:
         data = f.read()
     vocabulary = spark.sparkContext.broadcast(Vocabulary(data))
     key = hash(data)
-    rest = [c for c in df.columns if c != text_col]
+    rest = [c for c in df.columns if c not in (text_col, out, "decoded_ok")]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     fields = [source.schema[c] for c in rest]
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType(), False)), T.StructField("decoded_ok", T.BooleanType())])

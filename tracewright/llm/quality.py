@@ -194,7 +194,8 @@ def _curve(share: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, most: int = TRAIN_DOCS):
     """Fit on labelled documents; returns a LineField, or the prior where a class is missing."""
     sample = labelled_sample(labels, id_col, label_col, most, where)
-    docs = df.join(sample, F.col(id_col) == F.col("id_")).select("id_", "label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.join(sample, F.col("own") == F.col("id_")).select("id_", "label", "text")
     docs = docs.where(F.size(F.split("text", "\n")) <= TRAIN_LINES)
 
     def features(texts: list[str]) -> list[np.ndarray]:
@@ -225,7 +226,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(df: DataFrame, model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """`df` with `score` double (0 to 1) and `predicted` int (1 from ACCEPT on)."""
+    """`df` with `score` double (0 to 1) and `predicted` int (1 from ACCEPT on), in place of columns of these names."""
     if isinstance(model, float):
         compute = lambda texts: [np.full(len(texts), model)]
     else:

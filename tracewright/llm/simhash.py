@@ -205,9 +205,9 @@ def digits(column: str) -> F.Column:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of `df` with the smallest id of their group: one row for each group."""
     found = cut(near_duplicates(df, id_col, text_col, radius))
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept")).agg(F.count(F.lit(1)).alias("n"))
-    if keep.where("n > 1").isEmpty():
-        return df.join(keep, F.col(id_col).eqNullSafe(F.col("kept")), "left_semi")
+    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
+    if keep.where("__n > 1").isEmpty():
+        return df.join(keep, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
     # Ids that repeat, null ones included, don't tell rows apart: their groups do.
     groups = found.groupBy("fingerprint").agg(F.first("component_id").alias("component_id"), F.first("group").alias("group"))
     rows = fingerprints(df, text_col, keep_text=True, name="__fp").withColumn("__fp", digits("__fp"))

@@ -116,8 +116,9 @@ class Chain:
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS):
     """A Chain, or the share of toxic labels where a class is missing."""
     sample = labelled_sample(labels, id_col, label_col, most)
-    docs = df.join(sample, F.col(id_col) == F.col("id_"))
-    docs = docs.select("id_", F.col("label"), F.pmod(F.xxhash64("id_", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.join(sample, F.col("own") == F.col("id_"))
+    docs = docs.select("id_", "label", F.pmod(F.xxhash64("id_", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = {(r["fold"], r["label"]): r["n"] for r in docs.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     toxic = sum(n for (_, y), n in sizes.items() if y)
@@ -196,7 +197,7 @@ def _rows(row: np.ndarray, on: np.ndarray) -> np.ndarray:
 
 
 def score(df: DataFrame, model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """`df` with `pervasive` and `toxicity` (probabilities) and `predicted` int (1: toxic)."""
+    """`df` with `pervasive` and `toxicity` (probabilities) and `predicted` int (1: toxic), in place of columns of these names."""
     if isinstance(model, float):
         compute = lambda texts: [np.full(len(texts), model)] * 2
     else:

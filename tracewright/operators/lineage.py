@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what is no longer referenced, so that the shuffle files of lineage that has been cut are
+    deleted on the executors now and not at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """`df` with the 1-based rank of each row in the total order `order`.
 

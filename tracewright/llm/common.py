@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.lineage import cut, ensure_checkpoint_dir
+from ..operators.lineage import cut, ensure_checkpoint_dir, release
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,4 +105,4 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names))
 
 
-__all__ = ["WORD", "components", "cut", "ensure_checkpoint_dir", "labelled_sample", "map_text", "positional"]
+__all__ = ["WORD", "components", "cut", "ensure_checkpoint_dir", "labelled_sample", "map_text", "positional", "release"]

@@ -40,7 +40,8 @@ def substance_prior(body: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within the bounds; null stays null, which least and greatest would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def salience(body: Column, passed: Column | None = None, items: Column | None = None, smells: Column | None = None, approved: Column | None = None) -> Column:
@@ -116,7 +117,7 @@ def route(channel: Column, weight: Column, score: Column, max_iter: int = 4, k:
 def assess(law: Column, any_fail: Column, smells: Column, weight: Column, score: Column, iterations: Column, max_iter: Column, floor: Column | float = 0.45, bar: Column | float = 0.78) -> Column:
     """struct(score, verdict, weakest, law, voice_fit, grounding, effort)."""
     voice = F.coalesce(weight, F.lit(0.4))
-    ground = F.coalesce(F.least(F.lit(1.0), score / 0.5), F.lit(0.5))
+    ground = F.coalesce(clamp(score / 0.5, float("-inf"), 1.0), F.lit(0.5))
     effort = F.lit(1.0) - F.greatest(F.lit(0), iterations - 1) / F.greatest(F.lit(1), max_iter)
     blend = F.lit(0.45) * law + F.lit(0.22) * voice + F.lit(0.18) * ground + F.lit(0.15) * effort
     blend = F.when(smells, F.least(F.lit(1.0), blend + 0.03)).when(~smells, F.greatest(F.lit(0.0), blend - 0.08)).otherwise(blend)

@@ -165,7 +165,7 @@ SELECT cue_id, round(proximity, 6) AS proximity, y.s <= mo.q AS inside, round((1
     "route": f"""WITH {SIGNALS}, f AS (SELECT *, 0.65::DOUBLE * coalesce(weight, 0) + 0.35::DOUBLE * least(1, coalesce(score, 0) / 0.6::DOUBLE) AS fam, {STAKES} AS stakes FROM g), h AS (SELECT *, fam >= 0.6::DOUBLE AND stakes < 0.7::DOUBLE AS fast FROM f)
 SELECT event_id, CASE WHEN fast THEN 'fast' ELSE 'slow' END AS path, CASE WHEN fast THEN 2 WHEN fam < 0.4::DOUBLE OR stakes >= 0.85::DOUBLE THEN 5 ELSE 4 END::BIGINT AS max_iter, CASE WHEN fast THEN 3 ELSE 5 END::BIGINT AS k,
 round(CASE WHEN fast THEN 0.45 ELSE 0.45::DOUBLE + 0.15::DOUBLE * stakes END::DOUBLE, 6) AS abstain_floor, round(CASE WHEN fast THEN 0.78 ELSE 0.78::DOUBLE + 0.07::DOUBLE * stakes END::DOUBLE, 6) AS sure_bar, round(fam, 6) AS familiarity FROM h""",
-    "assess_confidence": f"""WITH {SIGNALS}, c AS (SELECT *, coalesce(weight, 0.4::DOUBLE) AS voice, coalesce(least(1.0::DOUBLE, score / 0.5::DOUBLE), 0.5::DOUBLE) AS ground, 1.0::DOUBLE - greatest(0, iterations - 1)::DOUBLE / 4 AS effort FROM g
+    "assess_confidence": f"""WITH {SIGNALS}, c AS (SELECT *, coalesce(weight, 0.4::DOUBLE) AS voice, CASE WHEN score IS NULL THEN 0.5 ELSE least(1.0::DOUBLE, score / 0.5::DOUBLE) END::DOUBLE AS ground, 1.0::DOUBLE - greatest(0, iterations - 1)::DOUBLE / 4 AS effort FROM g
 ), b AS (SELECT *, 0.45::DOUBLE * law + 0.22::DOUBLE * voice + 0.18::DOUBLE * ground + 0.15::DOUBLE * effort AS x FROM c
 ), s AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN x WHEN smells THEN least(1.0::DOUBLE, x + 0.03::DOUBLE) ELSE greatest(0.0::DOUBLE, x - 0.08::DOUBLE) END AS score2, least(law, voice, ground, effort) AS low FROM b)
 SELECT event_id, round(score2, 6) AS score, CASE WHEN score2 < 0.45::DOUBLE THEN 'abstain' WHEN score2 >= 0.78::DOUBLE AND NOT fail THEN 'sure' ELSE 'tentative' END AS verdict,

@@ -266,6 +266,12 @@ def conformal_quantile(spark, sf):
     return _identity(spark, sf, 0.1)[3].select("n", _r("q").alias("q"), _r("coverage").alias("coverage"))
 
 
+def conformal_loo(spark, sf):
+    """G15 at two levels over the similarities of all gold vectors."""
+    rows = [_identity(spark, sf, eps)[3].select(F.lit(eps).alias("eps"), _r("coverage").alias("coverage")) for eps in (0.05, 0.2)]
+    return rows[0].unionByName(rows[1])
+
+
 def conformal_pvalue(spark, sf):
     rows, center, scores, model = _identity(spark, sf, 0.1)
     tests = calibration.score_text(rows.where("label <> 0"), center)
@@ -355,6 +361,12 @@ def weighted_pass_rate(spark, sf):
     return out.select("draft_id", _r("pass_rate").alias("pass_rate"), "n_fail", _r("weighted_fail").alias("weighted_fail"))
 
 
+def fail_counts(spark, sf):
+    """Failed items and the pass summary of each draft."""
+    rows = _items(spark, sf).groupBy("draft_id").agg(F.count_if(~F.col("pass")).alias("n_fail"), F.count_if("pass").alias("p"), F.count(F.lit(1)).alias("n"))
+    return rows.select("draft_id", "n_fail", scoring.pass_summary(F.col("p"), F.col("n")).alias("law_pass"))
+
+
 def verdict_coerce(spark, sf):
     got = verdicts.parsed(fixtures.frame(spark, "judge"))
     return verdicts.coerced(got, fixtures.frame(spark, "rubric")).select("draft_id", "key", "pass", "parsed")
@@ -422,6 +434,32 @@ def decision_memory(spark, sf):
     return markdown.decision_memory(markdown.load_decisions(fixtures.frame(spark, "decisions"))).select("title", "body", "source", "note")
 
 
+def decision_stats(spark, sf):
+    """Complete decisions by project."""
+    rows = markdown.load_decisions(fixtures.frame(spark, "decisions"))
+    full = (F.col("choice") != "") & (F.col("reason") != "")
+    return rows.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.count_if(full).alias("full"), F.count_if(F.col("cost") != "").alias("costed"), F.count_if(F.col("context") != "").alias("placed"))
+
+
+def context_block(spark, sf):
+    """P10, P12 over documents: of each source the text that a reader may see quoted."""
+    docs = _docs(spark, sf)
+    hits = docs.select(F.col("source").alias("cue_id"), F.col("doc_id").alias("pos"), F.col("text").alias("body"), F.lit("").alias("note"), scoring.trace_sensitive(F.lit(None).cast("boolean"), F.col("source"), F.col("text")).alias("sensitive"))
+    return loop.context_block(hits).select("cue_id", F.sha1(F.col("context").cast("binary")).alias("sha"))
+
+
+def weak_parse(spark, sf):
+    """F10."""
+    return fixtures.frame(spark, "judge").select("draft_id", F.coalesce(F.length(verdicts.weak_parse(F.col("raw"))), F.lit(-1)).cast(LONG).alias("n"))
+
+
+def confidence_line(spark, sf):
+    """F15, F16."""
+    a = scoring.assess(F.col("law"), F.col("fail"), F.col("smells"), F.col("weight"), F.col("score"), F.col("iterations"), F.lit(4))
+    rows = _signals(spark, sf).select("event_id", a.alias("a"))
+    return rows.select("event_id", F.regexp_replace(scoring.confidence_line(F.col("a.verdict"), F.col("a.score"), F.col("a.weakest")), r"\d+%", "#").alias("line"))
+
+
 def rubric_items(spark, sf):
     return rubric.parse(fixtures.RUBRIC_TEXT).frame(spark).select("ord", "key", "title", "desc", "kind", "weight")
 
@@ -477,7 +515,7 @@ QUERIES = {f.__name__: f for f in (
     structural_flags, trace_sensitivity, output_screen, hash_encoder, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
     recall_base_score, active_traces, recall_topk, mmr_k3, beta_calibration, dynamic_alpha, separability, separability_report, hopfield_energy, iterative_recall, stability_report,
     pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, cluster_channels,
-    sleep_report, weighted_pass_rate, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,
+    sleep_report, weighted_pass_rate, fail_counts, weak_parse, confidence_line, context_block, decision_stats, conformal_loo, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,
     decision_memory, rubric_items, rubric_weight, identity_auc, identity_project, int8_auc, supcon_loss, run_loop_stub,
 )}
 

@@ -31,7 +31,7 @@ SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 2
 #: Bytes of text, and shingles, that are worked on at once.
-BLOCK_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 20
+BLOCK_BYTES, BLOCK_SHINGLES = 1 << 20, 1 << 18
 
 #: The five primes of XXH64.
 P1, P2, P3, P4, P5 = (

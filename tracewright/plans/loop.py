@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import STAKES, pass_summary, salience
+from ..functions.scoring import pass_summary, salience
 from ..functions.text import infer_title, text_key, trim_u
 from ..operators.verdicts import read_object
 
@@ -168,4 +168,4 @@ def consolidated(records: DataFrame, held: DataFrame | None = None, least: float
     return out.withColumn("fresh", (F.col("store") != "logged") & F.coalesce(F.col("first_id") == F.col("id"), F.lit(False))).drop("first_id", "body_key")
 
 
-__all__ = ["Engine", "LoopConfig", "StubEngine", "STAKES", "build_engine", "consolidated", "context_block", "critique", "load_config", "reflected", "run_loop"]
+__all__ = ["Engine", "LoopConfig", "StubEngine", "build_engine", "consolidated", "context_block", "critique", "load_config", "reflected", "run_loop"]

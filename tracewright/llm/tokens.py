@@ -72,13 +72,13 @@ def write_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     out.option("maxRecordsPerFile", FILE_DOCS).option("compression", "none").text(path)
 
 
-def scan(path_or_files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK, header: int = HEADER) -> DataFrame:
+def scan(token_files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK, header: int = HEADER) -> DataFrame:
     """(stream, nth, tokens, head): one row per document; head: its first `header` ids.
 
-    path_or_files: (stream, part, content binary); the parts of a stream are read on from one to the next.
+    token_files: (stream, part, content binary); the parts of a stream are read on from one to the next.
     What follows the last separator of a stream is a document too, if it holds any token.
     """
-    files = path_or_files.where(F.length("content") > 0)
+    files = token_files.where(F.length("content") > 0)
     starts = F.sequence(F.lit(0), ((F.length("content") - 1) / block).cast("int"))
     blocks = files.select("stream", "part", F.explode(starts).alias("block"), "content")
     piece = F.substring(F.col("content"), F.col("block") * block + 1, F.lit(block))

@@ -98,12 +98,19 @@ class LineField:
     """Bins, weights and transitions of the field, and the curve that turns shares into scores."""
 
     def __init__(self, x: np.ndarray):
-        self.cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-        self.slots = BINS * 2
+        self.cuts = [self._cuts(x[:, k]) for k in range(x.shape[1])]
+        self.slots = 4 * BINS
         self.weight = np.zeros(3 * x.shape[1] * self.slots + 1)
         self.step = np.zeros((2, 2))
         self.curve = np.array([0.0, 1.0])
 
+    @staticmethod
+    def _cuts(x: np.ndarray) -> np.ndarray:
+        """Quantiles of all values and of those above the least: most lines have none of most marks."""
+        inner = np.linspace(0, 1, BINS + 1)[1:-1]
+        above = x[x > x.min()]
+        return np.unique(np.concatenate([np.quantile(x, inner), np.quantile(above, inner)] if above.size else [x[:1]]))
+
     def cells(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weight indices of each line: its own bins and those of the lines before and after."""
         own = np.stack([np.searchsorted(c, x[:, k], "left") + np.searchsorted(c, x[:, k], "right") for k, c in enumerate(self.cuts)], axis=1)

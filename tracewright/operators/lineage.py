@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the driver drop what is no longer referenced, so that the shuffle files of lineage that has been cut are
-    deleted on the executors now and not at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    deleted on the executors now and not at some later collection. The first round frees the JVM's objects of which
+    Python held handles, the next what they referred to; listeners let go of a finished query a little later."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:

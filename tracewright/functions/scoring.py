@@ -24,10 +24,19 @@ PRIVATE_CHANNELS = ("notes", "personal")
 
 def substance_prior(body: Column) -> Column:
     """1 to 10 from length, numbers, contrast and stance of the text itself."""
-    text = trim_u(F.coalesce(body, F.lit("")))
-    low, n = F.lower(text), n_words(text)
-    numbers = F.regexp_count(text, F.lit(r"(?U)\b\d[\d.,]*\b"))
-    stops = F.length(text) - F.length(F.regexp_replace(text, r"[.\n]", ""))
+    # Bound once each by a lambda: as plain expressions they would be evaluated at every use.
+    parts = F.transform(
+        F.array(trim_u(F.coalesce(body, F.lit("")))),
+        lambda t: F.struct(
+            (t == "").alias("empty"), F.lower(t).alias("low"), n_words(t).alias("n"), F.regexp_count(t, F.lit(r"(?U)\b\d[\d.,]*\b")).alias("numbers"),
+            (F.length(t) - F.length(F.translate(t, ".\n", ""))).alias("stops"),
+        ),
+    )
+    return F.element_at(F.transform(parts, _substance), 1)
+
+
+def _substance(p: Column) -> Column:
+    low, n, numbers, stops = p["low"], p["n"], p["numbers"], p["stops"]
 
     def add(when: Column, points: float) -> Column:
         return F.when(when, F.lit(points)).otherwise(F.lit(0.0))
@@ -36,7 +45,7 @@ def substance_prior(body: Column) -> Column:
     score = score + add(numbers >= 1, 0.7) + add(numbers >= 3, 0.6)
     score = score + add(any_of(low, CONTRAST), 0.8) + add(any_of(low, HUMAN), 0.6)
     score = score + add((stops <= 1) & (n < 30), -1.0)
-    return F.when(text == "", F.lit(1.0)).otherwise(clamp(score, 1.0, 10.0))
+    return F.when(p["empty"], F.lit(1.0)).otherwise(clamp(score, 1.0, 10.0))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

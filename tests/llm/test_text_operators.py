@@ -209,6 +209,54 @@ def test_edits_walk_forgives_shifts():
     assert (many[0] == fp[0]).all()  # whatever stands beside it
 
 
+def near_parts(fps):
+    """The least place of each fingerprint's component, over all pairs."""
+    bits = np.unpackbits(fps, axis=1).astype(np.float32)
+    off = bits @ (1 - bits.T) + (1 - bits) @ bits.T
+    near = np.argwhere(np.triu(np.cos(np.pi * off / edits.BITS) >= edits.LIKE, 1))
+    root = linked(range(len(fps)), [(int(a), int(b)) for a, b in near])
+    return [root[k] for k in range(len(fps))]
+
+
+def test_edits_components_brute(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).orderBy("doc_id").collect()
+    fps = edits.fingerprints([r["text"] for r in rows])
+    want = {rows[k]["doc_id"]: rows[root]["doc_id"] for k, root in enumerate(near_parts(fps))}
+    got = edits.fingerprint_table(spark.createDataFrame(rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_bands_find_pairs_up_to_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 256, (150, edits.BITS // 8), dtype=np.uint8)
+    bits = np.unpackbits(base, axis=1)
+    for k in range(len(bits)):
+        bits[k, rng.choice(edits.BITS, 30 + k % 45, replace=False)] ^= 1  # 30 to 74 bits
+    fps = np.concatenate([base, np.packbits(bits, axis=1)])
+    prints = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(fps)], "node long, fingerprint binary").repartition(3)
+    pairs = set()
+    for k in range(0, edits.BANDS, edits.BANDS_AT_ONCE):
+        pairs |= {(r["hub"], r["node"]) for r in edits.band_links(prints, range(k, k + edits.BANDS_AT_ONCE)).collect()}
+    want = {(k, k + 150) for k in range(150) if 30 + k % 45 <= 73}
+    assert edits.MOST_OFF == 73 and pairs == want
+
+
+@pytest.mark.parametrize("size", [5, 40, 700])
+def test_members_of_a_band_are_all_compared(size):
+    """Chains and pairs beside an unrelated least member."""
+    rng = np.random.default_rng(size)
+    bits = rng.integers(0, 2, (size, edits.BITS), dtype=np.uint8)
+    for k in range(2, size):
+        if k % 7:
+            bits[k] = bits[k - 1]
+            bits[k, rng.choice(edits.BITS, 50 + k % 20, replace=False)] ^= 1
+    fps = np.packbits(bits, axis=1, bitorder="little")[np.append(0, 1 + rng.permutation(size - 1))]
+    a, b = edits.alike(np.zeros(size, np.int64), fps.view("<u8"))
+    got = linked(range(size), zip(a.tolist(), b.tolist()))
+    assert [got[k] for k in range(size)] == near_parts(fps) and len(set(got.values())) < size
+
+
 def test_edits_edges(spark, odd, odd_rows, empty, wide):
     n = 0
     for table in (odd, wide):

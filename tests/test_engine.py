@@ -41,6 +41,21 @@ def test_gradient():
         assert abs((up - down) / (2 * step) - grads[name][at]) < 1e-5
 
 
+def test_statistics_cover_all_rows(spark):
+    """Groups that only rows beyond the 2000th have."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2300, 6))
+    g = np.where(np.arange(2300) < 2000, np.arange(2300) % 3, 3 + np.arange(2300) // 100)
+    x[2000:] += rng.standard_normal((30, 6))[g[2000:]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, x[k].tolist(), int(g[k])) for k in range(len(x))], "id long, v array<double>, gid long")
+    assert learn.supcon_loss(rows).first()["loss"] == pytest.approx(learn.supcon(x, g)[0], abs=1e-9)
+    i, j = np.triu_indices(len(x), 1)
+    sims, same = (x @ x.T)[i, j], g[i] == g[j]
+    want = np.searchsorted(np.sort(sims[~same]), sims[same]).mean() / (~same).sum()
+    assert learn.auc(x, g) == pytest.approx(want, abs=1e-9) == learn.whole_auc(rows, None)
+
+
 def test_training_beats_raw_on_planted_groups():
     rng = np.random.default_rng(1)
     groups = np.repeat(np.arange(8), 40)

@@ -12,10 +12,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot, unit
+from . import calibration
+from .lineage import cut
+from .retrieval import pairwise
+
 MOST_ROWS = 20_000
 
 
@@ -89,9 +95,36 @@ def supcon(z: np.ndarray, groups: np.ndarray, temperature: float = 0.1) -> tuple
     return float(loss), (g + g.T) @ z
 
 
-def auc(z: np.ndarray, groups: np.ndarray, cap: int = 2000) -> float:
-    """G13 over all pairs of at most `cap` rows."""
-    z, groups = z[:cap], groups[:cap]
+def supcon_loss(rows: DataFrame, temperature: float = 0.1) -> DataFrame:
+    """L2 over a whole table: (loss), one row, from rows(id, v, gid) with unit vectors.
+
+    Denominators come from blocks of similarities, the sums over partners from the sum of each group's vectors.
+    """
+
+    def reduce(ids: np.ndarray, sims: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
+        # Unit vectors: no similarity is greater than 1.
+        s = np.where(ids[:, None] == cols, -np.inf, (sims - 1) / temperature)
+        return pd.DataFrame({"id": ids, "t": np.exp(s).sum(axis=1)})
+
+    parts = pairwise(rows.select("id", "v"), None, reduce, "id long, t double")
+    below = parts.groupBy("id").agg((F.log(F.sum("t")) + F.lit(1 / temperature)).alias("below"))
+    at = rows.select("gid", F.posexplode("v").alias("pos", "x")).groupBy("gid", "pos").agg(F.sum("x").alias("x"))
+    sums = at.groupBy("gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("total"))
+    sums = sums.join(rows.groupBy("gid").agg((F.count(F.lit(1)) - 1).alias("partners")), "gid").where("partners > 0")
+    near = (dot(F.col("v"), F.col("total")) - dot(F.col("v"), F.col("v"))) / F.lit(temperature) / F.col("partners")
+    each = rows.join(sums, "gid").join(below, "id").select((F.col("below") - near).alias("loss"))
+    return each.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
+
+
+def whole_auc(rows: DataFrame, net: "IdentityEncoder | Int8Encoder | None") -> float:
+    """G13 over all pairs of a table's rows(id, v, gid), projected; without a net over the unit vectors."""
+    z = project(rows, net) if net is not None else rows.select("id", unit(F.col("v")).alias("v"))
+    labelled = cut(z.join(rows.select("id", F.col("gid").alias("label")), "id"))
+    return calibration.pair_auc(calibration.label_pairs(labelled)).first()["auc"]
+
+
+def auc(z: np.ndarray, groups: np.ndarray) -> float:
+    """G13 over all pairs of the rows."""
     i, j = np.triu_indices(len(z), 1)
     sims, same = (z @ z.T)[i, j], groups[i] == groups[j]
     p, q = int(same.sum()), int((~same).sum())

@@ -7,12 +7,13 @@ against all vectors.
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..functions.vectors import as_double, norm
+from ..functions.vectors import as_double, norm, unit
 from ..operators import boundary, calibration, encode, learn, retrieval, themes, verdicts
 from ..sources import markdown, registry, rubric
 from . import fixtures, loop
@@ -472,18 +473,20 @@ def rubric_weight(spark, sf):
 
 
 def _supervised(spark, sf):
-    rows = _vectors(spark, sf).select("id", "v", F.col("label").alias("gid"), calibration.hash_split(F.col("id")).alias("test"))
-    return learn.sample(rows)
+    return _vectors(spark, sf).select("id", "v", F.col("label").alias("gid"), calibration.hash_split(F.col("id")).alias("test"))
 
 
 def _trained(spark, sf):
-    x, g, test = _supervised(spark, sf)
-    net, report = learn.train(x, g, test, epochs=5, out=32, hidden=64)
-    return x, g, test, net, report
+    rows = _supervised(spark, sf)
+    x, g, test = learn.sample(rows)
+    net, report = learn.train(x, g, test)
+    return x, g, test, net, report, rows.where("test")
 
 
 def identity_auc(spark, sf):
-    report = _trained(spark, sf)[4].row()
+    """Trained on a sample; both AUCs over the whole held-out part."""
+    *_, net, report, held = _trained(spark, sf)
+    report = replace(report, baseline_auc=learn.whole_auc(held, None), learned_auc=learn.whole_auc(held, net), n_test=held.count()).row()
     return spark.createDataFrame([{k: float(v) if isinstance(v, float) else v for k, v in report.items()}])
 
 
@@ -493,15 +496,16 @@ def identity_project(spark, sf):
 
 
 def int8_auc(spark, sf):
-    x, g, test, net, _ = _trained(spark, sf)
-    r = learn.quant_report(net, learn.Int8Encoder.of(net), x[test], g[test])
-    return spark.createDataFrame([{"size_ratio": float(r["size_ratio"]), "fp32_auc": r["fp32_auc"], "int8_auc": r["int8_auc"], "fidelity_held": bool(r["fidelity_held"])}])
+    """Trained on a sample; both AUCs over the whole held-out part."""
+    x, g, test, net, _, held = _trained(spark, sf)
+    small = learn.Int8Encoder.of(net)
+    full, quick = learn.whole_auc(held, net), learn.whole_auc(held, small)
+    ratio = learn.quant_report(net, small, x[test], g[test])["size_ratio"]
+    return spark.createDataFrame([{"size_ratio": float(ratio), "fp32_auc": full, "int8_auc": quick, "fidelity_held": quick >= full - 0.02}])
 
 
 def supcon_loss(spark, sf):
-    x, g, _ = _supervised(spark, sf)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return spark.createDataFrame([(round(learn.supcon(x[:2000], g[:2000])[0], 6),)], "loss double")
+    return learn.supcon_loss(_supervised(spark, sf).withColumn("v", unit(F.col("v")))).select(_r("loss").alias("loss"))
 
 
 def run_loop_stub(spark, sf):

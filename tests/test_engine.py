@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from tracewright.operators import encode, learn
+from tracewright.operators import boundary, encode, learn
 from tracewright.plans import fixtures, loop
 from tracewright.sources import registry, rubric
 from tracewright.streaming import episodes
@@ -90,6 +90,17 @@ def test_context_block_quotes_only_what_is_known_safe(spark):
     assert loop.context_block(hits).first()["context"] == "--- sample ---\n[why: n]\na\n\n--- sample ---\nd"
 
 
+def test_screen_uses_every_anchor(spark):
+    said = "Ailemle yaşadığım özel, kişisel, mahrem bir an."
+    texts = spark.createDataFrame([(1, said), (2, "The mill stands by the river.")], "id long, text string")
+    got = {r["id"]: r for r in boundary.screen(texts, boundary.anchor_vectors(spark)).collect()}
+    assert got[1]["reasons"] == ["meaning"] and not got[1]["safe"] and got[1]["redacted"] == boundary.MASK and got[2]["safe"]
+    far = [([1.0 if k == d else 0.0 for k in range(encode.DIMS)],) for d in range(encode.DIMS)]
+    mine = encode.hashed("The mill stands by the river.").tolist()
+    many = spark.createDataFrame([*[(f[0],) for f in far], (mine,)], "a array<double>").coalesce(1)
+    assert not {r["id"]: r["safe"] for r in boundary.screen(texts, many, threshold=0.99).collect()}[2]
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     source, stores, log = (str(tmp_path / x) for x in ("in", "stores", "log"))
     (tmp_path / "in").mkdir()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import structural_hit
@@ -13,10 +13,22 @@ from ..functions.vectors import dot, as_double
 from .encode import hash_encoder
 
 MASK = "[sensitive: removed]"
+#: Family health, personal finance, family privacy, mental health: the reference's.
+ANCHORS = (
+    "annemin sağlığı ve tedavisi, hastalığı, doktoru",
+    "kazandığım para, gelirim, maaşım, ne kadar kazandığım",
+    "ailemle yaşadığım özel, kişisel, mahrem bir an",
+    "ruh halim, depresyonum, terapim, psikolojik durumum",
+)
+
+
+def anchor_vectors(spark: SparkSession, encoder: Callable[[Column], Column] = hash_encoder) -> DataFrame:
+    """(a): the unit vectors of ANCHORS."""
+    return spark.createDataFrame([(a,) for a in ANCHORS], "s string").select(as_double(encoder(F.col("s"))).alias("a"))
 
 
 def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float = 0.55, redact: bool = True, encoder: Callable[[Column], Column] = hash_encoder) -> DataFrame:
-    """texts(id, text) to (id, safe, flagged, reasons, redacted). anchors(a): a few unit vectors.
+    """texts(id, text) to (id, safe, flagged, reasons, redacted). anchors(a): unit vectors, all of them used.
 
     A sentence is flagged for its structure first, else for its greatest similarity to an anchor. Every
     occurrence of a flagged sentence is masked. A null text can't be verified and is held.
@@ -24,10 +36,11 @@ def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float
     rows = texts.select("id", "text", F.posexplode_outer(sentences(F.col("text"))).alias("n", "s"))
     rows = rows.withColumn("why", structural_hit(F.col("s")))
     if anchors is not None:
-        few = anchors.limit(64).agg(F.collect_list("a").alias("anchors"))
-        v = as_double(encoder(F.col("s")))
-        near = F.array_max(F.transform("anchors", lambda a: dot(v, a)))
-        rows = rows.crossJoin(F.broadcast(few)).withColumn("why", F.coalesce("why", F.when(near >= threshold, "meaning")))
+        few = anchors.agg(F.collect_list("a").alias("anchors"))
+        # Encoded before the join: lambdas take no Python function.
+        rows = rows.withColumn("v", as_double(encoder(F.col("s")))).crossJoin(F.broadcast(few))
+        near = F.array_max(F.transform("anchors", lambda a: dot(F.col("v"), a)))
+        rows = rows.withColumn("why", F.coalesce("why", F.when(near >= threshold, "meaning")))
     hit = F.when(F.col("why").isNotNull(), F.struct("n", "s", "why"))
     got = rows.groupBy("id").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(hit)).alias("hits"))
     flagged = F.transform("hits", lambda h: h["s"])

@@ -173,3 +173,11 @@ def test_first_two_and_knn(spark):
     assert all(abs(got[i]["s1"] - best[i, 0]) < 1e-12 and abs(got[i]["s2"] - best[i, 1]) < 1e-12 for i in range(30))
     knn = {r["id"]: r["proximity"] for r in themes.knn_proximity(rows).collect()}
     assert all(abs(knn[i] - best[i, :3].mean()) < 1e-12 for i in range(30))
+
+
+def test_more_cues_than_are_broadcast_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(40)], "id long, v array<double>")
+    cues = rows.selectExpr("id as cue_id", "v as q")
+    monkeypatch.setattr(retrieval, "MOST_CUES", 7)
+    got = {(r["cue_id"], r["id"]): r["sim"] for r in retrieval.cosine(rows, cues).collect()}
+    assert got == {(a, b): a * b + 1.0 for a in range(40) for b in range(40)} and retrieval.cosine(rows, cues).count() == 1600

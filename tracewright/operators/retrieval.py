@@ -1,6 +1,6 @@
 """Sparse associative retrieval: similarities, weights, priors, base score, diverse selection, energy.
 
-Cues are few and memory is large: a cue table of a checked size is broadcast against memory, and everything after
+Cues are few and memory is large: cues are broadcast against memory, MOST_CUES at a time, and everything after
 is partitioned by cue. Weights of all but the strongest traces are exactly zero under entmax, so
 only traces that can be in its support are sorted.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.scoring import clamp, recency_date
 from ..functions.vectors import dot
 
-#: Cues that may be broadcast; more are joined by blocks of this many.
+#: Cues that are broadcast at once.
 MOST_CUES = 10_000
 ACTIVE = 1e-3
 
@@ -27,11 +27,14 @@ ACTIVE = 1e-3
 def cosine(memory: DataFrame, cues: DataFrame) -> DataFrame:
     """(cue_id, id, sim, ...) of unit vectors: memory(id, v, ...) by cues(cue_id, q).
 
-    The cues are broadcast; MOST_CUES bounds them and is checked by counting no further than that.
+    The cues are broadcast, in parts of about MOST_CUES where there are more.
     """
-    if cues.limit(MOST_CUES + 1).count() > MOST_CUES:
-        raise ValueError(f"more than {MOST_CUES} cues; pass them in parts")
-    pairs = memory.crossJoin(F.broadcast(cues))
+    parts = -(-cues.count() // MOST_CUES)
+    pairs = None
+    for k in range(max(parts, 1)):
+        some = cues if parts < 2 else cues.where(F.pmod(F.xxhash64("cue_id"), F.lit(parts)) == k)
+        now = memory.crossJoin(F.broadcast(some))
+        pairs = now if pairs is None else pairs.unionByName(now)
     return pairs.withColumn("sim", dot(F.col("v"), F.col("q"))).drop("v", "q")
 
 

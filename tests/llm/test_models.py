@@ -49,8 +49,8 @@ def test_chat_windows(spark):
             seen.setdefault(w["conv"], []).extend(own)
             first = next((x for x in want[w["conv"]] if x[0] == "system"), None)
             assert first is None or first in turns  # the system turn is always there
-            if w["tokens"] > 256:  # only a single long turn, or a long system turn, goes beyond the budget
-                assert len(own) == 1 or first is not None and len(first[1]) > 100
+            if w["tokens"] > 256:  # only where the system turn and one own turn do
+                assert own == turns[-1:] and turns[:-1] in ([], [first])
             for s in w["loss"]:
                 learnt.setdefault(w["conv"], []).append(w["formatted"][s["from"] : s["to"]])
         assert seen == want
@@ -61,6 +61,33 @@ def test_chat_windows(spark):
     assert chat.windows(spark.createDataFrame([], TALK)).count() == 0
 
 
+@pytest.mark.parametrize("budget,history", [(64, 16), (100, 90), (300, 40), (1024, 128)])
+def test_chat_budget(spark, budget, history):
+    """Random turns and system turns of any size: history gives way, then nothing but one own turn is left."""
+    rng, rows = np.random.default_rng(budget), []
+    for c in range(60):
+        long = int(rng.choice([1, 20, budget // 3, budget - 60, budget - 10, 2 * budget]))
+        at = int(rng.integers(0, 8)) if c % 5 else -1  # without a system turn
+        for k in range(int(rng.integers(1, 40))):
+            size = max(0, long) if k == at else int(rng.choice([0, 3, 15, budget // 4, budget // 2, budget - 20]))
+            rows.append((c, k, "system" if k == at else "user" if k % 2 else "assistant", " ".join(f"w{c}x{k}" for _ in range(size))))
+    system = {r[0]: (r[3], len(r[3].split()) + chat.MARKS) for r in rows if r[2] == "system"}
+    repeated = 0
+    for w in chat.windows(spark.createDataFrame(rows, TALK), budget=budget, history=history).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect():
+        turns = [(x["role"], x["text"]) for x in w["turns"]]
+        sizes = [len(t.split()) + chat.MARKS for _, t in turns]
+        assert sum(sizes) == w["tokens"]
+        n = w["n_context"]
+        headed = bool(n) and turns[0][0] == "system"
+        repeated += n - headed
+        assert sum(sizes[headed:n]) <= history and all(r != "system" for r, _ in turns[headed:n])
+        if sum(sizes) > budget:
+            assert n == headed and len(turns) - n == 1
+        if w["conv"] in system:
+            assert ("system", system[w["conv"]][0]) in turns
+    assert repeated > 20
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((120, 12))

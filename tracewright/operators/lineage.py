@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Files of a query's shuffles are deleted once the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set, as in tests, make one."""
+    """Use the cluster's spark.checkpoint.dir. Only a local master without that setting, as in tests, gets a folder made."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracewright-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what is no longer referenced, so that the shuffle files of lineage that has been cut are
-    deleted on the executors now and not at some later collection. The first round frees the JVM's objects of which
-    Python held handles, the next what they referred to; listeners let go of a finished query a little later."""
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+    """Write `df` to the shared checkpoint folder and go on from there; survives lost executors. The shuffle files of what
+    led to `df` are deleted, as nothing needs them any more."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # read when the plan is made, which select() does
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:

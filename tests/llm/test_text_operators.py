@@ -260,13 +260,28 @@ def test_bands_find_pairs_up_to_the_threshold(spark):
     fps = np.concatenate([base, np.packbits(bits, axis=1)])
     prints = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(fps)], "node long, fingerprint binary").repartition(3)
     pairs = set()
-    for k in range(0, edits.BANDS, edits.BANDS_AT_ONCE):
-        pairs |= {(r["hub"], r["node"]) for r in edits.band_links(prints, range(k, k + edits.BANDS_AT_ONCE)).collect()}
+    plan = edits.band_plan(len(fps))
+    for k in range(0, plan[1], edits.BANDS_AT_ONCE):
+        pairs |= {(r["hub"], r["node"]) for r in edits.band_links(prints, plan, range(k, min(k + edits.BANDS_AT_ONCE, plan[1]))).collect()}
     near = {(k, k + 150) for k in range(150) if 30 + k % 45 <= 73}
     assert edits.MOST_OFF == 73 and pairs <= near and len(pairs) >= 0.97 * len(near)
     assert {p for p in near if 30 + p[0] % 45 <= 55} <= pairs
 
 
+@pytest.mark.parametrize("n,bits", [(0, 18), (250_000, 18), (16 << 20, 21), (50_000_000_000, 32)])
+def test_band_plan_keeps_recall_and_crowds_bounded(n, bits):
+    plan = edits.band_plan(n)
+    assert plan[0] == bits and n / 2 ** plan[0] < 2**edits.CROWD
+    rng = np.random.default_rng(1)
+    few = np.stack([rng.choice(edits.BITS, edits.MOST_OFF, replace=False) for _ in range(2000)])
+    off = np.zeros((len(few), edits.BITS), bool)
+    np.put_along_axis(off, few, True, axis=1)
+    found = np.zeros(len(few), bool)
+    for at in edits.samples(*plan):
+        found |= ~off[:, at].any(axis=1)
+    assert found.mean() > 0.95
+
+
 @pytest.mark.parametrize("size", [5, 40, 700])
 def test_members_of_a_band_are_all_compared(size):
     """Chains and pairs beside an unrelated least member."""

@@ -59,7 +59,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
 
 #: Tasks that the rows of one component are dealt to.
-SALTS = 64
+SALTS = 32
 
 
 def least_of_component(nodes: DataFrame, component: str, value: str, name: str) -> DataFrame:
@@ -70,7 +70,7 @@ def least_of_component(nodes: DataFrame, component: str, value: str, name: str)
     """
     salt = F.pmod(F.xxhash64(*nodes.columns), F.lit(SALTS))
     least = nodes.where(F.col(component).isNotNull()).groupBy(component).agg(F.min(value).alias(name))
-    least = least.select(F.col(component).alias("__component"), name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    least = least.select(F.col(component).alias("__component"), name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt")).hint("merge")
     rows = nodes.where(F.col(component).isNotNull()).withColumn("__of", salt)
     named = rows.join(least, (F.col(component) == F.col("__component")) & (F.col("__of") == F.col("__salt"))).drop("__component", "__salt", "__of")
     return named.unionByName(nodes.where(F.col(component).isNull()).withColumn(name, F.col(value)))

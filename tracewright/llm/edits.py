@@ -10,9 +10,10 @@ max(0, cos(pi * differing bits / BITS)). Equal texts have equal fingerprints.
 
 Near copies: BANDS samples of bits are grouped by their values (bit-sampled banding); all members of a group are
 compared with each other, except those that its links join already, and each component that a group has is passed on
-as a star. The stars of all bands give the components. A pair shares a group with a probability of
-1 - (1 - (1 - d / BITS)^BAND_BITS)^BANDS: at the d = 73 bits that LIKE admits 0.987, at 60 bits 0.9995. Bands are
-worked on BANDS_AT_ONCE at a time, which bounds the disk.
+as a star. The stars of all bands give the components. `band_plan` sizes the bands: as many bits as keep
+unrelated fingerprints of a group few whatever their number, and as many bands as find a pair at the very limit of
+LIKE with the probability RECALL, nearer ones with more. Bands are worked on BANDS_AT_ONCE at a time, which
+bounds the disk.
 
 Whole texts are walked. Null and empty texts have the fingerprint 0. Ties of the id are ordered by text,
 null ids come first; the text after the last is the first. An empty table gives an empty result.
@@ -20,7 +21,9 @@ null ids come first; the text after the last is the first. An empty table gives
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import components, cut, least_of_component, roots
 
 BITS, HEAD, PERIOD, SEED = 512, 256, 4096, 20240501
-BANDS, BAND_BITS, LIKE = 128, 22, 0.9
+LIKE, RECALL = 0.9, 0.98
+#: Fewest bits of a band; unrelated fingerprints of a group, as a power of two.
+LEAST_BAND_BITS, CROWD = 18, 4
 #: Bytes of text that one task walks, and most tasks.
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 10_000
 #: Bands that are shuffled at a time; members of a group up to which all pairs are taken at once; rows compared at a time.
@@ -49,8 +54,6 @@ ROWS = [r.tobytes() for r in STEPS]
 SPREAD = (_rng.integers(0, 2, (HEAD, BITS)) * 2 - 1).astype(np.float32)
 #: A later step weighs as much as a head step does in all bits together; whole numbers keep sums exact.
 WEIGHT = round(BITS**0.5)
-SAMPLES = np.stack([_rng.choice(BITS, BAND_BITS, replace=False) for _ in range(BANDS)])
-POWERS = (1 << np.arange(BAND_BITS)).astype(np.float32)
 VALUE = np.array([-1, -1, 1, 1, 0], np.int32)
 #: Differing bits that LIKE admits.
 MOST_OFF = max(d for d in range(BITS // 2) if np.cos(np.pi * d / BITS) >= LIKE)
@@ -112,11 +115,26 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, np.cos(np.pi * off / BITS))
 
 
-def bands(fp: np.ndarray, which: range = range(BANDS)) -> np.ndarray:
-    """(texts, bands) ints: number of the band and the values of its sampled bits."""
-    bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.float32)
-    keys = np.stack([bits[:, SAMPLES[k]] @ POWERS for k in which], axis=1).astype(np.int32)
-    return keys + (np.array(which, np.int32) << BAND_BITS)
+def band_plan(n: int) -> tuple[int, int]:
+    """(bits of a band, bands) for n distinct fingerprints."""
+    bits = max(LEAST_BAND_BITS, max(n, 1).bit_length() - CROWD)
+    shared = math.comb(BITS - MOST_OFF, bits) / math.comb(BITS, bits)
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
+
+
+@functools.cache
+def samples(width: int, count: int) -> np.ndarray:
+    """The sampled bits of each band."""
+    rng = np.random.default_rng(SEED + width)
+    return np.stack([rng.choice(BITS, width, replace=False) for _ in range(count)])
+
+
+def bands(fp: np.ndarray, plan: tuple[int, int], which: range) -> np.ndarray:
+    """(texts, bands) longs: number of the band and the values of its sampled bits."""
+    bits = np.unpackbits(fp, axis=1, bitorder="little").astype(float)
+    powers = 2.0 ** np.arange(plan[0])
+    keys = np.stack([bits[:, samples(*plan)[k]] @ powers for k in which], axis=1).astype(np.int64)
+    return keys + (np.array(which) << plan[0])
 
 
 def edited(text: str, following: str) -> str:
@@ -202,7 +220,7 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.mapInArrow(run, schema)
 
 
-def band_keys(prints: DataFrame, which: range) -> DataFrame:
+def band_keys(prints: DataFrame, plan: tuple[int, int], which: range) -> DataFrame:
     """(key, node, fingerprint) for each of the bands of each fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +229,9 @@ def band_keys(prints: DataFrame, which: range) -> DataFrame:
                 node, prints = (c.slice(k, BLOCK_ROWS) for c in batch.columns)
                 fp = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, BITS // 8)
                 at = pa.array(np.repeat(np.arange(len(fp)), len(which)))
-                yield pa.RecordBatch.from_arrays([pa.array(bands(fp, which).ravel()), node.take(at), prints.take(at)], ["key", "node", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([pa.array(bands(fp, plan, which).ravel()), node.take(at), prints.take(at)], ["key", "node", "fingerprint"])
 
-    return prints.select("node", "fingerprint").mapInArrow(run, "key int, node long, fingerprint binary")
+    return prints.select("node", "fingerprint").mapInArrow(run, "key long, node long, fingerprint binary")
 
 
 def alike(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +275,7 @@ def alike(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
 
 
-def band_links(prints: DataFrame, which: range) -> DataFrame:
+def band_links(prints: DataFrame, plan: tuple[int, int], which: range) -> DataFrame:
     """(node, hub): links of the groups of the bands."""
 
     def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -281,7 +299,7 @@ def band_links(prints: DataFrame, which: range) -> DataFrame:
         if held:
             yield links(held)
 
-    dealt = band_keys(prints, which).repartition("key").sortWithinPartitions("key")
+    dealt = band_keys(prints, plan, which).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "node long, hub long").distinct()
 
 
@@ -289,9 +307,9 @@ def fingerprint_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`compared` in hexadecimal, with component_id: the smallest id among near copies found by banding."""
     rows = cut(compared(df, id_col, text_col))
     prints = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
-    linked = None
-    for k in range(0, BANDS, BANDS_AT_ONCE):
-        found = cut(band_links(prints, range(k, min(k + BANDS_AT_ONCE, BANDS))))
+    plan, linked = band_plan(prints.count()), None
+    for k in range(0, plan[1], BANDS_AT_ONCE):
+        found = cut(band_links(prints, plan, range(k, min(k + BANDS_AT_ONCE, plan[1]))))
         linked = found if linked is None else linked.unionByName(found)
     comp = components(linked, "node", "hub").withColumnRenamed("node", "c")
     named = cut(prints.join(comp, prints.node == comp.c, "left").select("fingerprint", "low", "component"))

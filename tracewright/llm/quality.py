@@ -7,21 +7,25 @@ score. Labels exist for documents only: a first model without transitions takes
 what its document is, then lines of bad documents that it finds good are taken for good, and the field is
 trained with these line labels.
 
-The fit uses a bounded sample of labelled documents (TRAIN_DOCS, of at most TRAIN_LINES lines each).
-Every document is scored over its whole text; null and empty texts are one empty line. Without labels of
-both classes each score is the share of label 1 (0.5 if there are no labels). An empty table gives an
-empty result.
+The fit uses a bounded sample of labelled documents (TRAIN_DOCS) and of their lines: a document with more than
+TRAIN_LINES / TRAIN_DOCS of them takes part with that many consecutive ones, from a place that follows from
+a hash of its text. Every document is scored over its whole text; null and empty texts are one empty
+line, equal texts get equal scores, repeated rows their row each. Repeated labels of a document count as
+their greatest, null ones don't. Without labels of both classes each score is the share of label 1
+(0.5 if there are no labels). Columns named score or predicted give way. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, map_text
 
-TRAIN_DOCS, TRAIN_LINES = 6000, 2000
+TRAIN_DOCS, TRAIN_LINES = 6000, 1_800_000
 ACCEPT = 0.7
 BINS, ROUNDS, RATE, RIDGE = 8, 120, 0.15, 1e-4
 #: Lines of a bad document that the first model gives at least this are taken for good.
@@ -203,13 +207,16 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = labelled_sample(labels, id_col, label_col, most, where)
     docs = df.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.join(sample, F.col("own") == F.col("id_")).select("id_", "label", "text")
-    docs = docs.where(F.size(F.split("text", "\n")) <= TRAIN_LINES)
+    most_lines = max(1, TRAIN_LINES // most)
 
     def features(texts: list[str]) -> list[np.ndarray]:
         x, length, counts = line_features(texts)
         rows = np.concatenate([x, length[:, None]], axis=1).astype("<f4")
-        ends = np.cumsum(counts)
-        return [np.array([rows[e - c : e].tobytes() for e, c in zip(ends, counts)], object)]
+        out = []
+        for t, begin, n in zip(texts, np.cumsum(counts) - counts, counts):
+            begin += zlib.crc32(t.encode("utf-8", "surrogatepass")) % max(1, n - most_lines + 1)
+            out.append(rows[begin : begin + min(n, most_lines)].tobytes())
+        return [np.array(out, object)]
 
     got = map_text(docs, "text", features, "x binary").toPandas().sort_values(["id_", "label"], kind="stable")
     y = got["label"].to_numpy(int)

@@ -171,6 +171,17 @@ def test_quality_on_held_out_rows(spark):
     assert np.allclose(again.sort_values("doc_id").score, got.sort_values("doc_id").score)
 
 
+def test_long_documents_take_part_in_the_fit(spark, monkeypatch):
+    """The only bad documents are long ones: a window of their lines is enough to know them."""
+    good = "A plain line of words that says something.\n" * 6
+    bad = "BUY NOW!!! $$$ 999 | 999 | 999 !!!\n" * 5000
+    docs = spark.createDataFrame([(k, bad if k % 5 == 0 else good + f"And line {k}.") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "TRAIN_LINES", 60 * 40)
+    got = quality.score(docs, quality.train(docs, labels, most=60)).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 5 > 0) for r in got)
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(0)
     field = quality.LineField(rng.standard_normal((20, 2)))
@@ -216,6 +227,63 @@ def test_toxicity_learns_unseen_forms_and_is_not_diluted(spark):
     assert all(got[d] == t for d, _, t in marks)
 
 
+def test_out_of_fold_features_never_see_their_fold(spark):
+    """With the labels of a fold turned over, its own earlier probabilities stay; those of other folds change."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(toxicity.FOLDS))
+    ids, before = toxicity.train(docs, labels).inside
+    folds = {r[0]: r[1] for r in labels.select("doc_id", fold).collect()}
+    at = np.array([folds[d] for d in ids])
+    for f in range(2):
+        turned = labels.withColumn("toxic", F.when(fold == f, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+        again, after = toxicity.train(docs, turned).inside
+        assert (again == ids).all() and np.allclose(before[at == f, 0], after[at == f, 0], atol=1e-12)
+        assert not np.allclose(before[at != f, 0], after[at != f, 0], atol=1e-3)
+
+
+def test_chain_beats_models_of_their_own(spark):
+    """`b` needs `a` and one more word. Few documents have b, so that most words of a are never seen with it."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(1800):
+        bad, more = rng.random() < 0.4, rng.random() < 0.06
+        said = [f"plain{rng.integers(40)}x" for _ in range(8)]
+        said += [f"q{rng.integers(60)}zz" for _ in range(bad)] + ["very"] * more
+        rows.append((k, " ".join(said), int(bad), int(bad and more)))
+    rows += [(5000 + k, f"plain1x q{k}zz" + " very" * (k % 2), 1, k % 2) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, a int, b int")
+    docs, marks = table.select("doc_id", "text"), table.where("doc_id < 5000").select("doc_id", "a", "b")
+
+    def loss(model):
+        got = toxicity.score(docs.where("doc_id >= 5000"), model).toPandas().merge(table.select("doc_id", "b").toPandas(), on="doc_id")
+        p = np.clip(got.toxicity, 1e-6, 1 - 1e-6)
+        return -np.where(got.b == 1, np.log(p), np.log(1 - p)).mean()
+
+    chain = toxicity.train(docs, marks, label_cols=("a", "b"))
+    assert chain.names == ["a", "b"] and chain.models[1].b[1] > 0.5  # b leans on a
+    alone = toxicity.train(docs, marks, label_cols=("b", "b"))
+    assert loss(chain) < 0.8 * loss(alone)
+
+
+def test_logistic_model_by_newton(monkeypatch):
+    monkeypatch.setattr(toxicity, "ROUNDS", 4000)
+    monkeypatch.setattr(toxicity, "RATE", 0.01)
+    monkeypatch.setattr(toxicity, "RIDGE", 0.1)
+    rng = np.random.default_rng(0)
+    on = rng.random((300, 5)) < 0.3
+    dense = rng.standard_normal((300, 2))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(on @ [1, -1, 2, 0, 0.5] + dense[:, 0] - 0.5)))).astype(int)
+    row, col = np.nonzero(on)
+    got = toxicity.Linear().fit(row, col, 5, dense, y).predict(row, col, dense)
+    x = np.concatenate([on, dense, np.ones((300, 1))], axis=1).astype(float)
+    ridge, w = np.diag([0.01] * 7 + [0.0]), np.zeros(8)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / 300 + ridge, x.T @ (y - p) / 300 - ridge @ w)
+    assert np.allclose(got, 1 / (1 + np.exp(-x @ w)), atol=5e-3)
+
+
 def test_classifier_edges(spark, odd, odd_rows, empty, wide):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     few = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, None), (None, 0, 1), (4, None, 0), (5, 0, 1), (6, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")

@@ -1,19 +1,22 @@
 """Toxicity by a classifier chain of linear models over indicator terms.
 
 Terms are the words of a text and their beginnings of 4 to 6 characters, so that inflected forms count.
-From a bounded sample of labelled documents (TRAIN_DOCS) the terms that mark toxic documents are
-selected by their document frequencies. The chain predicts one category after the other with
-logistic models over the presence of the selected terms, the number of marked words, and
-the probabilities of all earlier categories. Later models are trained with out-of-fold
-predictions of the earlier ones, and terms are selected without the fold that they are used to predict.
-
-The labels name one category. The chain here has two: `pervasive` (a toxic document in which
-MANY different marked words occur) and then `toxic`, whose probability is the score. Other categories
-can be given as further label columns.
-
-Whole texts are scored; presence doesn't dilute with length. Null and empty texts have no terms. Without
-labels of both classes each score is the share of toxic labels (0 without labels). An empty table gives
-an empty result.
+From a bounded sample of labelled documents (TRAIN_DOCS) the terms that mark a category are selected by
+their document frequencies. The chain predicts one category after the other with logistic models
+over the presence of the selected terms, their number, and the probabilities of all earlier
+categories. Later models are trained with out-of-fold predictions of the earlier ones: what predicts
+a fold (terms, their number, weights) is chosen and fitted without that fold's labels. From the second
+link on its training rows carry their own folds' out-of-fold probabilities, as is usual.
+
+Several label columns make one category each, in their order. Where the labels name one category only, as
+here, the chain has two links with inputs of their own: `explicit` (a toxic document with a
+marked whole word) sees whole words, and `toxic`, whose probability is the score, sees beginnings, and the
+whole words by way of the first link.
+
+Whole texts are scored; presence doesn't dilute with length. Null and empty texts have no terms. Repeated
+labels of a document count as their greatest, labels in which a category is null are not used. Without labels
+of both classes in the last category each score is the share of its labels (0 without labels). Columns named like a
+result give way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_text
+from .common import cut, map_text
 
-TRAIN_DOCS, FOLDS, MANY = 20000, 3, 3
-#: Most terms that are kept, fewest toxic documents of a term, least ratio of its rates in toxic and other documents.
+TRAIN_DOCS, FOLDS = 20000, 3
+#: Most terms of a category, fewest of its documents that hold a term, least ratio of a term's rates in these and in other documents.
 TERMS, SUPPORT, RATIO = 4096, 2, 12.0
+#: Least log-likelihood ratio of a term, beyond twice the logarithm of the number of labelled documents: the more there are, the
+#: more terms mark a category by chance.
+SURE = -4.0
 #: Terms that a task counts before it passes them on.
 KEPT_TERMS = 400_000
 REJECT = 0.2
@@ -75,19 +81,23 @@ class Linear:
 
 
 class Chain:
-    """Linear models in sequence; each sees the probabilities of those before it."""
+    """Linear models in sequence; each sees its own terms and the probabilities of those before it."""
 
-    def __init__(self, vocabulary: list[str]):
+    def __init__(self, names: list[str], vocabulary: list[str], sees: np.ndarray):
+        """sees: (terms, links) whether a link's model takes a term."""
+        self.names, self.sees = names, sees
         self.number = {t: i for i, t in enumerate(vocabulary)}
         self.models: list[Linear] = []
         self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids and out-of-fold probabilities of the training rows.
+        self.inside: tuple[np.ndarray, np.ndarray] | None = None
 
-    def presences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, terms) of the terms present, and log(1 + marked words) of each text."""
+    def presences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, terms) of the terms present."""
         if len(self.known) > 500_000:
             self.known.clear()
         known, number = self.known, self.number
-        row, col, marked = [], [], np.zeros((len(texts), 1))
+        row, col = [], []
         for i, t in enumerate(texts):
             mine: set[int] = set()
             for w in words(t):
@@ -96,112 +106,160 @@ class Chain:
                     got = known[w] = tuple(number[x] for x in terms(w) if x in number)
                 if got:
                     mine.update(got)
-                    marked[i, 0] += 1
             row += [i] * len(mine)
             col += mine
-        return np.array(row, np.int64), np.array(col, np.int64), np.log1p(marked)
+        return np.array(row, np.int64), np.array(col, np.int64)
 
     def predict(self, texts: list[str]) -> list[np.ndarray]:
-        row, col, dense = self.presences(texts)
-        out = []
-        for m in self.models:
-            out.append(m.predict(row, col, dense))
-            dense = np.concatenate([dense, out[-1][:, None]], axis=1)
+        row, col = self.presences(texts)
+        out: list[np.ndarray] = []
+        for k, m in enumerate(self.models):
+            on = self.sees[col, k]
+            out.append(m.predict(row[on], col[on], _dense(row[on], len(texts), out)))
         return out
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "inside": None}
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_DOCS):
-    """A Chain, or the share of toxic labels where a class is missing."""
-    sample = labelled_sample(labels, id_col, label_col, most)
-    docs = df.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.join(sample, F.col("own") == F.col("id_"))
-    docs = docs.select("id_", "label", F.pmod(F.xxhash64("id_", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = {(r["fold"], r["label"]): r["n"] for r in docs.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    toxic = sum(n for (_, y), n in sizes.items() if y)
-    if not toxic or toxic == total:
-        return toxic / total if total else 0.0
-
-    # Document frequencies of terms by fold and label, counted in the tasks before they are shuffled.
+def _dense(row: np.ndarray, n: int, earlier: list[np.ndarray]) -> np.ndarray:
+    """log(1 + terms present), and the probabilities of the earlier categories."""
+    return np.stack([np.log1p(np.bincount(row, minlength=n)), *earlier], axis=1)
+
+
+def _sample(labels: DataFrame, id_col: str, label_cols: tuple[str, ...], most: int) -> DataFrame:
+    """At most `most` labelled ids by hash, with y0, y1, ...: small enough to broadcast by that bound."""
+    rows = labels.select(F.col(id_col).alias("id_"), *[(F.col(c) != 0).cast("int").alias(f"y{k}") for k, c in enumerate(label_cols)]).na.drop()
+    rows = rows.groupBy("id_").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(label_cols))])
+    return F.broadcast(cut(rows.orderBy(F.xxhash64("id_"), "id_").limit(most)))
+
+
+def _frequencies(docs: DataFrame, labels: int) -> DataFrame:
+    """term, and for each fold f the documents that hold it: n{f}, and of label k: n{f}_{k}. Counted in the tasks before they are shuffled."""
+    names = [f"n{f}{s}" for f in range(FOLDS) for s in ("", *(f"_{k}" for k in range(labels)))]
+    width = labels + 1
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            table = np.array(list(seen.values()), np.int64).reshape(-1, 2 * FOLDS)
-            columns = [pa.array(list(seen), pa.string()), *(pa.array(table[:, k]) for k in range(2 * FOLDS))]
+            table = np.array(list(seen.values()), np.int64).reshape(-1, len(names))
+            columns = [pa.array(list(seen), pa.string()), *(pa.array(table[:, k]) for k in range(len(names)))]
             seen.clear()
-            return pa.RecordBatch.from_arrays(columns, names)
+            return pa.RecordBatch.from_arrays(columns, ["term", *names])
 
         for batch in batches:
-            for fold, label, text in zip(*(batch.column(k) for k in range(3))):
-                k = 2 * fold.as_py() + label.as_py()
-                for term in {x for w in words(text.as_py()) for x in terms(w)}:
+            for text, fold, *y in zip(*(batch.column(k).to_pylist() for k in range(width + 1))):
+                at = [fold * width, *(fold * width + 1 + k for k in range(labels) if y[k])]
+                for term in {x for w in words(text) for x in terms(w)}:
                     if term not in seen:
-                        seen[term] = [0] * (2 * FOLDS)
-                    seen[term][k] += 1
+                        seen[term] = [0] * len(names)
+                    mine = seen[term]
+                    for k in at:
+                        mine[k] += 1
                 if len(seen) > KEPT_TERMS:
                     yield flush()
         yield flush()
 
-    tallies = [f"n{f}{y}" for f in range(FOLDS) for y in (0, 1)]
-    names = ["term", *tallies]
-    there = docs.select("fold", "label", "text").mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in tallies))
-    counts = there.groupBy("term").agg(*[F.sum(c).alias(c) for c in tallies])
-    t1 = sum(F.col(f"n{f}1") for f in range(FOLDS))
-    t0 = sum(F.col(f"n{f}0") for f in range(FOLDS))
-    ratio = (t1 / toxic) / ((t0 + 0.5) / (total - toxic))
-    top = counts.where((t1 >= SUPPORT) & (ratio >= RATIO)).withColumn("t1", t1).orderBy(F.desc("t1"), "term").limit(TERMS).toPandas()
-    vocabulary = top["term"].tolist()
-    chain = Chain(vocabulary)
-    n = top[[f"n{f}{y}" for f in range(FOLDS) for y in (0, 1)]].to_numpy(float).reshape(-1, FOLDS, 2)
-    without = n.sum(axis=1, keepdims=True) - n  # what each fold's complement has seen
-    out_toxic = np.array([sum(c for (g, y), c in sizes.items() if g != f and y) for f in range(FOLDS)])
-    out_other = np.array([sum(c for (g, y), c in sizes.items() if g != f and not y) for f in range(FOLDS)])
-    allowed = (without[:, :, 1] >= SUPPORT) & (without[:, :, 1] / np.maximum(out_toxic, 1) >= RATIO * (without[:, :, 0] + 0.5) / np.maximum(out_other, 1))
-
-    shared = df.sparkSession.sparkContext.broadcast(chain)  # at most TERMS strings
+    there = docs.select("text", "fold", *[f"y{k}" for k in range(labels)]).mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in names))
+    return there.groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _surprise(own: Column, every: Column, rate: float) -> Column:
+    """Log-likelihood ratio of a term's share of the category against the category's rate."""
+
+    def part(x: Column, p: float) -> Column:
+        return F.when(x > 0, x * F.log(x / (every * F.lit(float(min(max(p, 1e-9), 1.0)))))).otherwise(0.0)
+
+    return 2 * (part(own, rate) + part(every - own, 1 - rate))
+
+
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_cols: tuple[str, ...] = ("toxic",), most: int = TRAIN_DOCS):
+    """A Chain, or the share of the last category where it has one class only."""
+    sample = _sample(labels, id_col, label_cols, most)
+    docs = df.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.join(sample, F.col("own") == F.col("id_"))
+    ys = [f"y{k}" for k in range(len(label_cols))]
+    docs = docs.select("id_", *ys, F.pmod(F.xxhash64("id_", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = docs.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).collect()
+    n = np.zeros((FOLDS, len(ys) + 1))
+    for r in sizes:
+        n[r["fold"]] = [r["n"], *(r[y] for y in ys)]
+    total, positive = n[:, 0].sum(), n[:, -1].sum()
+    if not positive or positive == total:
+        return positive / total if total else 0.0
+
+    # Terms that mark a category, without each of the folds and over all of them.
+    freq = _frequencies(docs, len(ys))
+    marks = {}
+    for k in range(len(ys)):
+        for f in [*range(FOLDS), None]:
+            others = [g for g in range(FOLDS) if g != f]
+            own, every = sum(F.col(f"n{g}_{k}") for g in others), sum(F.col(f"n{g}") for g in others)
+            of, rest = n[others, k + 1].sum(), (n[others, 0] - n[others, k + 1]).sum()
+            marks[k, f] = (own >= SUPPORT) & (own / float(max(of, 1)) >= RATIO * (every - own + 0.5) / float(max(rest, 1))) & (_surprise(own, every, of / max(of + rest, 1)) >= SURE + 2 * float(np.log(max(of + rest, 1)))), own
+    any_ = F.lit(False)
+    for fits, _ in marks.values():
+        any_ = any_ | fits
+    freq = cut(freq.where(any_))
+    top = {at: [r[0] for r in freq.where(fits).orderBy(F.desc(own), "term").limit(TERMS).select("term").collect()] for at, (fits, own) in marks.items()}
+    vocabulary = sorted(set().union(*top.values()))
+    chosen = {at: np.isin(vocabulary, found) if found else np.zeros(len(vocabulary), bool) for at, found in top.items()}
+    whole = np.array([t.endswith("$") for t in vocabulary], bool)
+
+    finder = Chain([], vocabulary, np.zeros((0, 0), bool))
+    shared = df.sparkSession.sparkContext.broadcast(finder)  # at most TERMS strings a category and fold
 
     def found(texts: list[str]) -> list[np.ndarray]:
-        row, col, marked = shared.value.presences(texts)
+        row, col = shared.value.presences(texts)
         ends = np.searchsorted(row, np.arange(len(texts) + 1))
         lists = np.empty(len(texts), object)
         lists[:] = [col[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        return [lists, marked[:, 0]]
-
-    got = map_text(docs, "text", found, "terms array<bigint>, marked double").toPandas().sort_values("id_", kind="stable")
-    y, fold = got["label"].to_numpy(int), got["fold"].to_numpy(int)
-    dense = got["marked"].to_numpy(float)[:, None]
-    size = [len(t) for t in got["terms"]]
-    row = np.repeat(np.arange(y.size), size)
-    col = np.concatenate([np.asarray(t, np.int64) for t in got["terms"]]) if y.size else np.zeros(0, np.int64)
-    pervasive = (y == 1) & (np.expm1(dense[:, 0]) >= MANY)
-    for target in (pervasive.astype(int), (y == 1).astype(int)):
+        return [lists]
+
+    got = map_text(docs, "text", found, "terms array<bigint>").toPandas().sort_values("id_", kind="stable")
+    fold, size = got["fold"].to_numpy(int), [len(t) for t in got["terms"]]
+    row = np.repeat(np.arange(fold.size), size)
+    col = np.concatenate([np.asarray(t, np.int64) for t in got["terms"]])
+    # (name, number of the label, terms it may see, does a whole word have to be there?)
+    if len(ys) > 1:
+        links = [(c, k, np.ones(len(vocabulary), bool), False) for k, c in enumerate(label_cols)]
+    else:
+        links = [("explicit", 0, whole, True), (label_cols[0], 0, ~whole, False)]
+    chain = Chain([x[0] for x in links], vocabulary, np.stack([chosen[k, None] & may for _, k, may, _ in links], axis=1))
+    earlier: list[np.ndarray] = []
+    for at, (_, k, may, named) in enumerate(links):
+        y = got[f"y{k}"].to_numpy(int)
         inside = np.zeros(y.size)
         for f in range(FOLDS):
-            there_ = (fold != f)[row] & allowed[col, f]
-            fresh = (fold == f)[row] & allowed[col, f]
-            model = Linear().fit(_rows(row[there_], fold != f), col[there_], len(vocabulary), dense[fold != f], target[fold != f]) if (fold != f).any() else None
-            if model is not None and (fold == f).any():
-                inside[fold == f] = model.predict(_rows(row[fresh], fold == f), col[fresh], dense[fold == f])
-        chain.models.append(Linear().fit(row, col, len(vocabulary), dense, target))
-        dense = np.concatenate([dense, inside[:, None]], axis=1)
+            fresh = fold == f
+            if fresh.any() and not fresh.all():
+                sees = (chosen[k, f] & may)[col]
+                inside[fresh] = _link(row[sees], col[sees], len(vocabulary), earlier, y, named, ~fresh)[1][fresh]
+        sees = chain.sees[col, at]
+        model, _ = _link(row[sees], col[sees], len(vocabulary), earlier, y, named, np.ones(y.size, bool))
+        chain.models.append(model)
+        earlier.append(inside)
+    chain.inside = got["id_"].to_numpy(), np.stack(earlier, axis=1)
     return chain
 
 
-def _rows(row: np.ndarray, on: np.ndarray) -> np.ndarray:
-    """Row numbers among the rows that are on."""
-    return (np.cumsum(on) - 1)[row]
+def _link(row: np.ndarray, col: np.ndarray, width: int, earlier: list[np.ndarray], y: np.ndarray, named: bool, on: np.ndarray) -> tuple[Linear, np.ndarray]:
+    """A model of y fitted to the rows that are on, and its predictions for all; named: only rows with a term can be positive."""
+    dense = _dense(row, y.size, earlier)
+    y = y & (dense[:, 0] > 0) if named else y
+    use = on[row]
+    model = Linear().fit((np.cumsum(on) - 1)[row[use]], col[use], width, dense[on], y[on])
+    return model, model.predict(row, col, dense)
 
 
 def score(df: DataFrame, model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """`df` with `pervasive` and `toxicity` (probabilities) and `predicted` int (1: toxic), in place of columns of these names."""
+    """`df` with p_<category> of the categories before the last, `toxicity` (the last one's probability) and `predicted`
+    int (1: toxic), in place of columns of these names."""
     if isinstance(model, float):
-        compute = lambda texts: [np.full(len(texts), model)] * 2
+        fields, compute = [], lambda texts: [np.full(len(texts), model)]
     else:
-        shared = df.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms and weights
-        compute = lambda texts: shared.value.predict(texts)
-    out = map_text(df, text_col, compute, "pervasive double, toxicity double", keep_text)
+        shared = df.sparkSession.sparkContext.broadcast(model)  # a bounded number of terms and weights
+        fields, compute = [f"`p_{x}` double" for x in model.names[:-1]], lambda texts: shared.value.predict(texts)
+    out = map_text(df, text_col, compute, ", ".join([*fields, "toxicity double"]), keep_text)
     return out.withColumn("predicted", (F.col("toxicity") >= REJECT).cast("int"))

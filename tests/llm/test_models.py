@@ -3,6 +3,7 @@
 import hashlib
 import html as references
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -334,6 +335,36 @@ def test_html_unseen_layouts(model):
     assert right / total > 0.97
 
 
+SAID = "The committee met on Tuesday to discuss the plan, and after some hours the members agreed on a first draft of it."
+#: Written by hand: (body, main text), with names and shapes that the generator doesn't make.
+BY_HAND = [
+    (f"<article><h1>T</h1><p>{SAID} where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", f"T\n{SAID} where x=2 holds."),
+    (f"<article><h1>T</h1><p>{SAID}</p><section class='related-work'><h2>Related work</h2><p>{SAID}</p></section></article>", f"T\n{SAID}\nRelated work\n{SAID}"),
+    (f"<article><h1>T</h1><p>{SAID}</p><div class='share-price'><p>{SAID} Shares fell.</p></div></article>", f"T\n{SAID}\n{SAID} Shares fell."),
+    (f"<article><h1>T</h1><p>{SAID}</p><div class='kommentare'><p>I do not agree with this at all, sorry.</p></div></article>", f"T\n{SAID}"),
+    (f"<article><h1>T</h1><p>{SAID}</p><div class='share-buttons'><a href='x'>Share</a> <a href='y'>Tweet</a></div></article>", f"T\n{SAID}"),
+    (f"<div class='xq'><div class='zz9'><h1>T</h1>{f'<p>{SAID}</p>' * 6}</div><div class='ww'><a href='1'>Home</a><a href='2'>News</a></div></div>", "T" + f"\n{SAID}" * 6),
+    (f"<main><article><h1>T</h1><p>{SAID}</p><section><article class='c'><p>Nice text, thank you.</p></article><article class='c'><p>Agreed.</p></article></section></article></main>", f"T\n{SAID}"),
+    (f"<article><p>{SAID}</p><noscript><p>{SAID}</p></noscript><object data='x'><p>{SAID}</p></object><svg><text>Figure label</text></svg><script>no()</script></article>", f"{SAID}\n{SAID}\n{SAID}\nFigure label"),
+    (f"<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td id=c2><h2>T</h2>{f'<p>{SAID}' * 4}</td></tr></table>", "T" + f"\n{SAID}" * 4),
+]
+
+
+@pytest.mark.parametrize("k", range(len(BY_HAND)))
+def test_html_by_hand(model, k):
+    body, want = BY_HAND[k]
+    page = f"<html><head><title>x</title></head><body><nav><a href='/'>Home</a></nav>{body}<footer>(c) 2020</footer></body></html>"
+    assert model.extract([page])[0] == want
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div>" * n, lambda n: "<span>" * n + "</p>" * n, lambda n: "<span></p>" * n, lambda n: "<p><b>" * n, lambda n: "<li><i>" * n, lambda n: "<table><tr><td>" * n])
+def test_html_reads_in_linear_time(make):
+    began = time.process_time()
+    page = html.Page("<article><p>begin</p>" + make(100_000) + "end")
+    assert time.process_time() - began < 8 and max(page.depth) <= html.DEEPEST
+    assert [t for _, t in page.blocks] == ["begin", "end"]
+
+
 def test_html_parsing(model):
     body = "<p>Long enough text of the article, with &lt;tags&gt; &amp; more.<p>Second&nbsp; one <b>bold <i>both</b></i>\n here<br>after</p><ul><li>item one<li>item two</ul>"
     page = f"<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use cookies.</div><header>Site</header><article>{body}<form><p>Send</p></form><script>var x='<p>no</p>'</script><!-- <p>no --></article><aside class=sidebar>Also read</aside><div id='comments'><p>First comment by a reader of this page</p></div><footer>(c)</footer>"

@@ -1,16 +1,20 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 The block elements of a page are the nodes; inline elements belong to the block around them. A node is
-content if main text stands in or below it. Its own features (tag, words of class, id and role,
-length, share of links, place) and a parent-child potential define the model; messages passed from the
+content if main text stands in or below it. Its own features (tag, words of class, id and role, whether it
+holds prose, length, share of links, place) and a parent-child potential define the model; messages passed from the
 leaves to the root and back give each node's marginal, exactly and for all pages of a batch at once,
-level by level. The weights maximise the likelihood of labelled pages: written-out site layouts
-whose labels are known by construction, and a bounded sample (TRAIN_PAGES) of the input's own pages in
-which semantic elements (article, main against nav, aside, footer, form, ...) give the labels.
+level by level. The weights maximise the likelihood of labelled pages: generated site layouts
+whose labels are known by construction, and a bounded sample (TRAIN_PAGES, of TRAIN_CHARS together) of the input's own
+pages in which semantic elements (article, main against nav, aside, footer, form, ...) give the labels.
 
 Text of a content node is kept whole: character references decoded, white space inside a block made one
-space, blocks in page order joined by a line feed. Scripts, styles, templates and the head never count.
-Null or empty html gives an empty text; cut-off pages are read as far as they go. An empty table gives none.
+space, blocks in page order joined by a line feed. What browsers never show as text (HIDDEN: scripts, styles,
+templates, the head, fallbacks of media) and form controls don't count; everything else is up to the model.
+Pages are read in one pass with the open elements counted by tag, so time is linear in their length
+however deep or unclosed the markup is; nodes nested deeper than DEEPEST become siblings, as in browsers.
+Null or empty html gives an empty text; cut-off pages are read as far as they go, equal pages give equal texts, repeated
+rows their row each. Columns named text or n_chars give way to the results. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,17 +27,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text
+from .common import map_text
 
-TRAIN_PAGES, LAYOUTS, KEEP = 200, 400, 0.5
+TRAIN_PAGES, TRAIN_CHARS, LAYOUTS, KEEP, DEEPEST = 200, 20_000_000, 700, 0.5, 512
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
 
 #: Elements of HTML by how they are read.
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
-HIDDEN = RAW | frozenset("head select button svg math object audio video canvas datalist".split())
+RAW = frozenset("script style template textarea title iframe xmp noembed noframes".split())
+HIDDEN = RAW | frozenset("head select button audio video canvas datalist annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input math".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -58,7 +62,9 @@ MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S
 )
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-NAME_WORD = re.compile(r"[A-Z]?[a-z]+")
+NAME_WORD = re.compile(r"[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])|[A-Z][^\W\d_A-Z]*")
+#: Characters from which a node can hold prose.
+PROSE = 60
 HIDES = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 
 
@@ -73,7 +79,9 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node that each belongs to
-        hidden = links = 0
+        places: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+        blocks = [0]  # places of those that aren't inline
+        hidden = links = formulas = 0
         text: list[str] = []
 
         def flush() -> None:
@@ -85,23 +93,37 @@ class Page:
                     self.blocks.append((node, joined))
                     self.chars[node] += len(joined)
 
+        def opened(tag: str, node: int, inline: bool) -> None:
+            nonlocal hidden, links, formulas
+            places.setdefault(tag, []).append(len(stack))
+            if not inline:
+                blocks.append(len(stack))
+            stack.append((tag, node))
+            hidden += tag in HIDDEN
+            links += tag == "a"
+            formulas += tag == "math"
+
         def close(to: int) -> None:
-            nonlocal hidden, links
+            nonlocal hidden, links, formulas
             while len(stack) > to:
                 tag, _ = stack[-1]
-                if tag not in INLINE:
+                if blocks[-1] == len(stack) - 1:
                     flush()
+                    blocks.pop()
                 stack.pop()
+                places[tag].pop()
                 hidden -= tag in HIDDEN
                 links -= tag == "a"
+                formulas -= tag == "math"
+
+        def place(tag: str) -> int:
+            """Place of the innermost open element of the tag, 0 if there is none."""
+            own = places.get(tag)
+            return own[-1] if own else 0
 
-        def last(kinds: frozenset | set, stop: frozenset | set) -> int | None:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in kinds:
-                    return k
-                if stack[k][0] in stop:
-                    return None
-            return None
+        def last(kinds: frozenset | set, stop: frozenset | set) -> int:
+            k = max(map(place, kinds))
+            return k if k > max(map(place, stop), default=0) else 0
 
         at, n = 0, len(source)
         while at < n:
@@ -118,17 +140,17 @@ class Page:
             if not tag:
                 continue
             if m[1]:
-                if tag == "p" and last({"p"}, set()) is None:
+                if tag == "p" and not place("p"):
                     flush()
-                k = last({tag}, set())
-                if k is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[k:])):
+                k = place(tag)
+                if k and (blocks[-1] <= k or tag not in INLINE):
                     close(k)
                 continue
-            if tag in CLOSES_P and (k := last({"p"}, {"table", "td", "th", "button"})) is not None:
+            if tag in CLOSES_P and (k := last({"p"}, {"table", "td", "th", "button"})):
                 close(k)
-            if tag in IMPLIED and (k := last(*IMPLIED[tag])) is not None:
+            if tag in IMPLIED and (k := last(*IMPLIED[tag])):
                 close(k)
-            if tag == "body" and (k := last({"head"}, set())) is not None:
+            if tag == "body" and (k := place("head")):
                 close(k)
             if tag == "br":
                 text.append(" ")
@@ -136,12 +158,12 @@ class Page:
                 if tag == "hr":
                     flush()
                 continue
-            if tag in INLINE:
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
+            rest = m[3] or ""
+            if tag in INLINE or formulas:
+                if not (formulas and rest.endswith("/")):
+                    opened(tag, stack[-1][1], True)
                 continue
             flush()
-            rest = m[3] or ""
             if tag in RAW:  # ends at its own closing tag only
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
                 stop = source.find(">", end.start()) if end else -1
@@ -150,20 +172,21 @@ class Page:
             if rest.endswith("/") and tag not in CLOSES_P:
                 continue
             up = stack[-1][1]
-            words = []
+            while self.depth[up] >= DEEPEST:
+                up = self.parent[up]
+            names: list[str] = []
             if rest:
                 for value in NAMES.finditer(rest):
-                    words += [w.lower() for w in NAME_WORD.findall(value[1] or value[2] or value[3] or "")]
+                    names += (value[1] or value[2] or value[3] or "").split()
                 if HIDES.search(rest):
-                    words.append("#hidden")
+                    names.append("#hidden")
             self.tag.append(tag)
             self.parent.append(up)
             self.depth.append(self.depth[up] + 1)
-            self.names.append(tuple(words))
+            self.names.append(tuple(names))
             self.chars.append(0)
             self.linked.append(0)
-            stack.append((tag, len(self.tag) - 1))
-            hidden += tag in HIDDEN
+            opened(tag, len(self.tag) - 1, False)
         close(1)
         flush()
 
@@ -175,20 +198,37 @@ class Page:
             chars[self.parent[i]] += chars[i]
             linked[self.parent[i]] += linked[i]
         out = []
-        inside = [False] * n
+        inside, piece = [False] * n, [False] * n
+        twins: dict[tuple, int] = {}
+        for i in range(1, n):
+            if self.names[i]:
+                key = (self.parent[i], self.tag[i], self.names[i])
+                twins[key] = twins.get(key, 0) + 1
         for i in range(n):
             up = self.parent[i]
             inside[i] = up >= 0 and (inside[up] or self.tag[up] in MAIN)
+            piece[i] = up >= 0 and (piece[up] or self.tag[up] == "article")
             share = linked[i] / chars[i] if chars[i] else 0.0
+            prose = "prose" if chars[i] >= PROSE and share < 0.4 else "links" if share >= 0.4 else "short"
+            where = "in" if inside[i] else "out of"
             own = [
                 "tag " + self.tag[i],
-                f"tag {self.tag[i]} {'in' if inside[i] else 'out of'} main",
+                f"tag {self.tag[i]} {where} main",
                 f"links {min(4, int(share * 5))}",
                 f"chars {min(7, chars[i].bit_length() // 2)}",
                 f"own {min(7, self.chars[i].bit_length() // 2)} links {min(4, int(share * 5))}",
+                f"{prose} {where} main",
+                f"part {min(4, 5 * chars[i] // max(1, chars[0]))} {where} main {prose}",
             ]
-            for w in set(self.names[i]):
-                own += ["name " + w, "name " + w.rstrip("s")]
+            if piece[i] and self.tag[i] == "article":
+                own.append("article in article")
+            if self.names[i]:
+                own.append(f"twins {min(3, twins.get((up, self.tag[i], self.names[i]), 1))} {where} main")
+            for name in set(self.names[i]):
+                # A compound is named by its last word: share-buttons, share-price.
+                parts = [w.lower() for w in NAME_WORD.findall(name)] or [name]
+                own += ["name " + parts[-1], "name " + parts[-1].rstrip("s"), f"stem {parts[-1][:5]}", f"{prose} {where} main stem {parts[-1][:5]}"]
+                own += [f"before {w}" for w in parts[:-1]] + [f"{prose} before {w}" for w in parts[:-1]]
             out.append(sorted(set(own)))
         return out
 
@@ -270,14 +310,25 @@ class TreeModel:
         return out
 
 
-#: How sites name the parts of their pages.
-CONTENT_NAMES = "content article post entry story main body text article-body post-content entry-content story-body main-content blog-post page-content prose".split()
+#: Names that the generated layouts use, in the four languages of the documents; a choice, not a standard.
+CONTENT_NAMES = (
+    "content article post entry story main body text article-body post-content entry-content story-body main-content blog-post page-content prose "
+    "inhalt artikel beitrag contenu texte contenido articulo texto"
+).split()
 OTHER_NAMES = (
     "ad ads advert advertisement adsbygoogle banner sponsor sponsored promo promotion sidebar side-bar aside menu nav navbar navigation topbar header site-header masthead "
     "footer site-footer bottom copyright cookie cookie-notice cookie-banner consent gdpr notice site-notice alert warning popup modal overlay newsletter subscribe signup login "
-    "share social sharing follow related recommended popular trending breadcrumb breadcrumbs pagination pager tags comments comment comment-list reply respond discussion "
-    "widget toolbar search skip disclaimer legal toc-nav links"
+    "share share-buttons share-bar share-links social social-share sharing follow related related-posts related-articles recommended popular trending breadcrumb breadcrumbs pagination pager tags "
+    "widget toolbar search skip disclaimer legal toc-nav links "
+    "werbung anzeige hinweis seitenleiste kopf fuss leiste anmeldung impressum publicite pub avis barre pied entete abonnement "
+    "publicidad anuncio aviso lateral pie cabecera suscripcion"
+).split()
+COMMENT_NAMES = (
+    "comments comment comment-list reader-comments reply replies respond responses discussion feedback disqus thread "
+    "kommentare kommentar leserkommentare diskussion commentaires commentaire reactions avis-lecteurs comentarios comentario opiniones reacties kommentarer commenti"
 ).split()
+#: Words that end the names of sections of an article, whatever stands before them.
+SECTION_WORDS = "work price period study history method result note law model rate question figure budget theory market chapter story value review".split()
 
 
 def layouts(seed: int, count: int) -> list[tuple[str, set[str]]]:
@@ -301,7 +352,8 @@ def layouts(seed: int, count: int) -> list[tuple[str, set[str]]]:
         return f"<{tag}>{body}</{tag}>" if rng.random() < 0.85 or tag == "div" else f"<{tag}>{body}"
 
     def linked(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{k}">{words(rng.randint(1, 3))}</a></li>' for k in range(n)) + "</ul>"
+        links = [f'<a href="/{k}">{words(rng.randint(1, 3))}</a>' for k in range(n)]
+        return rng.choice(["<br>", " | ", " "]).join(links) if rng.random() < 0.3 else "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
 
     def inner(marks: set[str] | None) -> str:
         parts = [block(marks, rng.choice(["h1", "h2"]), False)] if rng.random() < 0.8 else []
@@ -309,21 +361,39 @@ def layouts(seed: int, count: int) -> list[tuple[str, set[str]]]:
             kind = rng.random()
             if kind < 0.7:
                 parts.append(block(marks, "p", rng.random() < 0.85))
-            elif kind < 0.78:
+            elif kind < 0.76:
                 parts.append("<ul>" + "".join(block(marks, "li", rng.random() < 0.4) for _ in range(rng.randint(1, 5))) + "</ul>")
-            elif kind < 0.84:
+            elif kind < 0.8:
                 parts.append("<blockquote>" + block(marks, "p", True) + "</blockquote>")
-            elif kind < 0.9:
+            elif kind < 0.84:
                 parts.append("<table><tr>" + "".join(block(marks, "td", False) for _ in range(3)) + "</tr></table>")
-            elif kind < 0.95:
+            elif kind < 0.88:
                 parts.append(block(marks, rng.choice(["h2", "h3", "pre", "div"]), False))
             else:
-                parts.append("<section>" + block(marks, "h2", False) + block(marks, "p", True) + "</section>")
+                first = rng.choice(OTHER_NAMES + COMMENT_NAMES).split("-")[0] if rng.random() < 0.7 else words(1).strip()
+                name = f' {rng.choice(["class", "class", "id"])}="{first}-{rng.choice(SECTION_WORDS)}"' if rng.random() < 0.7 else ""
+                tag = rng.choice(["section", "section", "div"])
+                parts.append(f"<{tag}{name}>" + block(marks, "h2", False) * (rng.random() < 0.6) + "".join(block(marks, "p", True) for _ in range(rng.randint(1, 3))) + f"</{tag}>")
         return "".join(parts)
 
+    def comments(within: bool = False) -> str:
+        """What readers wrote: often alike siblings, articles where they stand within one, with names and times, under many names."""
+        tag, each = rng.choice(["div", "section", "ul", "ol"]), rng.choice(["div", "p", *["article", "article"] * within])
+        each = "li" if tag in ("ul", "ol") else each
+        outer = f' {rng.choice(["class", "id"])}="{rng.choice(COMMENT_NAMES)}"' if rng.random() < (0.85 if each != "article" else 0.5) else ""
+        inner_name = f' class="{rng.choice(COMMENT_NAMES + ["item", "media", "row", "user", "post"])}"' if rng.random() < 0.6 else ""
+        said = ""
+        for _ in range(rng.randint(1, 5)):
+            who = f'<span>{words(1)}</span> <time>{rng.randint(1, 28)}</time>' if rng.random() < 0.5 else ""
+            what = words(rng.randint(3, 40)) + "."
+            said += f"<{each}{inner_name}>{who}" + (f"<p>{what}</p>" if each != "p" and rng.random() < 0.7 else what) + ('<a href="#">Reply</a>' if rng.random() < 0.3 else "") + f"</{each}>"
+        return f"<{tag}{outer}>" + (f"<h3>{words(1)}</h3>" if rng.random() < 0.4 and tag in ("div", "section") else "") + said + f"</{tag}>"
+
     def other() -> str:
+        if rng.random() < 0.25:
+            return comments()
         kind = rng.random()
-        name = rng.choice(OTHER_NAMES)
+        name = rng.choice(OTHER_NAMES) if rng.random() < 0.85 else words(1)
         attribute = f' {rng.choice(["class", "class", "class", "id", "role"])}="{name}{rng.choice(["", "", "-" + rng.choice(["wrap", "box", "inner", "area"])])}"'
         if kind < 0.25:
             tag = rng.choice(["nav", "header", "footer", "aside", "menu"])
@@ -348,14 +418,17 @@ def layouts(seed: int, count: int) -> list[tuple[str, set[str]]]:
             text = text[:k] + other() + text[k:] if depth_free else text + other()
         shape = rng.random()
         if shape < 0.35:
-            text = f"<article>{text}</article>"
+            text = f"<article>{text}{comments(True) if rng.random() < 0.3 else ''}</article>"
             if rng.random() < 0.3:
                 text = f"<main>{text}</main>"
         elif shape < 0.5:
             text = f"<main>{text}</main>"
         else:
-            name = rng.choice(CONTENT_NAMES)
+            # Many sites name their parts as no list knows.
+            name = rng.choice(CONTENT_NAMES) if rng.random() < 0.6 else words(1)
             text = f'<div {rng.choice(["class", "id"])}="{name}">{text}</div>'
+        if shape > 0.93:  # laid out by a table
+            text = f"<table><tr><td>{linked(rng.randint(2, 9))}</td><td>{text}</td></tr></table>"
         page = before + text + after
         if rng.random() < 0.4:
             page = f'<div {rng.choice(["class", "id"])}="{rng.choice(["page", "wrapper", "container", "site", "layout", "row"])}">{page}</div>'
@@ -374,23 +447,28 @@ def _labels(page: Page, content: list[bool]) -> np.ndarray:
 
 
 def _by_semantics(page: Page) -> list[bool] | None:
-    """Labels of the blocks by the nearest semantic element; None if a page has no main part."""
-    state = [False] * len(page.tag)
+    """Labels of the blocks by the nearest semantic element; an article in an article is a comment. None if a page has no main part."""
+    state, piece = [False] * len(page.tag), [False] * len(page.tag)
     for i in range(1, len(page.tag)):
-        state[i] = True if page.tag[i] in MAIN else False if page.tag[i] in ASIDE else state[page.parent[i]]
+        up, tag = page.parent[i], page.tag[i]
+        piece[i] = piece[up] or page.tag[up] == "article"
+        state[i] = False if tag in ASIDE or tag == "article" and piece[i] else True if tag in MAIN else state[up]
     got = [state[node] for node, _ in page.blocks]
     return got if any(got) else None
 
 
-def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = TRAIN_PAGES, seed: int = 7) -> TreeModel:
+def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = TRAIN_PAGES, seed: int = 8) -> TreeModel:
     pages, labels = [], []
     for source, marks in layouts(seed, LAYOUTS):
         page = Page(source)
         pages.append(page)
         labels.append(_labels(page, [t.split(" ", 1)[0] in marks for _, t in page.blocks]))
-    fit = df.where(F.col(html_col).isNotNull() & (F.length(html_col) < 100_000))
-    chosen = cut(fit.select(F.xxhash64(id_col, F.length(html_col)).alias("h")).orderBy("h").limit(most)).agg(F.max("h")).first()[0]
-    sample = fit.where(F.xxhash64(id_col, F.length(html_col)) <= chosen).select(html_col).limit(most).collect() if chosen is not None else []
+    # The first pages by hash, as far as they have TRAIN_CHARS together.
+    key = F.xxhash64(id_col, html_col).alias("h")
+    first = df.where(F.col(html_col).isNotNull()).select(key, F.length(html_col).cast("long").alias("n")).orderBy("h", "n").limit(most).collect()
+    upto = np.cumsum([r["n"] for r in first])
+    chosen = sorted({r["h"] for r, x in zip(first, upto) if x <= TRAIN_CHARS})
+    sample = df.where(key.isin(chosen)).select(html_col).limit(most).collect() if chosen else []
     for (source,) in sorted(sample):
         page = Page(source)
         blocks = _by_semantics(page)

@@ -181,3 +181,48 @@ def test_more_cues_than_are_broadcast_at_once(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MOST_CUES", 7)
     got = {(r["cue_id"], r["id"]): r["sim"] for r in retrieval.cosine(rows, cues).collect()}
     assert got == {(a, b): a * b + 1.0 for a in range(40) for b in range(40)} and retrieval.cosine(rows, cues).count() == 1600
+
+
+def test_pairwise_takes_any_ids_and_nulls(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k * 10**12 - 7, x[k].tolist()) for k in range(3000)] + [(5, None), (6, [1.0, None] + [0.0] * 6)]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: (r["s1"], r["s2"]) for r in retrieval.top_two(table).collect()}
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    best = -np.sort(-sims, axis=1)[:, :2]
+    assert len(got) == 3000 and all(np.allclose(got[k * 10**12 - 7], best[k]) for k in range(3000))
+    assert retrieval.top_two(table.limit(0)).count() == 0
+
+
+def test_label_auc_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 4, 400)
+    x = rng.standard_normal((400, 6)) + rng.standard_normal((4, 6))[g] * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, x[k].tolist(), int(g[k])) for k in range(400)] + [(999, None, 1), (998, x[0].tolist(), None)], "id long, v array<double>, label int")
+    want = calibration.pair_auc(calibration.label_pairs(table.where("id < 900"))).first()["auc"]
+    assert calibration.label_auc(table).first()["auc"] == pytest.approx(want, abs=1e-6)
+    assert np.isnan(calibration.label_auc(table.where("label = 1")).first()["auc"])
+
+
+def test_large_memories_settle_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((30, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    memory = spark.createDataFrame([(k, x[k].tolist()) for k in range(30)], "id long, v array<double>")
+    cues = memory.where("id < 6").select(F.col("id").alias("cue_id"), F.transform("v", lambda a: a * 0.7 + 0.1).alias("q"))
+    inside = {r["cue_id"]: r for r in retrieval.iterative_recall(memory, cues, 15.0).collect()}
+    report = retrieval.stability_report(memory, 15.0).first()
+    monkeypatch.setattr(retrieval, "MOST_MEMORY", 0)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    blocks = {r["cue_id"]: r for r in retrieval.iterative_recall(memory, cues, 15.0).collect()}
+    assert set(blocks) == set(inside)
+    for k, r in inside.items():
+        b = blocks[k]
+        assert (b["iterations"], b["converged"], b["lyapunov_ok"], b["spurious_step"]) == (r["iterations"], r["converged"], r["lyapunov_ok"], r["spurious_step"])
+        assert np.allclose(b["energies"], r["energies"]) and b["final_top_mass"] == pytest.approx(r["final_top_mass"]) and b["energy_drop"] == pytest.approx(r["energy_drop"])
+    again = retrieval.stability_report(memory, 15.0).first()
+    assert again.asDict() == pytest.approx(report.asDict())

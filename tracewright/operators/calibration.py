@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scoring import nonconformity
 from ..functions.vectors import dot, unit
-from .lineage import global_rank
-from .retrieval import pairwise
+from .lineage import cut, global_rank
+from .retrieval import ROWS_AT_ONCE, blockwise, pairwise
 
 
 def centroid(vectors: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def pair_auc(pairs: DataFrame) -> DataFrame:
 
 
 def label_pairs(vectors: DataFrame) -> DataFrame:
-    """All pairs i < j of (id, v, label), by blocks."""
+    """All pairs i < j of (id, v, label), by blocks. For AUCs of whole tables see `label_auc`."""
     def reduce(ids, sims, cols):
         r, c = np.nonzero(ids[:, None] < cols)
         return pd.DataFrame({"i": ids[r], "j": cols[c], "sim": sims[r, c]})
@@ -40,13 +41,47 @@ def label_pairs(vectors: DataFrame) -> DataFrame:
     return pairs.join(a, "i").join(b, "j").select("i", "j", "sim", (F.col("la") == F.col("lb")).alias("same"))
 
 
+#: Similarities that fall into one of 2^SIM_BITS equal parts of [-1, 1] count as equal; bits of the parts that are summed in one window.
+SIM_BITS, PART_BITS = 20, 10
+
+
+def label_auc(vectors: DataFrame) -> DataFrame:
+    """J11, G13 over all pairs of unit vectors (id, v, label): (auc), NaN for one class. No pair is written: each pair of blocks
+    passes on a histogram of its similarities for equal and for different labels. Pairs of one cell (2e-6 wide) count as ties."""
+    top = (1 << SIM_BITS) - 1
+
+    def cell(x, rows, y, cols):
+        i, j = x.column("id").to_numpy(), y.column("id").to_numpy()
+        g, h = x.column("label").to_numpy(), y.column("label").to_numpy()
+        counts = [np.zeros(top + 1, np.int64), np.zeros(top + 1, np.int64)]
+        for k in range(0, i.size, ROWS_AT_ONCE):
+            part = slice(k, k + ROWS_AT_ONCE)
+            bins = np.clip((rows[part] @ cols.T + 1) * (0.5 * (top + 1)), 0, top).astype(np.int32)
+            once, same = i[part, None] < j, g[part, None] == h
+            for s in (0, 1):
+                at, n = np.unique(bins[once & (same == bool(s))], return_counts=True)
+                counts[s][at] += n
+        at = np.flatnonzero(counts[0] + counts[1])
+        return pd.DataFrame({"bin": at.astype(np.int32), "p": counts[1][at], "q": counts[0][at]})
+
+    rows = vectors.where(F.col("label").isNotNull()).select("id", "v", F.col("label").cast("long").alias("label"))
+    hist = blockwise(rows, None, cell, "bin int, p long, q long").groupBy("bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    hist = cut(hist.withColumn("part", F.shiftright("bin", PART_BITS)))
+    # At most 2^(SIM_BITS - PART_BITS) parts.
+    parts = hist.groupBy("part").agg(F.sum("q").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    less = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hist = hist.withColumn("less", less).join(parts.select("part", "below"), "part")
+    got = hist.agg(F.sum(F.col("p") * (F.col("below") + F.col("less") + F.col("q") / 2)).alias("w"), F.sum("p").cast("double").alias("p"), F.sum("q").cast("double").alias("q"))
+    return got.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / F.col("p") / F.col("q")).otherwise(F.lit(float("nan"))).alias("auc"))
+
+
 def conformal_model(scores: DataFrame, eps: float = 0.05) -> DataFrame:
     """One row (n, q, coverage) from calibration nonconformities `s`.
 
     q is the ceil((n + 1)(1 - eps))-th smallest, infinite beyond n. Leave-one-out coverage: with
     k = ceil(n (1 - eps)), 1 if k > n - 1 (or n < 3), else the share of scores up to the k-th.
     """
-    ranked = global_rank(scores.select("s"), ["s"]).cache()
+    ranked = cut(global_rank(scores.select("s"), ["s"]))
     n = ranked.count()
     # In doubles throughout, as ranks at ties depend on it.
     k = F.ceil(F.lit(float(n + 1)) * F.lit(1.0 - eps))

@@ -120,7 +120,7 @@ def whole_auc(rows: DataFrame, net: "IdentityEncoder | Int8Encoder | None") -> f
     """G13 over all pairs of a table's rows(id, v, gid), projected; without a net over the unit vectors."""
     z = project(rows, net) if net is not None else rows.select("id", unit(F.col("v")).alias("v"))
     labelled = cut(z.join(rows.select("id", F.col("gid").alias("label")), "id"))
-    return calibration.pair_auc(calibration.label_pairs(labelled)).first()["auc"]
+    return calibration.label_auc(labelled).first()["auc"]
 
 
 def auc(z: np.ndarray, groups: np.ndarray) -> float:

@@ -7,13 +7,14 @@ only traces that can be in its support are sorted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.scoring import clamp, recency_date
@@ -238,23 +239,72 @@ def settle(query: np.ndarray, memory: np.ndarray, beta: float, most: int = 20, t
 
 
 SETTLED = "cue_id long, energies array<double>, iterations int, converged boolean, lyapunov_ok boolean, final_top_mass double, spurious_step int, energy_drop double"
-#: Bytes of a memory matrix that may be broadcast to iterate inside tasks.
+#: Bytes of a memory matrix that is broadcast to iterate inside tasks; a larger memory is gone through by blocks, step by step.
 MOST_MEMORY = 256 << 20
 
 
-def memory_matrix(memory: DataFrame, id_col: str = "id") -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors on the driver, in id order, after a check of their size."""
+def memory_matrix(memory: DataFrame, id_col: str = "id") -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors on the driver, in id order; None if they are larger than MOST_MEMORY."""
     dims = memory.select(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     if (dims["d"] or 0) * dims["n"] * 8 > MOST_MEMORY:
-        raise ValueError("the memory is too large to iterate in tasks; cluster it first")
+        return None
     rows = memory.select(id_col, "v").orderBy(id_col).collect()
     return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
 
 
+def attended(states: DataFrame, memory: DataFrame, beta: float) -> DataFrame:
+    """(id, m, t, s) of states(id, v): of similarities d to the whole memory m = max d, t = sum of e = exp(beta (d - m)), s = sum of e times
+    the memory's vectors. Blocks pass on the three for their part of the memory."""
+
+    def cell(x: pa.Table, rows: np.ndarray, y: pa.Table, cols: np.ndarray) -> pd.DataFrame:
+        d = rows @ cols.T
+        m = d.max(axis=1)
+        e = np.exp(beta * (d - m[:, None]))
+        return pd.DataFrame({"id": x.column("id").to_numpy(), "m": m, "t": e.sum(axis=1), "s": list(e @ cols)})
+
+    parts = blockwise(states.select("id", "v"), memory.select("id", "v"), cell, "id long, m double, t double, s array<double>")
+    parts = parts.groupBy("id").agg(F.max("m").alias("m"), F.collect_list(F.struct("m", "t", "s")).alias("p"))  # one entry a block
+    scale = lambda p: F.exp(F.lit(beta) * (p["m"] - F.col("m")))
+    t = F.aggregate("p", F.lit(0.0), lambda a, p: a + p["t"] * scale(p))
+    zero = F.transform(F.element_at("p", 1)["s"], lambda x: F.lit(0.0))
+    s = F.aggregate("p", zero, lambda a, p: F.zip_with(a, p["s"], lambda x, y: x + y * scale(p)))
+    return parts.select("id", "m", t.alias("t"), s.alias("s"))
+
+
+def settle_by_blocks(states: DataFrame, memory: DataFrame, beta: float, most: int = 20, tol: float = 1e-6, rise: float = 1e-6) -> DataFrame:
+    """R12 for states(id, v) against a memory of any size: what `settle` does, one pass over the memory for each step."""
+    from .lineage import cut
+
+    live = states.select("id", F.col("v").cast("array<double>").alias("v"), F.array().cast("array<double>").alias("energies"), F.lit(0.0).alias("moved"), F.lit(-1).alias("bad"))
+    done = None
+    for step in range(most + 1):
+        seen = attended(live, memory, beta).withColumnRenamed("id", "__id")
+        now = live.join(seen, live.id == F.col("__id")).drop("__id")
+        size = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+        now = now.withColumn("e", -(F.col("m") + F.log("t") / F.lit(beta)) + F.lit(0.5) * size("v"))
+        if step:
+            now = now.withColumn("bad", F.when(F.col("e") > F.element_at("energies", -1) + rise, step).otherwise(F.col("bad")))
+        now = now.withColumn("energies", F.concat("energies", F.array("e"))).withColumn("next", F.transform("s", lambda x: x / F.col("t")))
+        now = cut(now.withColumn("ends", F.lit(step == most) | (F.lit(step > 0) & (F.col("moved") < tol))))
+        last, before = F.element_at("energies", -1), F.element_at("energies", -2) if step else F.lit(None).cast("double")
+        ended = now.where("ends").select(
+            F.col("id").alias("cue_id"), "energies", F.lit(step).alias("iterations"), (F.lit(step < most) | (F.abs(last - before) < tol)).alias("converged"),
+            (F.col("bad") < 0).alias("lyapunov_ok"), (F.lit(1.0) / F.col("t")).alias("final_top_mass"), F.col("bad").alias("spurious_step"), (F.element_at("energies", 1) - last).alias("energy_drop"),
+        )
+        done = ended if done is None else done.unionByName(ended)
+        apart = F.sqrt(F.aggregate(F.zip_with("next", "v", lambda x, y: x - y), F.lit(0.0), lambda a, x: a + x * x))
+        live = now.where("not ends").select("id", F.col("next").alias("v"), "energies", apart.alias("moved"), "bad")
+        if live.isEmpty():
+            break
+    return done
+
+
 def iterative_recall(memory: DataFrame, cues: DataFrame, beta: float) -> DataFrame:
-    """R12 for a table of cues(cue_id, q): all iterations run inside the task."""
-    _, x = memory_matrix(memory)
-    shared = memory.sparkSession.sparkContext.broadcast(x)
+    """R12 for a table of cues(cue_id, q): all iterations run inside the task, or by blocks of a large memory."""
+    held = memory_matrix(memory)
+    if held is None:
+        return settle_by_blocks(cues.select(F.col("cue_id").cast("long").alias("id"), F.col("q").alias("v")), memory, beta)
+    shared = memory.sparkSession.sparkContext.broadcast(held[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,57 +314,127 @@ def iterative_recall(memory: DataFrame, cues: DataFrame, beta: float) -> DataFra
     return cues.select(F.col("cue_id").cast("long").alias("cue_id"), "q").mapInArrow(run, SETTLED)
 
 
-def stability_report(memory: DataFrame, beta: float, probes: int | None = None) -> DataFrame:
-    """Each pattern perturbed (seeded by its place) and settled; self-recall is tested unperturbed, in one step."""
-    ids, x = memory_matrix(memory)
-    shared = memory.sparkSession.sparkContext.broadcast(x)
-    n = len(ids) if probes is None else min(probes, len(ids))
+def _perturbed(memory: DataFrame) -> DataFrame:
+    """(id, v): each vector with noise seeded by its place in the order of ids, of length 1."""
+    from .lineage import global_rank
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for batch in batches:
-            out = []
-            for i in batch["id"]:
-                cue = m[i] + 0.15 * np.random.default_rng(i).standard_normal(m.shape[1])
-                got = settle(cue / (np.linalg.norm(cue) or 1.0), m, beta)
-                fixed = m.T @ entmax_rows(beta * (m @ m[i])[None, :], 1.0)[0]
-                out.append((got["iterations"], got["lyapunov_ok"], int(np.argmax(m @ fixed)) == i))
-            yield pd.DataFrame(out, columns=["iterations", "ok", "home"])
-
-    each = memory.sparkSession.range(n).mapInPandas(run, "iterations int, ok boolean, home boolean")
+            v = [np.asarray(x, float) + 0.15 * np.random.default_rng(int(k)).standard_normal(len(x)) for k, x in zip(batch["place"], batch["v"])]
+            yield pd.DataFrame({"place": batch["place"], "id": batch["id"], "v": [x / (np.linalg.norm(x) or 1.0) for x in v]})
+
+    ranked = global_rank(memory.select("id", F.col("v").cast("array<double>").alias("v")), ["id"], "place").withColumn("place", F.col("place") - 1)
+    return ranked.select("place", "id", "v").mapInPandas(run, "place long, id long, v array<double>")
+
+
+def stability_report(memory: DataFrame, beta: float, probes: int | None = None) -> DataFrame:
+    """Each pattern perturbed (seeded by its place) and settled; self-recall is tested unperturbed, in one step."""
+    held = memory_matrix(memory)
+    if held is None:
+        each = _stability_by_blocks(memory, beta, probes)
+    else:
+        ids, x = held
+        shared = memory.sparkSession.sparkContext.broadcast(x)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = shared.value
+            for batch in batches:
+                out = []
+                for i in batch["id"]:
+                    cue = m[i] + 0.15 * np.random.default_rng(i).standard_normal(m.shape[1])
+                    got = settle(cue / (np.linalg.norm(cue) or 1.0), m, beta)
+                    fixed = m.T @ entmax_rows(beta * (m @ m[i])[None, :], 1.0)[0]
+                    out.append((got["iterations"], got["lyapunov_ok"], int(np.argmax(m @ fixed)) == i))
+                yield pd.DataFrame(out, columns=["iterations", "ok", "home"])
+
+        each = memory.sparkSession.range(len(ids) if probes is None else min(probes, len(ids))).mapInPandas(run, "iterations int, ok boolean, home boolean")
     return each.agg(
         F.count(F.lit(1)).alias("n_probed"), F.bool_and("ok").alias("all_lyapunov_ok"), F.avg("iterations").alias("mean_iterations"),
         F.max("iterations").alias("max_iterations"), F.avg(F.col("home").cast("double")).alias("self_recall_rate"), F.count_if(~F.col("ok")).alias("spurious_count"),
     )
 
 
+def _stability_by_blocks(memory: DataFrame, beta: float, probes: int | None) -> DataFrame:
+    from .lineage import cut
+
+    start = cut(_perturbed(memory))
+    start = start if probes is None else start.where(F.col("place") < probes)
+    settled = settle_by_blocks(start, memory, beta).select("cue_id", "iterations", F.col("lyapunov_ok").alias("ok"))
+    own = memory.select("id", F.col("v").cast("array<double>").alias("v")).join(start.select("id"), "id", "left_semi")
+    fixed = attended(own, memory, beta).select("id", F.transform("s", lambda x: x / F.col("t")).alias("v"))
+
+    def reduce(ids: np.ndarray, sims: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(cols, kind="stable")
+        best = order[sims[:, order].argmax(axis=1)]
+        return pd.DataFrame({"id": ids, "s": sims[np.arange(ids.size), best], "other": cols[best]})
+
+    nearest = pairwise(fixed, memory, reduce, "id long, s double, other long").groupBy("id").agg(F.max_by("other", F.struct("s", -F.col("other"))).alias("other"))
+    return settled.join(nearest, settled.cue_id == nearest.id).select("iterations", "ok", (F.col("id") == F.col("other")).alias("home"))
+
+
 # ------------------------------------------------------------------ all pairs
 
 
-def pairwise(vectors: DataFrame, others: DataFrame | None, reduce, schema: str, block: int = 1024) -> DataFrame:
-    """Blocks of rows against blocks of columns by matrix product.
+#: Rows of a block and bytes of its vectors at most; rows of a block that meet the other block's at once.
+BLOCK_ROWS, BLOCK_BYTES, ROWS_AT_ONCE = 8192, 32 << 20, 512
+
 
-    vectors(id, v) and others(id, v), or the vectors themselves. Each block of columns is dealt to each block of
-    rows by a join on block numbers; reduce(ids, sims, column ids) yields a pandas frame for one pair
-    of blocks, so no more than block x block similarities exist at once.
+def whole(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector is there and has no null in it: others are similar to nothing."""
+    return vectors.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+
+
+def blockwise(vectors: DataFrame, others: DataFrame | None, cell: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Blocks of rows against blocks of columns: cell(rows, their vectors, columns, their vectors) makes a frame of each pair of blocks.
+
+    vectors(id, v, ...) and others(id, v, ...), or the vectors themselves. Blocks are hash parts of the ids, so any ids
+    will do; each side is shuffled once for every block of the other, which blocks of BLOCK_ROWS keep few.
     """
-    def blocks(df: DataFrame, of: str) -> DataFrame:
-        by = df.groupBy(F.floor(F.col("id") / block).alias(f"{of}b"))
-        return by.agg(F.collect_list("id").alias(f"{of}i"), F.flatten(F.collect_list("v")).alias(f"{of}v"))
+    rows = whole(vectors)
+    cols = rows if others is None else whole(others)
+    size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    a = size(rows)
+    b = a if others is None else size(cols)
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(a["d"], b["d"], 1))))
+    n_cols = max(1, -(-b["n"] // most))
+    # Fewer columns than cores: more blocks of rows.
+    spread = -(-rows.sparkSession.sparkContext.defaultParallelism // n_cols)
+    n_rows = max(1, -(-a["n"] // most), min(-(-a["n"] // ROWS_AT_ONCE), spread))
 
-    rows, cols = blocks(vectors, "r"), blocks(others if others is not None else vectors, "c")
-    numbers = cols.agg(F.collect_list("cb").alias("cbs"))  # one number for each block of columns
-    dealt = rows.crossJoin(F.broadcast(numbers)).select("ri", "rv", F.explode("cbs").alias("cb"))
-    pairs = dealt.join(cols, "cb").select("ri", "rv", "ci", "cv")
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        df = df.select(*[F.expr(f"`{c}`").alias(c) for c in df.columns])  # the sides may stem from one table
+        return df.withColumn("v", F.col("v").cast("array<double>")).withColumn(own, part).withColumn(other, every)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                ri, rv, ci, cv = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
-                got = reduce(ri, rv.reshape(ri.size, -1) @ cv.reshape(ci.size, -1).T, ci)
-                yield pa.RecordBatch.from_pandas(got, preserve_index=False)
+    left, right = dealt(rows, "__r", n_rows, "__c", n_cols), dealt(cols, "__c", n_cols, "__r", n_rows)
+    shape = pa.schema([(f.name, pa_type(f)) for f in StructType.fromDDL(schema)])
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return shape.empty_table()
+        return pa.Table.from_pandas(cell(x, _matrix(x), y, _matrix(y)), shape, preserve_index=False)
+
+    return left.groupBy("__r", "__c").cogroup(right.groupBy("__r", "__c")).applyInArrow(run, schema)
+
+
+def pa_type(f: StructField) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}[f.dataType.simpleString()]
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    column = table.column("v").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def pairwise(vectors: DataFrame, others: DataFrame | None, reduce, schema: str) -> DataFrame:
+    """`blockwise` by similarities: reduce(ids, sims, column ids) yields a pandas frame for some rows of a block against a block of columns."""
+
+    def cell(x: pa.Table, rows: np.ndarray, y: pa.Table, cols: np.ndarray) -> pd.DataFrame:
+        i, j = x.column("id").to_numpy(), y.column("id").to_numpy()
+        return pd.concat([reduce(i[k : k + ROWS_AT_ONCE], rows[k : k + ROWS_AT_ONCE] @ cols.T, j) for k in range(0, i.size, ROWS_AT_ONCE)])
 
-    return pairs.mapInArrow(run, schema)
+    return blockwise(vectors.select("id", "v"), None if others is None else others.select("id", "v"), cell, schema)
 
 
 def top_two(vectors: DataFrame) -> DataFrame:

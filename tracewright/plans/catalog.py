@@ -77,8 +77,7 @@ def registry_load(spark, sf):
 
 
 def body_stats(spark, sf):
-    n = F.length("text")
-    return _docs(spark, sf).agg(F.min(n).cast(LONG).alias("least"), F.round(F.percentile(n, 0.5), 3).alias("median"), F.max(n).cast(LONG).alias("most"))
+    return registry.body_stats(_docs(spark, sf).withColumnRenamed("text", "body")).withColumn("median", _r("median", 3))
 
 
 def dedup_first(spark, sf):
@@ -144,7 +143,7 @@ def output_screen(spark, sf):
 
 
 def hash_encoder(spark, sf):
-    v = encode.hash_encoder(text.cap_body(F.col("text")))
+    v = encode.hash_encoder(F.col("text"))
     return _docs(spark, sf).select("doc_id", as_double(v).alias("v")).select("doc_id", F.size("v").cast(LONG).alias("dims"), _r(norm(F.col("v")), 3).alias("norm"))
 
 
@@ -249,7 +248,7 @@ def stability_report(spark, sf):
 
 
 def pair_auc(spark, sf):
-    return calibration.pair_auc(calibration.label_pairs(_vectors(spark, sf))).select(_r("auc").alias("auc"))
+    return calibration.label_auc(_vectors(spark, sf)).select(_r("auc").alias("auc"))
 
 
 def centroid(spark, sf):
@@ -451,14 +450,14 @@ def context_block(spark, sf):
 
 def weak_parse(spark, sf):
     """F10."""
-    return fixtures.frame(spark, "judge").select("draft_id", F.coalesce(F.length(verdicts.weak_parse(F.col("raw"))), F.lit(-1)).cast(LONG).alias("n"))
+    return fixtures.frame(spark, "judge").select("draft_id", F.coalesce(verdicts.weak_parse(F.col("raw")), F.lit("none")).alias("said"))
 
 
 def confidence_line(spark, sf):
     """F15, F16."""
     a = scoring.assess(F.col("law"), F.col("fail"), F.col("smells"), F.col("weight"), F.col("score"), F.col("iterations"), F.lit(4))
     rows = _signals(spark, sf).select("event_id", a.alias("a"))
-    return rows.select("event_id", F.regexp_replace(scoring.confidence_line(F.col("a.verdict"), F.col("a.score"), F.col("a.weakest")), r"\d+%", "#").alias("line"))
+    return rows.select("event_id", scoring.confidence_line(F.col("a.verdict"), F.col("a.score"), F.col("a.weakest")).alias("line"))
 
 
 def rubric_items(spark, sf):

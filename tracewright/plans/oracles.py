@@ -199,9 +199,10 @@ mo AS (SELECT eps, max(n) AS n, max(CASE WHEN rn = ceil(n::DOUBLE * (1.0::DOUBLE
 SELECT eps, round(CASE WHEN n < 3 OR k2 > n - 1 THEN 1.0::DOUBLE ELSE (SELECT count(*) FROM cal WHERE cal.s <= mo.c)::DOUBLE / n END, 6) AS coverage FROM mo""",
     "context_block": f"WITH {BOUND} SELECT source AS cue_id, sha1(string_agg('--- sample ---' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS sha FROM documents WHERE NOT ({FAMILY.format('text')} AND ({HEALTH.format('text')} OR regexp_matches(lower(text), '{MONEY}'))) GROUP BY source",
     "decision_stats": "SELECT project, n::BIGINT AS n, f::BIGINT AS \"full\", c::BIGINT AS costed, p::BIGINT AS placed FROM (VALUES ('alpha', 2, 2, 1, 2), ('beta', 2, 1, 1, 0), ('delta', 2, 0, 0, 1)) v(project, n, f, c, p)",
-    "weak_parse": f"WITH j AS (SELECT * FROM (VALUES {fixtures.sql_values('judge')}) v(draft_id, raw)) SELECT draft_id::BIGINT AS draft_id, CASE WHEN contains(raw, '{{') AND contains(substr(raw, strpos(raw, '{{')), '}}') THEN length(regexp_extract(raw, '(?s)[{{].*[}}]')) ELSE -1 END::BIGINT AS n FROM j",
+    "weak_parse": f"WITH j AS (SELECT * FROM (VALUES {fixtures.sql_values('judge')}) v(draft_id, raw)) SELECT draft_id::BIGINT AS draft_id, CASE WHEN contains(raw, '{{') AND contains(substr(raw, strpos(raw, '{{')), '}}') THEN regexp_extract(regexp_replace(raw, '```(json)?', '', 'g'), '(?s)[{{].*[}}]') ELSE 'none' END AS said FROM j",
     "confidence_line": f"""WITH {SIGNALS}, c AS (SELECT *, coalesce(weight, 0.4::DOUBLE) AS voice, CASE WHEN score IS NULL THEN 0.5 ELSE least(1.0::DOUBLE, score / 0.5::DOUBLE) END::DOUBLE AS ground, 1.0::DOUBLE - greatest(0, iterations - 1)::DOUBLE / 4 AS effort FROM g
 ), b AS (SELECT *, 0.45::DOUBLE * law + 0.22::DOUBLE * voice + 0.18::DOUBLE * ground + 0.15::DOUBLE * effort AS x, least(law, voice, ground, effort) AS low FROM c
-), s AS (SELECT *, CASE WHEN smells THEN least(1.0::DOUBLE, x + 0.03::DOUBLE) ELSE greatest(0.0::DOUBLE, x - 0.08::DOUBLE) END AS y, CASE low WHEN law THEN 'law' WHEN voice THEN 'voice_fit' WHEN ground THEN 'grounding' ELSE 'effort' END AS weakest FROM b)
-SELECT event_id, CASE WHEN y < 0.45::DOUBLE THEN 'abstaining (#); weakest: ' || weakest WHEN y >= 0.78::DOUBLE AND NOT fail THEN 'very likely (#)' ELSE 'possible, not certain (#); weakest: ' || weakest END AS line FROM s""",
+), s AS (SELECT *, CASE WHEN smells THEN least(1.0::DOUBLE, x + 0.03::DOUBLE) ELSE greatest(0.0::DOUBLE, x - 0.08::DOUBLE) END AS y, CASE low WHEN law THEN 'law' WHEN voice THEN 'voice_fit' WHEN ground THEN 'grounding' ELSE 'effort' END AS weakest FROM b
+), t AS (SELECT *, printf('%.0f%%', y * 100) AS pc FROM s)
+SELECT event_id, CASE WHEN y < 0.45::DOUBLE THEN 'abstaining (' || pc || '); weakest: ' || weakest WHEN y >= 0.78::DOUBLE AND NOT fail THEN 'very likely (' || pc || ')' ELSE 'possible, not certain (' || pc || '); weakest: ' || weakest END AS line FROM t""",
 }

@@ -68,15 +68,15 @@ def entries(files: DataFrame, kind: str = "semantic") -> DataFrame:
     rows = _segments(lines(files), ("H1", "H2", "H3", "RULE"))
     st = F.col("st")
     upto = Window.partitionBy("path").orderBy("n")
-    rows = rows.withColumn("section", F.last(F.when(F.col("k") == "H2", trim_u(F.substring("st", 4, 1 << 20))), True).over(upto))
+    rows = rows.withColumn("section", F.last(F.when(F.col("k") == "H2", trim_u(F.substr("st", F.lit(4)))), True).over(upto))
     ends = F.col("fence") | (F.col("free") & ~F.col("edge") & (st != "") & ~st.startswith(">"))
     rows = rows.withColumn("ended", F.sum(ends.cast("int")).over(Window.partitionBy("path", "seg").orderBy("n")))
     rows = rows.where("head = 'H3'").withColumn("noted", F.col("free") & st.startswith(">") & (F.col("ended") == 0))
     got = rows.groupBy("path", "seg").agg(
         F.min("n").alias("n"),
-        F.max(F.when(F.col("edge"), trim_u(F.substring("st", 5, 1 << 20)))).alias("title"),
+        F.max(F.when(F.col("edge"), trim_u(F.substr("st", F.lit(5))))).alias("title"),
         F.max(F.when(F.col("edge"), F.coalesce("section", F.lit("")))).alias("section"),
-        trim_u(_joined(F.col("noted"), trim_u(F.substring("st", 2, 1 << 20)), " ")).alias("note"),
+        trim_u(_joined(F.col("noted"), trim_u(F.substr("st", F.lit(2))), " ")).alias("note"),
         trim_u(_joined(~F.col("noted") & ~F.col("edge"), F.col("line"), "\n")).alias("body"),
     )
     got = got.withColumn("body", trim_u(F.regexp_replace("body", r"\n?-{3,}(?U:\s*)\z", "")))
@@ -95,12 +95,12 @@ def sections(files: DataFrame, channel: str, min_chars: int = 40) -> DataFrame:
     # The title of a file: its first `# ` line, fenced or not, within the first five.
     top = F.col("st").startswith("# ") & (F.col("n") < 5)
     whole = Window.partitionBy("path")
-    named = F.min(F.when(top, F.struct("n", trim_u(F.substring("st", 3, 1 << 20)).alias("t")))).over(whole)["t"]
+    named = F.min(F.when(top, F.struct("n", trim_u(F.substr("st", F.lit(3))).alias("t")))).over(whole)["t"]
     rows = rows.withColumn("file_title", F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(stem))
     got = rows.groupBy("path", "seg").agg(
         F.min("n").alias("n"),
         F.max("file_title").alias("section"),
-        F.max(F.when(F.col("edge"), trim_u(F.substring("st", 4, 1 << 20)))).alias("h"),
+        F.max(F.when(F.col("edge"), trim_u(F.substr("st", F.lit(4))))).alias("h"),
         trim_u(_joined(~F.col("edge") & (F.col("k") != "H1"), F.col("line"), "\n")).alias("body"),
     )
     under = F.concat(F.col("section"), F.lit(" — "), F.col("h"))

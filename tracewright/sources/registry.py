@@ -82,6 +82,6 @@ def append_log(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def body_stats(rows: DataFrame) -> DataFrame:
-    """Least, median and greatest body length."""
-    n = F.length("body")
-    return rows.agg(F.min(n).cast("long").alias("least"), F.percentile_approx(n, 0.5, 10000).cast("long").alias("median"), F.max(n).cast("long").alias("most"))
+    """Least, median and greatest body length. Lengths are counted first, so that the median needs one entry for each length."""
+    lengths = rows.groupBy(F.length("body").alias("n")).agg(F.count(F.lit(1)).alias("f")).where(F.col("n").isNotNull())
+    return lengths.agg(F.min("n").cast("long").alias("least"), F.percentile("n", F.lit(0.5), F.col("f")).alias("median"), F.max("n").cast("long").alias("most"))

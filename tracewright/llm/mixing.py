@@ -63,7 +63,7 @@ def _histogram(docs: DataFrame, shift: int) -> DataFrame:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """One row per row of `df`: id, source, size, source_size, target, taken (tokens the mix takes)."""
+    """One row per row of `df`: id, source, size, source_size, target, taken (tokens the mix takes), copies, hash."""
     text = F.col(text_col).cast("string")
     docs = df.select(
         F.col(id_col).alias("id"),
@@ -116,4 +116,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     limits = cut(limits)
     out = docs.join(limits, docs.source.eqNullSafe(limits.s))
     copies = F.col("whole") + F.when(F.col("hash") <= F.col("last"), 1).otherwise(0)
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "hash")
+
+
+def taken(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of `df`, each as often as the mix takes it. Rows are told apart by source, id and text: all equal ones are taken alike."""
+    plan = mix(df, id_col, text_col, source_col, **how).where("copies > 0").groupBy("source", "hash").agg(F.max("copies").cast("int").alias("__copies"))
+    plan = plan.select(F.col("source").alias("__source"), F.col("hash").alias("__hash"), "__copies")
+    rows = df.withColumn("__of", unit_hash(F.col(id_col), F.col(text_col).cast("string")))
+    rows = rows.join(plan, (rows["__of"] == plan["__hash"]) & rows[source_col].eqNullSafe(plan["__source"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(df.columns)

@@ -49,7 +49,7 @@ def op7_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies", "hash")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

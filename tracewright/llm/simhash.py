@@ -202,7 +202,8 @@ def digits(column: str) -> F.Column:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of `df` with the smallest id of their group: one row for each group."""
+    """The rows of `df` with the smallest id of their group: one row for each group. Of rows of a group that share that id, the one
+    with the least text stays, and of equal texts the one whose other columns, as JSON, come first."""
     found = cut(near_duplicates(df, id_col, text_col, radius))
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
     if keep.where("__n > 1").isEmpty():
@@ -211,5 +212,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     groups = found.groupBy("fingerprint").agg(F.first("component_id").alias("component_id"), F.first("group").alias("group"))
     rows = fingerprints(df, text_col, keep_text=True, name="__fp").withColumn("__fp", digits("__fp"))
     rows = rows.join(groups.select(F.col("fingerprint").alias("__of"), F.col("component_id").alias("__first"), F.col("group").alias("__group")), F.col("__fp") == F.col("__of"))
-    rows = rows.where(F.col(id_col).eqNullSafe(F.col("__first"))).dropDuplicates(["__group"])
-    return rows.select(df.columns)
+    rows = rows.where(F.col(id_col).eqNullSafe(F.col("__first")))
+    order = F.struct(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.to_json(F.struct(*df.columns)))
+    kept = rows.groupBy("__group").agg(F.min_by(F.struct(*df.columns), order).alias("__row"))
+    return kept.select(*[F.col("__row")[c].alias(c) for c in df.columns])

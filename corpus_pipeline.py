@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor. Models are fitted on
 labelled rows of that input. All stages but the last return the columns of documents.
+
+Null texts count as empty: they have a score of quality, no toxic terms, fingerprint 0 and size 0. Null ids,
+sources and languages are values like any other. Rows that repeat, or share an id, go through each
+for itself; near-duplicates leave one row a group, the one with the smallest id, then the least text. Columns are
+handled by place, so further ones may have any name. An empty table, or one that a stage empties, stays one.
 """
 
 from __future__ import annotations
@@ -44,11 +49,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    plan = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    plan = plan.select(F.col("doc_id").alias("taken"), "copies")
     rows, name = positional(docs)
-    rows = rows.join(plan, F.col(name["doc_id"]).eqNullSafe(F.col("taken")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*name.values()).toDF(*docs.columns)
+    return mixing.taken(rows, name["doc_id"], name["text"], name["source"]).toDF(*docs.columns)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,17 +67,26 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pieces", pieces_stage),
 ]
 
-#: Trained models and XXH64 have no DuckDB equivalent; tests/llm/test_pipeline.py holds run() against brute force.
+#: Trained models and XXH64 have no DuckDB equivalent; tests/llm/test_models.py holds the stages and run() against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
+    """All stages over documents, each written as Parquet to the shared folder and read again. A stage's folder is deleted
+    once the next stage is written; the last one's is what the result reads."""
     ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{base}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}")
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    try:
+        for name, stage in STAGES:
+            path = spark._jvm.org.apache.hadoop.fs.Path(base, name)
+            stage(spark, docs, sf_dir).write.parquet(path.toString())
+            docs = spark.read.parquet(path.toString())
+            if before is not None:
+                files.delete(before, True)
+            before = path
+    except BaseException:
+        files.delete(base, True)
+        raise
     return docs

@@ -53,7 +53,8 @@ def test_statistics_cover_all_rows(spark):
     i, j = np.triu_indices(len(x), 1)
     sims, same = (x @ x.T)[i, j], g[i] == g[j]
     want = np.searchsorted(np.sort(sims[~same]), sims[same]).mean() / (~same).sum()
-    assert learn.auc(x, g) == pytest.approx(want, abs=1e-9) == learn.whole_auc(rows, None)
+    assert learn.auc(x, g) == pytest.approx(want, abs=1e-9)
+    assert learn.whole_auc(rows, None) == pytest.approx(want, abs=1e-7)  # similarities within 2e-6 count as ties
 
 
 def test_training_beats_raw_on_planted_groups():

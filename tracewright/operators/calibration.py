@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scoring import nonconformity
 from ..functions.vectors import dot, unit
 from .lineage import cut, global_rank
-from .retrieval import ROWS_AT_ONCE, blockwise, pairwise
+from .retrieval import ROWS_AT_ONCE, blockwise, pairwise, whole
 
 
 def centroid(vectors: DataFrame) -> DataFrame:
@@ -41,6 +41,18 @@ def label_pairs(vectors: DataFrame) -> DataFrame:
     return pairs.join(a, "i").join(b, "j").select("i", "j", "sim", (F.col("la") == F.col("lb")).alias("same"))
 
 
+def sampled_pairs(vectors: DataFrame, n: int = 20_000, seed: int = 0) -> DataFrame:
+    """J11, sampled: n draws of two of the vectors (id, v, label) each, with replacement; draws of one vector twice go, so a little fewer
+    than n pairs (sim, same, i, j) come back. Draws are hashes of their number and the seed: reruns agree."""
+    ranked = cut(global_rank(whole(vectors).select("id", "v", "label"), ["id"]))
+    size = ranked.count()
+    draw = lambda side: (F.pmod(F.xxhash64("k", F.lit(seed), F.lit(side)), F.lit(max(size, 1))) + 1).alias(f"r{side}")
+    draws = vectors.sparkSession.range(n if size else 0).select(F.col("id").alias("k")).select("k", draw(0), draw(1)).where("r0 <> r1")
+    a = ranked.select(F.col("rank").alias("r0"), F.col("id").alias("i"), F.col("v").alias("a"), F.col("label").alias("la"))
+    b = ranked.select(F.col("rank").alias("r1"), F.col("id").alias("j"), F.col("v").alias("b"), F.col("label").alias("lb"))
+    return draws.join(a, "r0").join(b, "r1").select(dot(F.col("a"), F.col("b")).alias("sim"), F.col("la").eqNullSafe(F.col("lb")).alias("same"), "i", "j")
+
+
 #: Similarities that fall into one of 2^SIM_BITS equal parts of [-1, 1] count as equal; bits of the parts that are summed in one window.
 SIM_BITS, PART_BITS = 20, 10
 

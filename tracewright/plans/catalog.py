@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.vectors import as_double, norm, unit
-from ..operators import boundary, calibration, encode, learn, retrieval, themes, verdicts
-from ..sources import markdown, registry, rubric
-from . import fixtures, loop
+from ..operators import boundary, calibration, encode, index, learn, retrieval, themes, verdicts
+from ..sources import channels, markdown, registry, rubric
+from . import answer, fixtures, loop
 from .oracles import ORACLES
 
 BETA = 12.0
@@ -513,13 +513,52 @@ def run_loop_stub(spark, sf):
     return verdicts.best_draft(loop.rounds_frame(spark, runs).withColumn("score", F.lit(0.0)))
 
 
+def run_loop_full(spark, sf):
+    """O1, O2, K2: recall, route, loop, confidence, screen and record of three cues."""
+    items = [r.asDict() for r in fixtures.frame(spark, "rubric").collect()]
+    config = loop.LoopConfig(k=1)
+    gold, pool = index.build(fixtures.frame(spark, "gold")), lambda: index.build(fixtures.frame(spark, "pool"))
+    got = answer.run_records(answer.answer(fixtures.frame(spark, "cues"), gold, loop.StubEngine(), items, config, pool), config, "stub")
+    used = [F.array_join(c, ",").alias(c) for c in ("gold_used", "context_used")]
+    return got.select("cue_id", "model", *used, "path", "final", "n_fail", "weighted_fail", "iterations", "accepted", _r("score").alias("score"), "verdict", "weakest", "boundary_held")
+
+
+def index_build(spark, sf):
+    """Sharpness that an index of all vectors is calibrated to, and its size."""
+    built = index.build(_vectors(spark, sf).select("id", "v"))
+    return built.traces.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(round(built.beta, 6)).alias("beta"))
+
+
+def channel_load(spark, sf):
+    """The channels over one listing of files, notes parked."""
+    rows = registry.load_all(spark, channels.channels("", files=fixtures.frame(spark, "files")))
+    return rows.select("channel", "subchannel", "channel_weight", "source", "title", "section", "note", "date", _length("body").alias("n"))
+
+
+def prompt_law(spark, sf):
+    """F8."""
+    return rubric.prompt_text(rubric.parse(fixtures.RUBRIC_TEXT).frame(spark))
+
+
+def law_desc(spark, sf):
+    """what failed keys mean."""
+    keys = spark.createDataFrame([(1, "one_thesis"), (2, "no_list"), (3, "unheard_of")], "n long, key string")
+    return rubric.described(keys, rubric.parse(fixtures.RUBRIC_TEXT).frame(spark)).select("n", "key", "desc")
+
+
+def load_raw(spark, sf):
+    """Documents as plain traces."""
+    rows = registry.legacy(_docs(spark, sf).select("doc_id", F.col("text").alias("body"), F.col("source").alias("channel")))
+    return rows.groupBy("channel", "title", "salience").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).cast(LONG).alias("chars"))
+
+
 QUERIES = {f.__name__: f for f in (
     channel_counts, min_body_filter, cap_body, registry_load, body_stats, dedup_first, text_sha1, cache_misses, infer_title, sanitize, substance_prior, salience, sentence_split,
     structural_flags, trace_sensitivity, output_screen, hash_encoder, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
     recall_base_score, active_traces, recall_topk, mmr_k3, beta_calibration, dynamic_alpha, separability, separability_report, hopfield_energy, iterative_recall, stability_report,
     pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, cluster_channels,
     sleep_report, weighted_pass_rate, fail_counts, weak_parse, confidence_line, context_block, decision_stats, conformal_loo, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,
-    decision_memory, rubric_items, rubric_weight, identity_auc, identity_project, int8_auc, supcon_loss, run_loop_stub,
+    decision_memory, rubric_items, rubric_weight, identity_auc, identity_project, int8_auc, supcon_loss, run_loop_stub, run_loop_full, index_build, channel_load, prompt_law, law_desc, load_raw,
 )}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -65,7 +65,35 @@ BOUNDARY = [
 ]
 SANITIZE = [(-1, "a — b—c: d.. e . . f"), (-2, "  plain  "), (-3, "x:y: z")]
 
+GOLD = [
+    (1, "Boats", "harbor boats sail at dawn", "writing"),
+    (2, "Bread", "fresh bread from stone ovens", "writing"),
+    (3, "Price", "price was $50k last winter", "writing"),
+]
+POOL = [
+    (1, "Ship log", "harbor boats sail at dawn", "decision", 1.0),
+    (2, "Oven notes", "fresh bread from stone ovens", "writing", 1.0),
+    (3, "Shop idea", "price was $50k last winter", "idea", 1.0),
+]
+CUES = [(1, "harbor boats sail at dawn"), (2, "fresh bread from stone ovens"), (3, "price was $50k last winter")]
+FILES = [
+    ("w/raw/log.md", "## Days\n### morning — Substack (01.02.2026)\n> a note\nthe harbor wakes before anyone else does"),
+    ("w/alpha/DECISIONS.md", "- 2026-01-02 cache: reads are slow here. KARAR: add one / NEDEN: the ratio is bad / GERI ALMA: ucuz"),
+    ("w/reports/2026-01-05-audit.MD", "# Audit\n## Findings\nnothing broke in the second week, and the logs say why"),
+    ("w/reports/plain.txt", "a report without headings, which is still long enough to be kept"),
+    ("w/reports/deep/no.md", "reports of deeper folders are not listed, however long they may be"),
+    ("w/reports/data.csv", "tables are not reports, however long their first line may be, or the second"),
+    ("w/beta/CLAUDE.md", "# Beta\n## State\nthe project map of beta, with more than forty characters"),
+    ("w/node_modules/x/CLAUDE.md", "# Copy\n## State\nthe project map of a copy, with more than forty characters"),
+    ("w/IDEA_PARKING.md", "# Ideas\n## Kiosk\na kiosk for old maps of the coast\n## No\ntoo short"),
+    ("w/video-fikirleri/a/b.md", "loneliness as a wall, and who builds it"),
+    ("w/other/c.md", "a file that only the parked channel of notes would take in, if named"),
+]
 _TABLES = {
+    "gold": (GOLD, "id long, title string, body string, channel string"),
+    "pool": (POOL, "id long, title string, body string, channel string, channel_weight double"),
+    "cues": (CUES, "cue_id long, cue string"),
+    "files": (FILES, "path string, content string"),
     "markdown": (MARKDOWN, "path string, content string"),
     "docs": (DOCS, "path string, content string"),
     "decisions": (DECISIONS, "path string, content string"),

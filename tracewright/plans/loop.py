@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import pass_summary, salience
 from ..functions.text import infer_title, text_key, trim_u
 from ..operators.verdicts import read_object
+from .engines import CallingEngine, HandOffEngine
 
 
 class Engine(Protocol):
@@ -65,10 +67,14 @@ class StubEngine:
         return draft.replace(f"[{key}]", "").strip()
 
 
-def build_engine(config: LoopConfig) -> Engine:
-    """O9."""
+def build_engine(config: LoopConfig, send: Callable[[str, str], str] | None = None, folder: str | None = None) -> Engine:
+    """The stub, an engine that calls `send` with back-off, or a hand-off by files in `folder`."""
     if config.engine == "stub":
         return StubEngine()
+    if config.engine == "call" and send is not None:
+        return CallingEngine(send)
+    if config.engine == "handoff" and folder is not None:
+        return HandOffEngine(folder)
     raise ValueError(f"no engine named {config.engine!r}")
 
 

@@ -205,4 +205,23 @@ SELECT eps, round(CASE WHEN n < 3 OR k2 > n - 1 THEN 1.0::DOUBLE ELSE (SELECT co
 ), s AS (SELECT *, CASE WHEN smells THEN least(1.0::DOUBLE, x + 0.03::DOUBLE) ELSE greatest(0.0::DOUBLE, x - 0.08::DOUBLE) END AS y, CASE low WHEN law THEN 'law' WHEN voice THEN 'voice_fit' WHEN ground THEN 'grounding' ELSE 'effort' END AS weakest FROM b
 ), t AS (SELECT *, printf('%.0f%%', y * 100) AS pc FROM s)
 SELECT event_id, CASE WHEN y < 0.45::DOUBLE THEN 'abstaining (' || pc || '); weakest: ' || weakest WHEN y >= 0.78::DOUBLE AND NOT fail THEN 'very likely (' || pc || ')' ELSE 'possible, not certain (' || pc || '); weakest: ' || weakest END AS line FROM t""",
+    # The engine's draft names the cue and loses one of its two marks a repair: em_dash weighs 3, list 2 of 7.5.
+    "run_loop_full": """WITH c AS (SELECT * FROM (VALUES (1, 'Boats', 'Ship log', 'Draft about harbor boats sail at dawn', 0.9, 'slow', 5, 3, 0.0), (2, 'Bread', 'Oven notes', 'Draft about fresh bread from stone ovens  [list]', 0.4, 'fast', 2, 2, 2.0),
+(3, 'Price', 'Shop idea', '[sensitive: removed]', 0.8, 'slow', 4, 3, 0.0)) v(cue_id, gold_used, context_used, final, stakes, path, most, iterations, fail)
+), b AS (SELECT *, 0.45::DOUBLE * (1 - fail::DOUBLE / 7.5::DOUBLE) + 0.22::DOUBLE + 0.18::DOUBLE + 0.15::DOUBLE * (1 - (iterations - 1)::DOUBLE / most) AS x FROM c
+), s AS (SELECT *, CASE WHEN fail = 0 THEN least(1.0::DOUBLE, x + 0.03::DOUBLE) ELSE x - 0.08::DOUBLE END AS y FROM b)
+SELECT cue_id::BIGINT AS cue_id, 'stub' AS model, gold_used, context_used, path, final, (CASE WHEN fail = 0 THEN 0 ELSE 1 END)::INT AS n_fail, fail::DOUBLE AS weighted_fail, iterations::INT AS iterations, fail = 0 AND cue_id <> 3 AS accepted,
+round(y, 6) AS score, CASE WHEN fail = 0 AND y >= 0.78::DOUBLE + 0.07::DOUBLE * stakes::DOUBLE THEN 'sure' ELSE 'tentative' END AS verdict, 'effort' AS weakest, cue_id = 3 AS boundary_held FROM s""",
+    "index_build": f"{GAP} SELECT n, round(CASE WHEN n < 2 THEN 12 WHEN gap < 1e-4 THEN 20 ELSE least(40, greatest(4, ln(6.0::DOUBLE) / gap)) END::DOUBLE, 6) AS beta FROM q",
+    "channel_load": """SELECT channel, subchannel, channel_weight::DOUBLE AS channel_weight, source, title, section, note, date, n::BIGINT AS n FROM (VALUES
+('writing', 'Substack', 1.0, 'log', 'morning — Substack (01.02.2026)', 'Days', 'a note', '01.02.2026', length('the harbor wakes before anyone else does')),
+('decision', NULL, 1.4, 'decision:alpha', 'cache', 'alpha', 'reversal-cost: ucuz', '2026-01-02', length('durum: reads are slow here.#karar: add one#neden: the ratio is bad#geri alma: ucuz')),
+('report', NULL, 0.9, 'report:2026-01-05-audit', 'Audit — Findings', 'Audit', NULL, '2026-01-05', length('nothing broke in the second week, and the logs say why')),
+('report', NULL, 0.9, 'report:plain', 'plain', 'plain', NULL, '', length('a report without headings, which is still long enough to be kept')),
+('projectdoc', NULL, 0.8, 'projectdoc:beta', 'Beta — State', 'Beta', NULL, '', length('the project map of beta, with more than forty characters')),
+('idea', NULL, 1.1, 'idea:parking', 'Ideas — Kiosk', 'Ideas', NULL, '', length('a kiosk for old maps of the coast')),
+('desktop', NULL, 1.2, 'desktop:b', 'b', 'b', NULL, '', length('loneliness as a wall, and who builds it'))) v(channel, subchannel, channel_weight, source, title, section, note, date, n)""",
+    "prompt_law": """SELECT 'THE RUBRIC (keep every item):' || chr(10) || '- Open plainly. No hook of any kind.' || chr(10) || '- One thesis. Carry it.' || chr(10) || '- No em dash. Not one.' || chr(10) || '- No list. No list.' AS text""",
+    "law_desc": """SELECT n::BIGINT AS n, key, "desc" FROM (VALUES (1, 'one_thesis', 'Carry it.'), (2, 'no_list', 'No list.'), (3, 'unheard_of', 'unheard_of')) v(n, key, "desc")""",
+    "load_raw": "SELECT coalesce(source, '') AS channel, '' AS title, 0.0::DOUBLE AS salience, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY 1",
 }

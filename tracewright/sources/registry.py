@@ -75,6 +75,14 @@ def load_kind(verified: DataFrame, grown: DataFrame | None = None) -> DataFrame:
     return verified if grown is None else verified.unionByName(grown, allowMissingColumns=True)
 
 
+def legacy(rows: DataFrame) -> DataFrame:
+    """Traces as (title, body, source, section, note, channel, date, kind, salience); absent fields are empty, salience 0."""
+    text = ("title", "body", "source", "section", "note", "channel", "date", "kind")
+    have = set(rows.columns)
+    out = [F.coalesce(F.col(c) if c in have else F.lit(None).cast("string"), F.lit("")).alias(c) for c in text]
+    return rows.select(*out, F.coalesce(F.col("salience").cast("double") if "salience" in have else F.lit(None).cast("double"), F.lit(0.0)).alias("salience"))
+
+
 def append_log(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """K1 to K3: append records to a JSON log, partitioned where asked for."""
     out = df.write.mode("append")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import sanitize
 from .schemas import RUBRIC
 
 
@@ -78,3 +79,17 @@ def mechanical(items: DataFrame) -> DataFrame:
 def total_weight(items: DataFrame) -> DataFrame:
     """S20."""
     return items.agg(F.sum("weight").alias("total_weight"))
+
+
+def prompt_text(items: DataFrame, heading: str = "THE RUBRIC (keep every item):") -> DataFrame:
+    """F8: the rubric as one text for a prompt, rebuilt from its items so that it keeps its own rules: (text)."""
+    title = F.regexp_replace(sanitize(F.col("title")), r"[. ]+\z", "")
+    line = F.concat(F.lit("- "), title, F.lit(". "), sanitize(F.col("desc")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda i: i["line"])
+    return items.agg(F.array_join(F.concat(F.array(F.lit(heading)), lines), "\n").alias("text"))
+
+
+def described(keys: DataFrame, items: DataFrame) -> DataFrame:
+    """keys(key, ...) with `desc`, the first item's of that key, or the key itself."""
+    first = items.groupBy("key").agg(F.min_by("desc", "ord").alias("desc"))
+    return keys.join(F.broadcast(first), "key", "left").withColumn("desc", F.coalesce("desc", "key"))

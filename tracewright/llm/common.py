@@ -90,6 +90,16 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, matrix) of the lists of each length."""
+    size = np.diff(column.offsets.to_numpy())
+    flat = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() :]
+    start = np.cumsum(size) - size
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        yield int(d), flat[start[at][:, None] + np.arange(d)]
+
+
 #: Characters of text that map_text works on at once.
 BLOCK_CHARS = 1 << 21
 
@@ -137,4 +147,4 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names))
 
 
-__all__ = ["WORD", "components", "cut", "ensure_checkpoint_dir", "labelled_sample", "least_of_component", "map_text", "positional", "roots"]
+__all__ = ["WORD", "by_length", "components", "cut", "ensure_checkpoint_dir", "labelled_sample", "least_of_component", "map_text", "positional", "roots"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, least_of_component
+from .common import by_length, components, cut, least_of_component
 
 THRESHOLD = 0.98
 #: Vectors of a tile, dimensions that one step accumulates, rows and pairs that are compared at once.
@@ -39,7 +39,7 @@ def second_moments(vectors: DataFrame) -> dict[int, np.ndarray]:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for d, x in _by_length(batch.column(0)):
+            for d, x in by_length(batch.column(0)):
                 x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
                 sums[d] = sums.get(d, 0) + x.T @ x
         for d, m in sums.items():
@@ -52,16 +52,6 @@ def second_moments(vectors: DataFrame) -> dict[int, np.ndarray]:
     return {d: m.reshape(d, d) for d, m in out.items()}
 
 
-def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, matrix) of the lists of each length."""
-    size = np.diff(column.offsets.to_numpy())
-    flat = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() :]
-    start = np.cumsum(size) - size
-    for d in np.unique(size):
-        at = np.flatnonzero(size == d)
-        yield int(d), flat[start[at][:, None] + np.arange(d)]
-
-
 def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Give linked rows the smaller label, in place, until both sides agree."""
     while True:
@@ -115,7 +105,7 @@ def tile_links(threshold: float, axes: dict[int, np.ndarray]):
         node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
         side = table["side"].to_numpy()
         column = table["v"].chunk(0) if table["v"].num_chunks else table["v"].combine_chunks()
-        (d, x) = next(_by_length(column))
+        (d, x) = next(by_length(column))
         # Without tile b the pair is a tile with itself.
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not b.size

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edits, embeddings, html, mixing, oracles, pieces, quality, simhash, tokens, toxicity
+from . import chat, edits, embeddings, html, mixing, oracles, pieces, quality, simhash, tokens, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whitening.whiten(vectors, whitening.fit(vectors))
+    out = out.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c"))
+    return out.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -74,5 +81,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
     "op10_html": op10_html,
+    "op11_whitening": op11_whitening,
 }
 ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op5_embeddings": oracles.EMBEDDINGS, "op8_mixing": oracles.MIXING}

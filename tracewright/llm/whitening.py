@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_length, cut
+from .common import by_length, cut, positional
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 16
 #: Entries from this size on are no longs once scaled.
@@ -236,9 +236,10 @@ def whiten(df: DataFrame, model: dict[int, Whitening], vec_col: str = "embedding
     """The rows of `df` whose vector can be used, with n, deviation, whitened (one value a component), explained and identity_error;
     columns of `df` named like these give way to them. Lengths that the model doesn't know are left out."""
     schema = T.StructType.fromDDL(FIELDS)
-    kept = [c for c in df.columns if c not in schema.names]
-    x = scaled(F.col(f"`{vec_col}`"))
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], x.alias("__x")).where(F.size("__x").isin([int(d) for d in model]))
+    rows, name = positional(df)
+    names = [c for c in df.columns if c not in schema.names]
+    kept = [name[c] for c in names]
+    rows = rows.select(*kept, scaled(F.col(name[vec_col])).alias("__x")).where(F.size("__x").isin([int(d) for d in model]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,4 +261,4 @@ def whiten(df: DataFrame, model: dict[int, Whitening], vec_col: str = "embedding
                 columns = [c.slice(k, step) for c in batch.columns[: len(kept)]] + [pa.array(c, t) for c, t in zip(out, types)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *schema.names])
 
-    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *schema.fields]))
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], *schema.fields])).toDF(*names, *schema.names)

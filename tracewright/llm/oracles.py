@@ -114,3 +114,58 @@ WITH RECURSIVE e AS (
 SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id::BIGINT AS component_id, e.vec_id = c.component_id AS kept
 FROM e JOIN c ON e.vec_id = c.id LEFT JOIN k ON e.vec_id = k.a
 """
+
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n_lang FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), r AS (
+  SELECT lang, source, term, count(*) AS n, any_value(n_lang) AS n_lang FROM w JOIN k USING (lang, term) GROUP BY lang, source, term
+), l AS (
+  SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM k GROUP BY lang
+), s AS (
+  SELECT lang, source, sum(n) AS total FROM r GROUP BY lang, source
+), g AS (
+  SELECT DISTINCT d.lang, d.source, coalesce(v, 0) AS v, coalesce(total, 0) AS total, total_lang
+  FROM d LEFT JOIN l ON d.lang = l.lang LEFT JOIN s ON d.lang = s.lang AND d.source = s.source
+), p AS (
+  SELECT g.lang, g.source, k.term, r.n, 1 + 1000000000::HUGEINT * (coalesce(r.n, 0) + 2) // (g.total + 2 * g.v)::HUGEINT AS p,
+    1 + 1000000000::HUGEINT * (k.n_lang + 2) // (g.total_lang + 2 * g.v)::HUGEINT AS q
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN r ON r.lang = g.lang AND r.source = g.source AND r.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o
+)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 10
+"""
+
+REPEATS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT r, unnest(range(1, len(ws) + 1)) AS j, ws FROM d
+), q AS (
+  SELECT r, j, ws[j] AS word, CASE WHEN j + 34 <= len(ws) THEN sha256(array_to_string(list_slice(ws, j, j + 34), ' ')) END AS win FROM p
+), c AS (
+  SELECT win, count(*) AS n FROM q WHERE win IS NOT NULL GROUP BY win
+), f AS (
+  SELECT r, j, word, coalesce(max(n) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) > 1 AS gone
+  FROM q LEFT JOIN c USING (win)
+), g AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""

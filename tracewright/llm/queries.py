@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edits, embeddings, html, mixing, oracles, pieces, quality, simhash, tokens, toxicity, whitening
+from . import chat, divergence, edits, embeddings, html, mixing, oracles, pieces, quality, repeats, simhash, tokens, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).drop("text")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -82,5 +90,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_html": op10_html,
     "op11_whitening": op11_whitening,
+    "op12_repeats": op12_repeats,
+    "op13_divergence": op13_divergence,
 }
-ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op5_embeddings": oracles.EMBEDDINGS, "op8_mixing": oracles.MIXING}
+ORACLES: dict[str, str] = {"op3_chat": oracles.CHAT, "op5_embeddings": oracles.EMBEDDINGS, "op8_mixing": oracles.MIXING, "op12_repeats": oracles.REPEATS, "op13_divergence": oracles.DIVERGENCE}

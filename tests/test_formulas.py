@@ -137,6 +137,9 @@ def test_confidence(spark):
     assert c["score"] == pytest.approx(0.41675) and c["verdict"] == "abstain" and c["weakest"] == "effort"
     line = rows.select(scoring.confidence_line(F.col("x.verdict"), F.col("x.score"), F.col("x.weakest")).alias("s")).first()["s"]
     assert "effort" in line
+    for score in (0.125, 0.325, 0.375, 0.335, 0.005, 0.015, 0.995, 0.3249999, 0.3250001):
+        line = one(spark, scoring.confidence_line(F.lit("sure"), F.col("s"), F.lit("law")), s=score)
+        assert line == f"very likely ({score * 100:.0f}%)"  # halves to even, as Python rounds
 
 
 def test_text(spark):

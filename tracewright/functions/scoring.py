@@ -139,8 +139,8 @@ def assess(law: Column, any_fail: Column, smells: Column, weight: Column, score:
 
 
 def confidence_line(verdict: Column, score: Column, weakest: Column) -> Column:
-    """F16: one sentence that states the certainty and what is weakest."""
-    percent = F.format_string("%.0f%%", score * 100)
+    """F16: one sentence that states the certainty and what is weakest. Halves of a percent go to the even number."""
+    percent = F.format_string("%d%%", F.bround(score * 100, 0).cast("int"))
     return (
         F.when(verdict == "abstain", F.concat(F.lit("abstaining ("), percent, F.lit("); weakest: "), weakest))
         .when(verdict == "sure", F.concat(F.lit("very likely ("), percent, F.lit(")")))

@@ -103,13 +103,15 @@ def run_records(answers: DataFrame, config: LoopConfig, model: str = "") -> Data
 
 
 def archive_records(rounds: DataFrame, source: str = "", model: str = "") -> DataFrame:
-    """K3: one record for each enforced draft of rounds(run_id, round, draft, weighted_fail, n_fail, smells, weakest), with a unique id and its date,
-    by which the archive is partitioned: `registry.append_log(records, path, ["date"])`."""
+    """K3: one record for each enforced draft of rounds(run_id, round, draft, weighted_fail, n_fail, smells, weakest), with its date,
+    by which the archive is partitioned: `registry.append_log(records, path, ["date"])`. The id is drawn when the records are
+    written, anew by every append: `uuid()` would take its seed when the plan is made."""
     each = F.struct("round", "draft", "weighted_fail", "n_fail", "smells", "weakest")
     got = rounds.groupBy("run_id").agg(F.array_sort(F.collect_list(each)).alias("iterations"), F.min_by("draft", "round").alias("initial_draft"), F.min_by(F.struct("draft", "n_fail"), F.struct("weighted_fail", "round")).alias("b"))
     now = F.current_timestamp()
+    drawn = F.reflect(F.lit("java.util.UUID"), F.lit("randomUUID"))
     return got.select(
-        F.concat(F.date_format(now, "yyyyMMdd'T'HHmmss'Z-'"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)).alias("id"), F.to_date(now).cast("string").alias("date"),
+        F.concat(F.date_format(now, "yyyyMMdd'T'HHmmss'Z-'"), F.replace(drawn, F.lit("-"), F.lit(""))).alias("id"), F.to_date(now).cast("string").alias("date"),
         now.alias("created_at"), F.lit(model).alias("model"), F.lit(source).alias("law_source"), (F.col("b.n_fail") == 0).alias("clean"), F.size("iterations").alias("rounds"),
         "run_id", "initial_draft", F.col("b.draft").alias("final_draft"), "iterations",
     )

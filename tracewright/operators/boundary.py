@@ -1,19 +1,30 @@
-"""Output screen: sensitive sentences by structure and by proximity to anchors; fail-closed."""
+"""Output screen: sensitive sentences by structure and by proximity to anchors; fail-closed.
+
+Sentences are compared with the anchors once however often they occur, in blocks of sentences against blocks of anchors: neither side is
+broadcast. Sentences and anchors are encoded alike, by a function of a column (`hash_encoder`) or by `Contexts`, which
+has learned from a corpus what words keep like company.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import structural_hit
 from ..functions.text import sentences
-from ..functions.vectors import dot, as_double
+from ..functions.vectors import as_double
+from .contexts import Contexts
 from .encode import hash_encoder
+from .lineage import cut
+from .retrieval import pairwise
 
-MASK = "[sensitive: removed]"
-#: Family health, personal finance, family privacy, mental health: the reference's.
+Encoder = Callable[[Column], Column] | Contexts
+MASK, HELD = "[sensitive: removed]", "[not verified: held]"
+#: Family health, personal finance, family privacy, mental health.
 ANCHORS = (
     "annemin sağlığı ve tedavisi, hastalığı, doktoru",
     "kazandığım para, gelirim, maaşım, ne kadar kazandığım",
@@ -22,13 +33,33 @@ ANCHORS = (
 )
 
 
-def anchor_vectors(spark: SparkSession, encoder: Callable[[Column], Column] = hash_encoder) -> DataFrame:
-    """(a): the unit vectors of ANCHORS."""
-    return spark.createDataFrame([(a,) for a in ANCHORS], "s string").select(as_double(encoder(F.col("s"))).alias("a"))
+def encoded(texts: DataFrame, encoder: Encoder) -> DataFrame:
+    """(id, v) of texts(id, s): unit vectors. Texts in which the encoder knows no word have none."""
+    if isinstance(encoder, Contexts):
+        return encoder.vectors(texts)
+    return texts.select("id", as_double(encoder(F.col("s"))).alias("v"))
+
+
+def anchor_vectors(spark: SparkSession, encoder: Encoder = hash_encoder, anchors: Sequence[str] = ANCHORS) -> DataFrame:
+    """(a): the unit vectors of the anchors."""
+    texts = spark.createDataFrame(list(enumerate(anchors)), "id long, s string")
+    return encoded(texts, encoder).select(F.col("v").alias("a"))
+
+
+def near_anchors(said: DataFrame, anchors: DataFrame, threshold: float, encoder: Encoder) -> DataFrame:
+    """(s, near) of said(s), distinct sentences whose greatest similarity to an anchor, `near`, is at least the threshold. anchors(a)."""
 
+    def reduce(ids: np.ndarray, sims: np.ndarray, _: np.ndarray) -> pd.DataFrame:
+        most = sims.max(axis=1)
+        return pd.DataFrame({"id": ids[most >= threshold], "near": most[most >= threshold]})
 
-def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float = 0.55, redact: bool = True, encoder: Callable[[Column], Column] = hash_encoder) -> DataFrame:
-    """texts(id, text) to (id, safe, flagged, reasons, redacted). anchors(a): unit vectors, all of them used.
+    vectors = encoded(said.select(F.col("s").alias("id"), "s"), encoder)
+    against = cut(anchors.select(F.monotonically_increasing_id().alias("id"), F.col("a").alias("v")))
+    return pairwise(vectors, against, reduce, "id string, near double").groupBy(F.col("id").alias("s")).agg(F.max("near").alias("near"))
+
+
+def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float = 0.55, redact: bool = True, encoder: Encoder = hash_encoder) -> DataFrame:
+    """texts(id, text) to (id, safe, flagged, reasons, redacted). anchors(a): unit vectors of the encoder, all of them used.
 
     A sentence is flagged for its structure first, else for its greatest similarity to an anchor. Every
     occurrence of a flagged sentence is masked. A null text can't be verified and is held.
@@ -36,11 +67,10 @@ def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float
     rows = texts.select("id", "text", F.posexplode_outer(sentences(F.col("text"))).alias("n", "s"))
     rows = rows.withColumn("why", structural_hit(F.col("s")))
     if anchors is not None:
-        few = anchors.agg(F.collect_list("a").alias("anchors"))
-        # Encoded before the join: lambdas take no Python function.
-        rows = rows.withColumn("v", as_double(encoder(F.col("s")))).crossJoin(F.broadcast(few))
-        near = F.array_max(F.transform("anchors", lambda a: dot(F.col("v"), a)))
-        rows = rows.withColumn("why", F.coalesce("why", F.when(near >= threshold, "meaning")))
+        said = rows.where("why is null and s is not null").select("s").distinct()
+        near = near_anchors(said, anchors, threshold, encoder).select(F.col("s").alias("meant"))
+        rows = rows.join(near, F.col("s") == F.col("meant"), "left")
+        rows = rows.withColumn("why", F.coalesce("why", F.when(F.col("meant").isNotNull(), "meaning")))
     hit = F.when(F.col("why").isNotNull(), F.struct("n", "s", "why"))
     got = rows.groupBy("id").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(hit)).alias("hits"))
     flagged = F.transform("hits", lambda h: h["s"])
@@ -48,5 +78,17 @@ def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float
     known = F.col("text").isNotNull()
     return got.select(
         "id", ((F.size("hits") == 0) & known).alias("safe"), flagged.alias("flagged"), F.transform("hits", lambda h: h["why"]).alias("reasons"),
-        F.when(known, clean if redact else F.col("text")).otherwise("[not verified: held]").alias("redacted"),
+        F.when(known, clean if redact else F.col("text")).otherwise(HELD).alias("redacted"),
     )
+
+
+def screen_or_hold(texts: DataFrame, anchors: Sequence[str] | DataFrame | None = ANCHORS, log: Callable[[str], None] = print, **how) -> DataFrame:
+    """`screen`, fail-closed: if it can't be done, every text is held. anchors: texts, or vectors(a), or None for structure only."""
+    try:
+        if anchors is not None and not isinstance(anchors, DataFrame):
+            anchors = anchor_vectors(texts.sparkSession, how.get("encoder", hash_encoder), anchors)
+        return cut(screen(texts, anchors, **how))
+    except Exception as e:  # what can't be verified isn't released
+        log(f"screen failed, all held: {e}")
+        none = F.array().cast("array<string>")
+        return texts.select("id", F.lit(False).alias("safe"), none.alias("flagged"), F.array(F.lit(f"not verified: {type(e).__name__}")).alias("reasons"), F.lit(HELD).alias("redacted"))

@@ -6,7 +6,7 @@ what it wrote is cut from its lineage before anything reads it twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, replace
 
 import pandas as pd
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import assess, confidence_line, route, trace_sensitive
-from ..operators.boundary import screen
+from ..operators.boundary import ANCHORS, Encoder, screen_or_hold
+from ..operators.encode import hash_encoder
 from ..operators.index import Index
 from ..operators.lineage import cut
 from .loop import Engine, LoopConfig, context_block, run_loop
@@ -64,10 +65,11 @@ def _write(rows: DataFrame, engine: Engine, rubric: list[dict], config: LoopConf
 
 def answer(
     cues: DataFrame, gold: Index, engine: Engine, rubric: list[dict], config: LoopConfig = LoopConfig(), pool: Callable[[], Index] | Index | None = None,
-    anchors: DataFrame | None = None,
+    anchors: Sequence[str] | DataFrame | None = ANCHORS, encoder: Encoder = hash_encoder,
 ) -> DataFrame:
     """cues(cue_id, cue), with unique ids, to one row each: what was recalled, the released text and the raw one, fails, path, confidence and
-    whether the screen held it. A held text is released masked and isn't accepted. Null cues count as empty; an engine's error
+    whether the screen held it. A held text is released masked and isn't accepted; texts are screened by structure and by their likeness, under
+    the encoder, to the anchors (texts, or their vectors), and all are held where the screen fails. Null cues count as empty; an engine's error
     fails the run. Engines are called once a cue, again where an executor was lost.
     """
     cues = cut(cues.select(F.col("cue_id").cast("long").alias("cue_id"), F.coalesce("cue", F.lit("")).alias("cue")))
@@ -85,7 +87,7 @@ def answer(
     total = float(sum(i["weight"] for i in rubric))
     law = F.lit(1.0) - F.col("weighted_fail") / F.lit(total) if total else F.lit(0.0)
     sure = assess(law, F.col("n_fail") > 0, F.col("smells"), F.col("gold_weight"), F.col("context_score"), F.col("iterations"), F.col("max_iter"), F.col("floor"), F.col("bar"))
-    held = screen(rows.select(F.col("cue_id").alias("id"), F.col("final_raw").alias("text")), anchors).select(F.col("id").alias("cue_id"), "safe", "redacted")
+    held = screen_or_hold(rows.select(F.col("cue_id").alias("id"), F.col("final_raw").alias("text")), anchors, encoder=encoder).select(F.col("id").alias("cue_id"), "safe", "redacted")
     rows = rows.withColumn("a", sure).join(held, "cue_id")
     return rows.select(
         "cue_id", "cue", F.coalesce("gold_used", F.array().cast("array<string>")).alias("gold_used"), F.coalesce("context_used", F.array().cast("array<string>")).alias("context_used"),

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.vectors import as_double, norm, unit
-from ..operators import boundary, calibration, encode, index, learn, retrieval, themes, verdicts
+from ..operators import boundary, calibration, contexts, encode, index, learn, retrieval, themes, verdicts
 from ..sources import channels, markdown, registry, rubric
 from . import answer, fixtures, loop
 from .oracles import ORACLES
 
 BETA = 12.0
+#: Likeness to a benchmark passage from which a sentence is flagged, under contexts learned from invented prose, which is all alike.
+NEAR_PASSAGE = 0.95
 LONG = "long"
 
 
@@ -142,6 +144,15 @@ def output_screen(spark, sf):
     return out.select("id", "safe", F.size("flagged").cast(LONG).alias("n_flagged"), F.array_join("reasons", ",").alias("reasons"), F.sha1(F.col("redacted").cast("binary")).alias("sha"))
 
 
+def semantic_screen(spark, sf):
+    """Sentences near a benchmark passage under an encoder learned from the documents."""
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    encoder = contexts.learn(docs)
+    passages = boundary.encoded(_t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("s")), encoder)
+    out = boundary.screen(docs, passages.select(F.col("v").alias("a")), threshold=NEAR_PASSAGE, encoder=encoder)
+    return out.select("id", "safe", F.size("flagged").cast(LONG).alias("n_flagged"), F.array_join("reasons", ",").alias("reasons"), F.sha1(F.col("redacted").cast("binary")).alias("sha"))
+
+
 def hash_encoder(spark, sf):
     v = encode.hash_encoder(F.col("text"))
     return _docs(spark, sf).select("doc_id", as_double(v).alias("v")).select("doc_id", F.size("v").cast(LONG).alias("dims"), _r(norm(F.col("v")), 3).alias("norm"))
@@ -554,7 +565,7 @@ def load_raw(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     channel_counts, min_body_filter, cap_body, registry_load, body_stats, dedup_first, text_sha1, cache_misses, infer_title, sanitize, substance_prior, salience, sentence_split,
-    structural_flags, trace_sensitivity, output_screen, hash_encoder, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
+    structural_flags, trace_sensitivity, output_screen, semantic_screen, hash_encoder, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
     recall_base_score, active_traces, recall_topk, mmr_k3, beta_calibration, dynamic_alpha, separability, separability_report, hopfield_energy, iterative_recall, stability_report,
     pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, cluster_channels,
     sleep_report, weighted_pass_rate, fail_counts, weak_parse, confidence_line, context_block, decision_stats, conformal_loo, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,

@@ -10,12 +10,14 @@ anchor. Equal windows have equal anchors at the same place within them.
 1. Equal texts are one text with a number of copies; a text with more than one is all repeats, if it has a window.
 2. Every text gives its anchors, each with the stretch of windows it stands for; anchors found once are dropped. These are few rows
    a text, far fewer than windows.
-3. The windows of shared anchors are verified: their digests (128 bits over the words in order) are counted, and those found
-   more than once are repeats.
-4. The words of repeated windows are removed, on the input all at once.
-
-Only names, digests, positions and (three times) texts are shuffled, never pairs; counts are combined map-side and joined back, so
-a passage that all documents share is split by the skew join. Distinct texts and anchors are written to the checkpoint folder and
+3. Shared anchors are verified, stretch by stretch: all windows of a stretch are repeats if its digest (128 bits over its words in order) is
+   found more than once.
+4. Where an anchor has stretches that differ, single windows decide: those of one stretch of each kind are digested, and
+   windows found more than once are repeats. That is left for the ends of passages and the surroundings of edits.
+5. The words of repeated windows are removed, on the input all at once.
+
+Only names, digests, positions and (four times) texts are shuffled, never pairs; counts are combined map-side and joined back, so
+a passage that all documents share is split by the skew join. Intermediate tables are written to the checkpoint folder and
 deleted at the end.
 
 Null texts count as empty: no words, nothing removed. Repeated rows, rows that share an id and rows with a null id
@@ -117,15 +119,15 @@ def anchors(symbol: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tupl
     return starts, name, place
 
 
-def digests(names: tuple[np.ndarray, np.ndarray], starts: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """Two 64-bit digests of each window, over the names of its words in order."""
+def digests(names: tuple[np.ndarray, np.ndarray], starts: np.ndarray, size: np.ndarray | int = WINDOW) -> list[np.ndarray]:
+    """Two 64-bit digests of each span of words, over the names of its words in order."""
     out = []
     with np.errstate(over="ignore"):
         for h, base in zip(names, BASES):
             powers = np.full(h.size, base, np.uint64).cumprod(dtype=np.uint64)
             inverse = np.full(h.size, pow(base, -1, 1 << 64), np.uint64).cumprod(dtype=np.uint64)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)])
-            out.append(_mixed((sums[starts + window] - sums[starts]) * inverse[starts]).view(np.int64))
+            out.append(_mixed((sums[starts + size] - sums[starts]) * inverse[starts]).view(np.int64))
     return out
 
 
@@ -140,11 +142,11 @@ def _text_blocks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, lis
         k, before = to, int(ends[to - 1])
 
 
-def _lists(column: pa.Array, k: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+def _lists(column: pa.Array, k: int, to: int) -> tuple[np.ndarray, pa.Array]:
     """(row, value) of the list entries of rows k to to, row counted from k."""
     part = column.slice(k, to - k)
     size = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(to - k), size), part.flatten().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(to - k), size), part.flatten()
 
 
 def _anchor_rows(window: int):
@@ -166,8 +168,25 @@ def _anchor_rows(window: int):
     return run
 
 
+def _stretch_rows(window: int):
+    """Digests of the given stretches. batches: id, text, list of (name, first window << 32 | windows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for k, to, texts in _text_blocks(batch, 1):
+                first, *names = word_names(texts)
+                row, marks = _lists(batch.column(2), k, to)
+                name, stretch = marks.flatten()
+                at = stretch.to_numpy()
+                a, b = digests(tuple(names), first[row] + (at >> 32), (at & 0xFFFFFFFF) + window - 1)
+                yield pa.RecordBatch.from_arrays([name, pa.array(a), pa.array(b), pa.array(ids[k:to][row]), stretch], ["name", "a", "b", "id", "stretch"])
+
+    return run
+
+
 def _window_rows(window: int):
-    """Digests of the windows of the given stretches. batches: id, text, stretches (first window << 32 | windows)."""
+    """Digests of all windows of the given stretches. batches: id, text, stretches. Each row is a stretch of one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,31 +194,32 @@ def _window_rows(window: int):
             for k, to, texts in _text_blocks(batch, 1):
                 first, *names = word_names(texts)
                 row, stretch = _lists(batch.column(2), k, to)
+                stretch = stretch.to_numpy()
                 many = stretch & 0xFFFFFFFF
                 row = np.repeat(row, many)
                 at = np.repeat(stretch >> 32, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 a, b = digests(tuple(names), first[row] + at, window)
                 for s in range(0, at.size, BATCH):
                     part = slice(s, s + BATCH)
-                    columns = [a[part], b[part], ids[k:to][row[part]], at[part].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["a", "b", "id", "at"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (a[part], b[part], ids[k:to][row[part]], at[part] << 32 | 1))], ["a", "b", "id", "stretch"])
 
     return run
 
 
 def _removed_rows(window: int, keep_text: bool):
-    """batches: k, l, text, copies, starts of repeated windows."""
+    """batches: k, l, text, copies, stretches of repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             copies = batch.column(3).to_numpy()
             for k, to, texts in _text_blocks(batch, 2):
-                row, at = _lists(batch.column(4), k, to)
+                row, stretch = _lists(batch.column(4), k, to)
+                at, many = stretch.to_numpy() >> 32, stretch.to_numpy() & 0xFFFFFFFF
                 words = [t.split() for t in texts]
                 first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
                 change = np.zeros(first[-1] + 1, np.int64)
                 np.add.at(change, first[row] + at, 1)
-                np.add.at(change, first[row] + at + window, -1)
+                np.add.at(change, first[row] + at + many + window - 1, -1)
                 stays = np.cumsum(change)[:-1] == 0
                 out = []
                 for i, w in enumerate(words):
@@ -265,13 +285,22 @@ def removed(df: DataFrame, text_col: str = "text", window: int = WINDOW, keep_te
         texts = store(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
         found = texts.select("id", "text").mapInArrow(_anchor_rows(window), "name long, id long, stretch long")
         found = store(found, "anchors")
-        marks = cut(_shared(found, "name").groupBy("id").agg(F.collect_list("stretch").alias("stretches")))
+        marks = cut(_shared(found, "name").groupBy("id").agg(F.collect_list(F.struct("name", "stretch")).alias("marks")))
         drop("anchors")
-        marked = texts.select("id", "text").join(marks, "id").select("id", "text", "stretches")
-        windows = store(marked.mapInArrow(_window_rows(window), "a long, b long, id long, at int"), "windows")
-        starts = cut(_shared(windows, "a", "b").groupBy("id").agg(F.collect_list("at").alias("starts")))
-        drop("windows")
-        out = texts.join(starts, "id", "left").select("k", "l", "text", "copies", "starts")
+        marked = texts.select("id", "text").join(marks, "id").select("id", "text", "marks")
+        found = store(marked.mapInArrow(_stretch_rows(window), "name long, a long, b long, id long, stretch long"), "stretches")
+        kinds = store(found.groupBy("name", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "stretch")).alias("one")), "kinds")
+        same = found.join(kinds.where("n > 1").select("name", "a", "b").hint("shuffle_merge"), ["name", "a", "b"]).select("id", "stretch")
+        same = store(same, "same")
+        drop("stretches")
+        unlike = cut(_shared(kinds, "name").select("one.*").groupBy("id").agg(F.collect_list("stretch").alias("stretches")))
+        drop("kinds")
+        marked = texts.select("id", "text").join(unlike, "id").select("id", "text", "stretches")
+        windows = store(marked.mapInArrow(_window_rows(window), "a long, b long, id long, stretch long"), "windows")
+        repeated = _shared(windows, "a", "b").select("id", "stretch").unionByName(same)
+        repeated = cut(repeated.groupBy("id").agg(F.collect_list("stretch").alias("stretches")))
+        drop("windows"), drop("same")
+        out = texts.join(repeated, "id", "left").select("k", "l", "text", "copies", "stretches")
         fields = "k long, l long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
         return cut(out.mapInArrow(_removed_rows(window, keep_text), fields))
 

@@ -39,10 +39,13 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import CLEANUP
 from .common import cut, ensure_checkpoint_dir, positional
+from .simhash import xxh64_slices
 
 WINDOW = 35
 #: Bytes of text that are worked on at once, and rows of a batch of digests.
 BLOCK_BYTES, BATCH = 2 << 20, 1 << 16
+#: Seeds of the two names of a word.
+SEEDS = (20240611, 7130214)
 #: Odd multipliers of the names, and the bases of the two digests with their inverses modulo 2^64.
 MIX = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 BASES = [0x2545F4914F6CDD1D, 0x5851F42D4C957F2D]
@@ -64,9 +67,13 @@ def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each text, and their number; two names of each word)."""
     words = [t.split() for t in texts]  # bytes are split at the six ASCII white-space characters
     flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
-    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in flat.dictionary.to_pylist())
-    names = np.frombuffer(digests, "<u8").reshape(-1, 2)[flat.indices.to_numpy()]
-    return np.concatenate([[0], np.cumsum([len(w) for w in words])]), names[:, 0], names[:, 1]
+    known = flat.dictionary
+    _, ends, data = known.buffers()
+    ends = np.frombuffer(ends, np.int32)[known.offset : known.offset + len(known) + 1].astype(np.int64) if len(known) else np.zeros(1, np.int64)
+    data = np.concatenate([np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    at = flat.indices.to_numpy()
+    names = [xxh64_slices(data, ends[:-1], np.diff(ends), seed)[at] for seed in SEEDS]
+    return np.concatenate([[0], np.cumsum([len(w) for w in words])]), *names
 
 
 def anchors(symbol: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,7 +274,7 @@ def _folder(spark):
 
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows whose key is found more than once. Counts are combined map-side; the join back is split where a key is hot."""
-    often = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    often = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
     return rows.join(often.hint("shuffle_merge"), list(keys))
 
 

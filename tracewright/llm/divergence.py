@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import SALTS, cut
 
 #: Documents that a term must be in; terms reported of a group.
 LEAST, TOP = 10, 10
@@ -182,13 +182,16 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     above = rows.withColumn("q", q).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
 
     # Pairs a < b: all terms as if absent from both ...
-    left = groups.select("lang", F.col("source").alias("a"), F.col("none").alias("none_a"), "terms")
-    right = groups.select("lang", F.col("source").alias("b"), F.col("none").alias("none_b"))
-    base = left.join(right, "lang").where("a < b").select("lang", "a", "b", F.coalesce(F.col("terms") * apart(F.col("none_a"), F.col("none_b")), F.lit(0)).alias("value"))
+    # (A language's rows are dealt to SALTS tasks; its groups meet them in each.)
+    salt = F.pmod(F.xxhash64("lang", "source", "p"), F.lit(SALTS)).alias("salt")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    left = groups.withColumn("p", F.lit(0)).select("lang", F.col("source").alias("a"), F.col("none").alias("none_a"), "terms", salt)
+    right = groups.select("lang", F.col("source").alias("b"), F.col("none").alias("none_b"), every)
+    base = left.join(right, ["lang", "salt"]).where("a < b").select("lang", "a", "b", F.coalesce(F.col("terms") * apart(F.col("none_a"), F.col("none_b")), F.lit(0)).alias("value"))
     # ... then what either has, against the other's being without it ...
-    alike = rows.groupBy("lang", "source", "p", "none").agg(F.count(F.lit(1)).alias("m"))
-    other = groups.select("lang", F.col("source").alias("other"), F.col("none").alias("none_other"))
-    one = alike.join(other, "lang").where("source <> other")
+    alike = rows.groupBy("lang", "source", "p", "none").agg(F.count(F.lit(1)).alias("m")).select("*", salt)
+    other = groups.select("lang", F.col("source").alias("other"), F.col("none").alias("none_other"), every)
+    one = alike.join(other, ["lang", "salt"]).where("source <> other")
     more = F.col("m") * (apart(F.col("p"), F.col("none_other")) - apart(F.col("none"), F.col("none_other")))
     one = one.select("lang", F.least("source", "other").alias("a"), F.greatest("source", "other").alias("b"), more.alias("value"))
     # ... and what both have.

@@ -181,7 +181,7 @@ def test_first_two_and_knn(spark):
 def test_more_cues_than_are_broadcast_at_once(spark, monkeypatch):
     rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(40)], "id long, v array<double>")
     cues = rows.selectExpr("id as cue_id", "v as q")
-    monkeypatch.setattr(retrieval, "MOST_CUES", 7)
+    monkeypatch.setattr(retrieval, "CUE_BYTES", 7 * 64 * 8)
     got = {(r["cue_id"], r["id"]): r["sim"] for r in retrieval.cosine(rows, cues).collect()}
     assert got == {(a, b): a * b + 1.0 for a in range(40) for b in range(40)} and retrieval.cosine(rows, cues).count() == 1600
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,34 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def folder(spark: SparkSession, name: str) -> Iterator[tuple[Callable[[DataFrame, str], DataFrame], Callable[[str], None]]]:
+    """store(df, table): `df` added to a table in a folder of its own in the checkpoint folder, and the table read again; drop(table). The folder goes at the end.
+
+    Unlike a checkpoint a table is as large to the optimizer as its files are, whatever led to it: loops with joins need that.
+    """
+    ensure_checkpoint_dir(spark)
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def store(df: DataFrame, table: str) -> DataFrame:
+        before = spark.conf.get(CLEANUP, "false")
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.select("*").write.mode("append").option("compression", "zstd").parquet(f"{base.toString()}/{table}")
+        finally:
+            spark.conf.set(CLEANUP, before)
+        return spark.read.schema(df.schema).parquet(f"{base.toString()}/{table}")
+
+    def drop(table: str) -> None:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(base, table), True)
+
+    try:
+        yield store, drop
+    finally:
+        files.delete(base, True)
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """`df` with the 1-based rank of each row in the total order `order`.
 

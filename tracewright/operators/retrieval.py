@@ -1,8 +1,8 @@
 """Sparse associative retrieval: similarities, weights, priors, base score, diverse selection, energy.
 
-Cues are few and memory is large: cues are broadcast against memory, MOST_CUES at a time, and everything after
-is partitioned by cue. Weights of all but the strongest traces are exactly zero under entmax, so
-only traces that can be in its support are sorted.
+Weights of all but the strongest traces are exactly zero under entmax, so only traces that can be in its support are
+sorted. What is known of a cue is joined to its rows by cue; nothing that grows with cues or memory is broadcast but by
+`cosine`, whose cues are broadcast CUE_BYTES at a time.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ from pyspark.sql.window import Window
 from ..functions.scoring import clamp, recency_date
 from ..functions.vectors import dot
 
-#: Cues that are broadcast at once.
-MOST_CUES = 10_000
+#: Bytes of cues that are broadcast at once.
+CUE_BYTES = 16 << 20
 ACTIVE = 1e-3
 
 
 def cosine(memory: DataFrame, cues: DataFrame) -> DataFrame:
     """(cue_id, id, sim, ...) of unit vectors: memory(id, v, ...) by cues(cue_id, q).
 
-    The cues are broadcast, in parts of about MOST_CUES where there are more.
+    The cues are broadcast, in parts of about CUE_BYTES where there are more.
     """
-    parts = -(-cues.count() // MOST_CUES)
+    size = cues.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("d")).first()
+    parts = -(-size["n"] * max(size["d"] or 1, 1) * 8 // CUE_BYTES)
     pairs = None
     for k in range(max(parts, 1)):
         some = cues if parts < 2 else cues.where(F.pmod(F.xxhash64("cue_id"), F.lit(parts)) == k)
@@ -51,15 +52,15 @@ def top_k(sims: DataFrame, k: int = 4, by: str | None = None) -> DataFrame:
 def softmax(scores: DataFrame, by: str = "cue_id", score: str = "s") -> DataFrame:
     """R1s: weights that sum to 1 over each cue; the maximum and the sum are aggregates, not windows over all rows."""
     top = scores.groupBy(F.col(by).alias("__b")).agg(F.max(score).alias("__m"))
-    rows = scores.join(F.broadcast(top), F.col(by) == F.col("__b")).withColumn("__e", F.exp(F.col(score) - F.col("__m")))
+    rows = scores.join(top, F.col(by) == F.col("__b")).withColumn("__e", F.exp(F.col(score) - F.col("__m")))
     total = rows.groupBy(F.col("__b").alias("__c")).agg(F.sum("__e").alias("__t"))
-    return rows.join(F.broadcast(total), F.col("__b") == F.col("__c")).withColumn("w", F.col("__e") / F.col("__t")).drop("__b", "__c", "__m", "__e", "__t")
+    return rows.join(total, F.col("__b") == F.col("__c")).withColumn("w", F.col("__e") / F.col("__t")).drop("__b", "__c", "__m", "__e", "__t")
 
 
 def _support(scores: DataFrame, by: str, score: str, alpha: float) -> tuple[DataFrame, DataFrame]:
     """Rows that can have weight under entmax: (alpha - 1) * score within 1 of the greatest; and the others."""
     top = scores.groupBy(F.col(by).alias("__b")).agg(F.max(score).alias("__m"))
-    rows = scores.join(F.broadcast(top), F.col(by) == F.col("__b")).drop("__b")
+    rows = scores.join(top, F.col(by) == F.col("__b")).drop("__b")
     rows = rows.withColumn("__z", (F.col(score) - F.col("__m")) * F.lit(alpha - 1)).drop("__m")
     return rows.where("__z > -1"), rows.where("__z <= -1")
 
@@ -145,9 +146,9 @@ def priors(traces: DataFrame, date: str = "date", salience: str = "salience", we
     return rows.withColumns({"recency": rec, "salience_prior": sal, "channel_prior": cha}).drop("__d", "__w", "__n", "__d0", "__d1", "__w0", "__w1")
 
 
-def base_score(recency_w: float = 0.1, salience_w: float = 0.1, channel_w: float = 0.1) -> Column:
+def base_score(recency_w: float = 0.1, salience_w: float = 0.1, channel_w: float = 0.1, weight: Column | None = None) -> Column:
     """R5."""
-    return F.col("w") + F.lit(recency_w) * F.col("recency") + F.lit(salience_w) * F.col("salience_prior") + F.lit(channel_w) * F.col("channel_prior")
+    return (F.col("w") if weight is None else weight) + F.lit(recency_w) * F.col("recency") + F.lit(salience_w) * F.col("salience_prior") + F.lit(channel_w) * F.col("channel_prior")
 
 
 def mmr(base: np.ndarray, vectors: np.ndarray, k: int, diversity: float = 0.5, least: float = ACTIVE) -> list[int]:
@@ -186,7 +187,7 @@ def mmr_select(scored: DataFrame, k: int = 3, diversity: float = 0.5, by: str =
         one = best.select(F.col("__b").alias(by), F.col("__id").alias("id"), F.col("__base").alias("base"), F.lit(pos).alias("pos"))
         picks = one if picks is None else picks.unionByName(one)
         if pos < k:  # one row for each cue
-            left = left.join(F.broadcast(best), left[by] == best["__b"]).where("id <> __id")
+            left = left.join(best, left[by] == best["__b"]).where("id <> __id")
             near = F.greatest(F.coalesce("__near", F.lit(float("-inf"))), dot(F.col("v"), F.col("__v")))
             left = cut(left.withColumn("__near", near).drop("__b", "__id", "__base", "__v"))
     return picks
@@ -197,18 +198,19 @@ def recall(memory: DataFrame, cues: DataFrame, k: int = 3, beta: float = 12.0, a
 
     memory(id, v, date, salience, channel_weight) with unit vectors, cues(cue_id, q).
     """
-    sims = cosine(priors(memory).select("id", "v", "recency", "salience_prior", "channel_prior"), cues)
-    scored = entmax(sims.withColumn("s", F.col("sim") * F.lit(float(beta))), alpha).withColumn("base", base_score(salience_w=salience_w))
-    picks = mmr_select(scored.join(memory.select("id", "v"), "id"), k, diversity)
-    active = scored.groupBy("cue_id").agg(F.count_if(F.col("w") > ACTIVE).alias("active"))
-    out = picks.drop("base").join(scored, ["cue_id", "id"]).join(active, "cue_id")
+    from .diverse import diverse
+
+    known = priors(memory).select("id", "v", "recency", "salience_prior", "channel_prior")
+    prior = base_score(salience_w=salience_w, weight=F.lit(0.0))
+    picks = diverse(known.select("id", "v", prior.alias("prior")), cues, k, float(beta), alpha, diversity)
+    out = picks.join(known.select("id", "recency", "salience_prior"), "id")
     return out.select("cue_id", "id", "pos", "w", "sim", F.col("base").alias("score"), "recency", "salience_prior", "active")
 
 
 def energy_terms(sims: DataFrame, beta: float, most_sq: Column) -> DataFrame:
     """Hopfield energy of each cue from its similarities: sims(cue_id, sim), most_sq: |cue|^2 / 2 (column of sims)."""
     top = sims.groupBy("cue_id").agg(F.max("sim").alias("m")).withColumnRenamed("cue_id", "__b")
-    rows = sims.withColumn("half", most_sq).join(F.broadcast(top), F.col("cue_id") == F.col("__b"))
+    rows = sims.withColumn("half", most_sq).join(top, F.col("cue_id") == F.col("__b"))
     got = rows.groupBy("cue_id").agg(F.max("m").alias("m"), F.sum(F.exp(F.lit(beta) * (F.col("sim") - F.col("m")))).alias("t"), F.max("half").alias("half"))
     return got.select("cue_id", (-(F.col("m") + F.log("t") / F.lit(beta)) + F.col("half")).alias("energy"))
 
@@ -384,8 +386,8 @@ def whole(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
 
 
-def blockwise(vectors: DataFrame, others: DataFrame | None, cell: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """Blocks of rows against blocks of columns: cell(rows, their vectors, columns, their vectors) makes a frame of each pair of blocks.
+def blockwise(vectors: DataFrame, others: DataFrame | None, cell: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], pd.DataFrame | pa.Table], schema: str) -> DataFrame:
+    """Blocks of rows against blocks of columns: cell(rows, their vectors, columns, their vectors) makes a table of each pair of blocks.
 
     vectors(id, v, ...) and others(id, v, ...), or the vectors themselves. Blocks are hash parts of the ids, so any ids
     will do; each side is shuffled once for every block of the other, which blocks of BLOCK_ROWS keep few.
@@ -413,7 +415,8 @@ def blockwise(vectors: DataFrame, others: DataFrame | None, cell: Callable[[pa.T
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return shape.empty_table()
-        return pa.Table.from_pandas(cell(x, _matrix(x), y, _matrix(y)), shape, preserve_index=False)
+        got = cell(x, _matrix(x), y, _matrix(y))
+        return got if isinstance(got, pa.Table) else pa.Table.from_pandas(got, shape, preserve_index=False)
 
     return left.groupBy("__r", "__c").cogroup(right.groupBy("__r", "__c")).applyInArrow(run, schema)
 
@@ -439,15 +442,10 @@ def pairwise(vectors: DataFrame, others: DataFrame | None, reduce, schema: str)
 
 def top_two(vectors: DataFrame) -> DataFrame:
     """(id, s1, s2): the two greatest similarities of each vector to the others."""
+    from .neighbours import nearest
 
-    def reduce(ids: np.ndarray, sims: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
-        sims = np.where(ids[:, None] == cols, -np.inf, sims)
-        best = -np.sort(-sims, axis=1)[:, :2]
-        return pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "s": best.ravel()})
-
-    got = pairwise(vectors, None, reduce, "id long, s double").where(F.col("s") > float("-inf"))
-    best = got.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("s"), False), 1, 2).alias("b"))
-    return best.select("id", F.try_element_at("b", F.lit(1)).alias("s1"), F.try_element_at("b", F.lit(2)).alias("s2"))
+    near = F.col("near")
+    return nearest(vectors, 2).select("id", F.try_element_at(near, F.lit(1))["s"].alias("s1"), F.try_element_at(near, F.lit(2))["s"].alias("s2"))
 
 
 def mean_gap(vectors: DataFrame) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scoring import is_reversible, nonconformity
+from ..functions.vectors import dot, unit
 from .calibration import conformal_model, conformal_test
+from .lineage import cut, folder, global_rank
+from .neighbours import nearest
 from .retrieval import cosine, pairwise, top_k
 
 
@@ -29,11 +34,120 @@ def greedy(vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.n
     return owner, [centers[k] for k in range(n)]
 
 
-def find_patterns(traces: DataFrame, by: str = "grp", threshold: float = 0.55, least: int = 3) -> DataFrame:
+#: Rows of a round, and contenders that a row is given; rows of a group up to which one task does it.
+BATCH, CONTENDERS = 2048, 16
+OUTCOME = "rank long, cluster long, s array<double>"
+
+
+def _contenders(rows: DataFrame, centers: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(rank, sims, clusters): of rows(rank, v) the `most` nearest of centers(cluster, s) above the threshold, nearest first."""
+
+    def reduce(ids: np.ndarray, sims: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(cols, kind="stable")
+        sims, cols = sims[:, order], cols[order]
+        least = np.partition(sims, -most, axis=1)[:, -most] if most < cols.size else np.full(ids.size, -np.inf)
+        r, c = np.nonzero((sims >= least[:, None]) & (sims > threshold))
+        return pd.DataFrame({"rank": ids[r], "s": sims[r, c], "cluster": cols[c]})
+
+    unit_centers = centers.select(F.col("cluster").alias("id"), unit(F.col("s")).alias("v"))
+    got = pairwise(rows.select(F.col("rank").alias("id"), "v"), unit_centers, reduce, "rank long, s double, cluster long")
+    near = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "cluster", "s"))), 1, most)
+    return got.groupBy("rank").agg(near.alias("near")).select("rank", F.transform("near", lambda n: n["s"]).alias("sims"), F.transform("near", lambda n: n["cluster"]).alias("clusters"))
+
+
+def _replay(n: int, threshold: float, most: int):
+    """One round's rows in order, given the contenders among the n clusters as they were before it. Clusters that the round itself has changed
+    or opened are compared as they now are. If a row's listed contenders have all changed and it can't be told what
+    comes after them, the round ends before it."""
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rank")
+        listed = dict(zip(known["cluster"].to_pylist(), known["s"].to_pylist()))
+        ids: list[int] = []  # of the changed clusters
+        sums = np.zeros((rows.num_rows, len(rows["v"][0]) if rows.num_rows else 0))
+        centers, at, opened, owner = np.zeros_like(sums), {}, n, []
+        for v, sims, clusters in zip(rows["v"].to_pylist(), rows["sims"].to_pylist(), rows["clusters"].to_pylist()):
+            v, near = np.array(v, float), list(zip(sims or [], clusters or []))
+            best = next(((s, -c) for s, c in near if c not in at), None)
+            if ids:
+                now = centers[: len(ids)] @ v
+                top = now.max()
+                if top > threshold:
+                    mine = (float(top), max(-c for c, s in zip(ids, now) if s == top))
+                    best = mine if best is None else max(best, mine)
+            if len(near) == most and (best is None or best[0] <= near[-1][0]) and all(c in at for _, c in near):
+                break
+            if best is None or not best[0] > threshold:
+                cluster, opened = opened, opened + 1
+            else:
+                cluster = -best[1]
+            if cluster not in at:
+                at[cluster] = len(ids)
+                sums[len(ids)] = listed.get(cluster, 0.0)
+                ids.append(cluster)
+            k = at[cluster]
+            sums[k] += v
+            centers[k] = sums[k] / (np.linalg.norm(sums[k]) or 1.0)
+            owner.append(cluster)
+        done, moved = len(owner), len(ids)
+        vectors = pa.array([None] * done + sums[:moved].tolist(), pa.list_(pa.float64()))
+        return pa.table([pa.array(rows["rank"].to_pylist()[:done] + [None] * moved, pa.int64()), pa.array(owner + ids, pa.int64()), vectors], ["rank", "cluster", "s"])
+
+    return run
+
+
+def greedy_rounds(ranked: DataFrame, threshold: float, batch: int = BATCH, contenders: int = CONTENDERS) -> tuple[DataFrame, DataFrame]:
+    """R14 over one group of any size: ranked(rank, v), ranks from 1 on, to (rank, cluster) and (cluster, s), the sums of the clusters.
+
+    What takes time, a row's similarity to all clusters, is done for `batch` rows at once in blocks on all executors, against the clusters
+    as they are before the round. The pass in order then has at most `batch` rows and their contenders, in one task, and ends a round at
+    the first row that these can't decide. Nothing comes to the driver but counts.
+    """
+    spark = ranked.sparkSession
+    total = ranked.agg(F.max("rank")).first()[0] or 0
+    owners = spark.createDataFrame([], "rank long, cluster long")
+    centers = spark.createDataFrame([], "cluster long, s array<double>")
+    start, n, k = 1, 0, 0
+    with folder(spark, "rounds") as (store, drop):
+        while start <= total:
+            now = ranked.where(F.col("rank").between(start, start + batch - 1)).select("rank", "v")
+            if n:
+                found = cut(_contenders(now, centers, threshold, contenders))
+                rows = now.join(found, "rank", "left")
+                known = centers.join(found.select(F.explode("clusters").alias("cluster")).distinct(), "cluster", "left_semi")
+            else:
+                rows = now.select("*", F.lit(None).cast("array<double>").alias("sims"), F.lit(None).cast("array<long>").alias("clusters"))
+                known = centers
+            key = F.lit(0).alias("one")
+            left, right = rows.select(key, "rank", "v", "sims", "clusters"), known.select(key, *[F.expr(c).alias(c) for c in ("cluster", "s")])
+            out = store(left.groupBy("one").cogroup(right.groupBy("one")).applyInArrow(_replay(n, threshold, contenders), OUTCOME), f"out-{k}")
+            owners = store(out.where("rank is not null").select("rank", "cluster"), "owners")
+            moved = out.where("rank is null").select("cluster", "s")
+            centers = store(centers.join(moved.select("cluster"), "cluster", "left_anti").unionByName(moved), f"centers-{k}")
+            last = out.agg(F.max("rank"), F.max("cluster")).first()
+            drop(f"out-{k}"), drop(f"centers-{k - 1}")
+            start, n, k = last[0] + 1, max(n, last[1] + 1), k + 1
+        return cut(owners), cut(centers)
+
+
+def _patterns_by_rounds(traces: DataFrame, by: str, threshold: float, least: int, batch: int, contenders: int) -> DataFrame:
+    """What a task of `find_patterns` gives, for one group."""
+    ranked = cut(global_rank(traces.select(by, "id", F.col("v").cast("array<double>").alias("v"), "len", "title"), [F.desc("len"), F.asc("id")]))
+    owners, centers = greedy_rounds(ranked, threshold, batch, contenders)
+    rows = ranked.join(owners, "rank").join(centers.select("cluster", unit(F.col("s")).alias("c")), "cluster").withColumn("sim", dot(F.col("v"), F.col("c")))
+    found = rows.groupBy(by, "cluster").agg(
+        F.count(F.lit(1)).cast("int").alias("size"), F.avg("sim").alias("cohesion"), F.max_by("title", F.struct("sim", -F.col("rank"))).alias("exemplar"),
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda m: m["id"]).alias("members"),
+    )
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("size"), F.desc("cohesion"), "cluster")) - 1
+    return found.where(F.col("size") >= least).withColumn("cluster", place).select(by, "cluster", "size", "cohesion", "exemplar", "members")
+
+
+def find_patterns(traces: DataFrame, by: str = "grp", threshold: float = 0.55, least: int = 3, task_rows: int = BATCH, batch: int = BATCH, contenders: int = CONTENDERS) -> DataFrame:
     """R14, G4 for each group of traces(grp, id, v, len, title): clusters with at least `least` members.
 
-    The pass depends on its order, so a group is one task; groups are what is asked to be clustered together.
-    (grp, cluster, size, cohesion, exemplar, members)
+    The pass depends on its order. Groups of up to `task_rows` rows are a task each; larger ones go through it in rounds on all executors
+    (`greedy_rounds`), with the same result. (grp, cluster, size, cohesion, exemplar, members)
     """
     schema = f"`{by}` {traces.schema[by].dataType.simpleString()}, cluster int, size int, cohesion double, exemplar string, members array<long>"
 
@@ -51,7 +165,14 @@ def find_patterns(traces: DataFrame, by: str = "grp", threshold: float = 0.55, l
             out.sort(key=lambda x: (-x[0], -x[1]))
         return pd.DataFrame([(rows[by].iloc[0], k, *x) for k, x in enumerate(out)], columns=[by, "cluster", "size", "cohesion", "exemplar", "members"])
 
-    return traces.groupBy(by).applyInPandas(run, schema)
+    # Groups of more than task_rows rows: fewer than rows / task_rows.
+    large = [r[0] for r in traces.groupBy(by).count().where(F.col("count") > task_rows).select(by).collect()]
+    found = traces if not large else traces.where(~F.exists(F.array(*[F.lit(g) for g in large]), lambda g: g.eqNullSafe(F.col(by))))
+    found = found.groupBy(by).applyInPandas(run, schema)
+    for g in large:
+        one = traces.where(F.col(by).eqNullSafe(F.lit(g)))
+        found = found.unionByName(_patterns_by_rounds(one, by, threshold, least, batch, contenders))
+    return found
 
 
 def cluster_channels(clusters: DataFrame, traces: DataFrame, by: str = "grp") -> DataFrame:
@@ -62,12 +183,8 @@ def cluster_channels(clusters: DataFrame, traces: DataFrame, by: str = "grp") ->
 
 
 def max_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, prox): greatest similarity of each left vector to any right one, by blocks."""
-
-    def reduce(ids, sims, cols):
-        return pd.DataFrame({"id": ids, "s": sims.max(axis=1)})
-
-    return pairwise(left, right, reduce, "id long, s double").groupBy("id").agg(F.max("s").alias("prox"))
+    """(id, prox): greatest similarity of each left vector to any right one."""
+    return nearest(left, 1, right).select("id", F.element_at("near", 1)["s"].alias("prox"))
 
 
 def rank_candidates(traces: DataFrame, gold: DataFrame, top: int = 15, channel: str = "writing", least: int = 200, ceiling: float = 0.92) -> DataFrame:
@@ -80,17 +197,8 @@ def rank_candidates(traces: DataFrame, gold: DataFrame, top: int = 15, channel:
 
 def knn_proximity(vectors: DataFrame, k: int = 3) -> DataFrame:
     """(id, proximity): mean of each vector's k greatest similarities to the others."""
-
-    def reduce(ids, sims, cols):
-        sims = np.where(ids[:, None] == cols, -1.0, sims)
-        m = min(k, sims.shape[1])
-        best = -np.partition(-sims, m - 1, axis=1)[:, :m]
-        keep = np.repeat(ids, m)
-        other = best.ravel()
-        return pd.DataFrame({"id": keep, "s": other})
-
-    got = pairwise(vectors, None, reduce, "id long, s double").groupBy("id").agg(F.slice(F.sort_array(F.collect_list("s"), False), 1, k).alias("b"))
-    return got.select("id", (F.aggregate("b", F.lit(0.0), lambda s, x: s + x) / F.size("b")).alias("proximity"))
+    near = nearest(vectors, k).where(F.size("near") > 0)
+    return near.select("id", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x["s"]) / F.size("near")).alias("proximity"))
 
 
 class WorldModel:

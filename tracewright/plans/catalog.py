@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..functions.vectors import as_double, norm, unit
-from ..operators import boundary, calibration, contexts, encode, index, learn, retrieval, themes, verdicts
+from ..operators import boundary, calibration, contexts, diverse, encode, index, learn, retrieval, themes, verdicts
 from ..sources import channels, markdown, registry, rubric
 from . import answer, fixtures, loop
 from .oracles import ORACLES
@@ -220,8 +220,8 @@ def recall_topk(spark, sf):
 
 def mmr_k3(spark, sf):
     """R6 with the similarity as base score."""
-    scored = _sims(spark, sf).withColumnRenamed("sim", "base").join(_vectors(spark, sf).select("id", "v"), "id")
-    return retrieval.mmr_select(scored, 3).select("cue_id", "pos", "id", _r("base").alias("base"))
+    picks = diverse.diverse(_vectors(spark, sf).select("id", "v", F.lit(0.0).alias("prior")), _cues(spark, sf), 3, None)
+    return picks.select("cue_id", "pos", "id", _r("base").alias("base"))
 
 
 def beta_calibration(spark, sf):
@@ -339,6 +339,13 @@ def greedy_clusters(spark, sf):
     return got.select("grp", "cluster", "size", _r("cohesion").alias("cohesion"), "exemplar")
 
 
+def greedy_whole(spark, sf):
+    """All vectors as one group, in rounds."""
+    rows = _writing(spark, sf).withColumn("grp", F.lit(0))
+    got = themes.find_patterns(rows.select("grp", "id", "v", "len", "title"), threshold=0.25, task_rows=0)
+    return got.select("cluster", "size", _r("cohesion").alias("cohesion"), "exemplar")
+
+
 def cluster_channels(spark, sf):
     rows = _writing(spark, sf).withColumn("grp", F.lit(0)).withColumn("channel", F.concat(F.lit("c"), F.col("label")))
     got = themes.find_patterns(rows.select("grp", "id", "v", "len", "title"), threshold=0.25)
@@ -567,7 +574,7 @@ QUERIES = {f.__name__: f for f in (
     channel_counts, min_body_filter, cap_body, registry_load, body_stats, dedup_first, text_sha1, cache_misses, infer_title, sanitize, substance_prior, salience, sentence_split,
     structural_flags, trace_sensitivity, output_screen, semantic_screen, hash_encoder, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
     recall_base_score, active_traces, recall_topk, mmr_k3, beta_calibration, dynamic_alpha, separability, separability_report, hopfield_energy, iterative_recall, stability_report,
-    pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, cluster_channels,
+    pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, greedy_whole, cluster_channels,
     sleep_report, weighted_pass_rate, fail_counts, weak_parse, confidence_line, context_block, decision_stats, conformal_loo, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,
     decision_memory, rubric_items, rubric_weight, identity_auc, identity_project, int8_auc, supcon_loss, run_loop_stub, run_loop_full, index_build, channel_load, prompt_law, law_desc, load_raw,
 )}

@@ -299,6 +299,29 @@ def test_classifier_edges(spark, odd, odd_rows, empty, wide):
     assert quality.train(odd, none) == 0.5 and toxicity.train(odd, none) == 0.0
 
 
+def test_quality_window():
+    """Documents take part whole while the bound allows; beyond it the longest give way, no document entirely."""
+    assert quality._window([10, 400, 7], 1000) == 400 and quality._window([], 10) == 1
+    for lines, most in (([10, 400, 7, 900], 600), ([5] * 100, 50), ([1, 1, 10**6], 1000)):
+        room = quality._window(lines, most)
+        assert sum(min(n, room) for n in lines) <= max(most, len(lines)) and (room == 1 or sum(min(n, room + 1) for n in lines) > most - len(lines))
+
+
+def test_training_rows_that_repeat(spark, small):
+    """Copies of a labelled row and rows that share a labelled id don't change what is learned from the others."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    many = docs.unionByName(docs.where("doc_id < 50")).unionByName(docs.where("doc_id < 50"))
+    a, b = (quality.score(docs, quality.train(t, labels)).orderBy("doc_id").toPandas() for t in (docs, many))
+    assert np.allclose(a.score, b.score)
+    few = quality.train(docs, labels, most_lines=200)
+    assert quality.score(docs, few).count() == docs.count()
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    huge = spark.createDataFrame([(10**6 + k, "u", "<article>" + "x " * (html.TRAIN_CHARS // 2) + "</article>") for k in range(1)], "page_id long, url string, html string")
+    model = html.train(pages.limit(20).unionByName(huge))
+    assert model.weight.size > 100
+
+
 # ---------------------------------------------------------------- HTML
 
 
@@ -350,6 +373,39 @@ BY_HAND = [
 ]
 
 
+#: What an article may hold, and what it may hold that isn't its text: (markup, its text or None).
+WITHIN = [
+    ("<p><a href='/r'>The full report of the committee can be read here</a></p>", "The full report of the committee can be read here"),
+    ("<ul><li><a href='/a'>First chapter of the report</a></li><li><a href='/b'>Second chapter of the report</a></li></ul>", "First chapter of the report\nSecond chapter of the report"),
+    ("<xmp><b>bold</b> &amp; plain</xmp>", "<b>bold</b> &amp; plain"),
+    (f"<div class='callout'>{SAID}</div>", SAID),
+    (f"<div class='callout'><p>{SAID}</p></div>", SAID),
+    (f"<div class='note'><p>{SAID}</p></div>", SAID),
+    (f"<div class='banner-year'><p>{SAID} {SAID}</p></div>", f"{SAID} {SAID}"),
+    (f"<section class='social-history'><h2>History</h2><p>{SAID}</p></section>", f"History\n{SAID}"),
+    (f"<section class='search-results-study'><p>{SAID}</p></section>", SAID),
+    ("<dl><dt>Term</dt><dd>What the term means in this text</dd></dl>", "Term\nWhat the term means in this text"),
+    ("<aside><p>Subscribe to our newsletter and never miss a story again, it is free and comes every week.</p></aside>", None),
+    ("<aside class='author-box'><p>Jane Doe has written about committees for twenty years and lives in the north with two cats.</p></aside>", None),
+    ("<form><p>Tell us what you think about the work of the committee and win one of our prizes this week.</p><input></form>", None),
+    ("<header>The Daily Committee</header>", None),
+]
+
+
+@pytest.mark.parametrize("k", range(len(WITHIN)))
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='content'>{}</div>", "<div class='zq'>{}</div>"])
+def test_html_within(model, around, k):
+    markup, text = WITHIN[k]
+    body = around.format(f"<h1>T</h1><p>{SAID}</p><p>{SAID}</p>{markup}<p>{SAID}</p>")
+    page = f"<html><head><title>x</title></head><body><nav><a href='/'>Home</a> <a href='/n'>News</a></nav>{body}<footer>(c) 2020</footer></body></html>"
+    assert model.extract([page])[0].split("\n") == ["T", SAID, SAID, *([] if text is None else text.split("\n")), SAID]
+
+
+def test_html_form_around_a_page(model):
+    page = f"<body><form action='/x'><nav><a href='/'>Home</a></nav><article><h1>T</h1><p>{SAID}</p></article></form></body>"
+    assert model.extract([page])[0] == f"T\n{SAID}"
+
+
 @pytest.mark.parametrize("k", range(len(BY_HAND)))
 def test_html_by_hand(model, k):
     body, want = BY_HAND[k]

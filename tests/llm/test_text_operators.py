@@ -162,6 +162,13 @@ def test_token_counts(spark, small, odd, odd_rows, empty, wide):
     assert tokens.counts(empty).count() == 0
     minus = spark.createDataFrame([(-5, "a"), (-(2**62), "b c"), (2**62, None)], "doc_id long, text string")
     assert {r["doc_id"] for r in tokens.counts(minus).collect()} == {-5, -(2**62), 2**62}
+    ends = spark.createDataFrame([(-(2**63), "least"), (2**63 - 1, "greatest"), (None, "none")], "doc_id long, text string")
+    assert {r["doc_id"] for r in tokens.counts(ends).collect()} == {-(2**63), 2**63 - 1, None}
+    names = spark.createDataFrame([("12", "a number"), ("x1", "a name")], "doc_id string, text string")
+    assert {r["doc_id"] for r in tokens.counts(names).collect()} == {12, None}
+    # A long text has a file of its own and is counted whole.
+    long = spark.createDataFrame([(k, "word " * n) for k, n in enumerate((30_000, 3, 60_000, 0))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.counts(long).collect()} == {k: len(lib.encode_ordinary("word " * n)) for k, n in enumerate((30_000, 3, 60_000, 0))}
 
 
 @pytest.mark.parametrize("block", [2, 4, 6, 50])

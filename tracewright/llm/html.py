@@ -6,7 +6,8 @@ holds prose, length, share of links, place) and a parent-child potential define
 leaves to the root and back give each node's marginal, exactly and for all pages of a batch at once,
 level by level. The weights maximise the likelihood of labelled pages: generated site layouts
 whose labels are known by construction, and a bounded sample (TRAIN_PAGES, of TRAIN_CHARS together) of the input's own
-pages in which semantic elements (article, main against nav, aside, footer, form, ...) give the labels.
+pages in which semantic elements (article, main against nav, aside, footer, form, ...) give the labels. Sidebars, forms, menus,
+footers and dialogs are ruled out, wherever they stand, unless an article, a main part or a first heading is in them.
 
 Text of a content node is kept whole: character references decoded, white space inside a block made one
 space, blocks in page order joined by a line feed. What browsers never show as text (HIDDEN: scripts, styles,
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-TRAIN_PAGES, TRAIN_CHARS, LAYOUTS, KEEP, DEEPEST = 200, 20_000_000, 700, 0.5, 512
+TRAIN_PAGES, TRAIN_CHARS, LAYOUTS, KEEP, DEEPEST = 200, 20_000_000, 1600, 0.5, 512
 ROUNDS, RATE, RIDGE = 150, 0.1, 1e-3
+#: Log-odds against what can't be.
+RULED_OUT = 60.0
 
 #: Elements of HTML by how they are read.
 RAW = frozenset("script style template textarea title iframe xmp noembed noframes".split())
-HIDDEN = RAW | frozenset("head select button audio video canvas datalist annotation annotation-xml".split())
+HIDDEN = (RAW - {"xmp"}) | frozenset("head select button audio video canvas datalist annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input math".split()
@@ -58,11 +61,17 @@ IMPLIED = {
 #: Semantic elements that label the sampled pages.
 MAIN, ASIDE = frozenset({"article", "main"}), frozenset({"nav", "aside", "footer", "form", "header", "menu", "dialog", "search"})
 
+#: Elements that hold no main text, unless an article, a main part or a first heading stands in them (a form around a whole page).
+NEVER, UNLESS = frozenset("aside form nav footer menu dialog search".split()), frozenset("article main h1".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S
 )
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_WORD = re.compile(r"[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])|[A-Z][^\W\d_A-Z]*")
+#: Last words of names that say nothing of what a box holds.
+BOXES = frozenset("wrap wrapper box inner outer area block container section item holder pane panel row col column group".split())
 #: Characters from which a node can hold prose.
 PROSE = 60
 HIDES = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
@@ -167,8 +176,11 @@ class Page:
             if tag in RAW:  # ends at its own closing tag only
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
                 stop = source.find(">", end.start()) if end else -1
-                at = stop + 1 if stop >= 0 else n
-                continue
+                if tag != "xmp":
+                    at = stop + 1 if stop >= 0 else n
+                    continue
+                # Shown as it stands, markup and all: a block of its own.
+                raw, at = source[at : end.start() if end else n], stop + 1 if stop >= 0 else n
             if rest.endswith("/") and tag not in CLOSES_P:
                 continue
             up = stack[-1][1]
@@ -187,9 +199,21 @@ class Page:
             self.chars.append(0)
             self.linked.append(0)
             opened(tag, len(self.tag) - 1, False)
+            if tag == "xmp":
+                if not hidden:
+                    text.append(references.escape(raw))
+                close(len(stack) - 1)
         close(1)
         flush()
 
+    def never(self) -> list[int]:
+        """Nodes that can't be content: NEVER elements without an UNLESS element in them."""
+        excused = [False] * len(self.tag)
+        for i in range(len(self.tag) - 1, 0, -1):
+            if excused[i] or self.tag[i] in UNLESS:
+                excused[self.parent[i]] = True
+        return [i for i, tag in enumerate(self.tag) if tag in NEVER and not excused[i]]
+
     def features(self) -> list[list[str]]:
         """Names of the features of each node."""
         n = len(self.tag)
@@ -199,6 +223,11 @@ class Page:
             linked[self.parent[i]] += linked[i]
         out = []
         inside, piece = [False] * n, [False] * n
+        prosaic = [c >= PROSE and a < 0.4 * c for c, a in zip(chars, linked)]
+        heads, beside = [0] * n, [0] * n  # children that are headings, that hold prose
+        for i in range(1, n):
+            heads[self.parent[i]] += self.tag[i] in HEADINGS
+            beside[self.parent[i]] += prosaic[i]
         twins: dict[tuple, int] = {}
         for i in range(1, n):
             if self.names[i]:
@@ -220,15 +249,27 @@ class Page:
                 f"{prose} {where} main",
                 f"part {min(4, 5 * chars[i] // max(1, chars[0]))} {where} main {prose}",
             ]
+            if up >= 0:
+                # How much prose stands beside the node, and beside the one it is in.
+                near, above = min(3, beside[up] - prosaic[i]), min(3, beside[self.parent[up]] - prosaic[up]) if up else 0
+                own += [f"beside {near} {prose}", f"beside {near} {prose} {self.tag[i]} {'named' if self.names[i] else 'bare'}", f"above {above} beside {near} {prose}"]
+            if self.tag[i] == "header":
+                own.append(f"header {min(1, heads[i])} {where} main {prose}")
             if piece[i] and self.tag[i] == "article":
                 own.append("article in article")
             if self.names[i]:
                 own.append(f"twins {min(3, twins.get((up, self.tag[i], self.names[i]), 1))} {where} main")
+            strange = bool(self.names[i])
             for name in set(self.names[i]):
-                # A compound is named by its last word: share-buttons, share-price.
+                # A compound is named by its last word, share-buttons, share-price, but for words that name any box.
                 parts = [w.lower() for w in NAME_WORD.findall(name)] or [name]
+                while len(parts) > 1 and parts[-1] in BOXES:
+                    parts.pop()
+                strange &= parts[-1] not in LISTED
                 own += ["name " + parts[-1], "name " + parts[-1].rstrip("s"), f"stem {parts[-1][:5]}", f"{prose} {where} main stem {parts[-1][:5]}"]
-                own += [f"before {w}" for w in parts[:-1]] + [f"{prose} before {w}" for w in parts[:-1]]
+            if strange:  # none of its names is on a list
+                near = min(3, beside[up] - prosaic[i]) if up >= 0 else 0
+                own += [f"strange {prose} beside {near}", f"strange {prose} {self.tag[i]}"]
             out.append(sorted(set(own)))
         return out
 
@@ -240,11 +281,13 @@ class TreeModel:
         self.number = {x: k for k, x in enumerate(names)}
         self.weight = np.zeros(len(names) + 1)
         self.edge = np.zeros((2, 2))
+        self.edge[0, 1] = -RULED_OUT  # a node is content if anything below it is
 
     def forest(self, pages: list[Page]) -> dict[str, np.ndarray]:
         """All pages as one forest: parents, levels, and (row, feature) pairs."""
-        parent, depth, row, col, base = [], [], [], [], 0
+        parent, depth, row, col, never, base = [], [], [], [], [], 0
         for p in pages:
+            never += [base + i for i in p.never()]
             parent += [base + x if x >= 0 else -1 for x in p.parent]
             depth += p.depth
             for i, own in enumerate(p.features()):
@@ -255,10 +298,12 @@ class TreeModel:
         depth = np.array(depth)
         order = np.argsort(depth, kind="stable")
         levels = np.split(order, np.cumsum(np.bincount(depth)))[:-1] if base else []
-        return {"parent": np.array(parent), "levels": levels, "row": np.array(row, np.int64), "col": np.array(col, np.int64)}
+        return {"parent": np.array(parent), "levels": levels, "row": np.array(row, np.int64), "col": np.array(col, np.int64), "never": np.array(never, np.int64)}
 
     def score(self, f: dict) -> np.ndarray:
-        return np.bincount(f["row"], self.weight[f["col"]], f["parent"].size) + self.weight[-1]
+        out = np.bincount(f["row"], self.weight[f["col"]], f["parent"].size) + self.weight[-1]
+        out[f["never"]] = -RULED_OUT
+        return out
 
     def marginals(self, f: dict, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of each node, and the expected parent-child pairs: sum-product upward, then downward."""
@@ -294,6 +339,7 @@ class TreeModel:
             g = np.bincount(f["col"], off[f["row"]], self.weight.size) / 100 - RIDGE * self.weight
             g[-1] += off.sum() / 100
             h = (seen - pairs) / 100 - RIDGE * self.edge
+            h[0, 1] = 0.0
             for grad, a, b, at in ((g, m, v, self.weight), (h, ms, vs, self.edge)):
                 a += 0.1 * (grad - a)
                 b += 0.01 * (grad * grad - b)
@@ -327,9 +373,13 @@ COMMENT_NAMES = (
     "comments comment comment-list reader-comments reply replies respond responses discussion feedback disqus thread "
     "kommentare kommentar leserkommentare diskussion commentaires commentaire reactions avis-lecteurs comentarios comentario opiniones reacties kommentarer commenti"
 ).split()
+#: Names of boxes that belong to the text.
+BOX_NAMES = "callout note tip example summary abstract lead intro definition theorem remark quote highlight infobox figure caption key-points pull-quote remark merke beispiel exemple resumen nota".split()
 #: Words that end the names of sections of an article, whatever stands before them.
 SECTION_WORDS = "work price period study history method result note law model rate question figure budget theory market chapter story value review".split()
 
+LISTED = frozenset(w for name in CONTENT_NAMES + OTHER_NAMES + COMMENT_NAMES + BOX_NAMES + SECTION_WORDS for w in name.split("-"))
+
 
 def layouts(seed: int, count: int) -> list[tuple[str, set[str]]]:
     """Pages of known layout: (html, marks of the main text's blocks). Marks are the blocks' first words."""
@@ -355,25 +405,43 @@ def layouts(seed: int, count: int) -> list[tuple[str, set[str]]]:
         links = [f'<a href="/{k}">{words(rng.randint(1, 3))}</a>' for k in range(n)]
         return rng.choice(["<br>", " | ", " "]).join(links) if rng.random() < 0.3 else "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
 
-    def inner(marks: set[str] | None) -> str:
+    def inner(marks: set[str]) -> str:
+        def cited(tag: str) -> str:
+            """A paragraph or an item that is one link, or plain words without a tag."""
+            mark = f"m{rng.randrange(10**9)}"
+            marks.add(mark)
+            body = f"{mark} {words(rng.randint(2, 30))}"
+            return f'<{tag}><a href="/c">{body}</a></{tag}>' if tag else body
+
         parts = [block(marks, rng.choice(["h1", "h2"]), False)] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 9)):
+        for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 5, 6, 7, 9])):
             kind = rng.random()
-            if kind < 0.7:
+            if kind < 0.5:
                 parts.append(block(marks, "p", rng.random() < 0.85))
-            elif kind < 0.76:
+            elif kind < 0.53:
+                parts.append(cited("p"))
+            elif kind < 0.555:
+                parts.append(f"<{(t := rng.choice(['ul', 'ol']))}>" + "".join(cited("li") for _ in range(rng.randint(1, 5))) + f"</{t}>")
+            elif kind < 0.575:
+                parts.append("<dl>" + "".join(block(marks, "dt", False) + block(marks, "dd", rng.random() < 0.5) for _ in range(rng.randint(1, 3))) + "</dl>")
+            elif kind < 0.63:
+                tag, name = rng.choice(["div", "div", "section"]), rng.choice(BOX_NAMES)
+                parts.append(f'<{tag} class="{name}{rng.choice(["", "", "-box", "-block"])}">' + (f"{cited('')}" if rng.random() < 0.2 else "".join(block(marks, "p", rng.random() < 0.7) for _ in range(rng.randint(1, 2)))) + f"</{tag}>")
+            elif kind < 0.67:
                 parts.append("<ul>" + "".join(block(marks, "li", rng.random() < 0.4) for _ in range(rng.randint(1, 5))) + "</ul>")
-            elif kind < 0.8:
+            elif kind < 0.7:
                 parts.append("<blockquote>" + block(marks, "p", True) + "</blockquote>")
-            elif kind < 0.84:
+            elif kind < 0.73:
                 parts.append("<table><tr>" + "".join(block(marks, "td", False) for _ in range(3)) + "</tr></table>")
-            elif kind < 0.88:
+            elif kind < 0.75:
                 parts.append(block(marks, rng.choice(["h2", "h3", "pre", "div"]), False))
             else:
                 first = rng.choice(OTHER_NAMES + COMMENT_NAMES).split("-")[0] if rng.random() < 0.7 else words(1).strip()
-                name = f' {rng.choice(["class", "class", "id"])}="{first}-{rng.choice(SECTION_WORDS)}"' if rng.random() < 0.7 else ""
-                tag = rng.choice(["section", "section", "div"])
-                parts.append(f"<{tag}{name}>" + block(marks, "h2", False) * (rng.random() < 0.6) + "".join(block(marks, "p", True) for _ in range(rng.randint(1, 3))) + f"</{tag}>")
+                first = "-".join([first, words(1)][: rng.choice([1, 1, 1, 2])])
+                last = rng.choice(SECTION_WORDS) if rng.random() < 0.5 else words(1)
+                name = f' {rng.choice(["class", "class", "id"])}="{first}-{last}"' if rng.random() < 0.7 else ""
+                tag = rng.choice(["section", "div"])
+                parts.append(f"<{tag}{name}>" + block(marks, "h2", False) * (rng.random() < 0.4) + "".join(block(marks, "p", True) for _ in range(rng.randint(1, 3))) + f"</{tag}>")
         return "".join(parts)
 
     def comments(within: bool = False) -> str:
@@ -393,10 +461,12 @@ def layouts(seed: int, count: int) -> list[tuple[str, set[str]]]:
         if rng.random() < 0.25:
             return comments()
         kind = rng.random()
-        name = rng.choice(OTHER_NAMES) if rng.random() < 0.85 else words(1)
+        name = rng.choice(OTHER_NAMES) if rng.random() < 0.93 else words(1)
         attribute = f' {rng.choice(["class", "class", "class", "id", "role"])}="{name}{rng.choice(["", "", "-" + rng.choice(["wrap", "box", "inner", "area"])])}"'
         if kind < 0.25:
-            tag = rng.choice(["nav", "header", "footer", "aside", "menu"])
+            tag = rng.choice(["nav", "header", "header", "footer", "aside", "menu"])
+            if tag == "header" and rng.random() < 0.5:
+                return f"<header>{rng.choice(['', '<div>', '<p>'])}{words(rng.randint(1, 4))}</header>"
             return f"<{tag}{attribute if rng.random() < 0.4 else ''}>" + (linked(rng.randint(2, 8)) if rng.random() < 0.6 else block(None, rng.choice(["p", "div", "h2", "h3"]), rng.random() < 0.4)) + f"</{tag}>"
         if kind < 0.35:
             return f"<form{attribute if rng.random() < 0.4 else ''}>" + block(None, rng.choice(["p", "label", "div"]), False) + '<input name="q"><button>Go</button></form>'
@@ -463,12 +533,15 @@ def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", most:
         page = Page(source)
         pages.append(page)
         labels.append(_labels(page, [t.split(" ", 1)[0] in marks for _, t in page.blocks]))
-    # The first pages by hash, as far as they have TRAIN_CHARS together.
+    # The first pages by hash that fit into TRAIN_CHARS: one that doesn't is passed over, the next ones still count.
     key = F.xxhash64(id_col, html_col).alias("h")
-    first = df.where(F.col(html_col).isNotNull()).select(key, F.length(html_col).cast("long").alias("n")).orderBy("h", "n").limit(most).collect()
-    upto = np.cumsum([r["n"] for r in first])
-    chosen = sorted({r["h"] for r, x in zip(first, upto) if x <= TRAIN_CHARS})
-    sample = df.where(key.isin(chosen)).select(html_col).limit(most).collect() if chosen else []
+    first = df.where(F.col(html_col).isNotNull()).select(key, F.length(html_col).cast("long").alias("n")).distinct().orderBy("h", "n").limit(most).collect()
+    chosen, chars = [], 0
+    for r in first:
+        if chars + r["n"] <= TRAIN_CHARS:
+            chosen.append(r["h"])
+            chars += r["n"]
+    sample = df.where(key.isin(chosen)).groupBy(key).agg(F.min(html_col).alias("html")).select("html").collect() if chosen else []
     for (source,) in sorted(sample):
         page = Page(source)
         blocks = _by_semantics(page)

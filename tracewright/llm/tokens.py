@@ -10,8 +10,11 @@ added up by number. Blocks need no order of work and no more memory than a block
 so they reach any file system that Spark can write to. Each document starts with HEADER ids that spell its
 integer id (sign, then base-`separator` digits, none of which is the separator), which `counts` reads back.
 
-Null and empty texts have no tokens, null ids are spelled as such, repeated rows are counted one by one.
-An empty table gives an empty result.
+Files are bounded in bytes: a text of more than LONG bytes has a file of its own, of others FILE_DOCS share one. A file is read as one
+value and gone through by blocks without copying it.
+
+Null and empty texts have no tokens, null ids are spelled as such, repeated rows are counted one by one. Ids are read as longs;
+what is no whole number counts as a null id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql.window import Window
 from .common import cut, ensure_checkpoint_dir, map_text
 
 SEPARATOR, HEADER, DIGITS = 50256, 6, 5
-#: Bytes of a block, and documents of a file at most (a file is read as one value before it is cut).
-BLOCK, FILE_DOCS = 4 << 20, 4000
+#: Bytes of a block; bytes from which a text has its own file, and other documents of a file at most: 512 MB, as a token has a byte at least.
+BLOCK, LONG, FILE_DOCS = 4 << 20, 128 << 10, 2000
 
 
 def default_ranks() -> str:
@@ -59,17 +62,20 @@ def write_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             made.append(tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={}))
         return [np.array([np.array(made[0].encode_ordinary(t), "<u2").tobytes() for t in texts], object)]
 
-    docs = map_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", compute, "ids binary")
-    size = F.abs(F.coalesce(F.col("id").cast("long"), F.lit(0)))
+    rows = df.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = F.abs(F.coalesce(F.col("id"), F.lit(0)).cast("decimal(20,0)"))  # of the least long too
     limbs = [F.when(F.col("id").isNull(), 2).when(F.col("id") < 0, 1).otherwise(0)]
     for _ in range(DIGITS):
-        limbs.append(size % SEPARATOR)
+        limbs.append((size % SEPARATOR).cast("long"))
         size = F.call_function("div", size, F.lit(SEPARATOR).cast("long"))
     two = [F.unhex(F.concat(F.lpad(F.hex((x % 256).cast("long")), 2, "0"), F.lpad(F.hex(F.shiftright(x.cast("long"), 8)), 2, "0"))) for x in limbs]
     body = F.concat(*two, F.col("ids"))
     line_end = np.array([SEPARATOR], "<u2").tobytes().decode("iso-8859-1")
-    out = docs.select(body.cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", line_end)
-    out.option("maxRecordsPerFile", FILE_DOCS).option("compression", "none").text(path)
+    long = F.coalesce(F.octet_length("text") > LONG, F.lit(False))
+    for some, most in ((rows.where(~long), FILE_DOCS), (rows.where(long), 1)):
+        docs = map_text(some, "text", compute, "ids binary").select(body.cast("string").alias("value"))
+        out = docs.write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", line_end)
+        out.option("maxRecordsPerFile", most).option("compression", "none").text(path)
 
 
 def scan(token_files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK, header: int = HEADER) -> DataFrame:
@@ -79,34 +85,33 @@ def scan(token_files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK,
     What follows the last separator of a stream is a document too, if it holds any token.
     """
     files = token_files.where(F.length("content") > 0)
-    starts = F.sequence(F.lit(0), ((F.length("content") - 1) / block).cast("int"))
-    blocks = files.select("stream", "part", F.explode(starts).alias("block"), "content")
-    piece = F.substring(F.col("content"), F.col("block") * block + 1, F.lit(block))
-    blocks = blocks.select("stream", "part", "block", piece.alias("bytes"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                ids = np.frombuffer(batch.column(3)[k].as_buffer(), "<u2")
-                at = np.flatnonzero(ids == separator)
-                begin = np.concatenate([[0], at + 1])
-                end = np.concatenate([at, [ids.size]])
-                head = [ids[a : min(a + header, b)].astype(np.int32) for a, b in zip(begin, end)]
-                n = begin.size
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array([batch.column(c)[k].as_py()] * n, batch.column(c).type) for c in range(3)),
-                        pa.array(np.arange(n)),
-                        pa.array(np.full(n, at.size)),
-                        pa.array(end - begin),
-                        pa.array(head, pa.list_(pa.int32())),
-                    ],
-                    ["stream", "part", "block", "k", "separators", "tokens", "head"],
-                )
+            for row in range(len(batch)):
+                content = batch.column(2)[row].as_buffer()
+                for number, frm in enumerate(range(0, content.size, block)):
+                    ids = np.frombuffer(content, "<u2", min(block, content.size - frm) // 2, frm)
+                    at = np.flatnonzero(ids == separator)
+                    begin = np.concatenate([[0], at + 1])
+                    end = np.concatenate([at, [ids.size]])
+                    head = [ids[a : min(a + header, b)].astype(np.int32) for a, b in zip(begin, end)]
+                    n = begin.size
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(pa.array([batch.column(c)[row].as_py()] * n, batch.column(c).type) for c in range(2)),
+                            pa.array(np.full(n, number, np.int32)),
+                            pa.array(np.arange(n)),
+                            pa.array(np.full(n, at.size)),
+                            pa.array(end - begin),
+                            pa.array(head, pa.list_(pa.int32())),
+                        ],
+                        ["stream", "part", "block", "k", "separators", "tokens", "head"],
+                    )
 
     kinds = {f.name: f.dataType.simpleString() for f in files.schema}
     pieces = cut(
-        blocks.mapInArrow(find, f"stream {kinds['stream']}, part {kinds['part']}, block int, k long, separators long, tokens long, head array<int>")
+        files.select("stream", "part", "content").mapInArrow(find, f"stream {kinds['stream']}, part {kinds['part']}, block int, k long, separators long, tokens long, head array<int>")
     )
     order = Window.partitionBy("stream").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
     before = pieces.where("k = 0").select(
@@ -133,11 +138,11 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
     write_files(df, path, id_col, text_col, ranks)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     docs = scan(files.select(F.col("path").alias("stream"), F.lit(0).alias("part"), "content"))
-    spelled = F.lit(0).cast("long")
+    spelled = F.lit(0).cast("decimal(25,0)")
     for k in range(HEADER, 1, -1):
-        spelled = spelled * SEPARATOR + F.element_at("head", k).cast("long")
+        spelled = (spelled * SEPARATOR + F.element_at("head", k)).cast("decimal(25,0)")
     sign = F.element_at("head", 1)
-    value = F.when(sign == 0, spelled).when(sign == 1, -spelled)
+    value = F.when(sign == 0, spelled).when(sign == 1, -spelled).cast("long")
     out = cut(docs.select(value.alias(id_col), (F.col("tokens") - HEADER).alias("n_tokens")))
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -152,6 +152,39 @@ def test_text(spark):
         assert one(spark, scoring.as_bool(F.col("t")), t=raw) is want
 
 
+def test_variant_reads_what_python_reads(spark):
+    """The JVM reading of judges' outputs against the Python one, on texts cut, padded, fenced and damaged in many ways."""
+    import json
+    import random
+
+    rng = random.Random(3)
+    good = ['{"items": [{"key": "a", "pass": true, "note": "x } y"}, {"key": "b", "pass": "no"}, 4], "smells": 1, "weakest": " b "}', '{"smells": "evet"}', "{}", '{"a": {"b": [1, {"c": "\\" }"}]}}', '{"items": "none"}', '{"items": null, "weakest": null}']
+    raws = [None, "", "no", "[1]", '"x"', "{", "}{", "[1] {\"a\": 1}", '{"a": 1} {"b": 2}', '{"a": 1} then ```json {"b": 2}```', "```\n[1]\n``` {\"c\": 3}", "{'a': 1}", '{"a": 01}', '{"a": "x\ny"}', '{bad} {"a": 1}']
+    for _ in range(300):
+        t = rng.choice(good)
+        t = rng.choice(["", "text ", "I say: ", "}"]) + t + rng.choice(["", " done", " }", "\n{"])
+        t = rng.choice([t, f"```json\n{t}\n```", f"Look:\n```\n{t}```\nbye", t])
+        if rng.random() < 0.4:
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", "{", "}", '"', ",", "[", " "]) + t[k + rng.randint(0, 1) :]
+        raws.append(t)
+    table = spark.createDataFrame(list(enumerate(raws)), "draft_id int, raw string")
+    got = {r.draft_id: r.o for r in table.select("draft_id", F.to_json(verdicts.object_of(F.col("raw"))).alias("o")).collect()}
+    for k, t in enumerate(raws):
+        want = verdicts.read_object(t)
+        assert (got[k] is None) == (want is None), t
+        assert want is None or json.loads(got[k]) == json.loads(want), t
+    assert "Python" not in verdicts.parsed(table)._jdf.queryExecution().executedPlan().toString()
+    weak = {r.draft_id: r.o for r in table.select("draft_id", F.to_json(verdicts.weak_parse(F.col("raw"))).alias("o")).collect()}
+    for k, t in enumerate(raws):
+        plain = (t or "").replace("```json", "").replace("```", "")
+        try:
+            want = json.loads(plain[plain.index("{") : plain.rindex("}") + 1])
+        except ValueError:
+            want = None
+        assert (None if weak[k] is None else json.loads(weak[k])) == want, t
+
+
 def test_json_reading():
     assert verdicts.read_object('x {"a": "}"} y') == '{"a": "}"}'
     assert verdicts.read_object("```json\n{\"a\": 1}\n```") == '{"a": 1}'

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +38,37 @@ def read_object(raw: str | None) -> str | None:
     return None
 
 
-def parsed(raw: DataFrame, holistic: str = "smells", weakest: str = "weakest") -> DataFrame:
-    """(draft_id, readable, items array<struct<key, pass, note>>, smells, weakest) from (draft_id, raw)."""
+def _entire(text: Column) -> Column:
+    """The object that a text is, as a VARIANT; null if there is anything beside it. (An array around the text shows what follows its first value.)"""
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    one = F.when(F.size(values) == 1, F.element_at(values, 1))
+    return F.when(F.schema_of_variant(one).startswith("OBJECT"), one)
+
 
-    @F.pandas_udf("string")
-    def objects(texts: pd.Series) -> pd.Series:
-        return texts.map(read_object)
+def object_of(raw: Column) -> Column:
+    """F9 as a VARIANT, without a Python worker: the object that the whole text is, or a fence holds, or that begins at the first brace. What is no JSON
+    in the strict sense (NaN, names that repeat in one object) is not readable."""
+    text = F.coalesce(raw, F.lit(""))
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    at = F.locate("{", text)
+    first = F.try_parse_json(F.when(at > 0, F.substr(text, at)))
+    return F.coalesce(_entire(text), F.when(fenced != "", _entire(fenced)), F.when(F.schema_of_variant(first).startswith("OBJECT"), first))
 
-    item = "array<struct<key:string,pass:string,note:string>>"
-    rows = raw.withColumn("o", objects("raw"))
-    listed = F.from_json(F.get_json_object("o", "$.items"), item)
+
+def parsed(raw: DataFrame, holistic: str = "smells", weakest: str = "weakest") -> DataFrame:
+    """(draft_id, readable, items array<struct<key, pass, note>>, smells, weakest) from (draft_id, raw)."""
+    rows = raw.withColumn("o", object_of(F.col("raw")))
+    said = lambda v, path: F.try_variant_get(v, path, "string")
+    listed = F.transform(F.try_variant_get("o", "$.items", "array<variant>"), lambda i: F.struct(*[said(i, f"$.{c}").alias(c) for c in ("key", "pass", "note")]))
     return rows.select(
-        "draft_id", F.col("o").isNotNull().alias("readable"), F.coalesce(listed, F.array().cast(item)).alias("items"),
-        F.get_json_object("o", f"$.{holistic}").alias("smells"), F.coalesce(F.get_json_object("o", f"$.{weakest}"), F.lit("")).alias("weakest"),
+        "draft_id", F.col("o").isNotNull().alias("readable"), F.coalesce(listed, F.array().cast("array<struct<key:string,pass:string,note:string>>")).alias("items"),
+        said(F.col("o"), f"$.{holistic}").alias("smells"), F.coalesce(F.trim(said(F.col("o"), f"$.{weakest}")), F.lit("")).alias("weakest"),
     )
 
 
 def weak_parse(raw: Column) -> Column:
-    """text from the first to the last brace, fence removed; null if there is none."""
-    body = F.regexp_extract(F.regexp_replace(raw, r"```(?:json)?", ""), r"(?s)(\{.*\})", 1)
-    return F.when(body != "", body)
+    """the object from the first to the last brace, fences removed, as a VARIANT; null if that is no JSON object."""
+    return _entire(F.regexp_extract(F.regexp_replace(F.coalesce(raw, F.lit("")), r"```(?:json)?", ""), r"(?s)(\{.*\})", 1))
 
 
 def coerced(verdicts: DataFrame, rubric: DataFrame) -> DataFrame:

@@ -385,14 +385,43 @@ def fail_counts(spark, sf):
     return rows.select("draft_id", "n_fail", scoring.pass_summary(F.col("p"), F.col("n")).alias("law_pass"))
 
 
+def _judge_outputs(spark, sf):
+    """(draft_id, raw): what a judge would write of each labelled document, in eight shapes: plain, fenced, amid prose, in words, in numbers, cut off, without items,
+    with unreadable and repeated ones."""
+    kind = F.pmod(F.col("doc_id"), F.lit(8))
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+
+    def told(yes: Column) -> Column:
+        plain = F.when(yes, "true").otherwise("false")
+        return F.when(kind == 3, F.when(yes, '"yes"').otherwise('"no"')).when(kind == 4, F.when(yes, "1").otherwise("0")).otherwise(plain)
+
+    def item(key: str, value: Column) -> Column:
+        return F.concat(F.lit(f'{{"key": "{key}", "pass": '), value, F.lit(', "note": "a \\"{note}\\""}'))
+
+    clean_item = F.when(kind == 7, F.concat(item("clean", F.lit("false")), F.lit(", 3, "), item("other", F.lit("true")), F.lit(", "), item("clean", told(clean)))).otherwise(item("clean", told(clean)))
+    items = F.concat(F.lit('"items": ['), item("quality", F.when(kind == 7, F.lit("null")).otherwise(told(good))), F.lit(", "), clean_item, F.lit("], "))
+    body = F.concat(F.lit("{"), F.when(kind == 6, "").otherwise(items), F.lit('"smells": '), F.when(kind == 7, '"maybe"').otherwise(told(clean)), F.lit(', "weakest": " w'), kind.cast("string"), F.lit(' "}'))
+    raw = (
+        F.when(kind == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nThanks")))
+        .when(kind == 2, F.concat(F.lit("My verdict: "), body, F.lit(" and that {was} all}")))
+        .when(kind == 5, F.concat(F.lit("```json\n"), F.substring(body, 1, 40)))
+        .otherwise(body)
+    )
+    return _t(spark, sf, "labels").where("quality is not null and toxic is not null").select(F.col("doc_id").alias("draft_id"), raw.alias("raw"))
+
+
+def _judged_by(spark):
+    return spark.createDataFrame([(0, "quality", 3.0), (1, "clean", 2.0)], "ord int, key string, weight double")
+
+
 def verdict_coerce(spark, sf):
-    got = verdicts.parsed(fixtures.frame(spark, "judge"))
-    return verdicts.coerced(got, fixtures.frame(spark, "rubric")).select("draft_id", "key", "pass", "parsed")
+    got = verdicts.parsed(_judge_outputs(spark, sf))
+    return verdicts.coerced(got, _judged_by(spark)).select("draft_id", "key", "pass", "parsed")
 
 
 def verdict_summary(spark, sf):
-    got = verdicts.parsed(fixtures.frame(spark, "judge"))
-    return verdicts.judged(got, fixtures.frame(spark, "rubric")).select("draft_id", "items", "passed", "n_fail", _r("weighted_fail").alias("weighted_fail"), _r("pass_rate").alias("pass_rate"), "smells")
+    got = verdicts.parsed(_judge_outputs(spark, sf))
+    return verdicts.judged(got, _judged_by(spark)).select("draft_id", "items", "passed", "n_fail", _r("weighted_fail").alias("weighted_fail"), _r("pass_rate").alias("pass_rate"), "smells", "weakest")
 
 
 def _signals(spark, sf):
@@ -467,8 +496,11 @@ def context_block(spark, sf):
 
 
 def weak_parse(spark, sf):
-    """F10."""
-    return fixtures.frame(spark, "judge").select("draft_id", F.coalesce(verdicts.weak_parse(F.col("raw")), F.lit("none")).alias("said"))
+    """F10 over the judge's outputs and the properties of events."""
+    both = _judge_outputs(spark, sf).select(F.lit("draft").alias("kind"), F.col("draft_id").alias("id"), "raw")
+    both = both.unionByName(_t(spark, sf, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.concat(F.lit("props: "), "props").alias("raw")))
+    o = verdicts.weak_parse(F.col("raw"))
+    return both.select("kind", "id", o.isNotNull().alias("readable"), F.try_variant_get(o, "$.k", "long").alias("k"), F.try_variant_get(o, "$.weakest", "string").alias("weakest"))
 
 
 def confidence_line(spark, sf):

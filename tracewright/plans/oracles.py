@@ -109,6 +109,12 @@ SIGNALS = """g AS (
 STAKES = "CASE channel " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.STAKES.items()) + " ELSE 0.5 END::DOUBLE"
 REVERSIBLE = "list_contains(['cheap to revert', 'slow and costly', 'kolay'], ['cheap to revert', 'high', 'slow and costly', 'kolay'][(id % 4 + 1)::INT])"
 
+#: What each labelled document's judge said of the two items, by the shape of its output.
+JUDGED = """j AS (SELECT doc_id AS draft_id, doc_id % 8 AS kind, quality = 1 AS good, toxic = 0 AS clean FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL
+), s AS (SELECT draft_id, kind, clean, unnest([{'key': 'quality', 'weight': 3.0::DOUBLE, 'said': CASE WHEN kind IN (5, 6, 7) THEN NULL ELSE good END},
+{'key': 'clean', 'weight': 2.0::DOUBLE, 'said': CASE WHEN kind IN (5, 6) THEN NULL ELSE clean END}], recursive := true) FROM j
+), k AS (SELECT draft_id, kind, CASE WHEN clean THEN 1 ELSE 0 END AS clean, key, weight, coalesce(said, false) AS pass, said IS NOT NULL AS parsed FROM s)"""
+
 ORACLES: dict[str, str] = {
     "channel_counts": "SELECT source AS channel, count(*) AS n FROM documents GROUP BY source",
     "min_body_filter": f"WITH {D} SELECT doc_id, length(t)::BIGINT AS n FROM d WHERE length(t) >= 30",
@@ -182,9 +188,10 @@ SELECT s.id, h.id IS NULL AS safe, coalesce(len(hits), 0)::BIGINT AS n_flagged,
     "markdown_entries": """SELECT * FROM (VALUES ('a/fence.md', 'A', 'body' || chr(10) || '```' || chr(10) || '### x' || chr(10) || '---' || chr(10) || '```' || chr(10) || 'tail', '', '', '', ''),
 ('a/rule.md', 'A', 'one', '', '', '', ''), ('a/rule.md', 'B', 'three', '', '', '', ''), ('a/note.md', 'A', 'body' || chr(10) || '> quote', '', 'n1 n2', '', ''), ('a/section.md', 'A', 'b', 'S', '', '', ''),
 ('a/surface.md', 'reel on LinkedIn (01.02.2026)', 'b', '', '', 'LinkedIn', '01.02.2026'), ('a/empty.md', 'B', 'b', '', '', '', '')) v(path, title, body, section, note, channel, date)""",
-    "verdict_summary": """SELECT * FROM (VALUES (1::BIGINT, 4::BIGINT, 4::BIGINT, 0::BIGINT, 0.0::DOUBLE, 1.0::DOUBLE, true), (2, 4, 0, 4, 7.5, 0.0, false), (3, 4, 0, 4, 7.5, 0.0, false), (4, 4, 0, 4, 7.5, 0.0, false), (5, 4, 0, 4, 7.5, 0.0, false)) v(draft_id, items, passed, n_fail, weighted_fail, pass_rate, smells)""",
-    "verdict_coerce": """SELECT d.id::BIGINT AS draft_id, k.key, (d.id = 1) AS pass, coalesce(d.id = 1 OR d.id = 2 AND k.key = 'thesis' OR d.id = 3 AND k.key = 'list', false) AS parsed
-FROM (VALUES (1), (2), (3), (4), (5)) d(id) CROSS JOIN (VALUES ('thesis'), ('em_dash'), ('list'), ('voice')) k(key)""",
+    "verdict_summary": f"""WITH {JUDGED}, c AS (SELECT draft_id, kind, sum(1)::BIGINT AS items, sum(CASE WHEN pass THEN 1 ELSE 0 END)::BIGINT AS passed, sum(CASE WHEN pass THEN 0 ELSE 1 END)::BIGINT AS n_fail,
+sum(CASE WHEN pass THEN 0.0 ELSE weight END)::DOUBLE AS weighted_fail, sum(CASE WHEN pass THEN weight ELSE 0.0 END)::DOUBLE / 5 AS pass_rate, max(clean) AS clean FROM k GROUP BY draft_id, kind)
+SELECT draft_id, items, passed, n_fail, weighted_fail, round(pass_rate, 6) AS pass_rate, CASE WHEN kind IN (5, 7) THEN n_fail = 0 ELSE clean = 1 END AS smells, CASE WHEN kind = 5 THEN '' ELSE 'w' || kind END AS weakest FROM c""",
+    "verdict_coerce": f"WITH {JUDGED} SELECT draft_id, key, pass, parsed FROM k",
     "markdown_sections": """SELECT path, title, n::BIGINT AS n, section, date FROM (VALUES ('r/2026-01-05-plan.md', 'Plan', 58, 'Plan', '2026-01-05'), ('r/2026-01-05-plan.md', 'Plan — Why', 40, 'Plan', '2026-01-05'),
 ('r/fenced.md', 'F', 53, 'F', ''), ('r/late.md', 'late', 55, 'late', ''), ('r/plain.md', 'plain', 64, 'plain', '')) v(path, title, n, section, date)""",
     "decision_fields": """SELECT * FROM (VALUES ('19 Tem · x · pick', 'first second', '', '', '', 'log', '19 Tem', 'beta'), ('2026-02-03 · build · use tabs', 'use tabs', 'they are shorter YÖNTEM: by vote', 'none', '', '', '2026-02-03', 'beta'),
@@ -199,7 +206,9 @@ mo AS (SELECT eps, max(n) AS n, max(CASE WHEN rn = ceil(n::DOUBLE * (1.0::DOUBLE
 SELECT eps, round(CASE WHEN n < 3 OR k2 > n - 1 THEN 1.0::DOUBLE ELSE (SELECT count(*) FROM cal WHERE cal.s <= mo.c)::DOUBLE / n END, 6) AS coverage FROM mo""",
     "context_block": f"WITH {BOUND} SELECT source AS cue_id, sha1(string_agg('--- sample ---' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS sha FROM documents WHERE NOT ({FAMILY.format('text')} AND ({HEALTH.format('text')} OR regexp_matches(lower(text), '{MONEY}'))) GROUP BY source",
     "decision_stats": "SELECT project, n::BIGINT AS n, f::BIGINT AS \"full\", c::BIGINT AS costed, p::BIGINT AS placed FROM (VALUES ('alpha', 2, 2, 1, 2), ('beta', 2, 1, 1, 0), ('delta', 2, 0, 0, 1)) v(project, n, f, c, p)",
-    "weak_parse": f"WITH j AS (SELECT * FROM (VALUES {fixtures.sql_values('judge')}) v(draft_id, raw)) SELECT draft_id::BIGINT AS draft_id, CASE WHEN contains(raw, '{{') AND contains(substr(raw, strpos(raw, '{{')), '}}') THEN regexp_extract(regexp_replace(raw, '```(json)?', '', 'g'), '(?s)[{{].*[}}]') ELSE 'none' END AS said FROM j",
+    "weak_parse": """SELECT 'draft' AS kind, doc_id AS id, doc_id % 8 NOT IN (2, 5) AS readable, NULL::BIGINT AS k, CASE WHEN doc_id % 8 NOT IN (2, 5) THEN ' w' || (doc_id % 8) || ' ' END AS weakest
+FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL
+UNION ALL SELECT 'event', event_id, props IS NOT NULL AND json_valid(props), CASE WHEN json_valid(props) THEN (props::JSON ->> '$.k')::BIGINT END, NULL FROM events""",
     "confidence_line": f"""WITH {SIGNALS}, c AS (SELECT *, coalesce(weight, 0.4::DOUBLE) AS voice, CASE WHEN score IS NULL THEN 0.5 ELSE least(1.0::DOUBLE, score / 0.5::DOUBLE) END::DOUBLE AS ground, 1.0::DOUBLE - greatest(0, iterations - 1)::DOUBLE / 4 AS effort FROM g
 ), b AS (SELECT *, 0.45::DOUBLE * law + 0.22::DOUBLE * voice + 0.18::DOUBLE * ground + 0.15::DOUBLE * effort AS x, least(law, voice, ground, effort) AS low FROM c
 ), s AS (SELECT *, CASE WHEN smells THEN least(1.0::DOUBLE, x + 0.03::DOUBLE) ELSE greatest(0.0::DOUBLE, x - 0.08::DOUBLE) END AS y, CASE low WHEN law THEN 'law' WHEN voice THEN 'voice_fit' WHEN ground THEN 'grounding' ELSE 'effort' END AS weakest FROM b

@@ -465,25 +465,57 @@ def reflect(spark, sf):
 # ---------------------------------------------------------------- Markdown
 
 
+def _lines(rows: DataFrame, path: Column, *parts: Column) -> DataFrame:
+    """(path, n, line): the parts, arrays of lines, of each document; a file's lines are in the order of the ids."""
+    told = F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])
+    rows = rows.select(path.alias("path"), "doc_id", F.posexplode(told).alias("at", "line"))
+    return rows.select("path", (F.shiftleft(F.col("doc_id"), 24) + F.col("at")).alias("n"), "line")
+
+
+def _notebook(spark, sf):
+    """All documents as one Markdown file: sections, entries with notes, some in the shape of the law's scaffold, some with a fence."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    i, text = F.col("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n")
+    heading = F.when(i % 7 == 0, "### A. skipped").otherwise(F.concat(F.lit("### note "), i.cast("string"), F.lit(" — Substack (01.02.2026)")))
+    return _lines(
+        docs, F.lit("all/2026-01-05-notes.md"), F.when(i == 0, F.array(F.lit("# Notes"))), F.when(i % 3 == 0, F.array(F.concat(F.lit("## "), "lang"))), F.array(heading, F.concat(F.lit("> about "), "source")),
+        F.when(i % 5 == 0, F.array(*map(F.lit, ("```", "### no heading", "---", "```")))), text, F.array(F.lit("---")),
+    )
+
+
+def _logbook(spark, sf):
+    """A decision for each document, in a file for each source: even ids as sections, odd ones as bullets under a heading."""
+    docs = _t(spark, sf, "documents").select("doc_id", "lang", "source")
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    cost = F.when(i % 4 == 0, "Geri alma: ucuz").otherwise("free words, no label")
+    section = F.array(F.concat(F.lit("## 2026-01-05 · build · pick "), n), F.concat(F.lit("Neden: because "), "lang"), F.lit("  it fits"), cost, F.lit(""), F.lit("Durum: it waits"))
+    bullet = F.array(F.lit("# day"), F.concat(F.lit("- 2026-02-03 use "), n, F.lit(": slow. KARAR: add "), n, F.lit(" / NEDEN: "), "lang", F.lit(" / GERI ALMA: high")))
+    return _lines(docs, F.concat("source", F.lit("/decisions.md")), F.when(i % 2 == 0, section).otherwise(bullet))
+
+
 def markdown_entries(spark, sf):
-    return markdown.entries(fixtures.frame(spark, "markdown")).select("path", "title", "body", "section", "note", "channel", "date")
+    out = markdown.entries_of(_notebook(spark, sf))
+    return out.select("path", "title", F.sha1(F.col("body").cast("binary")).alias("body"), "section", "note", "channel", "date")
 
 
 def markdown_sections(spark, sf):
-    return markdown.sections(fixtures.frame(spark, "docs"), "report").select("path", "title", _length("body").alias("n"), "section", "date")
+    return markdown.sections_of(_notebook(spark, sf), "report").select("path", "title", _length("body").alias("n"), F.sha1(F.col("body").cast("binary")).alias("body"), "section", "date")
 
 
 def decision_fields(spark, sf):
-    return markdown.load_decisions(fixtures.frame(spark, "decisions")).select("title", "choice", "reason", "cost", "context", "outcome", "date", "project")
+    return markdown.load_decisions(_logbook(spark, sf)).select("title", "choice", "reason", "cost", "context", "outcome", "date", "project")
 
 
 def decision_memory(spark, sf):
-    return markdown.decision_memory(markdown.load_decisions(fixtures.frame(spark, "decisions"))).select("title", "body", "source", "note")
+    return markdown.decision_memory(markdown.load_decisions(_logbook(spark, sf))).select("title", "body", "source", "note")
 
 
 def decision_stats(spark, sf):
+    return placed(markdown.load_decisions(_logbook(spark, sf)))
+
+
+def placed(rows):
     """Complete decisions by project."""
-    rows = markdown.load_decisions(fixtures.frame(spark, "decisions"))
     full = (F.col("choice") != "") & (F.col("reason") != "")
     return rows.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.count_if(full).alias("full"), F.count_if(F.col("cost") != "").alias("costed"), F.count_if(F.col("context") != "").alias("placed"))
 

@@ -115,7 +115,24 @@ JUDGED = """j AS (SELECT doc_id AS draft_id, doc_id % 8 AS kind, quality = 1 AS
 {'key': 'clean', 'weight': 2.0::DOUBLE, 'said': CASE WHEN kind IN (5, 6) THEN NULL ELSE clean END}], recursive := true) FROM j
 ), k AS (SELECT draft_id, kind, CASE WHEN clean THEN 1 ELSE 0 END AS clean, key, weight, coalesce(said, false) AS pass, said IS NOT NULL AS parsed FROM s)"""
 
+#: The documents as the entries of one notebook, and as a log of decisions.
+BOOK = f"""b AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 5 = 0 THEN '```' || chr(10) || '### no heading' || chr(10) || '---' || chr(10) || '```' || chr(10) ELSE '' END || coalesce(text, '') AS said FROM documents
+), k AS (SELECT doc_id, source, {TRIM.format('said')} AS body, count(CASE WHEN doc_id % 3 = 0 THEN 1 END) OVER w AS sec, last_value(CASE WHEN doc_id % 3 = 0 THEN lang END IGNORE NULLS) OVER w AS section,
+CASE WHEN doc_id % 7 = 0 THEN '### A. skipped' ELSE '### note ' || doc_id || ' — Substack (01.02.2026)' END || chr(10) || '> about ' || source || chr(10) || said || chr(10) || '---' AS block FROM b WINDOW w AS (ORDER BY doc_id))"""
+LOG = """c AS (SELECT doc_id, source AS project, CASE WHEN doc_id % 2 = 0 THEN '2026-01-05 · build · pick ' || doc_id ELSE 'use ' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN 'pick ' ELSE 'add ' END || doc_id AS choice,
+CASE WHEN doc_id % 2 = 1 THEN lang WHEN doc_id % 4 = 0 THEN 'because ' || lang || ' it fits' ELSE 'because ' || lang || ' it fits free words, no label' END AS reason,
+CASE WHEN doc_id % 2 = 1 THEN 'high' WHEN doc_id % 4 = 0 THEN 'ucuz' ELSE '' END AS cost, CASE WHEN doc_id % 2 = 1 THEN 'slow.' ELSE 'it waits' END AS context, '' AS outcome,
+CASE WHEN doc_id % 2 = 0 THEN '2026-01-05' ELSE '2026-02-03' END AS date FROM documents)"""
+
 ORACLES: dict[str, str] = {
+    "markdown_entries": f"""WITH {BOOK} SELECT 'all/2026-01-05-notes.md' AS path, 'note ' || doc_id || ' — Substack (01.02.2026)' AS title, sha1(body) AS body, section, 'about ' || source AS note, 'Substack' AS channel, '01.02.2026' AS date
+FROM k WHERE doc_id % 7 <> 0 AND body <> ''""",
+    "markdown_sections": f"""WITH {BOOK}, g AS (SELECT sec, max(section) AS lang, string_agg(block, chr(10) ORDER BY doc_id) AS body FROM k GROUP BY sec), t AS (SELECT lang, {TRIM.format('body')} AS body FROM g)
+SELECT 'all/2026-01-05-notes.md' AS path, 'Notes — ' || lang AS title, length(body)::BIGINT AS n, sha1(body) AS body, 'Notes' AS section, '2026-01-05' AS date FROM t WHERE length(body) >= 40""",
+    "decision_fields": f"WITH {LOG} SELECT title, choice, reason, cost, context, outcome, date, project FROM c",
+    "decision_memory": f"""WITH {LOG} SELECT title, concat_ws(chr(10), 'durum: ' || context, 'karar: ' || choice, 'neden: ' || reason, CASE WHEN cost <> '' THEN 'geri alma: ' || cost END) AS body, 'decision:' || project AS source,
+CASE WHEN cost <> '' THEN 'reversal-cost: ' || cost ELSE '' END AS note FROM c""",
+    "decision_stats": f"WITH {LOG} SELECT project, count(*)::BIGINT AS n, count(*)::BIGINT AS \"full\", sum(CASE WHEN cost <> '' THEN 1 ELSE 0 END)::BIGINT AS costed, count(*)::BIGINT AS placed FROM c GROUP BY project",
     "channel_counts": "SELECT source AS channel, count(*) AS n FROM documents GROUP BY source",
     "min_body_filter": f"WITH {D} SELECT doc_id, length(t)::BIGINT AS n FROM d WHERE length(t) >= 30",
     "cap_body": r"WITH c AS (SELECT doc_id, length(text) > 4000 AS capped, CASE WHEN length(text) > 4000 THEN regexp_replace(substr(text, 1, 4000), ' [^ ]*$', '') || ' …' ELSE text END AS b FROM documents) SELECT doc_id, length(b)::BIGINT AS n, capped, sha1(b) AS body_sha1 FROM c",
@@ -185,18 +202,10 @@ CASE WHEN quality IS NULL THEN 'auto-consolidated (no law verdict attached)' ELS
 SELECT s.id, h.id IS NULL AS safe, coalesce(len(hits), 0)::BIGINT AS n_flagged, coalesce(reasons, '') AS reasons, sha1(coalesce(list_reduce(hits, lambda t, x: replace(t, x, '[sensitive: removed]'), s.text), s.text)) AS sha FROM s LEFT JOIN h USING (id)""",
     "hash_encoder": r"SELECT doc_id, 64::BIGINT AS dims, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
     "rubric_weight": "SELECT 4.0::DOUBLE AS total_weight",
-    "markdown_entries": """SELECT * FROM (VALUES ('a/fence.md', 'A', 'body' || chr(10) || '```' || chr(10) || '### x' || chr(10) || '---' || chr(10) || '```' || chr(10) || 'tail', '', '', '', ''),
-('a/rule.md', 'A', 'one', '', '', '', ''), ('a/rule.md', 'B', 'three', '', '', '', ''), ('a/note.md', 'A', 'body' || chr(10) || '> quote', '', 'n1 n2', '', ''), ('a/section.md', 'A', 'b', 'S', '', '', ''),
-('a/surface.md', 'reel on LinkedIn (01.02.2026)', 'b', '', '', 'LinkedIn', '01.02.2026'), ('a/empty.md', 'B', 'b', '', '', '', '')) v(path, title, body, section, note, channel, date)""",
     "verdict_summary": f"""WITH {JUDGED}, c AS (SELECT draft_id, kind, sum(1)::BIGINT AS items, sum(CASE WHEN pass THEN 1 ELSE 0 END)::BIGINT AS passed, sum(CASE WHEN pass THEN 0 ELSE 1 END)::BIGINT AS n_fail,
 sum(CASE WHEN pass THEN 0.0 ELSE weight END)::DOUBLE AS weighted_fail, sum(CASE WHEN pass THEN weight ELSE 0.0 END)::DOUBLE / 5 AS pass_rate, max(clean) AS clean FROM k GROUP BY draft_id, kind)
 SELECT draft_id, items, passed, n_fail, weighted_fail, round(pass_rate, 6) AS pass_rate, CASE WHEN kind IN (5, 7) THEN n_fail = 0 ELSE clean = 1 END AS smells, CASE WHEN kind = 5 THEN '' ELSE 'w' || kind END AS weakest FROM c""",
     "verdict_coerce": f"WITH {JUDGED} SELECT draft_id, key, pass, parsed FROM k",
-    "markdown_sections": """SELECT path, title, n::BIGINT AS n, section, date FROM (VALUES ('r/2026-01-05-plan.md', 'Plan', 58, 'Plan', '2026-01-05'), ('r/2026-01-05-plan.md', 'Plan — Why', 40, 'Plan', '2026-01-05'),
-('r/fenced.md', 'F', 53, 'F', ''), ('r/late.md', 'late', 55, 'late', ''), ('r/plain.md', 'plain', 64, 'plain', '')) v(path, title, n, section, date)""",
-    "decision_fields": """SELECT * FROM (VALUES ('19 Tem · x · pick', 'first second', '', '', '', 'log', '19 Tem', 'beta'), ('2026-02-03 · build · use tabs', 'use tabs', 'they are shorter YÖNTEM: by vote', 'none', '', '', '2026-02-03', 'beta'),
-('cache', 'add one', 'a/b ratio is bad', 'ucuz', 'reads are slow.', '', '2026-01-02', 'alpha'), ('only why', 'only why', 'because', '', 'it depends', '', '', 'alpha'),
-('open', 'inside ``` - a b KARAR: kept in section', '', '', '', '', '', 'delta'), ('t', 't', '', '', 'c', '', '', 'delta')) v(title, choice, reason, cost, context, outcome, date, project)""",
     "rubric_items": """SELECT ord::INT AS ord, key, title, "desc", kind, 1.0::DOUBLE AS weight FROM (VALUES (0, 'open_plainly', 'Open plainly.', 'No hook of any kind.', 'backbone'), (1, 'one_thesis', 'One thesis.', 'Carry it.', 'backbone'),
 (2, 'no_em_dash', 'No em dash.', 'Not one.', 'mechanical'), (3, 'no_list', 'No list.', 'No list.', 'mechanical')) v(ord, key, title, "desc", kind)""",
     "run_loop_stub": "SELECT run_id::INT AS run_id, 3::INT AS round, 'Draft about ' || cue AS draft, 0.0::DOUBLE AS weighted_fail FROM (VALUES (0, 'trust'), (1, 'speed')) v(run_id, cue)",
@@ -205,7 +214,6 @@ SELECT draft_id, items, passed, n_fail, weighted_fail, round(pass_rate, 6) AS pa
 mo AS (SELECT eps, max(n) AS n, max(CASE WHEN rn = ceil(n::DOUBLE * (1.0::DOUBLE - eps)) THEN s END) AS c, ceil(max(n)::DOUBLE * (1.0::DOUBLE - eps)) AS k2 FROM cal CROSS JOIN z GROUP BY eps)
 SELECT eps, round(CASE WHEN n < 3 OR k2 > n - 1 THEN 1.0::DOUBLE ELSE (SELECT count(*) FROM cal WHERE cal.s <= mo.c)::DOUBLE / n END, 6) AS coverage FROM mo""",
     "context_block": f"WITH {BOUND} SELECT source AS cue_id, sha1(string_agg('--- sample ---' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS sha FROM documents WHERE NOT ({FAMILY.format('text')} AND ({HEALTH.format('text')} OR regexp_matches(lower(text), '{MONEY}'))) GROUP BY source",
-    "decision_stats": "SELECT project, n::BIGINT AS n, f::BIGINT AS \"full\", c::BIGINT AS costed, p::BIGINT AS placed FROM (VALUES ('alpha', 2, 2, 1, 2), ('beta', 2, 1, 1, 0), ('delta', 2, 0, 0, 1)) v(project, n, f, c, p)",
     "weak_parse": """SELECT 'draft' AS kind, doc_id AS id, doc_id % 8 NOT IN (2, 5) AS readable, NULL::BIGINT AS k, CASE WHEN doc_id % 8 NOT IN (2, 5) THEN ' w' || (doc_id % 8) || ' ' END AS weakest
 FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL
 UNION ALL SELECT 'event', event_id, props IS NOT NULL AND json_valid(props), CASE WHEN json_valid(props) THEN (props::JSON ->> '$.k')::BIGINT END, NULL FROM events""",

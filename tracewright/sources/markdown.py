@@ -1,7 +1,11 @@
-"""Markdown to traces and decisions: line state machines as window functions over each file.
+"""Markdown to traces and decisions: what a line means follows from running sums and last values over the lines before it.
 
-Inputs are DataFrames (path, content), as `spark.read.text(wholetext=True)` gives them. Lines inside
-code fences are opaque. All windows are partitioned by file, so files are parsed in parallel.
+Inputs are DataFrames (path, content), as `spark.read.text(wholetext=True)` gives them; windows by file then parse files in parallel.
+Or they are lines (path, n, line) of files of any size (`entries_of`, `sections_of`, `decisions_of`): those are range-partitioned by path and
+place, so that one file is many tasks. A part's effect on the running values is their sum or last value within it, which
+compose in any grouping; a prefix over one row a part gives what each part starts from.
+
+Lines inside code fences are opaque.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LINE_BREAKS, project_of, split_title, trim_u
+from ..operators.lineage import cut
 
 # Labels of decision records and the slots that they fill.
 LABELS = {
@@ -31,13 +36,33 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.md", recursive: bo
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("content")).where(~F.col("path").rlike(EXCLUDED))
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """path, n, line, st (stripped), fence, free (outside of fences), k (H1, H2, H3, RULE or C)."""
-    text = F.regexp_replace(F.regexp_replace("content", LINE_BREAKS, "\n"), r"\n\z", "")
-    rows = files.where(F.length("content") > 0).select("path", F.posexplode(F.split(text, "\n")).alias("n", "line"))
+def _running(rows: DataFrame, **values: tuple[str, Column]) -> DataFrame:
+    """`rows` with, for each name, the "sum" or the "last" value that isn't null over the lines of the file up to this one."""
+    kept = {name: (how, f"__{name}") for name, (how, _) in values.items()}
+    rows = rows.withColumns({f"__{name}": value for name, (_, value) in values.items()})
+    over = lambda how, c, w: F.sum(c).over(w) if how == "sum" else F.last(c, True).over(w)
+    if "part" not in rows.columns:
+        whole = Window.partitionBy("path").orderBy("n")
+        return rows.withColumns({name: over(how, c, whole) for name, (how, c) in kept.items()}).drop(*[c for _, c in kept.values()])
+    # What each part adds, and what all parts of the file before it add up to: one row a part.
+    ends = [F.sum(c).alias(name) if how == "sum" else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(name) for name, (how, c) in kept.items()]
+    before = Window.partitionBy("__path").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col("path").alias("__path"), F.col("part").alias("__part")).agg(*ends)
+    starts = starts.select("__path", "__part", *[over(how, name, before).alias(f"__from_{name}") for name, (how, _) in kept.items()])
+    local = Window.partitionBy("path", "part").orderBy("n")
+    rows = rows.withColumns({name: over(how, c, local) for name, (how, c) in kept.items()})
+    rows = rows.join(starts, (F.col("path") == F.col("__path")) & (F.col("part") == F.col("__part")))
+    for name, (how, _) in kept.items():
+        begin = F.col(f"__from_{name}")
+        rows = rows.withColumn(name, F.col(name) + F.coalesce(begin, F.lit(0)) if how == "sum" else F.coalesce(F.col(name), begin))
+    return rows.drop("__path", "__part", *[f"__from_{name}" for name in kept], *[c for _, c in kept.values()])
+
+
+def _kinds(rows: DataFrame) -> DataFrame:
+    """(path, n, line) with st (stripped), fence, free (outside of fences), k (H1, H2, H3, RULE or C)."""
     rows = rows.withColumn("st", trim_u(F.col("line"))).withColumn("fence", F.col("line").rlike(r"^(?U:\s*)```"))
-    upto = Window.partitionBy("path").orderBy("n")
-    rows = rows.withColumn("free", ~F.col("fence") & (F.sum(F.col("fence").cast("int")).over(upto) % 2 == 0))
+    rows = _running(rows, fences=("sum", F.col("fence").cast("int")))
+    rows = rows.withColumn("free", ~F.col("fence") & (F.col("fences") % 2 == 0)).drop("fences")
     st = F.col("st")
     kind = (
         F.when(~F.col("free"), "C")
@@ -50,12 +75,24 @@ def lines(files: DataFrame) -> DataFrame:
     return rows.withColumn("k", kind)
 
 
+def lines(files: DataFrame) -> DataFrame:
+    """The lines of whole files, with their kinds."""
+    text = F.regexp_replace(F.regexp_replace("content", LINE_BREAKS, "\n"), r"\n\z", "")
+    return _kinds(files.where(F.length("content") > 0).select("path", F.posexplode(F.split(text, "\n")).alias("n", "line")))
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """The lines (path, n, line) of files of any size, with their kinds and `part`, the range that a line is in. Lines that hold line breaks
+    of their own are several; `n` orders the lines of a file."""
+    rows = rows.select("path", F.col("n").alias("at"), F.posexplode(F.split(F.regexp_replace(F.coalesce("line", F.lit("")), LINE_BREAKS, "\n"), "\n")).alias("within", "line"))
+    rows = rows.select("path", F.struct("at", "within").alias("n"), "line")
+    return _kinds(cut(rows.repartitionByRange("path", "n").sortWithinPartitions("path", "n").withColumn("part", F.spark_partition_id())))
+
+
 def _segments(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """seg: number of the boundary line that a line follows; head: kind of that line."""
-    upto = Window.partitionBy("path").orderBy("n")
     rows = rows.withColumn("edge", F.col("k").isin(*kinds))
-    rows = rows.withColumn("seg", F.sum(F.col("edge").cast("int")).over(upto))
-    return rows.withColumn("head", F.first(F.when(F.col("edge"), F.col("k"))).over(Window.partitionBy("path", "seg").orderBy("n")))
+    return _running(rows, seg=("sum", F.col("edge").cast("int")), head=("last", F.when(F.col("edge"), F.col("k"))))
 
 
 def _joined(when: Column, value: Column, glue: str) -> Column:
@@ -65,12 +102,22 @@ def _joined(when: Column, value: Column, glue: str) -> Column:
 
 def entries(files: DataFrame, kind: str = "semantic") -> DataFrame:
     """One row per `### ` entry: path, n, title, body, section, note, channel, date, source, kind."""
-    rows = _segments(lines(files), ("H1", "H2", "H3", "RULE"))
+    return _entries(lines(files), kind)
+
+
+def entries_of(rows: DataFrame, kind: str = "semantic") -> DataFrame:
+    """S1 over lines (path, n, line)."""
+    return _entries(scanned(rows), kind)
+
+
+def _entries(rows: DataFrame, kind: str) -> DataFrame:
+    rows = _segments(rows, ("H1", "H2", "H3", "RULE"))
     st = F.col("st")
-    upto = Window.partitionBy("path").orderBy("n")
-    rows = rows.withColumn("section", F.last(F.when(F.col("k") == "H2", trim_u(F.substr("st", F.lit(4)))), True).over(upto))
     ends = F.col("fence") | (F.col("free") & ~F.col("edge") & (st != "") & ~st.startswith(">"))
-    rows = rows.withColumn("ended", F.sum(ends.cast("int")).over(Window.partitionBy("path", "seg").orderBy("n")))
+    rows = _running(rows, section=("last", F.when(F.col("k") == "H2", trim_u(F.substr("st", F.lit(4))))), ends=("sum", ends.cast("int")))
+    # How many lines have ended the notes since the entry began.
+    rows = _running(rows, ended_before=("last", F.when(F.col("edge"), F.col("ends"))))
+    rows = rows.withColumn("ended", F.col("ends") - F.coalesce("ended_before", F.lit(0)))
     rows = rows.where("head = 'H3'").withColumn("noted", F.col("free") & st.startswith(">") & (F.col("ended") == 0))
     got = rows.groupBy("path", "seg").agg(
         F.min("n").alias("n"),
@@ -90,12 +137,23 @@ def entries(files: DataFrame, kind: str = "semantic") -> DataFrame:
 
 def sections(files: DataFrame, channel: str, min_chars: int = 40) -> DataFrame:
     """One row per `## ` section, and one for what stands before the first: path, n, title, body, section, channel, date, kind."""
-    rows = _segments(lines(files), ("H2",))
+    return _sections(lines(files), channel, min_chars)
+
+
+def sections_of(rows: DataFrame, channel: str, min_chars: int = 40) -> DataFrame:
+    """S13 over lines (path, n, line)."""
+    return _sections(scanned(rows), channel, min_chars)
+
+
+def _sections(rows: DataFrame, channel: str, min_chars: int) -> DataFrame:
+    rows = _segments(rows, ("H2",))
+    place = F.col("n.at") if "part" in rows.columns else F.col("n")
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*\z", "")
     # The title of a file: its first `# ` line, fenced or not, within the first five.
-    top = F.col("st").startswith("# ") & (F.col("n") < 5)
-    whole = Window.partitionBy("path")
-    named = F.min(F.when(top, F.struct("n", trim_u(F.substr("st", F.lit(3))).alias("t")))).over(whole)["t"]
+    top = F.col("st").startswith("# ") & (place < 5)
+    titles = rows.where(top).groupBy(F.col("path").alias("__path")).agg(F.min_by(trim_u(F.substr("st", F.lit(3))), "n").alias("named"))
+    rows = rows.join(titles, F.col("path") == F.col("__path"), "left")
+    named = F.col("named")
     rows = rows.withColumn("file_title", F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(stem))
     got = rows.groupBy("path", "seg").agg(
         F.min("n").alias("n"),
@@ -151,7 +209,9 @@ def _sectioned(rows: DataFrame) -> DataFrame:
     """A `## ` title, then `Label: value` lines and what continues them."""
     slot = norm_label(F.regexp_extract("st", LABEL_LINE, 1))
     rows = rows.withColumn("slot", F.when(~F.col("edge"), slot))
-    rows = rows.withColumn("cur", F.last("slot", True).over(Window.partitionBy("path", "seg").orderBy("n")))
+    # The slot that a line continues: the last one named since the section began.
+    rows = _running(rows, cur=("last", F.when(F.col("edge") | F.col("slot").isNotNull(), F.struct("slot"))))
+    rows = rows.withColumn("cur", F.col("cur.slot"))
     value = F.when(F.col("slot").isNotNull(), trim_u(F.regexp_extract("st", LABEL_LINE, 2))).when(~F.col("edge"), F.col("st"))
     rows = rows.withColumn("x", value)
     title = F.max(F.when(F.col("edge"), trim_u(F.regexp_replace("st", "^#+", ""))))
@@ -168,7 +228,16 @@ def _sectioned(rows: DataFrame) -> DataFrame:
 
 def decisions(files: DataFrame) -> DataFrame:
     """Path, n, title, choice, reason, cost, context, outcome, date, raw, project, of both formats."""
-    rows = _segments(lines(files), ("H1", "H2"))
+    return _decisions(lines(files))
+
+
+def decisions_of(rows: DataFrame) -> DataFrame:
+    """S6 over lines (path, n, line)."""
+    return _decisions(scanned(rows))
+
+
+def _decisions(rows: DataFrame) -> DataFrame:
+    rows = _segments(rows, ("H1", "H2"))
     bullet = F.col("free") & (F.coalesce("head", F.lit("H1")) != "H2") & F.col("st").startswith("- ") & F.col("st").rlike(rf"(?U)\b(?:{INLINE_LABEL})\b")
     both = _inline(rows.where(bullet)).unionByName(_sectioned(rows.where("head = 'H2'")))
     both = both.where("choice <> '' or reason <> '' or context <> ''")
@@ -183,8 +252,8 @@ def dedup_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataF
 
 
 def load_decisions(files: DataFrame, dedup: bool = True) -> DataFrame:
-    """Decisions, the first of those that agree in title and the start of the choice."""
-    rows = decisions(files)
+    """Decisions of files (path, content) or of lines (path, n, line), the first of those that agree in title and the start of the choice."""
+    rows = decisions(files) if "content" in files.columns else decisions_of(files)
     if not dedup:
         return rows
     keys = [F.lower(trim_u(F.col("title"))), F.substring(F.lower(trim_u(F.col("choice"))), 1, 120)]

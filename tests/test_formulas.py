@@ -244,21 +244,27 @@ def test_label_auc_equals_all_pairs(spark):
     assert np.isnan(calibration.label_auc(table.where("label = 1")).first()["auc"])
 
 
-def test_large_memories_settle_by_blocks(spark, monkeypatch):
+def test_memories_settle_by_blocks(spark, monkeypatch):
+    """Iterated recall in passes over blocks against one state at a time."""
     rng = np.random.default_rng(6)
     x = rng.standard_normal((30, 5))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     memory = spark.createDataFrame([(k, x[k].tolist()) for k in range(30)], "id long, v array<double>")
     cues = memory.where("id < 6").select(F.col("id").alias("cue_id"), F.transform("v", lambda a: a * 0.7 + 0.1).alias("q"))
-    inside = {r["cue_id"]: r for r in retrieval.iterative_recall(memory, cues, 15.0).collect()}
-    report = retrieval.stability_report(memory, 15.0).first()
-    monkeypatch.setattr(retrieval, "MOST_MEMORY", 0)
     monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
     blocks = {r["cue_id"]: r for r in retrieval.iterative_recall(memory, cues, 15.0).collect()}
-    assert set(blocks) == set(inside)
-    for k, r in inside.items():
-        b = blocks[k]
+    assert set(blocks) == set(range(6))
+    for k, b in blocks.items():
+        r = retrieval.settle(x[k] * 0.7 + 0.1, x, 15.0)
         assert (b["iterations"], b["converged"], b["lyapunov_ok"], b["spurious_step"]) == (r["iterations"], r["converged"], r["lyapunov_ok"], r["spurious_step"])
         assert np.allclose(b["energies"], r["energies"]) and b["final_top_mass"] == pytest.approx(r["final_top_mass"]) and b["energy_drop"] == pytest.approx(r["energy_drop"])
-    again = retrieval.stability_report(memory, 15.0).first()
-    assert again.asDict() == pytest.approx(report.asDict())
+    each = []
+    for k in range(30):
+        cue = x[k] + 0.15 * np.random.default_rng(k).standard_normal(5)
+        got = retrieval.settle(cue / np.linalg.norm(cue), x, 15.0)
+        fixed = x.T @ retrieval.entmax_rows(15.0 * (x @ x[k])[None, :], 1.0)[0]
+        each.append((got["iterations"], got["lyapunov_ok"], int(np.argmax(x @ fixed)) == k))
+    n, ok, home = (np.array(c) for c in zip(*each))
+    report = retrieval.stability_report(memory, 15.0).first().asDict()
+    want = {"n_probed": 30, "all_lyapunov_ok": bool(ok.all()), "mean_iterations": n.mean(), "max_iterations": int(n.max()), "self_recall_rate": home.mean(), "spurious_count": int((~ok).sum())}
+    assert report == pytest.approx(want)

@@ -62,8 +62,9 @@ def misses(texts: DataFrame, cache: DataFrame | None, model: str) -> DataFrame:
 
 
 def encode_cached(texts: DataFrame, path: str, model: str = "hash64", encoder: Callable[[Column], Column] = hash_encoder) -> DataFrame:
-    """texts(id, text) with `embedding`; only misses are encoded and appended, keyed by model and content."""
+    """texts(id, text) with `embedding`; only misses are encoded and appended, keyed by model and content. Null texts count as empty."""
     spark = texts.sparkSession
+    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
     cache = spark.read.parquet(path) if there else None

@@ -240,20 +240,6 @@ def settle(query: np.ndarray, memory: np.ndarray, beta: float, most: int = 20, t
     return {"energies": energies, "iterations": steps, "converged": done, "lyapunov_ok": bad < 0, "final_top_mass": mass, "spurious_step": bad, "energy_drop": energies[0] - energies[-1]}
 
 
-SETTLED = "cue_id long, energies array<double>, iterations int, converged boolean, lyapunov_ok boolean, final_top_mass double, spurious_step int, energy_drop double"
-#: Bytes of a memory matrix that is broadcast to iterate inside tasks; a larger memory is gone through by blocks, step by step.
-MOST_MEMORY = 256 << 20
-
-
-def memory_matrix(memory: DataFrame, id_col: str = "id") -> tuple[np.ndarray, np.ndarray] | None:
-    """Ids and vectors on the driver, in id order; None if they are larger than MOST_MEMORY."""
-    dims = memory.select(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if (dims["d"] or 0) * dims["n"] * 8 > MOST_MEMORY:
-        return None
-    rows = memory.select(id_col, "v").orderBy(id_col).collect()
-    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-
-
 def attended(states: DataFrame, memory: DataFrame, beta: float) -> DataFrame:
     """(id, m, t, s) of states(id, v): of similarities d to the whole memory m = max d, t = sum of e = exp(beta (d - m)), s = sum of e times
     the memory's vectors. Blocks pass on the three for their part of the memory."""
@@ -302,18 +288,8 @@ def settle_by_blocks(states: DataFrame, memory: DataFrame, beta: float, most: in
 
 
 def iterative_recall(memory: DataFrame, cues: DataFrame, beta: float) -> DataFrame:
-    """R12 for a table of cues(cue_id, q): all iterations run inside the task, or by blocks of a large memory."""
-    held = memory_matrix(memory)
-    if held is None:
-        return settle_by_blocks(cues.select(F.col("cue_id").cast("long").alias("id"), F.col("q").alias("v")), memory, beta)
-    shared = memory.sparkSession.sparkContext.broadcast(held[1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"cue_id": r["cue_id"], **settle(np.array(r["q"], float), shared.value, beta)} for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("cue_id", pa.int64()), ("energies", pa.list_(pa.float64())), ("iterations", pa.int32()), ("converged", pa.bool_()), ("lyapunov_ok", pa.bool_()), ("final_top_mass", pa.float64()), ("spurious_step", pa.int32()), ("energy_drop", pa.float64())]))
-
-    return cues.select(F.col("cue_id").cast("long").alias("cue_id"), "q").mapInArrow(run, SETTLED)
+    """R12 for a table of cues(cue_id, q): one pass over the memory, by blocks, for each step of all cues at once."""
+    return settle_by_blocks(cues.select(F.col("cue_id").cast("long").alias("id"), F.col("q").alias("v")), memory, beta)
 
 
 def _perturbed(memory: DataFrame) -> DataFrame:
@@ -331,26 +307,7 @@ def _perturbed(memory: DataFrame) -> DataFrame:
 
 def stability_report(memory: DataFrame, beta: float, probes: int | None = None) -> DataFrame:
     """Each pattern perturbed (seeded by its place) and settled; self-recall is tested unperturbed, in one step."""
-    held = memory_matrix(memory)
-    if held is None:
-        each = _stability_by_blocks(memory, beta, probes)
-    else:
-        ids, x = held
-        shared = memory.sparkSession.sparkContext.broadcast(x)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = shared.value
-            for batch in batches:
-                out = []
-                for i in batch["id"]:
-                    cue = m[i] + 0.15 * np.random.default_rng(i).standard_normal(m.shape[1])
-                    got = settle(cue / (np.linalg.norm(cue) or 1.0), m, beta)
-                    fixed = m.T @ entmax_rows(beta * (m @ m[i])[None, :], 1.0)[0]
-                    out.append((got["iterations"], got["lyapunov_ok"], int(np.argmax(m @ fixed)) == i))
-                yield pd.DataFrame(out, columns=["iterations", "ok", "home"])
-
-        each = memory.sparkSession.range(len(ids) if probes is None else min(probes, len(ids))).mapInPandas(run, "iterations int, ok boolean, home boolean")
-    return each.agg(
+    return _stability_by_blocks(memory, beta, probes).agg(
         F.count(F.lit(1)).alias("n_probed"), F.bool_and("ok").alias("all_lyapunov_ok"), F.avg("iterations").alias("mean_iterations"),
         F.max("iterations").alias("max_iterations"), F.avg(F.col("home").cast("double")).alias("self_recall_rate"), F.count_if(~F.col("ok")).alias("spurious_count"),
     )

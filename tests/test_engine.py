@@ -142,3 +142,19 @@ def test_registry(spark, tmp_path):
     with pytest.raises(Exception):
         (tmp_path / "bad.json").write_text("{not json")
         registry.load_grown(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_literal_rubric(spark, small):
+    from tests.helpers import duck, same
+    from tracewright.plans import fixtures
+
+    items = rubric.parse(fixtures.RUBRIC_TEXT).frame(spark)
+    con = duck(small)
+    same(items.select("ord", "key", "title", "desc", "kind", "weight").toPandas(), con.execute("""SELECT ord::INT AS ord, key, title, "desc", kind, 1.0::DOUBLE AS weight FROM (VALUES (0, 'open_plainly', 'Open plainly.', 'No hook of any kind.', 'backbone'), (1, 'one_thesis', 'One thesis.', 'Carry it.', 'backbone'),
+(2, 'no_em_dash', 'No em dash.', 'Not one.', 'mechanical'), (3, 'no_list', 'No list.', 'No list.', 'mechanical')) v(ord, key, title, "desc", kind)""").df())
+    same(rubric.prompt_text(items).toPandas(), con.execute("""SELECT 'THE RUBRIC (keep every item):' || chr(10) || '- Open plainly. No hook of any kind.' || chr(10) || '- One thesis. Carry it.' || chr(10) || '- No em dash. Not one.' || chr(10) || '- No list. No list.' AS text""").df())
+    assert rubric.total_weight(items).first()[0] == 4.0
+    keys = spark.createDataFrame([(1, "one_thesis"), (2, "no_list"), (3, "unheard_of")], "n long, key string")
+    same(rubric.described(keys, items).select("n", "key", "desc").toPandas(), con.execute("""SELECT n::BIGINT AS n, key, "desc" FROM (VALUES (1, 'one_thesis', 'Carry it.'), (2, 'no_list', 'No list.'), (3, 'unheard_of', 'unheard_of')) v(n, key, "desc")""").df())
+    table = spark.createDataFrame([("a", fixtures.RUBRIC_TEXT), ("b", fixtures.RUBRIC_TEXT)], "rubric_id string, text string")
+    assert rubric.items_of(table).where("rubric_id = 'b'").drop("rubric_id").exceptAll(items).count() == 0 and rubric.items_of(table).count() == 2 * items.count()

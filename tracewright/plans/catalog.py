@@ -542,12 +542,24 @@ def confidence_line(spark, sf):
     return rows.select("event_id", scoring.confidence_line(F.col("a.verdict"), F.col("a.score"), F.col("a.weakest")).alias("line"))
 
 
+def _rubrics(spark, sf):
+    """(rubric_id, text): a rubric for each document."""
+    docs = _t(spark, sf, "documents").select("doc_id", "lang", "source")
+    n = F.col("doc_id").cast("string")
+    two = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2. **Stay with — "), "source", F.lit(".** Keep: to it.\n"))).otherwise("")
+    text = F.concat(
+        F.lit("# Notes\n## THE RUBRIC\n### A. Backbone\n1. **Speak of "), n, F.lit(".** In "), "lang", F.lit("\n   and no\n  other.\n"), two,
+        F.lit("### B. Mechanics\n- **No list.**\n### C. Gate\n1. Is it so?\n---\n- **tail** gone\n"),
+    )
+    return docs.select(F.col("doc_id").alias("rubric_id"), text.alias("text"))
+
+
 def rubric_items(spark, sf):
-    return rubric.parse(fixtures.RUBRIC_TEXT).frame(spark).select("ord", "key", "title", "desc", "kind", "weight")
+    return rubric.items_of(_rubrics(spark, sf), weights={"no_list": 2.5})
 
 
 def rubric_weight(spark, sf):
-    return rubric.total_weight(rubric.parse(fixtures.RUBRIC_TEXT).frame(spark))
+    return rubric.total_weight(rubric.items_of(_rubrics(spark, sf), weights={"no_list": 2.5}), "rubric_id")
 
 
 # ---------------------------------------------------------------- learning and loop
@@ -619,13 +631,13 @@ def channel_load(spark, sf):
 
 def prompt_law(spark, sf):
     """F8."""
-    return rubric.prompt_text(rubric.parse(fixtures.RUBRIC_TEXT).frame(spark))
+    return rubric.prompt_text(rubric.items_of(_rubrics(spark, sf)), "rubric_id")
 
 
 def law_desc(spark, sf):
-    """what failed keys mean."""
-    keys = spark.createDataFrame([(1, "one_thesis"), (2, "no_list"), (3, "unheard_of")], "n long, key string")
-    return rubric.described(keys, rubric.parse(fixtures.RUBRIC_TEXT).frame(spark)).select("n", "key", "desc")
+    """what failed keys mean: the labels' failures under each document's rubric."""
+    failed = _t(spark, sf, "labels").select(F.col("doc_id").alias("rubric_id"), F.when(F.col("toxic") == 1, "no_list").when(F.col("quality") == 0, F.concat(F.lit("speak_of_"), "doc_id")).otherwise("unheard_of").alias("key"))
+    return rubric.described(failed, rubric.items_of(_rubrics(spark, sf)), "rubric_id").select("rubric_id", "key", "desc")
 
 
 def load_raw(spark, sf):

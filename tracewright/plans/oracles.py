@@ -124,7 +124,18 @@ CASE WHEN doc_id % 2 = 1 THEN lang WHEN doc_id % 4 = 0 THEN 'because ' || lang |
 CASE WHEN doc_id % 2 = 1 THEN 'high' WHEN doc_id % 4 = 0 THEN 'ucuz' ELSE '' END AS cost, CASE WHEN doc_id % 2 = 1 THEN 'slow.' ELSE 'it waits' END AS context, '' AS outcome,
 CASE WHEN doc_id % 2 = 0 THEN '2026-01-05' ELSE '2026-02-03' END AS date FROM documents)"""
 
+#: The items of each document's rubric.
+RUBRICS = """i AS (SELECT doc_id AS rubric_id, 0 AS place, 'speak_of_' || doc_id AS key, 'Speak of ' || doc_id || '.' AS title, 'In ' || lang || ' and no other.' AS "desc", 'backbone' AS kind, 1.0::DOUBLE AS weight FROM documents
+UNION ALL SELECT doc_id, 1, 'stay_with_' || trim(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '_'), 'Stay with — ' || source || '.', 'Keep: to it.', 'backbone', 1.0 FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 2, 'no_list', 'No list.', 'No list.', 'mechanical', 2.5 FROM documents)"""
+
 ORACLES: dict[str, str] = {
+    "rubric_items": f"""WITH {RUBRICS} SELECT rubric_id, (row_number() OVER (PARTITION BY rubric_id ORDER BY place) - 1)::INT AS ord, key, title, "desc", kind, weight FROM i""",
+    "rubric_weight": f"WITH {RUBRICS} SELECT rubric_id, sum(weight) AS total_weight FROM i GROUP BY rubric_id",
+    "prompt_law": """SELECT doc_id AS rubric_id, 'THE RUBRIC (keep every item):' || chr(10) || '- Speak of ' || doc_id || '. In ' || lang || ' and no other.' || chr(10)
+|| CASE WHEN doc_id % 2 = 0 THEN '- Stay with. ' || source || '. Keep. to it.' || chr(10) ELSE '' END || '- No list. No list.' AS text FROM documents""",
+    "law_desc": """SELECT l.doc_id AS rubric_id, CASE WHEN toxic = 1 THEN 'no_list' WHEN quality = 0 THEN 'speak_of_' || l.doc_id ELSE 'unheard_of' END AS key,
+CASE WHEN toxic = 1 THEN 'No list.' WHEN quality = 0 THEN 'In ' || lang || ' and no other.' ELSE 'unheard_of' END AS "desc" FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "markdown_entries": f"""WITH {BOOK} SELECT 'all/2026-01-05-notes.md' AS path, 'note ' || doc_id || ' — Substack (01.02.2026)' AS title, sha1(body) AS body, section, 'about ' || source AS note, 'Substack' AS channel, '01.02.2026' AS date
 FROM k WHERE doc_id % 7 <> 0 AND body <> ''""",
     "markdown_sections": f"""WITH {BOOK}, g AS (SELECT sec, max(section) AS lang, string_agg(block, chr(10) ORDER BY doc_id) AS body FROM k GROUP BY sec), t AS (SELECT lang, {TRIM.format('body')} AS body FROM g)
@@ -201,13 +212,10 @@ CASE WHEN quality IS NULL THEN 'auto-consolidated (no law verdict attached)' ELS
     "output_screen": f"""WITH {BOUND}, s AS (SELECT doc_id AS id, text, {_split('text')} AS ss FROM b), u AS (SELECT id, unnest(ss) AS s, generate_subscripts(ss, 1) AS n FROM s), w AS (SELECT *, {WHY} AS why FROM u), h AS (SELECT id, list(s ORDER BY n) AS hits, string_agg(why, ',' ORDER BY n) AS reasons FROM w WHERE why IS NOT NULL GROUP BY id)
 SELECT s.id, h.id IS NULL AS safe, coalesce(len(hits), 0)::BIGINT AS n_flagged, coalesce(reasons, '') AS reasons, sha1(coalesce(list_reduce(hits, lambda t, x: replace(t, x, '[sensitive: removed]'), s.text), s.text)) AS sha FROM s LEFT JOIN h USING (id)""",
     "hash_encoder": r"SELECT doc_id, 64::BIGINT AS dims, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
-    "rubric_weight": "SELECT 4.0::DOUBLE AS total_weight",
     "verdict_summary": f"""WITH {JUDGED}, c AS (SELECT draft_id, kind, sum(1)::BIGINT AS items, sum(CASE WHEN pass THEN 1 ELSE 0 END)::BIGINT AS passed, sum(CASE WHEN pass THEN 0 ELSE 1 END)::BIGINT AS n_fail,
 sum(CASE WHEN pass THEN 0.0 ELSE weight END)::DOUBLE AS weighted_fail, sum(CASE WHEN pass THEN weight ELSE 0.0 END)::DOUBLE / 5 AS pass_rate, max(clean) AS clean FROM k GROUP BY draft_id, kind)
 SELECT draft_id, items, passed, n_fail, weighted_fail, round(pass_rate, 6) AS pass_rate, CASE WHEN kind IN (5, 7) THEN n_fail = 0 ELSE clean = 1 END AS smells, CASE WHEN kind = 5 THEN '' ELSE 'w' || kind END AS weakest FROM c""",
     "verdict_coerce": f"WITH {JUDGED} SELECT draft_id, key, pass, parsed FROM k",
-    "rubric_items": """SELECT ord::INT AS ord, key, title, "desc", kind, 1.0::DOUBLE AS weight FROM (VALUES (0, 'open_plainly', 'Open plainly.', 'No hook of any kind.', 'backbone'), (1, 'one_thesis', 'One thesis.', 'Carry it.', 'backbone'),
-(2, 'no_em_dash', 'No em dash.', 'Not one.', 'mechanical'), (3, 'no_list', 'No list.', 'No list.', 'mechanical')) v(ord, key, title, "desc", kind)""",
     "run_loop_stub": "SELECT run_id::INT AS run_id, 3::INT AS round, 'Draft about ' || cue AS draft, 0.0::DOUBLE AS weighted_fail FROM (VALUES (0, 'trust'), (1, 'speed')) v(run_id, cue)",
     "fail_counts": "SELECT doc_id AS draft_id, sum(3 - quality - (1 - toxic) - (1 - doc_id % 2))::BIGINT AS n_fail, sum(quality + (1 - toxic) + (1 - doc_id % 2))::BIGINT::VARCHAR || '/' || (3 * count(*))::VARCHAR AS law_pass FROM labels GROUP BY doc_id",
     "conformal_loo": f"""WITH {SCORES}, cal AS (SELECT s, row_number() OVER (ORDER BY s) AS rn, count(*) OVER () AS n FROM k WHERE label = 0), z AS (SELECT unnest([0.05::DOUBLE, 0.2::DOUBLE]) AS eps),
@@ -238,7 +246,5 @@ round(y, 6) AS score, CASE WHEN fail = 0 AND y >= 0.78::DOUBLE + 0.07::DOUBLE *
 ('projectdoc', NULL, 0.8, 'projectdoc:beta', 'Beta — State', 'Beta', NULL, '', length('the project map of beta, with more than forty characters')),
 ('idea', NULL, 1.1, 'idea:parking', 'Ideas — Kiosk', 'Ideas', NULL, '', length('a kiosk for old maps of the coast')),
 ('desktop', NULL, 1.2, 'desktop:b', 'b', 'b', NULL, '', length('loneliness as a wall, and who builds it'))) v(channel, subchannel, channel_weight, source, title, section, note, date, n)""",
-    "prompt_law": """SELECT 'THE RUBRIC (keep every item):' || chr(10) || '- Open plainly. No hook of any kind.' || chr(10) || '- One thesis. Carry it.' || chr(10) || '- No em dash. Not one.' || chr(10) || '- No list. No list.' AS text""",
-    "law_desc": """SELECT n::BIGINT AS n, key, "desc" FROM (VALUES (1, 'one_thesis', 'Carry it.'), (2, 'no_list', 'No list.'), (3, 'unheard_of', 'unheard_of')) v(n, key, "desc")""",
     "load_raw": "SELECT coalesce(source, '') AS channel, '' AS title, 0.0::DOUBLE AS salience, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY 1",
 }

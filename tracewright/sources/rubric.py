@@ -1,10 +1,12 @@
-"""The rubric: one small document on the driver, parsed into items with stable keys."""
+"""The rubric: a small document, parsed into items with stable keys; or a table of rubrics, each parsed where it is."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def parse(text: str, header: str = r"^## .*RUBRIC.*$", keys: dict[str, tuple[str
     return Rubric(tuple(items), gate, (start[0] + section).strip())
 
 
+def items_of(texts: DataFrame, by: str = "rubric_id", **how) -> DataFrame:
+    """S19 for a table of rubrics (by, text): (by, ord, key, title, desc, kind, weight). A rubric that can't be derived fails the query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(own, *item) for own, text in zip(batch[by], batch["text"]) for item in parse(text or "", **how).items]
+            yield pd.DataFrame(rows, columns=[by, *(c.split()[0] for c in RUBRIC.split(", "))])
+
+    kinds = f"`{by}` {texts.schema[by].dataType.simpleString()}, {RUBRIC}"
+    return texts.select(by, F.col("text").cast("string").alias("text")).mapInPandas(run, kinds)
+
+
 def backbone(items: DataFrame) -> DataFrame:
     return items.where("kind = 'backbone'")
 
@@ -76,20 +90,20 @@ def mechanical(items: DataFrame) -> DataFrame:
     return items.where("kind = 'mechanical'")
 
 
-def total_weight(items: DataFrame) -> DataFrame:
-    """S20."""
-    return items.agg(F.sum("weight").alias("total_weight"))
+def total_weight(items: DataFrame, *by: str) -> DataFrame:
+    """Of all items, or of each rubric."""
+    return items.groupBy(*by).agg(F.sum("weight").alias("total_weight"))
 
 
-def prompt_text(items: DataFrame, heading: str = "THE RUBRIC (keep every item):") -> DataFrame:
-    """F8: the rubric as one text for a prompt, rebuilt from its items so that it keeps its own rules: (text)."""
+def prompt_text(items: DataFrame, *by: str, heading: str = "THE RUBRIC (keep every item):") -> DataFrame:
+    """F8: a rubric as one text for a prompt, rebuilt from its items so that it keeps its own rules: (by, text)."""
     title = F.regexp_replace(sanitize(F.col("title")), r"[. ]+\z", "")
     line = F.concat(F.lit("- "), title, F.lit(". "), sanitize(F.col("desc")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda i: i["line"])
-    return items.agg(F.array_join(F.concat(F.array(F.lit(heading)), lines), "\n").alias("text"))
+    return items.groupBy(*by).agg(F.array_join(F.concat(F.array(F.lit(heading)), lines), "\n").alias("text"))
 
 
-def described(keys: DataFrame, items: DataFrame) -> DataFrame:
-    """keys(key, ...) with `desc`, the first item's of that key, or the key itself."""
-    first = items.groupBy("key").agg(F.min_by("desc", "ord").alias("desc"))
-    return keys.join(F.broadcast(first), "key", "left").withColumn("desc", F.coalesce("desc", "key"))
+def described(keys: DataFrame, items: DataFrame, *by: str) -> DataFrame:
+    """keys(key, ...) with `desc`, the first item's of that key (in the rubric that `by` names), or the key itself."""
+    first = items.groupBy(*by, "key").agg(F.min_by("desc", "ord").alias("desc"))
+    return keys.join(first, [*by, "key"], "left").withColumn("desc", F.coalesce("desc", "key"))

@@ -5,6 +5,8 @@ import json
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracewright.operators import boundary, encode, learn
 from tracewright.plans import fixtures, loop
 from tracewright.sources import registry, rubric
@@ -158,3 +160,34 @@ def test_literal_rubric(spark, small):
     same(rubric.described(keys, items).select("n", "key", "desc").toPandas(), con.execute("""SELECT n::BIGINT AS n, key, "desc" FROM (VALUES (1, 'one_thesis', 'Carry it.'), (2, 'no_list', 'No list.'), (3, 'unheard_of', 'unheard_of')) v(n, key, "desc")""").df())
     table = spark.createDataFrame([("a", fixtures.RUBRIC_TEXT), ("b", fixtures.RUBRIC_TEXT)], "rubric_id string, text string")
     assert rubric.items_of(table).where("rubric_id = 'b'").drop("rubric_id").exceptAll(items).count() == 0 and rubric.items_of(table).count() == 2 * items.count()
+
+
+def test_prompts_carry_what_the_reference_asks_with(spark):
+    from tracewright.plans import prompts
+
+    rubric_items = [{"key": "open", "kind": "backbone", "desc": "Open plainly.", "weight": 1.0}, {"key": "list", "weight": 2.0}]
+    seen = []
+
+    class Asked(loop.StubEngine):
+        def complete(self, system, prompt):
+            seen.append((system, prompt))
+            if system == "critique" and len(seen) == 2:
+                return "no json"
+            return super().complete(system, seen[1][1] if len(seen) == 3 else prompt)
+
+    run = loop.run_loop("boats", Asked(), rubric_items, loop.LoopConfig(max_iter=2), context="they sailed in May", examples="--- sample ---\nA text.")
+    assert [s for s, _ in seen] == ["generate", "critique", "critique", "repair", "critique"] and run.accepted
+    write, judge, again, repair, _ = (p for _, p in seen)
+    assert write.startswith("boats\n") and "- open [backbone]: Open plainly." in write and "A text." in write and "they sailed in May" in write
+    assert prompts.parts(judge) == ("open,list", "Draft about boats [em_dash] [list]") and "- list [rule]: list" in judge and "A text." in judge and '"items"' in judge
+    assert prompts.parts(again) == ("open,list", "no json")
+    assert prompts.parts(repair)[0] == "list" and "- list: " in repair and "A text." in repair and repair.endswith("[list]")
+    assert run.rounds[0]["items"][1] == {"key": "list", "pass": False, "weight": 2.0, "note": ""}
+
+
+def test_result_records(spark):
+    from tracewright.plans import prompts
+
+    assert prompts.record_json({"a": 0.123456, "b": [0.5, {"c": 1 / 3}], "ş": None}) == '{"a": 0.1235, "b": [0.5, {"c": 0.3333}], "ş": null}'
+    row = spark.range(1).select(prompts.result_json({"x": F.lit(1 / 3), "y": F.lit(None).cast("string"), "z": F.lit("é")}, ("x",)).alias("r")).first()
+    assert row.r == '{"x":0.3333,"y":null,"z":"é"}'

@@ -54,13 +54,13 @@ def _write(rows: DataFrame, engine: Engine, rubric: list[dict], config: LoopConf
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                got = run_loop(r.cue, engine, rubric, replace(config, max_iter=int(r.max_iter)), r.prompt)
+                got = run_loop(r.cue, engine, rubric, replace(config, max_iter=int(r.max_iter)), r.context or "", examples=r.examples or "")
                 best = next((x for x in got.rounds if x["weighted_fail"] == got.best_fail), None)
                 n_fail = best["n_fail"] if best else len(rubric)
                 out.append((r.cue_id, got.final, float(got.best_fail), n_fail, bool(best and best["smells"]), best["weakest"] if best else "", len(got.rounds), n_fail == 0))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in WRITTEN.split(", ")])
 
-    return rows.select("cue_id", "cue", "max_iter", "prompt").mapInPandas(run, WRITTEN)
+    return rows.select("cue_id", "cue", "max_iter", F.col("gold_block").alias("examples"), F.col("context_block").alias("context")).mapInPandas(run, WRITTEN)
 
 
 def answer(
@@ -82,7 +82,7 @@ def answer(
             rows = rows.withColumn(f"context_{name}", F.lit(None).cast(kind))
     way = route(F.coalesce("context_channel", F.lit("")), F.col("gold_weight"), F.col("context_score"), config.max_iter, config.k)
     rows = rows.withColumn("r", way).select("*", "r.path", "r.max_iter", F.col("r.abstain_floor").alias("floor"), F.col("r.sure_bar").alias("bar"))
-    rows = cut(rows.withColumn("prompt", F.concat_ws("\n\n", "gold_block", "context_block")).drop("r"))
+    rows = cut(rows.drop("r"))
     rows = rows.join(cut(_write(rows, engine, rubric, config)), "cue_id")
     total = float(sum(i["weight"] for i in rubric))
     law = F.lit(1.0) - F.col("weighted_fail") / F.lit(total) if total else F.lit(0.0)

@@ -16,7 +16,7 @@ from ..functions import scoring, text
 from ..functions.vectors import as_double, norm, unit
 from ..operators import boundary, calibration, contexts, diverse, encode, index, learn, retrieval, themes, verdicts
 from ..sources import channels, markdown, registry, rubric
-from . import answer, fixtures, loop
+from . import answer, fixtures, loop, prompts
 from .oracles import ORACLES
 
 BETA = 12.0
@@ -602,9 +602,17 @@ def supcon_loss(spark, sf):
 
 
 def run_loop_stub(spark, sf):
+    """O1, O3 to O5 for every document as a cue: the best draft of each run."""
     items = [r.asDict() for r in fixtures.frame(spark, "rubric").collect()]
-    runs = [loop.run_loop(c, loop.StubEngine(), items) for c in ("trust", "speed")]
-    return verdicts.best_draft(loop.rounds_frame(spark, runs).withColumn("score", F.lit(0.0)))
+    cues = _docs(spark, sf).select(F.col("doc_id").alias("run_id"), F.concat(F.lit("note "), F.col("doc_id"), F.lit(" of "), "source").alias("cue"))
+    best = verdicts.best_draft(loop.rounds_of(cues, loop.StubEngine(), items))
+    return best.select("run_id", "round", "draft", "weighted_fail")
+
+
+def result_records(spark, sf):
+    """Confidence results as lines of JSON, rounded for people."""
+    rows = assess_confidence(spark, sf)
+    return rows.select("event_id", prompts.result_json({c: F.col(c) for c in ("event_id", "verdict", "score", "weakest")}, ("score",)).alias("record"))
 
 
 def run_loop_full(spark, sf):
@@ -652,7 +660,7 @@ QUERIES = {f.__name__: f for f in (
     recall_base_score, active_traces, recall_topk, mmr_k3, beta_calibration, dynamic_alpha, separability, separability_report, hopfield_energy, iterative_recall, stability_report,
     pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, greedy_whole, cluster_channels,
     sleep_report, weighted_pass_rate, fail_counts, weak_parse, confidence_line, context_block, decision_stats, conformal_loo, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,
-    decision_memory, rubric_items, rubric_weight, identity_auc, identity_project, int8_auc, supcon_loss, run_loop_stub, run_loop_full, index_build, channel_load, prompt_law, law_desc, load_raw,
+    decision_memory, rubric_items, rubric_weight, identity_auc, identity_project, int8_auc, supcon_loss, run_loop_stub, result_records, run_loop_full, index_build, channel_load, prompt_law, law_desc, load_raw,
 )}
 
 __all__ = ["ORACLES", "QUERIES"]

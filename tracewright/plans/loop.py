@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import pass_summary, salience
 from ..functions.text import infer_title, text_key, trim_u
 from ..operators.verdicts import read_object
+from . import prompts
 from .engines import CallingEngine, HandOffEngine
 
 
@@ -58,13 +60,12 @@ class StubEngine:
     def complete(self, system: str, prompt: str) -> str:
         if system == "generate":
             return f"Draft about {prompt.splitlines()[0]} [em_dash] [list]"
+        keys, draft = prompts.parts(prompt)
         if system == "critique":
-            keys, draft = prompt.split("\n", 1)
             items = [{"key": k, "pass": f"[{k}]" not in draft, "note": ""} for k in keys.split(",")]
             bad = [i["key"] for i in items if not i["pass"]]
             return json.dumps({"items": items, "smells": not bad, "weakest": bad[0] if bad else ""})
-        key, draft = prompt.split("\n", 1)
-        return draft.replace(f"[{key}]", "").strip()
+        return draft.replace(f"[{keys}]", "").strip()
 
 
 def build_engine(config: LoopConfig, send: Callable[[str, str], str] | None = None, folder: str | None = None) -> Engine:
@@ -78,18 +79,19 @@ def build_engine(config: LoopConfig, send: Callable[[str, str], str] | None = No
     raise ValueError(f"no engine named {config.engine!r}")
 
 
-def critique(engine: Engine, draft: str, rubric: list[dict]) -> dict:
-    """Judged items in rubric order; one retry for unreadable answers, then everything fails."""
-    keys = ",".join(r["key"] for r in rubric)
-    got = None
-    for _ in range(2):
-        got = read_object(engine.complete("critique", f"{keys}\n{draft}"))
-        if got is not None:
-            break
+def critique(engine: Engine, draft: str, rubric: list[dict], examples: str = "") -> dict:
+    """Judged items in rubric order; an unreadable answer is asked for once more as JSON, then everything fails."""
+    raw = engine.complete("critique", prompts.judging(draft, rubric, examples))
+    got = read_object(raw)
+    if got is None:
+        got = read_object(engine.complete("critique", prompts.reading_again(raw or "", rubric)))
     said = json.loads(got) if got else {}
     listed = said.get("items") if isinstance(said.get("items"), list) else []
-    by_key = {i["key"]: i.get("pass") for i in listed if isinstance(i, dict) and isinstance(i.get("key"), str)}
-    items = [{"key": r["key"], "pass": by_key.get(r["key"]) is True, "weight": r["weight"]} for r in rubric]
+    by_key = {i["key"]: i for i in listed if isinstance(i, dict) and isinstance(i.get("key"), str)}
+    items = []
+    for r in rubric:
+        own = by_key.get(r["key"], {"note": "not judged (fail-closed)"})
+        items.append({"key": r["key"], "pass": own.get("pass") is True, "weight": r["weight"], "note": str(own.get("note") or "").strip()})
     clean = all(i["pass"] for i in items)
     smells = said.get("smells")
     return {"items": items, "smells": smells if isinstance(smells, bool) else clean, "weakest": str(said.get("weakest") or ""), "clean": clean}
@@ -106,25 +108,42 @@ class Run:
     best_fail: float = float("inf")
 
 
-def run_loop(cue: str, engine: Engine, rubric: list[dict], config: LoopConfig = LoopConfig(), context: str = "", draft: str | None = None) -> Run:
+def run_loop(cue: str, engine: Engine, rubric: list[dict], config: LoopConfig = LoopConfig(), context: str = "", draft: str | None = None, examples: str = "") -> Run:
     """Up to max_iter rounds; the draft with the least weighted fail stays, the earliest of equals; clean ends it."""
     out = Run(cue)
-    text = engine.complete("generate", f"{cue}\n{context}") if draft is None else draft
+    text = engine.complete("generate", prompts.writing(cue, rubric, examples, context)) if draft is None else draft
     for n in range(1, config.max_iter + 1):
-        verdict = critique(engine, text, rubric)
+        verdict = critique(engine, text, rubric, examples)
         fail = sum(i["weight"] for i in verdict["items"] if not i["pass"])
-        out.rounds.append({"round": n, "draft": text, "weighted_fail": fail, "n_fail": sum(not i["pass"] for i in verdict["items"]), "smells": verdict["smells"], "weakest": verdict["weakest"]})
+        out.rounds.append({"round": n, "draft": text, "weighted_fail": fail, "n_fail": sum(not i["pass"] for i in verdict["items"]), "smells": verdict["smells"], "weakest": verdict["weakest"], "items": verdict["items"]})
         if fail < out.best_fail:
             out.best_fail, out.final = fail, text
         if verdict["clean"]:
             break
         if n < config.max_iter:
-            worst = next(i["key"] for i in verdict["items"] if not i["pass"])
-            text = engine.complete("repair", f"{worst}\n{text}")
+            text = engine.complete("repair", prompts.repairing(text, [i for i in verdict["items"] if not i["pass"]], rubric, examples))
     out.accepted = out.best_fail == 0
     return out
 
 
+ROUNDS = "run_id long, round int, draft string, weighted_fail double, n_fail int, score double, smells boolean, weakest string, items array<struct<key:string,pass:boolean,note:string>>"
+
+
+def rounds_of(cues: DataFrame, engine: Engine, rubric: list[dict], config: LoopConfig = LoopConfig()) -> DataFrame:
+    """O1 for a table of cues(run_id, cue): every round of every run, with its judged items (ROUNDS). A cue is done in one task; null cues count as empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for own, cue in zip(batch["run_id"], batch["cue"]):
+                for x in run_loop(cue or "", engine, rubric, config).rounds:
+                    passed = sum(i["pass"] for i in x["items"]) / max(1, len(x["items"]))
+                    rows.append((own, x["round"], x["draft"], float(x["weighted_fail"]), x["n_fail"], passed, x["smells"], x["weakest"], [{k: i[k] for k in ("key", "pass", "note")} for i in x["items"]]))
+            yield pd.DataFrame(rows, columns=["run_id", "round", "draft", "weighted_fail", "n_fail", "score", "smells", "weakest", "items"])
+
+    return cues.select(F.col("run_id").cast("long").alias("run_id"), "cue").mapInPandas(run, ROUNDS)
+
+
 def rounds_frame(spark: SparkSession, runs: list[Run]) -> DataFrame:
     rows = [(k, r.cue, x["round"], x["draft"], float(x["weighted_fail"]), x["n_fail"], x["smells"], x["weakest"]) for k, r in enumerate(runs) for x in r.rounds]
     return spark.createDataFrame(rows, "run_id int, cue string, round int, draft string, weighted_fail double, n_fail int, smells boolean, weakest string")

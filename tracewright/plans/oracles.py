@@ -216,7 +216,7 @@ SELECT s.id, h.id IS NULL AS safe, coalesce(len(hits), 0)::BIGINT AS n_flagged,
 sum(CASE WHEN pass THEN 0.0 ELSE weight END)::DOUBLE AS weighted_fail, sum(CASE WHEN pass THEN weight ELSE 0.0 END)::DOUBLE / 5 AS pass_rate, max(clean) AS clean FROM k GROUP BY draft_id, kind)
 SELECT draft_id, items, passed, n_fail, weighted_fail, round(pass_rate, 6) AS pass_rate, CASE WHEN kind IN (5, 7) THEN n_fail = 0 ELSE clean = 1 END AS smells, CASE WHEN kind = 5 THEN '' ELSE 'w' || kind END AS weakest FROM c""",
     "verdict_coerce": f"WITH {JUDGED} SELECT draft_id, key, pass, parsed FROM k",
-    "run_loop_stub": "SELECT run_id::INT AS run_id, 3::INT AS round, 'Draft about ' || cue AS draft, 0.0::DOUBLE AS weighted_fail FROM (VALUES (0, 'trust'), (1, 'speed')) v(run_id, cue)",
+    "run_loop_stub": "SELECT doc_id AS run_id, 3::INT AS round, 'Draft about note ' || doc_id || ' of ' || source AS draft, 0.0::DOUBLE AS weighted_fail FROM documents",
     "fail_counts": "SELECT doc_id AS draft_id, sum(3 - quality - (1 - toxic) - (1 - doc_id % 2))::BIGINT AS n_fail, sum(quality + (1 - toxic) + (1 - doc_id % 2))::BIGINT::VARCHAR || '/' || (3 * count(*))::VARCHAR AS law_pass FROM labels GROUP BY doc_id",
     "conformal_loo": f"""WITH {SCORES}, cal AS (SELECT s, row_number() OVER (ORDER BY s) AS rn, count(*) OVER () AS n FROM k WHERE label = 0), z AS (SELECT unnest([0.05::DOUBLE, 0.2::DOUBLE]) AS eps),
 mo AS (SELECT eps, max(n) AS n, max(CASE WHEN rn = ceil(n::DOUBLE * (1.0::DOUBLE - eps)) THEN s END) AS c, ceil(max(n)::DOUBLE * (1.0::DOUBLE - eps)) AS k2 FROM cal CROSS JOIN z GROUP BY eps)
@@ -248,3 +248,5 @@ round(y, 6) AS score, CASE WHEN fail = 0 AND y >= 0.78::DOUBLE + 0.07::DOUBLE *
 ('desktop', NULL, 1.2, 'desktop:b', 'b', 'b', NULL, '', length('loneliness as a wall, and who builds it'))) v(channel, subchannel, channel_weight, source, title, section, note, date, n)""",
     "load_raw": "SELECT coalesce(source, '') AS channel, '' AS title, 0.0::DOUBLE AS salience, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY 1",
 }
+ORACLES["result_records"] = f"""SELECT event_id, '{{"event_id":' || event_id || ',"verdict":"' || verdict || '","score":' || round_even(score, 4)::VARCHAR || ',"weakest":"' || weakest || '"}}' AS record
+FROM ({ORACLES["assess_confidence"]}) a"""

@@ -17,11 +17,36 @@ def test_cache_second_pass_misses_nothing(spark, tmp_path):
     path = str(tmp_path / "cache")
     rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, "")], "id long, text string")
     first = {r["id"]: r["embedding"] for r in encode.encode_cached(rows, path).collect()}
-    n = spark.read.parquet(path).count()
+    n = encode.Store(spark, path).read().count()
     assert n == 3 and first[1] == first[2]
-    assert encode.misses(rows, spark.read.parquet(path), "hash64").count() == 0
+    assert encode.misses(rows, encode.Store(spark, path).read(), "hash64").count() == 0
     encode.encode_cached(rows, path).collect()
-    assert spark.read.parquet(path).count() == n
+    assert encode.Store(spark, path).read().count() == n
+
+
+def test_store_under_many_writers(spark, tmp_path):
+    """Two writers of the same keys at once and one that was killed: one row a key, before and after the store is made one folder."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "store")
+    texts = spark.createDataFrame([(k, f"text number {k % 20}") for k in range(60)] + [(99, None)], "id long, text string")
+    with ThreadPoolExecutor(2) as pool:
+        got = [f.result() for f in [pool.submit(lambda: encode.encode_cached(texts, path).count()) for _ in range(2)]]
+    assert got == [61, 61]
+    store = encode.Store(spark, path)
+    rows = store.read()
+    assert rows.count() == 21 == rows.select("model", "text_sha1").distinct().count()
+    rows.limit(5).write.parquet(f"{path}/data/killed-before-its-commit")
+    (tmp_path / "store" / "commits" / "_killed.tmp").write_text("{")
+    assert store.read().count() == 21
+    store.add(rows.limit(7))  # the same rows once more
+    before = {r.text_sha1: r.embedding for r in store.read().collect()}
+    assert len(before) == 21 and len(store.names()) >= 2
+    store.compact()
+    assert len(store.names()) == 1 and {r.text_sha1: r.embedding for r in store.read().collect()} == before
+    assert encode.encode_cached(texts, path).count() == 61 and len(store.names()) == 1
+    assert encode.encode_cached(texts, path, model="other").count() == 61 and store.read().count() == 42
+    assert encode.encode_cached(texts.limit(0), str(tmp_path / "none")).count() == 0
 
 
 def test_gradient():

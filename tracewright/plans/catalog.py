@@ -7,6 +7,7 @@ against all vectors.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..functions.vectors import as_double, norm, unit
 from ..operators import boundary, calibration, contexts, diverse, encode, index, learn, retrieval, themes, verdicts
+from ..operators.lineage import cut, ensure_checkpoint_dir
 from ..sources import channels, markdown, registry, rubric
 from . import answer, fixtures, loop, prompts
 from .oracles import ORACLES
@@ -158,6 +160,21 @@ def hash_encoder(spark, sf):
     return _docs(spark, sf).select("doc_id", as_double(v).alias("v")).select("doc_id", F.size("v").cast(LONG).alias("dims"), _r(norm(F.col("v")), 3).alias("norm"))
 
 
+def encode_cache(spark, sf):
+    """All documents through a new store twice: rows, keys that the store then holds, and what the second run misses."""
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}"
+    store = encode.Store(spark, path)
+    first = encode.encode_cached(docs, path).agg(F.count(F.lit(1)).alias("n_rows"))
+    second = encode.encode_cached(docs, path).agg(F.count(F.lit(1)).alias("n_again"))
+    held = store.read().agg(F.count(F.lit(1)).alias("n_keys"))
+    missed = encode.misses(docs.withColumn("text", F.coalesce("text", F.lit(""))), store.read(), "hash64").agg(F.count(F.lit(1)).alias("n_missed"))
+    out = cut(first.crossJoin(second).crossJoin(held).crossJoin(missed))  # one row each
+    store.files.delete(store.jvm.Path(path), True)
+    return out
+
+
 # ---------------------------------------------------------------- retrieval
 
 
@@ -656,7 +673,7 @@ def load_raw(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     channel_counts, min_body_filter, cap_body, registry_load, body_stats, dedup_first, text_sha1, cache_misses, infer_title, sanitize, substance_prior, salience, sentence_split,
-    structural_flags, trace_sensitivity, output_screen, semantic_screen, hash_encoder, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
+    structural_flags, trace_sensitivity, output_screen, semantic_screen, hash_encoder, encode_cache, cosine_to_cue, topk_similar, softmax_weights, entmax15_weights, sparsemax_weights, entmax_general,
     recall_base_score, active_traces, recall_topk, mmr_k3, beta_calibration, dynamic_alpha, separability, separability_report, hopfield_energy, iterative_recall, stability_report,
     pair_auc, centroid, conformal_quantile, conformal_pvalue, group_ids, split_train_test, knn_loo, precedent_counts, world_model, candidate_ranking, greedy_clusters, greedy_whole, cluster_channels,
     sleep_report, weighted_pass_rate, fail_counts, weak_parse, confidence_line, context_block, decision_stats, conformal_loo, verdict_coerce, verdict_summary, route, assess_confidence, consolidate_routing, reflect, markdown_entries, markdown_sections, decision_fields,

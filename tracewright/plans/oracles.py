@@ -250,3 +250,17 @@ round(y, 6) AS score, CASE WHEN fail = 0 AND y >= 0.78::DOUBLE + 0.07::DOUBLE *
 }
 ORACLES["result_records"] = f"""SELECT event_id, '{{"event_id":' || event_id || ',"verdict":"' || verdict || '","score":' || round_even(score, 4)::VARCHAR || ',"weakest":"' || weakest || '"}}' AS record
 FROM ({ORACLES["assess_confidence"]}) a"""
+# The threshold of each cue by fifty halvings over the list of its scores.
+ORACLES["entmax_general"] = f"""WITH RECURSIVE {S}, c AS (SELECT cue_id, list(0.3::DOUBLE * 12 * sim) AS xs, max(0.3::DOUBLE * 12 * sim) AS m FROM s GROUP BY cue_id
+), t AS (SELECT cue_id, xs, m - 1 AS low, m AS high, 0 AS step FROM c
+UNION ALL SELECT cue_id, xs, CASE WHEN mass >= 1 THEN mid ELSE low END, CASE WHEN mass >= 1 THEN high ELSE mid END, step + 1
+FROM (SELECT *, (low + high) / 2 AS mid, list_sum(list_transform(xs, lambda x: power(greatest(x - (low + high) / 2, 0), 1 / 0.3::DOUBLE))) AS mass FROM t WHERE step < 50) h
+), u AS (SELECT cue_id, (low + high) / 2 AS tau FROM t WHERE step = 50
+), p AS (SELECT s.cue_id, s.id, power(greatest(0.3::DOUBLE * 12 * sim - tau, 0), 1 / 0.3::DOUBLE) AS w FROM s JOIN u ON s.cue_id = u.cue_id)
+SELECT cue_id, id, round(w / sum(w) OVER (PARTITION BY cue_id), 6) AS w FROM p"""
+ORACLES["supcon_loss"] = f"""WITH {E}, n AS (SELECT id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e WHERE len(v) > 0
+), p AS (SELECT a.id, a.label = b.label AS same, list_dot_product(a.v, b.v) / 0.1::DOUBLE AS s FROM n a JOIN n b ON a.id <> b.id
+), r AS (SELECT id, ln(sum(exp(s - 10))) + 10 AS below, avg(CASE WHEN same THEN s END) AS near FROM p GROUP BY id)
+SELECT round(avg(below - near), 6) AS loss FROM r WHERE near IS NOT NULL"""
+ORACLES["identity_project"] = "SELECT vec_id AS id, 1.0::DOUBLE AS norm FROM embeddings"
+ORACLES["encode_cache"] = "SELECT count(*) AS n_rows, count(*) AS n_again, count(DISTINCT coalesce(text, '')) AS n_keys, 0::BIGINT AS n_missed FROM documents"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_length, components, cut, least_of_component
+from .common import SALTS, by_length, components, cut, least_of_component
 
 THRESHOLD = 0.98
 #: Vectors of a tile, dimensions that one step accumulates, rows and pairs that are compared at once.
@@ -151,7 +151,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     after = counts.select("label", "dims", (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("after"))
     before = counts.select("label", "dims", (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("before"))
     plan = counts.join(after, by, "left").join(before, by, "left").na.fill(0, ["after", "before"])
-    cells = cells.join(plan, by).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # A cell's vectors are dealt to SALTS tasks; its one row of the plan meets them in each.
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    cells = cells.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(plan, [*by, "salt"]).drop("salt").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
 
     def meet(n, make):
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<cell:int,a:int,next:int,b:int,side:int>>"))

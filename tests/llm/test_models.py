@@ -299,14 +299,6 @@ def test_classifier_edges(spark, odd, odd_rows, empty, wide):
     assert quality.train(odd, none) == 0.5 and toxicity.train(odd, none) == 0.0
 
 
-def test_quality_window():
-    """Documents take part whole while the bound allows; beyond it the longest give way, no document entirely."""
-    assert quality._window([10, 400, 7], 1000) == 400 and quality._window([], 10) == 1
-    for lines, most in (([10, 400, 7, 900], 600), ([5] * 100, 50), ([1, 1, 10**6], 1000)):
-        room = quality._window(lines, most)
-        assert sum(min(n, room) for n in lines) <= max(most, len(lines)) and (room == 1 or sum(min(n, room + 1) for n in lines) > most - len(lines))
-
-
 def test_training_rows_that_repeat(spark, small):
     """Copies of a labelled row and rows that share a labelled id don't change what is learned from the others."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")

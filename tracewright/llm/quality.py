@@ -202,27 +202,16 @@ def _curve(share: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a if a[1] > 0 else np.array([np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)), 1e-6])
 
 
-def _window(lines: list[int], most: int) -> int:
-    """Lines that a document may take part with, so that all have at most `most` together (but one each)."""
-    left = most
-    for k, n in enumerate(sorted(lines)):
-        share = left // (len(lines) - k)
-        if n > share:
-            return max(1, share)
-        left -= n
-    return max([1, *lines])
-
-
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES):
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", where: Column | None = None, most: int = TRAIN_DOCS, most_lines: int | None = None):
     """Fit on labelled documents; returns a LineField, or the prior where a class is missing.
 
-    At most `most` documents and `most_lines` lines take part. Only if the documents have more lines together do the longest ones take
-    part with a window of theirs, as long as the bound allows. Of rows that share a labelled id the least text counts.
+    At most `most` documents take part, each with at most most_lines / most lines in a row (TRAIN_LINES: 300 of them). Without that a few very
+    long documents would be nearly all of the lines, and the fit one to them. Of rows that share a labelled id the least text counts.
     """
     sample = labelled_sample(labels, id_col, label_col, most, where)
     docs = df.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.join(sample, F.col("own") == F.col("id_")).groupBy("id_", "label").agg(F.min("text").alias("text"))
-    room = _window([r["n"] for r in docs.select((F.regexp_count("text", F.lit("\n")) + 1).alias("n")).collect()], most_lines)
+    room = max(1, (TRAIN_LINES if most_lines is None else most_lines) // most)
 
     def features(texts: list[str]) -> list[np.ndarray]:
         x, length, counts = line_features(texts)

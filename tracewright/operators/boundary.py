@@ -64,15 +64,20 @@ def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float
     A sentence is flagged for its structure first, else for its greatest similarity to an anchor. Every
     occurrence of a flagged sentence is masked. A null text can't be verified and is held.
     """
-    rows = texts.select("id", "text", F.posexplode_outer(sentences(F.col("text"))).alias("n", "s"))
-    rows = rows.withColumn("why", structural_hit(F.col("s")))
-    if anchors is not None:
-        said = rows.where("why is null and s is not null").select("s").distinct()
-        near = near_anchors(said, anchors, threshold, encoder).select(F.col("s").alias("meant"))
-        rows = rows.join(near, F.col("s") == F.col("meant"), "left")
-        rows = rows.withColumn("why", F.coalesce("why", F.when(F.col("meant").isNotNull(), "meaning")))
-    hit = F.when(F.col("why").isNotNull(), F.struct("n", "s", "why"))
-    got = rows.groupBy("id").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    why = lambda s: F.struct(s.alias("s"), structural_hit(s).alias("why"))
+    rows = texts.select("id", "text", F.coalesce(F.transform(sentences(F.col("text")), why), F.array().cast("array<struct<s:string,why:string>>")).alias("told"))
+    if anchors is None:
+        got = rows.select("id", "text", F.filter("told", lambda h: h["why"].isNotNull()).alias("hits"))
+    else:
+        # Only sentences leave their text; what is found near an anchor comes back to it as places.
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+        said = rows.select("row", F.posexplode("told").alias("n", "h")).where("h.why is null").select("row", "n", F.col("h.s").alias("s"))
+        near = near_anchors(said.select("s").distinct(), anchors, threshold, encoder).select(F.col("s").alias("meant"))
+        places = said.join(near, F.col("s") == F.col("meant")).groupBy(F.col("row").alias("__row")).agg(F.collect_set("n").alias("places"))
+        meant = lambda h, n: F.when(F.array_contains(F.col("places"), n), F.struct(h["s"].alias("s"), F.lit("meaning").alias("why"))).otherwise(h)
+        rows = rows.join(places, F.col("row") == F.col("__row"), "left")
+        rows = rows.withColumn("told", F.when(F.col("places").isNull(), F.col("told")).otherwise(F.transform("told", meant)))
+        got = rows.select("id", "text", F.filter("told", lambda h: h["why"].isNotNull()).alias("hits"))
     flagged = F.transform("hits", lambda h: h["s"])
     clean = F.aggregate("hits", F.col("text"), lambda t, h: F.replace(t, h["s"], F.lit(MASK)))
     known = F.col("text").isNotNull()

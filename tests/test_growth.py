@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import boundary
+from tracewright.operators import boundary, encode
 
 
 def plan(df):
@@ -21,3 +21,17 @@ def test_screen_keeps_texts_in_place(spark):
     assert not got[2].safe and got[2].redacted == boundary.HELD and got[2].reasons == []
     assert got[3].safe and got[3].redacted == ""
     assert got[4].reasons == ["family+health", "health"]
+
+
+def test_hash_encoder_without_cancelling(spark):
+    """Two words of one bucket and opposite signs are a text with words, so its vector has length 1."""
+    seen = {}
+    for k in range(2000):
+        at, sign = encode._bucket(f"w{k}", encode.DIMS)
+        if (at, -sign) in seen:
+            break
+        seen[at, sign] = f"w{k}"
+    text = f"{seen[at, -sign]} w{k}"
+    assert np.isclose(np.linalg.norm(encode.hashed(text)), 1.0)
+    got = spark.createDataFrame([(text,), ("...",), (None,)], "t string").select(encode.hash_encoder(F.col("t")).alias("v")).collect()
+    assert [round(float(np.linalg.norm(r.v)), 3) for r in got] == [1.0, 0.0, 0.0]

@@ -39,11 +39,14 @@ def _bucket(word: str, dims: int) -> tuple[int, float]:
 
 
 def hashed(text: str, dims: int = DIMS) -> np.ndarray:
-    """Unit vector of signed counts of lower-case words; zero without words."""
+    """Unit vector of signed counts of lower-case words; zero without words only: where all signs cancel, the counts go without."""
     out = np.zeros(dims)
-    for word in WORDS.findall(text.lower()):
-        at, sign = _bucket(word, dims)
+    found = [_bucket(word, dims) for word in WORDS.findall(text.lower())]
+    for at, sign in found:
         out[at] += sign
+    if found and not out.any():
+        for at, _ in found:
+            out[at] += 1.0
     return out / (np.linalg.norm(out) or 1.0)
 
 

@@ -53,9 +53,11 @@ def near_anchors(said: DataFrame, anchors: DataFrame, threshold: float, encoder:
         most = sims.max(axis=1)
         return pd.DataFrame({"id": ids[most >= threshold], "near": most[most >= threshold]})
 
-    vectors = encoded(said.select(F.col("s").alias("id"), "s"), encoder)
+    said = cut(said.select(F.monotonically_increasing_id().alias("id"), "s"))  # sentences go by numbers
+    vectors = cut(encoded(said, encoder))
     against = cut(anchors.select(F.monotonically_increasing_id().alias("id"), F.col("a").alias("v")))
-    return pairwise(vectors, against, reduce, "id string, near double").groupBy(F.col("id").alias("s")).agg(F.max("near").alias("near"))
+    near = pairwise(vectors, against, reduce, "id long, near double").groupBy("id").agg(F.max("near").alias("near"))
+    return said.join(near, "id").select("s", "near")
 
 
 def screen(texts: DataFrame, anchors: DataFrame | None = None, threshold: float = 0.55, redact: bool = True, encoder: Encoder = hash_encoder) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Words are counted with the words up to `reach` places after them in the same sentence. The positive pointwise mutual
 information of the pairs is a sparse symmetric matrix; randomised subspace iteration finds its leading eigenvectors. A step
-joins the matrix's entries with the block of vectors and adds up by row, with a map-side combine: both stay tables. Only
+brings parts of the matrix's entries together with chunks of the block of vectors, whose products come out as one row a word and chunk: both stay tables. Only
 inner products of the block's columns, a matrix of DIMS + SPARE, come to the driver, which gives what makes the columns
 orthonormal. Every word starts with signs hashed from itself, so results don't depend on partitions beyond rounding.
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .lineage import cut
 DIMS, SPARE, STEPS = 64, 16, 6
 #: Places that a word's company reaches; texts that a word must be in; weight of a word of share p: RARE / (RARE + p).
 REACH, LEAST, RARE = 4, 5, 1e-3
+#: Words of the vocabulary and texts that a task holds, and rows that it goes through at once.
+CHUNK, GROUP, AT_ONCE = 1 << 16, 1 << 18, 1 << 14
 
 
 @dataclass
@@ -39,13 +42,48 @@ class Contexts:
 
     def vectors(self, texts: DataFrame, key: str = "id", text: str = "s") -> DataFrame:
         """(key, v) of texts(key, text), unit vectors; texts without a known word have none. Keys tell the texts apart."""
-        said = texts.select(F.col(key).alias("__key"), F.explode(words_of(F.col(text))).alias("word"))
-        said = said.groupBy("__key", "word").agg(F.count(F.lit(1)).alias("n")).join(self.words, "word")
-        dims = range(len(self.values))
-        sums = said.groupBy("__key").agg(F.array(*[F.sum(F.col("n") * F.col("weight") * F.col("v")[d]) for d in dims]).alias("v"))
+        dims = len(self.values)
+        known, told = self.words.select("word", "weight", "v"), cut(texts.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("ws")))
+        chunks = max(1, -(-known.count() // CHUNK))
+        groups = max(told.sparkSession.sparkContext.defaultParallelism, -(-told.count() // GROUP))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = told.withColumn("__g", F.pmod(F.xxhash64("__key"), F.lit(groups)).cast("int")).withColumn("__c", every(chunks))
+        right = known.withColumn("__c", F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int")).withColumn("__g", every(groups))
+        kind = texts.schema[key].dataType.simpleString()
+
+        def run(x: pa.Table, y: pa.Table) -> pa.Table:
+            by, sums = _columns(y["v"].combine_chunks()) if y.num_rows else np.zeros((0, dims)), []
+            by = by * y["weight"].to_numpy()[:, None]
+            for f in range(0, x.num_rows, AT_ONCE):
+                ws = x["ws"].slice(f, AT_ONCE).combine_chunks()
+                at = pc.index_in(ws.flatten(), value_set=y["word"].combine_chunks())
+                row = np.repeat(np.arange(len(ws)), pc.list_value_length(ws).to_numpy())[at.is_valid().to_numpy(zero_copy_only=False)]
+                sums.append(_added(row, at.drop_null().to_numpy(), None, by, len(ws)))
+            v = np.concatenate(sums) if sums else np.zeros((0, dims))
+            on = np.flatnonzero((v != 0).any(axis=1)) if dims else np.zeros(0, int)
+            return pa.table([x["__key"].take(pa.array(on)), _lists(v[on])], ["__key", "v"])
+
+        sums = left.groupBy("__c", "__g").cogroup(right.groupBy("__c", "__g")).applyInArrow(run, f"__key {kind}, v array<double>")
+        if chunks > 1:
+            sums = sums.groupBy("__key").agg(F.array(*[F.sum(F.col("v")[d]) for d in range(dims)]).alias("v"))
         return sums.select(F.col("__key").alias(key), unit(F.col("v")).alias("v")).where(F.exists("v", lambda x: x != 0))
 
 
+def _lists(v: np.ndarray) -> pa.Array:
+    v = np.ascontiguousarray(v)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+
+
+def _added(row: np.ndarray, at: np.ndarray, x: np.ndarray | None, by: np.ndarray, n: int) -> np.ndarray:
+    """n rows: at `row` (ascending) the sum of x times the rows `at` of `by`."""
+    out = np.zeros((n, by.shape[1]))
+    for f in range(0, row.size, AT_ONCE):
+        r, terms = row[f : f + AT_ONCE], by[at[f : f + AT_ONCE]]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        out[r[first]] += np.add.reduceat(terms if x is None else terms * x[f : f + AT_ONCE, None], first, axis=0)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -83,8 +121,27 @@ def start(word: Column, columns: int) -> Column:
 
 def _times(entries: DataFrame, block: DataFrame, columns: int) -> DataFrame:
     """(word, v) of the matrix times block(word, v)."""
-    rows = entries.join(block.withColumnRenamed("word", "b"), "b")
-    return rows.groupBy(F.col("a").alias("word")).agg(F.array(*[F.sum(F.col("x") * F.col("v")[k]) for k in range(columns)]).alias("v"))
+    spark = entries.sparkSession
+    chunks = max(1, -(-block.count() // CHUNK))
+    groups = spark.sparkContext.defaultParallelism
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = entries.select("a", "b", "x", part("a", groups).alias("__g"), part("b", chunks).alias("__c"))
+    right = block.select("word", "v", part("word", chunks).alias("__c"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__g"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table([pa.array([], pa.string()), pa.array([], pa.list_(pa.float64()))], ["word", "v"])
+        names = x["a"].combine_chunks().dictionary_encode()
+        row, at = names.indices.to_numpy(), pc.index_in(x["b"].combine_chunks(), value_set=y["word"].combine_chunks()).fill_null(-1).to_numpy()
+        order = np.argsort(row, kind="stable")
+        order = order[at[order] >= 0]
+        v = _added(row[order], at[order], x["x"].to_numpy()[order], _columns(y["v"].combine_chunks()), len(names.dictionary))
+        return pa.table([names.dictionary, _lists(v)], ["word", "v"])
+
+    sums = left.groupBy("__c", "__g").cogroup(right.groupBy("__c", "__g")).applyInArrow(run, "word string, v array<double>")
+    if chunks == 1:
+        return sums
+    return sums.groupBy("word").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(columns)]).alias("v"))
 
 
 def _columns(column: pa.Array) -> np.ndarray:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import boundary, encode
+from tracewright.operators import boundary, contexts, encode, retrieval
 
 
 def plan(df):
@@ -35,3 +35,79 @@ def test_hash_encoder_without_cancelling(spark):
     assert np.isclose(np.linalg.norm(encode.hashed(text)), 1.0)
     got = spark.createDataFrame([(text,), ("...",), (None,)], "t string").select(encode.hash_encoder(F.col("t")).alias("v")).collect()
     assert [round(float(np.linalg.norm(r.v)), 3) for r in got] == [1.0, 0.0, 0.0]
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(k, None if v is None else [float(c) for c in v]) for k, v in enumerate(x)], "id long, v array<double>").repartition(3)
+
+
+def unit_rows(n, dims, seed):
+    x = np.random.default_rng(seed).standard_normal((n, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("alpha", [1.0, 1.3, 1.5, 2.0])
+@pytest.mark.parametrize("cue_bytes", [1 << 24, 500])
+def test_weighed(spark, monkeypatch, alpha, cue_bytes):
+    """Weights without a shuffled or joined pair: what gives them is one row a cue."""
+    monkeypatch.setattr(retrieval, "CUE_BYTES", cue_bytes)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 40)
+    x = unit_rows(150, 6, 1)
+    memory = vectors(spark, [*x, None])
+    cues = memory.where("id % 10 = 0 and v is not null").select(F.col("id").alias("cue_id"), F.col("v").alias("q"))
+    out = retrieval.weighed(memory.withColumn("label", F.col("id") % 3), cues, 8.0, alpha)
+    # Pairs come out of the map over the memory and meet nothing after it.
+    assert "MapInArrow" in plan(out) and not any(step in plan(out) for step in ("Join", "Window", "Aggregate"))
+    got = {(r.cue_id, r.id): r for r in out.collect()}
+    want = {10 * c: retrieval.entmax_rows(8.0 * (x @ x[10 * c])[None, :], alpha, 200)[0] for c in range(15)}
+    assert len(got) == 15 * 151
+    for (c, i), r in got.items():
+        if i == 150:
+            assert r.sim is None and r.w == (None if alpha == 1 else 0.0)
+        else:
+            assert abs(r.w - want[c][i]) < 1e-9 and abs(r.sim - x[i] @ x[c]) < 1e-12 and r.label == i % 3
+
+
+def test_nearest_to_cues_ties(spark, monkeypatch):
+    """Copies in different blocks are equally similar; the lower id comes first, as in the SQL."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 17)
+    x = np.tile(unit_rows(11, 64, 2), (9, 1))
+    memory = vectors(spark, x)
+    cues = memory.where("id < 11").select(F.col("id").alias("cue_id"), F.col("v").alias("q"))
+    got = {}
+    for r in retrieval.nearest_to_cues(memory, cues, 4).collect():
+        got.setdefault(r.cue_id, []).append(r.id)
+    assert {c: sorted(i) for c, i in got.items()} == {c: [c, c + 11, c + 22, c + 33] for c in range(11)}
+
+
+def test_supports_leave_blocks_only_near_the_top(spark, monkeypatch):
+    """A block without the cue's nearest passes on nothing, where its own greatest would have let some pass."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 25)
+    x = unit_rows(200, 64, 3)
+    memory = vectors(spark, x)
+    got = retrieval.supports(memory.select(F.col("id").alias("cue_id"), F.col("v").alias("q")), memory, 12.0, 1.5).count()
+    assert got == (x @ x.T > (x @ x.T).max(axis=1, keepdims=True) - 1 / 6).sum() == 200
+    sims = x @ x.T - 2 * np.eye(200)
+    got = retrieval.supports(memory.select(F.col("id").alias("cue_id"), F.col("v").alias("q")), memory, 12.0, 1.5, itself=False).count()
+    assert got == (sims > sims.max(axis=1, keepdims=True) - 1 / 6).sum()
+
+
+def test_similarities_held_at_once():
+    """However large a block, a task holds a bounded number of similarities."""
+    assert all(retrieval.at_once(n) * n <= max(retrieval.HELD, n) and retrieval.at_once(n) >= 1 for n in (1, 300, 8192, 65536, 10**7))
+
+
+def test_context_vectors_by_chunks(spark, monkeypatch):
+    """The same vectors where the vocabulary is many chunks and a text's words are gone through in parts."""
+    rows = [(k, f"the {'cat' if k % 2 else 'barge'} {['eats', 'sleeps', 'drifts'][k % 3]} and {['rests', 'waits'][k % 2]}. it is {k % 7}.") for k in range(90)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    model = contexts.learn(texts, dims=3)
+    said = texts.select("id", F.col("text").alias("s"))
+    one = {r.id: r.v for r in model.vectors(said).collect()}
+    monkeypatch.setattr(contexts, "CHUNK", 3)
+    monkeypatch.setattr(contexts, "GROUP", 8)
+    parts = {r.id: r.v for r in model.vectors(said).collect()}
+    again = contexts.learn(texts, dims=3)
+    assert set(one) == set(parts) == set(range(90)) and all(np.allclose(one[k], parts[k]) for k in one)
+    assert np.allclose(model.values, again.values)
+    assert np.array_equal(contexts._added(np.array([0, 0, 2]), np.array([1, 2, 0]), None, np.eye(3), 4), [[0, 1, 1], [0, 0, 0], [1, 0, 0], [0, 0, 0]])

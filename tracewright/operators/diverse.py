@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import retrieval
 from .lineage import cut
-from .retrieval import ACTIVE, ROWS_AT_ONCE, blockwise, entmax, pairwise
+from .retrieval import ACTIVE, at_once, blockwise, pairwise, weights_of
 
 STATE = "id long, v array<double>, top double, share double, active long"
 BEST = "cue_id long, id long, value double, base double, w double, sim double, v array<double>"
@@ -39,20 +40,7 @@ def thresholds(memory: DataFrame, cues: DataFrame, beta: float, alpha: float) ->
         counts = counts.groupBy("cue_id").agg(F.count(F.lit(1)).alias("active"))
         return total.join(counts, "cue_id", "left").select("cue_id", "top", (F.lit(1.0) / F.col("t")).alias("share"), F.coalesce("active", F.lit(0)).alias("active"))
 
-    def reduce(ids: np.ndarray, sims: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
-        s = sims * beta
-        r, c = np.nonzero(s > s.max(axis=1, keepdims=True) - 1 / (alpha - 1) - 1e-9)
-        return pd.DataFrame({"cue_id": ids[r], "id": cols[c], "s": s[r, c]})
-
-    weights = entmax(pairwise(asked, memory, reduce, "cue_id long, id long, s double"), alpha)
-    return weights.groupBy("cue_id").agg(F.max("s").alias("top"), F.max("w").alias("share"), F.count_if(F.col("w") > ACTIVE).alias("active"))
-
-
-def _weights(s: np.ndarray, top: np.ndarray, share: np.ndarray, alpha: float) -> np.ndarray:
-    """Weights of scores (traces by cues) from each cue's greatest score and its weight."""
-    if alpha == 1:
-        return share * np.exp(s - top)
-    return np.maximum((alpha - 1) * (s - top) + share ** (alpha - 1), 0.0) ** (1 / (alpha - 1))
+    return retrieval.thresholds(memory, cues, beta, alpha)
 
 
 def pick(memory: DataFrame, state: DataFrame, beta: float | None, alpha: float, diversity: float) -> DataFrame:
@@ -68,10 +56,11 @@ def pick(memory: DataFrame, state: DataFrame, beta: float | None, alpha: float,
         vectors = near.flatten().to_numpy(zero_copy_only=False).reshape(len(y), n, -1) if n else None
         top, share, most = (y[c].to_numpy() for c in ("top", "share", "most"))
         out = []
-        for f in range(0, len(y), ROWS_AT_ONCE):
-            part = slice(f, f + ROWS_AT_ONCE)
+        step = at_once(len(rows))
+        for f in range(0, len(y), step):
+            part = slice(f, f + step)
             sims = rows @ cols[part].T
-            w = sims if beta is None else _weights(sims * beta, top[part], share[part], alpha)
+            w = sims if beta is None else weights_of(sims * beta, top[part], share[part], alpha)
             base = w + prior[:, None]
             value = base.copy()
             if n:

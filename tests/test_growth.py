@@ -1,10 +1,13 @@
 """Steps whose cost must not outgrow their input, and results that must hold on inputs that made them fail."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import boundary, contexts, encode, retrieval
+from tracewright.operators import boundary, contexts, encode, retrieval, themes
+from tracewright.sources import markdown
 
 
 def plan(df):
@@ -111,3 +114,23 @@ def test_context_vectors_by_chunks(spark, monkeypatch):
     assert set(one) == set(parts) == set(range(90)) and all(np.allclose(one[k], parts[k]) for k in one)
     assert np.allclose(model.values, again.values)
     assert np.array_equal(contexts._added(np.array([0, 0, 2]), np.array([1, 2, 0]), None, np.eye(3), 4), [[0, 1, 1], [0, 0, 0], [1, 0, 0], [0, 0, 0]])
+
+
+def test_sections_of_one_file_in_many_tasks(spark):
+    """The title of a file comes to its lines without bringing all of them to one task."""
+    told = [(1, "# Big"), *[(k, f"## part {k}" if k % 5 == 0 else f"line {k} that is long enough to be kept as a body") for k in range(2, 200)]]
+    rows = spark.createDataFrame([("a/big.md", k, line) for k, line in told], "path string, n long, line string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = markdown.sections_of(rows, "report")
+        assert not re.search(r"Join \[path#\d+\], \[", plan(out))
+        got = sorted(r.title for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(["Big", *[f"Big — part {k}" for k in range(5, 200, 5)]])
+
+
+def test_rounds_of_clusters_are_few():
+    """A round has a fixed cost, so a round of a large group holds more rows than a group that one task does."""
+    assert themes.BATCH >= 4 * themes.TASK_ROWS and themes.TASK_ROWS == 2048

@@ -152,7 +152,12 @@ def _sections(rows: DataFrame, channel: str, min_chars: int) -> DataFrame:
     # The title of a file: its first `# ` line, fenced or not, within the first five.
     top = F.col("st").startswith("# ") & (place < 5)
     titles = rows.where(top).groupBy(F.col("path").alias("__path")).agg(F.min_by(trim_u(F.substr("st", F.lit(3))), "n").alias("named"))
-    rows = rows.join(titles, F.col("path") == F.col("__path"), "left")
+    if "part" in rows.columns:  # by part too: a file's lines stay in many tasks
+        parts = rows.select(F.col("path").alias("__file"), F.col("part").alias("__part")).distinct()
+        titles = parts.join(titles, F.col("__file") == F.col("__path")).drop("__file")
+        rows = rows.join(titles, (F.col("path") == F.col("__path")) & (F.col("part") == F.col("__part")), "left")
+    else:
+        rows = rows.join(titles, F.col("path") == F.col("__path"), "left")
     named = F.col("named")
     rows = rows.withColumn("file_title", F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(stem))
     got = rows.groupBy("path", "seg").agg(

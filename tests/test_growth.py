@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,43 @@ def test_sections_of_one_file_in_many_tasks(spark):
 def test_rounds_of_clusters_are_few():
     """A round has a fixed cost, so a round of a large group holds more rows than a group that one task does."""
     assert themes.BATCH >= 4 * themes.TASK_ROWS and themes.TASK_ROWS == 2048
+
+
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    """Neither side is shuffled for the blocks of the other: both are read as they were written."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 30)
+    x = unit_rows(200, 6, 4)
+    memory = vectors(spark, [*x, None])
+
+    def most(ids, sims, cols):
+        return pd.DataFrame({"id": ids, "s": sims.max(axis=1), "n": sims.shape[1]})
+
+    for others in (None, memory.where("id < 70")):
+        out = retrieval.pairwise(memory, others, most, "id long, s double, n long")
+        assert "CartesianProduct" in plan(out) and "Exchange" not in plan(out)
+        n = 200 if others is None else 70
+        got = out.groupBy("id").agg(F.max("s").alias("s"), F.sum("n").alias("n")).collect()
+        assert len(got) == 200 and all(r.n == n and np.isclose(r.s, (x[:n] @ x[r.id]).max()) for r in got)
+    assert retrieval.pairwise(memory, memory.limit(0), most, "id long, s double, n long").count() == 0
+
+
+def test_a_task_adds_up_over_blocks(spark, monkeypatch):
+    """However many blocks the memory has, a state leaves a task once, and what is written of it once a step."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 9)
+    x = unit_rows(150, 6, 5)
+    memory = retrieval.packed(vectors(spark, x))
+    assert memory.parts == 17 and memory.table.count() <= 17
+    rows = []
+    real = retrieval.met
+    monkeypatch.setattr(retrieval, "met", lambda *a, **k: rows.append(real(*a, **k)) or rows[-1])
+    got = {r.id: r for r in retrieval.attended(vectors(spark, x), memory, 9.0).collect()}
+    assert rows[0].count() == 150
+    for k, r in got.items():
+        e = np.exp(9.0 * (x @ x[k] - 1))
+        assert np.isclose(r.m, 1) and np.isclose(r.t, e.sum()) and np.allclose(r.s, e @ x)
+    assert len(got) == 150
+
+
+def test_memory_of_a_task():
+    """Two blocks and a few matrices of similarities: a worker's share of 4 GB for four has to hold them many times over."""
+    assert 2 * retrieval.BLOCK_BYTES + 8 * 8 * retrieval.HELD <= 100 << 20

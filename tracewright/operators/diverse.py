@@ -80,7 +80,8 @@ def pick(memory: DataFrame, state: DataFrame, beta: float | None, alpha: float,
             out.append(pa.table([*map(pa.array, columns), v], ["cue_id", "id", "value", "base", "w", "sim", "v"]))
         return pa.concat_tables(out)
 
-    got = blockwise(memory, state, cell, BEST)
+    # A task keeps a block of cues and goes through the memory: what leaves it is a trace a cue.
+    got = blockwise(state, memory, lambda y, cols, x, rows: cell(x, rows, y, cols), BEST)
     return got.groupBy("cue_id").agg(F.max_by(F.struct("id", "base", "w", "sim", "v"), F.struct("value", -F.col("id"))).alias("p")).select("cue_id", "p.*")
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import boundary, contexts, encode, retrieval, themes
+from tracewright.operators import boundary, calibration, contexts, encode, retrieval, themes
 from tracewright.sources import markdown
 
 
@@ -175,3 +175,22 @@ def test_a_task_adds_up_over_blocks(spark, monkeypatch):
 def test_memory_of_a_task():
     """Two blocks and a few matrices of similarities: a worker's share of 4 GB for four has to hold them many times over."""
     assert 2 * retrieval.BLOCK_BYTES + 8 * 8 * retrieval.HELD <= 100 << 20
+
+
+@pytest.mark.parametrize("block", [7, 20, 31])
+def test_two_blocks_meet_once(spark, monkeypatch, block):
+    """An AUC's pairs of blocks are half of all, whatever the number of blocks; each task has one histogram for all of its pairs."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", block)
+    x = unit_rows(160, 5, 6)
+    table = vectors(spark, x).withColumn("label", F.col("id") % 3)
+    parts = retrieval.packed(table, spark.sparkContext.defaultParallelism).parts
+    seen = []
+    real = retrieval.met
+    monkeypatch.setattr(calibration, "met", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    auc = calibration.label_auc(table).first()["auc"]
+    i, j = np.triu_indices(160, 1)
+    sims, same = (x @ x.T)[i, j], i % 3 == j % 3
+    assert auc == pytest.approx((sims[same][:, None] > sims[~same]).mean(), abs=1e-5)
+    hist = seen[0].groupBy("bin").agg(F.sum(F.col("p") + F.col("q")).alias("n"), F.count(F.lit(1)).alias("tasks"))
+    assert hist.agg(F.sum("n")).first()[0] == 160 * 159 // 2
+    assert hist.agg(F.max("tasks")).first()[0] <= parts

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import boundary, calibration, contexts, encode, retrieval, themes
+from tracewright.operators import boundary, calibration, contexts, encode, index, retrieval, themes
 from tracewright.sources import markdown
 
 
@@ -194,3 +194,22 @@ def test_two_blocks_meet_once(spark, monkeypatch, block):
     hist = seen[0].groupBy("bin").agg(F.sum(F.col("p") + F.col("q")).alias("n"), F.count(F.lit(1)).alias("tasks"))
     assert hist.agg(F.sum("n")).first()[0] == 160 * 159 // 2
     assert hist.agg(F.max("tasks")).first()[0] <= parts
+
+
+def test_known_tops_spare_a_pass(spark, monkeypatch):
+    """The report of an index takes its greatest similarities from its calibration: one pass over all pairs, with the same result."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 40)
+    x = unit_rows(120, 5, 7)
+    x[50:60] = x[0]
+    table = vectors(spark, x)
+    passes = []
+    real = retrieval.met
+    monkeypatch.setattr(retrieval, "met", lambda *a, **k: passes.append(1) or real(*a, **k))
+    want = {r.id: r for r in retrieval.separability(table, 12.0).collect()}
+    assert len(passes) == 2
+    got = {r.id: r for r in retrieval.separability(table, 12.0, two=retrieval.top_two(table)).collect()}
+    assert len(passes) == 3 and set(got) == set(want) == set(range(120))
+    assert all(np.isclose(got[k].top, want[k].top) and (got[k].rival, got[k].active) == (want[k].rival, want[k].active) for k in want)
+    passes.clear()
+    index.build(table.select("id", "v"))
+    assert len(passes) == 1

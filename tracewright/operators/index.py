@@ -62,7 +62,9 @@ def build(
     if rows.isEmpty():
         raise ValueError("an index needs traces")
     vectors = rows.select("id", "v")
+    two = None
     if beta is None:
-        beta = float(retrieval.mean_gap(vectors).select(retrieval.beta_of(F.col("gap"), F.col("n")).alias("b")).first()["b"])
-    report = retrieval.separability_report(retrieval.separability(vectors, beta, alpha)).first().asDict()
+        two = cut(retrieval.top_two(vectors))  # the greatest similarity serves the report too
+        beta = float(retrieval.mean_gap(vectors, two).select(retrieval.beta_of(F.col("gap"), F.col("n")).alias("b")).first()["b"])
+    report = retrieval.separability_report(retrieval.separability(vectors, beta, alpha, two)).first().asDict()
     return Index(rows, beta, alpha, report, encoder, net)

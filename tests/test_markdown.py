@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import duck, same
+from tracewright.functions.text import SPACES, strip, trim_u
 from tracewright.operators import verdicts
 from tracewright.plans import catalog, fixtures
 from tracewright.sources import markdown
@@ -107,3 +108,48 @@ def test_one_open_fence(spark, small_parts):
     _, lines = both(spark, [("a/f.md", text)])
     rows = markdown.entries_of(lines).collect()
     assert len(rows) == 1 and rows[0].title == "A" and rows[0].body.count("### B") == 500
+
+
+@pytest.mark.parametrize("name,most", [("entries", 2), ("sections", 6), ("decisions", 4)])
+def test_lines_are_gone_through_few_times(spark, name, most):
+    """Running values that build on each other don't each read all lines again: the plan's leaves, which hold lines or one row a part."""
+    _, lines = both(spark, files(3, 4, 40))
+    leaves = PARSERS[name][1](lines)._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves <= most
+
+
+def test_segments_over_many_parts(spark, small_parts):
+    """A segment that begins in one part and ends in another, with fences over the cuts, is one row; the section above it is known in all parts."""
+    text = "## S\n### A\n> n\n" + "x\n" * 300 + "```\n## no\n" + "### y\n" * 300 + "```\n> q\n" + "z\n" * 300 + "### B\n> m\n\nb\n---\n" + "lost\n" * 300 + "### C\nc"
+    whole, lines = both(spark, [("a/f.md", text), (None, "### N\nnull path"), ("b/g.md", "### G\ng")])
+    want, got = (sorted(map(str, f(t).drop("n").collect())) for f, t in zip(PARSERS["entries"], (whole, lines)))
+    assert got == want and len(got) == 5
+    assert sorted((r.title, r.section, r.note) for r in markdown.entries_of(lines).collect()) == [("A", "S", "n"), ("B", "S", "m"), ("C", "S", ""), ("G", "", ""), ("N", "", "")]
+
+
+def test_bullets_of_one_heading_stay_in_their_parts(spark, small_parts):
+    """Only what becomes one row is brought together: bullets under one heading are rows of their own."""
+    text = "# Log\n" + "\n".join(f"- 2026-01-02 t{k}: slow. KARAR: add {k} / NEDEN: fast" for k in range(2000))
+    whole, lines = both(spark, [("p/decisions.md", text)])
+    assert markdown.scanned(lines, ("H1", "H2"), ("H2",)).select("part").distinct().count() >= 4
+    want, got = (sorted(map(str, f(t).drop("n").collect())) for f, t in zip(PARSERS["decisions"], (whole, lines)))
+    assert got == want and len(got) == 2000
+
+
+@pytest.mark.parametrize("name", sorted(PARSERS))
+def test_rows_that_hold_many_lines(spark, small_parts, name):
+    """The lines of a file may come as rows of several lines each."""
+    text = files(7, 1, 2000)[0][1].split("\n")
+    one = spark.createDataFrame([("a/f.md", k, line) for k, line in enumerate(text)], "path string, n long, line string")
+    many = spark.createDataFrame([("a/f.md", k, "\n".join(text[k : k + 9])) for k in range(0, len(text), 9)], "path string, n long, line string")
+    want, got = (sorted(map(str, PARSERS[name][1](t).drop("n").collect())) for t in (one, many))
+    assert got == want and want
+
+
+def test_white_space_is_that_of_patterns(spark):
+    """SPACES are the code points that (?U)\\s takes."""
+    points = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    got = points.where(F.col("c").rlike(r"\A(?U:\s)\z")).select("c").collect()
+    assert sorted(r.c for r in got) == sorted(SPACES)
+    ends = spark.createDataFrame([(a + b + c,) for a in ("", " ", "\u3000\n\x85") for b in ("", "x", "a \u2003 b", "é\tß") for c in ("", "\t", "\u2028 \r\n")], "t string")
+    assert ends.where(~strip(F.col("t")).eqNullSafe(trim_u(F.col("t")))).count() == 0

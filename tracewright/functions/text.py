@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Longest body that is embedded, shortest that teaches anything.
 MAX_BODY, MIN_BODY = 4000, 30
+#: All Unicode white space, as (?U)\s has it.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Line breaks besides the line feed.
+BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 LINE_BREAKS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -15,6 +19,11 @@ def trim_u(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
+def strip(text: Column) -> Column:
+    """As trim_u, looking at the ends only: a pattern is tried at each character of a text."""
+    return F.trim(text, F.lit(SPACES))
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 

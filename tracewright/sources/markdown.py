@@ -2,8 +2,9 @@
 
 Inputs are DataFrames (path, content), as `spark.read.text(wholetext=True)` gives them; windows by file then parse files in parallel.
 Or they are lines (path, n, line) of files of any size (`entries_of`, `sections_of`, `decisions_of`): those are range-partitioned by path and
-place, so that one file is many tasks. A part's effect on the running values is their sum or last value within it, which
-compose in any grouping; a prefix over one row a part gives what each part starts from.
+place, so that one file is many tasks. The few lines that can change what others mean (fences, headings, rules) tell, for a part that starts
+outside of a fence and for one that starts inside, how it ends; a prefix over one row a part gives what each part starts from. A segment that
+goes on into later parts is then counted to the part that it began in, so lines are shuffled once for the windows and not again for the groups.
 
 Lines inside code fences are opaque.
 """
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LINE_BREAKS, project_of, split_title, trim_u
-from ..operators.lineage import cut
+from ..functions.text import BREAKS, LINE_BREAKS, any_of, project_of, split_title, strip, trim_u
+from ..operators.lineage import cut, stored
 
 # Labels of decision records and the slots that they fill.
 LABELS = {
@@ -25,6 +26,9 @@ LABELS = {
 INLINE_LABEL = "KARAR|NEDEN|GERI ALMA|GERİ ALMA"
 LABEL_LINE = r"^-?\s*([A-Za-zÇĞİÖŞÜçğıöşü ]{3,30}?):\s*(.*)\z"
 MONTHS = "Oca|Şub|Mar|Nis|May|Haz|Tem|Ağu|Eyl|Eki|Kas|Ara"
+#: Least lines of a part of a file, and about how many parts there are at most; they are more than tasks, so that tasks are alike.
+PART_LINES, MOST_PARTS = 2048, 2048
+EDGES = ("H1", "H2", "H3", "RULE")
 SLOTS = ("context", "choice", "reason", "cost", "outcome")
 #: Paths that hold any of these are copies or build output.
 EXCLUDED = r"/\.audit-clones/|/worktrees/|/node_modules/|/\.venv/|/__pycache__/"
@@ -37,62 +41,105 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.md", recursive: bo
 
 
 def _running(rows: DataFrame, **values: tuple[str, Column]) -> DataFrame:
-    """`rows` with, for each name, the "sum" or the "last" value that isn't null over the lines of the file up to this one."""
+    """`rows` with, for each name, the "sum" or the "last" value that isn't null over the lines of the file, or of the part of it, up to this one."""
+    whole = Window.partitionBy(*_file(rows)).orderBy("n")
     kept = {name: (how, f"__{name}") for name, (how, _) in values.items()}
     rows = rows.withColumns({f"__{name}": value for name, (_, value) in values.items()})
-    over = lambda how, c, w: F.sum(c).over(w) if how == "sum" else F.last(c, True).over(w)
-    if "part" not in rows.columns:
-        whole = Window.partitionBy("path").orderBy("n")
-        return rows.withColumns({name: over(how, c, whole) for name, (how, c) in kept.items()}).drop(*[c for _, c in kept.values()])
-    # What each part adds, and what all parts of the file before it add up to: one row a part.
-    ends = [F.sum(c).alias(name) if how == "sum" else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(name) for name, (how, c) in kept.items()]
-    before = Window.partitionBy("__path").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(F.col("path").alias("__path"), F.col("part").alias("__part")).agg(*ends)
-    starts = starts.select("__path", "__part", *[over(how, name, before).alias(f"__from_{name}") for name, (how, _) in kept.items()])
-    local = Window.partitionBy("path", "part").orderBy("n")
-    rows = rows.withColumns({name: over(how, c, local) for name, (how, c) in kept.items()})
-    rows = rows.join(starts, (F.col("path") == F.col("__path")) & (F.col("part") == F.col("__part")))
-    for name, (how, _) in kept.items():
-        begin = F.col(f"__from_{name}")
-        rows = rows.withColumn(name, F.col(name) + F.coalesce(begin, F.lit(0)) if how == "sum" else F.coalesce(F.col(name), begin))
-    return rows.drop("__path", "__part", *[f"__from_{name}" for name in kept], *[c for _, c in kept.values()])
+    rows = rows.withColumns({name: F.sum(c).over(whole) if how == "sum" else F.last(c, True).over(whole) for name, (how, c) in kept.items()})
+    return rows.drop(*[c for _, c in kept.values()])
 
 
-def _kinds(rows: DataFrame) -> DataFrame:
-    """(path, n, line) with st (stripped), fence, free (outside of fences), k (H1, H2, H3, RULE or C)."""
-    rows = rows.withColumn("st", trim_u(F.col("line"))).withColumn("fence", F.col("line").rlike(r"^(?U:\s*)```"))
-    rows = _running(rows, fences=("sum", F.col("fence").cast("int")))
-    rows = rows.withColumn("free", ~F.col("fence") & (F.col("fences") % 2 == 0)).drop("fences")
-    st = F.col("st")
-    kind = (
-        F.when(~F.col("free"), "C")
+def _file(rows: DataFrame) -> list[str]:
+    return ["path", "part"] if "part" in rows.columns else ["path"]
+
+
+def _mark(st: Column) -> Column:
+    """What a stripped line is outside of fences: FENCE, H1, H2, H3, RULE or C."""
+    return (
+        F.when(st.startswith("```"), "FENCE")
         .when(st.startswith("# "), "H1")
         .when(st.startswith("## "), "H2")
         .when(st.startswith("### "), "H3")
-        .when(st.rlike(r"^-{3,}\z"), "RULE")
+        .when(st.startswith("---") & st.rlike(r"^-{3,}\z"), "RULE")
         .otherwise("C")
     )
-    return rows.withColumn("k", kind)
+
+
+def _kinds(rows: DataFrame) -> DataFrame:
+    """Lines with their st (stripped) and mark, with fence, free (outside of fences), k (H1, H2, H3, RULE or C)."""
+    rows = rows.withColumn("fence", F.col("mark") == "FENCE")
+    rows = _running(rows, fences=("sum", F.col("fence").cast("int")))
+    inside = F.col("fences") + F.col("inside") if "part" in rows.columns else F.col("fences")
+    rows = rows.withColumn("free", ~F.col("fence") & (inside % 2 == 0)).drop("fences", "inside")
+    return rows.withColumn("k", F.when(F.col("free"), F.col("mark")).otherwise("C")).drop("mark")
 
 
 def lines(files: DataFrame) -> DataFrame:
     """The lines of whole files, with their kinds."""
     text = F.regexp_replace(F.regexp_replace("content", LINE_BREAKS, "\n"), r"\n\z", "")
-    return _kinds(files.where(F.length("content") > 0).select("path", F.posexplode(F.split(text, "\n")).alias("n", "line")))
-
-
-def scanned(rows: DataFrame) -> DataFrame:
-    """The lines (path, n, line) of files of any size, with their kinds and `part`, the range that a line is in. Lines that hold line breaks
-    of their own are several; `n` orders the lines of a file."""
-    rows = rows.select("path", F.col("n").alias("at"), F.posexplode(F.split(F.regexp_replace(F.coalesce("line", F.lit("")), LINE_BREAKS, "\n"), "\n")).alias("within", "line"))
-    rows = rows.select("path", F.struct("at", "within").alias("n"), "line")
-    return _kinds(cut(rows.repartitionByRange("path", "n").sortWithinPartitions("path", "n").withColumn("part", F.spark_partition_id())))
+    rows = files.where(F.length("content") > 0).select("path", F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    return _kinds(rows.withColumn("st", strip(F.col("line"))).withColumn("mark", _mark(F.col("st"))))
+
+
+def scanned(rows: DataFrame, edges: tuple[str, ...] = EDGES, whole: tuple[str, ...] | None = None) -> DataFrame:
+    """The lines (path, n, line) of files of any size, with their kinds and `part`, the part of a range that a line is in. `n` orders the lines of a file;
+    rows that hold line breaks are several lines, and have the place of the first.
+
+    Lines of one part up to its first edge are counted to the part that their segment began in, if it is of the kinds `whole` (all by default).
+    `above` says what a part starts from: the head (kind of the last edge) and the section (the last `## ` line).
+    """
+    rows = rows.repartitionByRange("path", "n").sortWithinPartitions("path", "n")
+    text = F.coalesce("line", F.lit(""))
+    split = F.when(any_of(text, BREAKS), F.split(text, rf"{LINE_BREAKS}|\n")).otherwise(F.split(text, "\n"))  # a pattern over all text is slow
+    rows = rows.select("path", F.col("n").alias("at"), F.posexplode(split).alias("within", "line"))
+    rows = rows.withColumn("st", strip(F.col("line"))).withColumn("mark", _mark(F.col("st")))
+    # Headings are written twice, so that they can be read without all other text.
+    named = F.when(F.col("mark") != "C", F.col("st")).alias("named")
+    rows = stored(rows.select("path", F.monotonically_increasing_id().alias("row"), F.struct("at", "within").alias("n"), "line", "mark", named))
+    size = max(PART_LINES, -(-rows.count() // MOST_PARTS))
+    rows = rows.withColumn("part", F.expr(f"row div {size}")).drop("row")
+    starts = F.broadcast(cut(_starts(rows, edges, whole)))  # a part has at most one file that began in an earlier one
+    rows = rows.join(starts, rows["path"].eqNullSafe(starts["__path"]) & (rows["part"] == starts["__part"]), "left")
+    leads = F.col("led").isNotNull() & (F.col("first").isNull() | (F.col("n") < F.col("first")))
+    to = F.when(leads, F.col("led")).otherwise(F.col("own"))
+    rows = rows.select("path", F.coalesce(to["part"], "part").alias("part"), "n", "line", "mark", F.coalesce(to["inside"], F.lit(0)).alias("inside"), to["above"].alias("above"))
+    return _kinds(rows.withColumn("st", strip(F.col("line"))))
+
+
+def _starts(rows: DataFrame, edges: tuple[str, ...], whole: tuple[str, ...] | None) -> DataFrame:
+    """What the parts start from that go on with a file: `first`, the place of their first edge; `own`, what their lines from there on start from
+    and `led`, what those before it do, each with the part that they are counted to, if that is another one."""
+    marks = rows.where("mark <> 'C'").select("path", "part", "n", "mark", "named")
+    marks = _running(marks, odd=("sum", (F.col("mark") == "FENCE").cast("int"))).withColumn("odd", F.col("odd") % 2)
+    edge, ends = F.col("mark").isin(*edges), []
+    for inside in (0, 1):  # whether a part starts in a fence
+        free = F.col("odd") == inside
+        last, section = F.when(edge & free, F.col("n")), F.when((F.col("mark") == "H2") & free, F.col("n"))
+        ends.append(F.struct(F.min(last).alias("first"), F.max_by("mark", last).alias("head"), F.max_by("named", section).alias("section")).alias(f"ends{inside}"))
+    told = marks.groupBy(F.col("path").alias("__path"), F.col("part").alias("__part")).agg(F.sum((F.col("mark") == "FENCE").cast("int")).alias("fences"), *ends)
+    parts = rows.select("path", "part").distinct()
+    parts = parts.join(told, F.col("path").eqNullSafe(F.col("__path")) & (F.col("part") == F.col("__part")), "left")
+    # One row a part of a file from here on.
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("inside", F.coalesce(F.sum("fences").over(before), F.lit(0)) % 2)
+    parts = parts.withColumn("ends", F.when(F.col("inside") == 0, F.col("ends0")).otherwise(F.col("ends1")))
+    above = F.struct(F.last("ends.head", True).over(before).alias("head"), F.last("ends.section", True).over(before).alias("section"))
+    parts = parts.withColumn("above", above).withColumn("begins", F.first("part").over(before))
+    leads = F.coalesce(F.col("above.head").isin(*whole), F.lit(False)) if whole is not None else F.lit(True)
+    # A part whose first lines are counted to another one starts with an edge, and so outside of fences.
+    leads = leads & F.col("begins").isNotNull()
+    own = F.struct("part", F.when(leads, F.lit(0)).otherwise(F.col("inside")).alias("inside"), "above")
+    parts = parts.withColumn("own", own)
+    opened = F.last(F.when(F.col("ends.first").isNotNull(), F.col("own")), True).over(before)
+    parts = parts.withColumn("led", F.when(leads, F.coalesce(opened, F.first("own").over(before))))
+    return parts.where("begins IS NOT NULL").select(F.col("path").alias("__path"), F.col("part").alias("__part"), F.col("ends.first").alias("first"), "own", "led")
 
 
 def _segments(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """seg: number of the boundary line that a line follows; head: kind of that line."""
+    """seg: number of the boundary line that a line follows, in the file or in the part; head: kind of that line."""
     rows = rows.withColumn("edge", F.col("k").isin(*kinds))
-    return _running(rows, seg=("sum", F.col("edge").cast("int")), head=("last", F.when(F.col("edge"), F.col("k"))))
+    rows = _running(rows, seg=("sum", F.col("edge").cast("int")), head=("last", F.when(F.col("edge"), F.col("k"))))
+    return rows.withColumn("head", F.coalesce("head", "above.head")) if "part" in rows.columns else rows
 
 
 def _joined(when: Column, value: Column, glue: str) -> Column:
@@ -107,26 +154,29 @@ def entries(files: DataFrame, kind: str = "semantic") -> DataFrame:
 
 def entries_of(rows: DataFrame, kind: str = "semantic") -> DataFrame:
     """S1 over lines (path, n, line)."""
-    return _entries(scanned(rows), kind)
+    return _entries(scanned(rows, EDGES, ("H3",)), kind)
 
 
 def _entries(rows: DataFrame, kind: str) -> DataFrame:
-    rows = _segments(rows, ("H1", "H2", "H3", "RULE"))
+    rows = _segments(rows, EDGES)
     st = F.col("st")
     ends = F.col("fence") | (F.col("free") & ~F.col("edge") & (st != "") & ~st.startswith(">"))
     rows = _running(rows, section=("last", F.when(F.col("k") == "H2", trim_u(F.substr("st", F.lit(4))))), ends=("sum", ends.cast("int")))
+    if "part" in rows.columns:
+        rows = rows.withColumn("section", F.coalesce("section", trim_u(F.substr("above.section", F.lit(4)))))
     # How many lines have ended the notes since the entry began.
     rows = _running(rows, ended_before=("last", F.when(F.col("edge"), F.col("ends"))))
     rows = rows.withColumn("ended", F.col("ends") - F.coalesce("ended_before", F.lit(0)))
     rows = rows.where("head = 'H3'").withColumn("noted", F.col("free") & st.startswith(">") & (F.col("ended") == 0))
-    got = rows.groupBy("path", "seg").agg(
+    got = rows.groupBy(*_file(rows), "seg").agg(
         F.min("n").alias("n"),
         F.max(F.when(F.col("edge"), trim_u(F.substr("st", F.lit(5))))).alias("title"),
         F.max(F.when(F.col("edge"), F.coalesce("section", F.lit("")))).alias("section"),
         trim_u(_joined(F.col("noted"), trim_u(F.substr("st", F.lit(2))), " ")).alias("note"),
-        trim_u(_joined(~F.col("noted") & ~F.col("edge"), F.col("line"), "\n")).alias("body"),
+        strip(_joined(~F.col("noted") & ~F.col("edge"), F.col("line"), "\n")).alias("body"),
     )
-    got = got.withColumn("body", trim_u(F.regexp_replace("body", r"\n?-{3,}(?U:\s*)\z", "")))
+    ruled = trim_u(F.regexp_replace("body", r"\n?-{3,}(?U:\s*)\z", ""))
+    got = got.withColumn("body", F.when(F.endswith("body", F.lit("---")), ruled).otherwise(F.col("body")))
     got = got.where((F.col("body") != "") & ~F.col("title").rlike(r"^[A-Z]\.\s") & ~F.col("title").rlike(r"^_\(.*\)_\s*\z"))
     hints = split_title(F.col("title"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*\z", "")
@@ -142,12 +192,12 @@ def sections(files: DataFrame, channel: str, min_chars: int = 40) -> DataFrame:
 
 def sections_of(rows: DataFrame, channel: str, min_chars: int = 40) -> DataFrame:
     """S13 over lines (path, n, line)."""
-    return _sections(scanned(rows), channel, min_chars)
+    return _sections(scanned(rows, ("H2",)), channel, min_chars)
 
 
 def _sections(rows: DataFrame, channel: str, min_chars: int) -> DataFrame:
     rows = _segments(rows, ("H2",))
-    place = F.col("n.at") if "part" in rows.columns else F.col("n")
+    place = F.col("n.at") + F.col("n.within") if "part" in rows.columns else F.col("n")
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*\z", "")
     # The title of a file: its first `# ` line, fenced or not, within the first five.
     top = F.col("st").startswith("# ") & (place < 5)
@@ -160,11 +210,11 @@ def _sections(rows: DataFrame, channel: str, min_chars: int) -> DataFrame:
         rows = rows.join(titles, F.col("path") == F.col("__path"), "left")
     named = F.col("named")
     rows = rows.withColumn("file_title", F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(stem))
-    got = rows.groupBy("path", "seg").agg(
+    got = rows.groupBy(*_file(rows), "seg").agg(
         F.min("n").alias("n"),
         F.max("file_title").alias("section"),
         F.max(F.when(F.col("edge"), trim_u(F.substr("st", F.lit(4))))).alias("h"),
-        trim_u(_joined(~F.col("edge") & (F.col("k") != "H1"), F.col("line"), "\n")).alias("body"),
+        strip(_joined(~F.col("edge") & (F.col("k") != "H1"), F.col("line"), "\n")).alias("body"),
     )
     under = F.concat(F.col("section"), F.lit(" — "), F.col("h"))
     title = F.when(F.coalesce("h", F.lit("")) != "", under).otherwise(F.col("section"))
@@ -220,10 +270,10 @@ def _sectioned(rows: DataFrame) -> DataFrame:
     value = F.when(F.col("slot").isNotNull(), trim_u(F.regexp_extract("st", LABEL_LINE, 2))).when(~F.col("edge"), F.col("st"))
     rows = rows.withColumn("x", value)
     title = F.max(F.when(F.col("edge"), trim_u(F.regexp_replace("st", "^#+", ""))))
-    got = rows.groupBy("path", "seg").agg(
+    got = rows.groupBy(*_file(rows), "seg").agg(
         F.min("n").alias("n"),
         title.alias("title"),
-        trim_u(_joined(F.lit(True), F.when(F.col("edge"), F.col("st")).otherwise(F.col("line")), "\n")).alias("raw"),
+        strip(_joined(F.lit(True), F.when(F.col("edge"), F.col("st")).otherwise(F.col("line")), "\n")).alias("raw"),
         *[_joined((F.col("cur") == s) & (F.col("x") != ""), F.col("x"), " ").alias(s) for s in SLOTS],
     )
     rest = trim_u(F.regexp_replace("title", r"^.*?·\s*[^·]*·\s*", ""))
@@ -238,7 +288,7 @@ def decisions(files: DataFrame) -> DataFrame:
 
 def decisions_of(rows: DataFrame) -> DataFrame:
     """S6 over lines (path, n, line)."""
-    return _decisions(scanned(rows))
+    return _decisions(scanned(rows, ("H1", "H2"), ("H2",)))
 
 
 def _decisions(rows: DataFrame) -> DataFrame:

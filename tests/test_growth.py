@@ -117,6 +117,28 @@ def test_context_vectors_by_chunks(spark, monkeypatch):
     assert np.array_equal(contexts._added(np.array([0, 0, 2]), np.array([1, 2, 0]), None, np.eye(3), 4), [[0, 1, 1], [0, 0, 0], [1, 0, 0], [0, 0, 0]])
 
 
+def test_context_steps_shuffle_nothing(spark, monkeypatch):
+    """What is shuffled while an encoder is learned does not depend on the number of steps: entries and vectors are met as written."""
+    seen = []
+    monkeypatch.setattr(contexts, "CHUNK", 3)
+    monkeypatch.setattr(contexts, "cut", lambda df, cut=contexts.cut: seen.append(plan(df).count("Exchange")) or cut(df))
+    texts = spark.createDataFrame([(k, f"the {'cat' if k % 2 else 'barge'} {['eats', 'sleeps', 'drifts'][k % 3]} here.") for k in range(60)], "id long, text string")
+    few = contexts.learn(texts, dims=3, steps=1), sum(seen)
+    many = contexts.learn(texts, dims=3, steps=4), sum(seen) - few[1]
+    assert few[1] == many[1] > 0 and len(many[0].values) == 3
+
+
+def test_sentences_are_not_shuffled_for_contexts(spark):
+    """Sentences that go to the anchors are numbers of words by then, so no join or group of the screen has their strings as key."""
+    texts = spark.createDataFrame([(k, f"the {'cat' if k % 2 else 'barge'} {['eats', 'sleeps', 'drifts'][k % 3]} here. it is {k}.") for k in range(60)], "id long, text string")
+    model = contexts.learn(texts, dims=3)
+    anchors = boundary.encoded(spark.createDataFrame([(1, "the cat eats here.")], "id long, s string"), model).select(F.col("v").alias("a"))
+    out = boundary.screen(texts, anchors, threshold=0.999999, encoder=model)
+    assert not re.search(r"(Join|Exchange hashpartitioning|Aggregate)[^\n]*[\[(](s|meant)#", plan(out))
+    got = {r.id: r.flagged for r in out.collect()}
+    assert all(("the cat eats here." in got[k]) == (k % 2 == 1 and k % 3 == 0) for k in range(60))
+
+
 def test_sections_of_one_file_in_many_tasks(spark):
     """The title of a file comes to its lines without bringing all of them to one task."""
     told = [(1, "# Big"), *[(k, f"## part {k}" if k % 5 == 0 else f"line {k} that is long enough to be kept as a body") for k in range(2, 200)]]
